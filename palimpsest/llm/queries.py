@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import classify
+from palimpsest.llm import classify, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op3_toxicity": classify.op3_toxicity,
     "op4_quality_classifier": classify.op4_quality_classifier,
 }
