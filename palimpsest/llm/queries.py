@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import classify, near_dedup
+from palimpsest.llm import classify, mixing, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": classify.op3_toxicity,
     "op4_quality_classifier": classify.op4_quality_classifier,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
