@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import classify, mixing, near_dedup, packing
+from palimpsest.llm import classify, hamming, licenses, mixing, near_dedup, packing, sharding, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": classify.op3_toxicity,
     "op4_quality_classifier": classify.op4_quality_classifier,
+    "op5_media_tiff": tiff.op5_media_tiff,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_license_scans": licenses.op7_license_scans,
+    "op8_top_k_search": hamming.op8_top_k_search,
+    "op9_sharding": sharding.op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_top_k_search": hamming.OP8_SQL}
