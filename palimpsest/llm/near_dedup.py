@@ -4,13 +4,14 @@
    represented by its smallest id; only classes go on.
 2. A class's sketch of 200 coordinates gives 40 band keys of 5 coordinates. Two sets of similarity 0.8 share
    no band with probability (1 - 0.8^5)^40 = 1.3e-7, less above.
-3. In each bucket (equal band key) every class is paired with the bucket's densest member, the one whose buckets
-   are fullest: a number of pairs linear in the bucket. Pairs whose sketches agree in under 60 % of coordinates
-   (at similarity 0.8: probability under 1e-9) are dropped; the rest are verified on their full sets, recomputed
-   from the whole texts, and the links give components.
-4. Buckets that still hold several components are compared once more, all pairs across components, block by
-   block on the sketches inside a task; only pairs above the same 60 % leave it, to be verified in turn. So no
-   pair of a bucket is skipped, but those within a component, which no link can change.
+3. Each bucket (equal band key) is led by its densest member, the one whose buckets are fullest. A leader's group is
+   all members of the buckets that it leads, so any two classes that share a bucket share a group, and a family
+   of near copies, which shares dozens of buckets, is mostly one group. Groups are of linear size in all.
+4. In each group, classes whose sketches agree with no other's in 60 % of coordinates leave (at similarity 0.8
+   that has a probability under 1e-9). The others' whole texts are read again, and all pairs of the group that
+   earlier links do not already connect are verified on full sets. Only links that connect something new are
+   returned, fewer than a group has members; no pair is emitted that is no link. A large group is cut into blocks,
+   and each pair of blocks is verified by itself.
 
 Defined results: a null or wordless text has no set and links with nothing (component: its own id). Rows with
 a null id link with nothing; their component is null. Repeated rows all come back with the same component.
@@ -20,12 +21,13 @@ An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.llm.base import cut, per_batch, table
 from palimpsest.llm.components import components
@@ -36,10 +38,8 @@ U64 = np.uint64
 COORDINATES, BAND_ROWS = 200, 5
 #: Least share of agreeing coordinates of a pair that is verified.
 AGREE = 0.6
-#: Members of a bucket that are compared in one task; larger buckets are cut into blocks of this size.
-BLOCK = 4096
-#: Partners of one class that are verified in one group.
-PARTNERS = 256
+#: Members, and shingles, of a group that one task compares with as many others; larger groups are cut into blocks.
+BLOCK, BLOCK_SHINGLES = 4096, 1_500_000
 
 
 def _sets(texts: list, ngram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,121 +76,131 @@ def signatures(docs: DataFrame, ngram: int) -> DataFrame:
     return per_batch(docs, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary", sign)
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sketches agree in AGREE of the coordinates."""
-    s = classes.select("rep", "sketch")
-    both = pairs.join(s.toDF("a", "sketch_a"), "a").join(s.toDF("b", "sketch_b"), "b")
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """`members` (leader, rep, ..) once for each pair of blocks that has theirs; `blocks`: how many the group has."""
+    return (
+        members.withColumn("__k", blocks.cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("__k")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        .drop("__k", "own", "other")
+        .repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi")
+    )
 
-    def agree(batch: dict[str, list]) -> dict[str, list]:
-        x, y = (np.frombuffer(b"".join(batch[k]), np.uint8).reshape(-1, COORDINATES) for k in ("sketch_a", "sketch_b"))
-        keep = np.flatnonzero((x == y).mean(1) >= AGREE)
-        return {k: [batch[k][i] for i in keep] for k in ("a", "b")}
 
-    return per_batch(both.select("a", "b", "sketch_a", "sketch_b"), "a long, b long", agree)
+def _by_group(frame: DataFrame, schema: str, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]) -> DataFrame:
+    """mapInArrow over a frame sorted by (leader, lo, hi), with a batch's columns as lists."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(b.to_pydict() for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+
+    return frame.mapInArrow(run, schema)
+
+
+def _promising(members: DataFrame) -> DataFrame:
+    """Of (leader, rep, n, sketch), the (leader, rep) whose sketch agrees with another's of the group; `n`: its size."""
+
+    def agreeing(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        at, reps, raw = None, [], []
+
+        def done() -> dict[str, list]:
+            sk = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, COORDINATES)
+            stay = np.zeros(len(reps), bool)
+            # the leader first: nearly all that stay agree with it
+            order = [i for i in range(len(reps)) if reps[i] == at[0]] + list(range(len(reps)))
+            for i in order:
+                if stay[i] and reps[i] != at[0]:
+                    continue
+                same = (sk == sk[i]).mean(1) >= AGREE
+                same[i] = False
+                if same.any():
+                    stay |= same
+                    stay[i] = True
+            return {"leader": [at[0]] * int(stay.sum()), "rep": [reps[i] for i in np.flatnonzero(stay)]}
+
+        for d in batches:
+            for key, rep, sketch in zip(zip(d["leader"], d["lo"], d["hi"], strict=True), d["rep"], d["sketch"], strict=True):
+                if key != at:
+                    if len(reps) > 1:
+                        yield done()
+                    at, reps, raw = key, [], []
+                reps.append(rep)
+                raw.append(sketch)
+        if len(reps) > 1:
+            yield done()
 
+    dealt = _blocks(members, F.ceil(F.col("n") / BLOCK)).select("leader", "lo", "hi", "rep", "sketch")
+    return _by_group(dealt, "leader long, rep long", agreeing).distinct()
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Of the distinct pairs (a, b), those with 100 * |intersection| >= percent * |union| on their full sets.
 
-    A first class's text meets its partners' in groups of about PARTNERS, so that a class with very many
-    partners is verified in many tasks. Texts are compared with the class's set name first, so that an id
-    that several texts share cannot lend a pair the wrong one.
+def connecting(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (100 * |intersection| >= percent * |union|) that connect the same sets as all links do, and no more of them.
+
+    A set that is not yet connected with the first is compared with all others at once, by a mark on its elements.
     """
-    named = classes.select("rep", "set_a", "set_b")
-    heads = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    pairs = pairs.join(heads, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS)))
-    ask = (
-        heads.select(F.col("a"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PARTNERS).cast("int") - 1)).alias("part"), F.col("a").alias("rep"), F.lit(0).alias("kind"))
-        .unionByName(pairs.select("a", F.col("part").cast("int"), F.col("b").alias("rep"), F.lit(1).alias("kind")))
-        .join(named, "rep")
-    )
-    met = docs.select(F.col("doc_id").alias("rep"), "text").join(ask, "rep")
-    dealt = met.repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("a", "part", "rep", "kind", "set_a", "set_b", "text")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple | None = None
-        own: list[np.ndarray] = []  # more than one only if texts share the id
-        for batch in batches:
-            d = batch.to_pydict()
-            found: list[tuple[int, int]] = []
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(size)])
+    home = np.arange(n)
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    out = []
+    for i in np.argsort(-size, kind="stable").tolist():
+        if home[i] != i and (home == home[i]).sum() * 2 > n:
+            continue  # what it could link with is compared by those outside its component
+        own = ids[first[i] : first[i + 1]]
+        mark[own] = True
+        inter = np.add.reduceat(mark[ids], first[:-1], dtype=np.int64)
+        mark[own] = False
+        for j in np.flatnonzero(100 * inter >= percent * (size + size[i] - inter)).tolist():
+            if home[j] != home[i]:
+                out.append((i, j))
+                a, b = sorted((home[i], home[j]))
+                home[home == b] = a
+    return out
+
+
+def verified(members: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(a, b): links within the groups of `members` (leader, rep, n_shingles, set_a, set_b, total), on whole texts.
+
+    A text whose set is not the class's own, as when several texts share an id, is passed over.
+    """
+    dealt = _blocks(members, F.ceil(F.col("total") / BLOCK_SHINGLES))
+    met = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.select("leader", "lo", "hi", "rep", "set_a", "set_b"), "rep")
+    met = met.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi").select("leader", "lo", "hi", "rep", "set_a", "set_b", "text")
+
+    def check(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        at, reps, sets, names = None, [], [], set()
+
+        def done() -> dict[str, list]:
+            links = connecting(sets, percent)
+            return {"a": [reps[i] for i, _ in links], "b": [reps[j] for _, j in links]}
+
+        for d in batches:
             for lo, _, e, off in _sets(d["text"], ngram):
                 name_a, name_b = _names(e, off)
                 for i in range(len(off) - 1):
                     k = lo + i
-                    if name_a[i] != d["set_a"][k] or name_b[i] != d["set_b"][k]:
+                    name = (d["rep"][k], int(name_a[i]), int(name_b[i]))
+                    if name[1:] != (d["set_a"][k], d["set_b"][k]):
                         continue
-                    s = e[off[i] : off[i + 1]]
-                    if head != (d["a"][k], d["part"][k]):
-                        head, own = (d["a"][k], d["part"][k]), []
-                    if d["kind"][k] == 0:
-                        own.append(s.copy())
-                        continue
-                    for h in own:
-                        at = np.searchsorted(h, s)
-                        inter = int((h[np.minimum(at, len(h) - 1)] == s).sum())
-                        if 100 * inter >= percent * (len(h) + len(s) - inter):
-                            found.append((d["a"][k], d["rep"][k]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
-
-    return dealt.mapInArrow(check, "a long, b long").distinct()
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members of different components whose sketches agree; (key, n, rep, component, sketch) in.
-
-    A bucket of up to BLOCK members is one group. A larger one is cut into k blocks by a hash, and each pair of
-    blocks is a group, so that the work of one bucket spreads over k * (k + 1) / 2 tasks.
-    """
-    k = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        members.withColumn("own", F.pmod(F.xxhash64("rep"), k).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-        .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "component")
-        .select("key", "lo", "hi", "rep", "component", "sketch")
-    )
-
-    def pairs_of(rep: np.ndarray, comp: np.ndarray, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        # rows are sorted by component; the largest one needs no comparison but with the others' rows
-        names, first, count = np.unique(comp, return_index=True, return_counts=True)
-        big = count.argmax()
-        for j in range(len(names)):
-            if j == big and len(names) > 1:
-                continue
-            for i in range(first[j], first[j] + count[j]):
-                rest = np.flatnonzero((comp > comp[i]) | (comp == names[big])) if names[j] != names[big] else []
-                if len(rest):
-                    ok = rest[(sk[rest] == sk[i]).mean(1) >= AGREE]
-                    if len(ok):
-                        yield np.full(len(ok), rep[i]), rep[ok]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at = None
-
-        def done() -> pa.RecordBatch:
-            comp = np.array([x[1] for x in held])
-            if len(held) < 2 or comp[0] == comp[-1]:
-                a = b = np.zeros(0, np.int64)
-            else:
-                got = list(pairs_of(np.array([x[0] for x in held]), comp, np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, COORDINATES)))
-                a, b = (np.concatenate([g[j] for g in got]) if got else np.zeros(0, np.int64) for j in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            d = batch.to_pydict()
-            for key in zip(d["key"], d["lo"], d["hi"], d["rep"], d["component"], d["sketch"], strict=True):
-                if key[:3] != at:
-                    if held:
-                        out = done()
-                        if out.num_rows:
-                            yield out
-                    held, at = [], key[:3]
-                held.append(key[3:])
-        if held:
+                    key = (d["leader"][k], d["lo"][k], d["hi"][k])
+                    if key != at:
+                        if len(sets) > 1:
+                            yield done()
+                        at, reps, sets, names = key, [], [], set()
+                    if name not in names:  # rows repeated with the same id and text
+                        names.add(name)
+                        reps.append(name[0])
+                        sets.append(e[off[i] : off[i + 1]].copy())
+        if len(sets) > 1:
             yield done()
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return _by_group(met, "a long, b long", check)
 
 
 def near_dedup(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
@@ -198,25 +208,20 @@ def near_dedup(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs, ngram))
     some = signed.where("doc_id is not null and n_shingles > 0")
-    classes = cut(some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"))
+    best = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")
+    classes = cut(some.groupBy("set_a", "set_b").agg(best).select("set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.bands", "x.sketch"))
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(banded.join(shared, "key"))
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    first = members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
-    star = members.join(first, "key").select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).where("a != b").distinct()
-    tried = cut(star)
-    links = cut(verified(cut(_agreeing(tried, classes)), docs, classes, ngram, percent))
-    found = cut(components(links))
-
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
-    rest = placed.join(mixed, "key").join(classes.select("rep", "sketch"), "rep")
-    once = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = cut(_across(rest).join(once, ["a", "b"], "left_anti"))
-    more = cut(verified(left, docs, classes, ngram, percent))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    led = members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
+    groups = cut(members.join(led, "key").select((-F.col("top.minus")).alias("leader"), "rep").distinct())
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("n"))
+    stay = cut(_promising(groups.join(sizes, "leader").join(classes.select("rep", "sketch"), "rep")))
+    held = stay.join(classes.select("rep", "n_shingles", "set_a", "set_b"), "rep")
+    totals = held.groupBy("leader").agg(F.sum("n_shingles").alias("total"))
+    links = cut(verified(held.join(totals, "leader"), docs, ngram, percent))
+    found = components(links)
 
     by_class = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     done = some.join(by_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
