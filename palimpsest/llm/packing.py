@@ -15,6 +15,7 @@ null ids are packed each by itself. An empty table gives an empty result. Extra
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,30 +26,66 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.base import cut, per_batch, table
 from palimpsest.llm.nnls import intervals, plan
+from palimpsest.llm.text import pieces
+
+_COMMA = re.compile(r",(?<=[^\W\d_],) (?=\S)")
+_STOP = re.compile(r"\.(?<=[^\W\d_]\.) (?=\S)")
+#: A space before white space or at the end.
+_WIDE = re.compile(r" (?:\s|\Z)")
+
+#: The vocabulary writes each byte as a printing character: those that print as themselves, the others from 256 on.
+_PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTING} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTING)}
+_SPACE = chr(_BYTES[32])
 
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never merges across a space that a printing character follows, so a text is cut there and each
-    distinct part is tokenised once; a bounded memory of two generations keeps the parts' ids.
+    The tokenizer never merges across a space that a printing character follows, nor between a letter and a comma
+    or full stop before such a space, so a text is cut there and each distinct part is tokenised once; a bounded
+    memory of two generations keeps the parts' ids.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    #: Stand for a comma and a full stop that were cut off; texts that hold them are not cut at all.
+    MARKS = {"\x01": ",", "\x02": "."}
+
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = self.tokenizer.model
         self.most = most
-        self.new: dict[str, bytes] = {}
+        self.seeds = {m: self.ids([x])[0] for m, x in self.MARKS.items()}
+        self.new: dict[str, bytes] = dict(self.seeds)
         self.old: dict[str, bytes] = {}
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def after_space(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part with a space before it. A part of letters alone is one unit to the merges, as it stands."""
+        out = [b""] * len(parts)
+        rest = []
+        for i, x in enumerate(parts):
+            if x.isalpha():
+                out[i] = array("I", [t.id for t in self.merges.tokenize(_SPACE + x.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.ids([" " + parts[i] for i in rest]), strict=True):
+            out[i] = e
+        return out
+
     @staticmethod
     def parts(text: str) -> list[str]:
         """The text's parts; all but the first lack the space that they begin with."""
+        if "\x01" in text or "\x02" in text:
+            return [text]
+        text = _STOP.sub(" \x02 ", _COMMA.sub(" \x01 ", text))
         cut = text.split(" ")
-        if len(cut) < 2 or all(x and not x[0].isspace() for x in cut[1:]):
+        if not _WIDE.search(text):
             return cut
         out = [cut[0]]
         for x in cut[1:]:
@@ -59,33 +96,22 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            first, *rest = self.parts(text)
-            yield self.first(first) + self.joined(rest)
-
-    def first(self, part: str) -> bytes:
-        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-
-    def joined(self, parts: list[str]) -> bytes:
-        new = self.new
-        try:
-            return b"".join([new[x] for x in parts])
-        except KeyError:
-            pass
-        old = self.old
-        lack = []
-        for x in set(parts):
-            if x not in new:
-                if x in old:
-                    new[x] = old[x]
-                else:
-                    lack.append(x)
-        for x, e in zip(lack, self.tokenizer.encode_batch_fast([" " + x for x in lack], add_special_tokens=False), strict=True):
-            new[x] = array("I", e.ids).tobytes()
-        out = b"".join([new[x] for x in parts])
-        if len(new) > self.most:
-            self.old, self.new = new, {}
-        return out
+        for a, z in pieces(texts, 1 << 20):
+            some = [self.parts(t) for t in texts[a:z]]
+            firsts = self.ids([p[0] for p in some])
+            for p in some:
+                # a first part has no space before it, and is not looked up
+                p[0] = "\x02"
+            lack = set().union(*some).difference(self.new)
+            known = lack.intersection(self.old)
+            self.new.update((x, self.old[x]) for x in known)
+            lack = list(lack.difference(known))
+            self.new.update(zip(lack, self.after_space(lack), strict=True))
+            find = self.new.__getitem__
+            for first, p in zip(firsts, some, strict=True):
+                yield first + b"".join(map(find, p[1:]))
+            if len(self.new) > self.most:
+                self.old, self.new = self.new, dict(self.seeds)
 
 
 _encoders: dict[str, Encoder] = {}
