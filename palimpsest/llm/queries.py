@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import classify, hamming, licenses, mixing, near_dedup, packing, sharding, tiff
+from palimpsest.llm import classify, hamming, licenses, lm_scoring, mixing, near_dedup, packing, sharding, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scans": licenses.op7_license_scans,
     "op8_top_k_search": hamming.op8_top_k_search,
     "op9_sharding": sharding.op9_sharding,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_top_k_search": hamming.OP8_SQL}

@@ -309,8 +309,8 @@ def stored(payload: bytes) -> bytes:
     """The file of a payload: pages of up to PAGE_ROWS rows; compression, predictor and layout follow its digest."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     d = hashlib.sha256(payload).digest()
-    compression = (DEFLATE, LZW, PACKBITS, DEFLATE)[d[0] % 4]
-    predictor = 2 if compression != PACKBITS and d[1] % 2 else 1
+    compression = (DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE, PACKBITS, PACKBITS, LZW)[d[0] % 8]
+    predictor = 2 if compression == DEFLATE and d[1] % 2 else 1
     return write([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], compression, predictor, d[2] % 2 == 1)
 
 
