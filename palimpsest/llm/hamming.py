@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has a bit for each component, set where the component is positive. Codes are cut into m segments of
-about log2(rows) bits, so that a segment value has about one code. Step t looks up, in segment t mod m, all values
+at most log2(rows) bits, so that a segment value has a code or a few: a code too many costs a comparison inside the
+join, while a bit more in a segment would multiply the values to look up. Step t looks up, in segment t mod m, all values
 at distance t div m from the query's: after it, every code within distance t of the query has been found, as one
 farther off in every segment than has been looked up differs in more than t bits. A query is done when the distance
 of its k-th best neighbour is at most t, so nothing that could tie or beat it is missing. A candidate is verified
@@ -17,7 +18,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bits: int = 64) ->
     text = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
     rows = cut(vectors.where((F.size("embedding") == bits) & F.col("vec_id").isNotNull()).select("vec_id", text.alias("bits")).distinct())
     n = rows.count()
-    m = max(1, min(bits, round(bits / max(1.0, log2(max(2, n))))))
+    m = max(1, min(bits, ceil(bits / max(1.0, log2(max(2, n))))))
     edges = [bits * j // m for j in range(m + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
     segments = F.array(*[F.conv(F.substring("bits", a + 1, w), 2, 10).cast("long") for a, w in zip(edges, widths, strict=False)])
