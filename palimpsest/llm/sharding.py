@@ -68,8 +68,9 @@ def assign(docs: DataFrame, shards: int = 40, nodes: int = 128, load: float | No
     # the arc of a cell: the first node at or after it, else the first of all; at most 2^16 rows
     nodes_at = spark.createDataFrame([(c, a) for a, (c, _) in enumerate(spots)], "node_cell long, arc int")
     cells = spark.range(1 << CELL_BITS).withColumnRenamed("id", "cell").join(F.broadcast(nodes_at), F.col("cell") == F.col("node_cell"), "left")
-    following = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(0, Window.unboundedFollowing)
-    cells = cells.select("cell", F.coalesce(F.first("arc", ignorenulls=True).over(following), F.lit(0)).alias("arc"))
+    # from the last cell backwards, so that the window's running value is kept and not sought anew for each cell
+    onward = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.select("cell", F.coalesce(F.last("arc", ignorenulls=True).over(onward), F.lit(0)).alias("arc"))
     held = groups.groupBy("cell").agg(F.sum("n").alias("held")).join(cells, "cell")
     before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     held = cut(held.withColumn("cell_first", F.coalesce(F.sum("held").over(before), F.lit(0))).select("cell", "arc", "held", "cell_first"))
