@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.base import cut, per_batch, table
 from palimpsest.llm.nnls import intervals, plan
-from palimpsest.llm.text import pieces
 
 _COMMA = re.compile(r",(?<=[^\W\d_],) (?=\S)")
 _STOP = re.compile(r"\.(?<=[^\W\d_]\.) (?=\S)")
@@ -36,53 +35,71 @@ _WIDE = re.compile(r" (?:\s|\Z)")
 #: The vocabulary writes each byte as a printing character: those that print as themselves, the others from 256 on.
 _PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTING} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTING)}
+
 _SPACE = chr(_BYTES[32])
 
+#: The tokenizer's own first cut, for ASCII texts (a fixed value, its letter, digit and space classes spelt out).
+_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
+
+class Parts(dict):
+    """Ids of parts of texts, tokenised at first sight; two generations bound its memory.
+
+    A part is looked up without the space that stands before it.
+    """
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self.tokenizer, self.merges, self.most = tokenizer, tokenizer.model, most
+        self.old: dict[str, bytes] = {}
+        self.renew()
+
+    def renew(self) -> None:
+        """Begins a generation, if the present one is full or none has begun."""
+        if len(self) >= self.most or not self:
+            self.old = dict(self)
+            self.clear()
+            # these stand for a comma and a full stop that were cut off
+            self.update({"\x01": self.unit(","), "\x02": self.unit(".")})
+
+    def unit(self, text: str) -> bytes:
+        """Ids of what the merges treat as one."""
+        shown = text.replace(" ", _SPACE) if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if part.isalpha():
+                ids = self.unit(" " + part)
+            elif part.isascii():
+                ids = b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.unit(x) for x in _UNITS.findall(" " + part)])
+            else:
+                ids = array("I", self.tokenizer.encode(" " + part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never merges across a space that a printing character follows, nor between a letter and a comma
-    or full stop before such a space, so a text is cut there and each distinct part is tokenised once; a bounded
-    memory of two generations keeps the parts' ids.
+    or full stop before such a space, so a text is cut there and each distinct part is tokenised once.
     """
 
-    #: Stand for a comma and a full stop that were cut off; texts that hold them are not cut at all.
-    MARKS = {"\x01": ",", "\x02": "."}
-
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.merges = self.tokenizer.model
-        self.most = most
-        self.seeds = {m: self.ids([x])[0] for m, x in self.MARKS.items()}
-        self.new: dict[str, bytes] = dict(self.seeds)
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def after_space(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part with a space before it. A part of letters alone is one unit to the merges, as it stands."""
-        out = [b""] * len(parts)
-        rest = []
-        for i, x in enumerate(parts):
-            if x.isalpha():
-                out[i] = array("I", [t.id for t in self.merges.tokenize(_SPACE + x.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.ids([" " + parts[i] for i in rest]), strict=True):
-            out[i] = e
-        return out
+        self.known = Parts(self.tokenizer, most)
 
     @staticmethod
     def parts(text: str) -> list[str]:
         """The text's parts; all but the first lack the space that they begin with."""
         if "\x01" in text or "\x02" in text:
-            return [text]
+            return [text]  # texts that hold the stand-ins are not cut at all
         text = _STOP.sub(" \x02 ", _COMMA.sub(" \x01 ", text))
         cut = text.split(" ")
         if not _WIDE.search(text):
@@ -96,22 +113,11 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for a, z in pieces(texts, 1 << 20):
-            some = [self.parts(t) for t in texts[a:z]]
-            firsts = self.ids([p[0] for p in some])
-            for p in some:
-                # a first part has no space before it, and is not looked up
-                p[0] = "\x02"
-            lack = set().union(*some).difference(self.new)
-            known = lack.intersection(self.old)
-            self.new.update((x, self.old[x]) for x in known)
-            lack = list(lack.difference(known))
-            self.new.update(zip(lack, self.after_space(lack), strict=True))
-            find = self.new.__getitem__
-            for first, p in zip(firsts, some, strict=True):
-                yield first + b"".join(map(find, p[1:]))
-            if len(self.new) > self.most:
-                self.old, self.new = self.new, dict(self.seeds)
+        find = self.known.__getitem__
+        for text in texts:
+            first, *rest = self.parts(text)
+            yield array("I", self.tokenizer.encode(first, add_special_tokens=False).ids).tobytes() + b"".join(map(find, rest))
+            self.known.renew()
 
 
 _encoders: dict[str, Encoder] = {}
