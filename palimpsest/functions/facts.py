@@ -277,13 +277,13 @@ def classified(c: Column) -> Column:
     made = lambda k, b, f=none: F.struct((F.lit(k) if isinstance(k, str) else k).alias("memory_type"), b.alias("body"), f.alias("fact"))
 
     def plain(x: Column) -> Column:
-        t, out = trimmed(x), F.when(interrogative(x), F.lit(None))
+        t, out = trimmed(x), None
         for p, name in L.TYPED_TEXT:
             b = trimmed(group(t, p, 1))
             if name == "decision":
                 b = let(b, lambda y: F.when(F.lower(y).startswith("use "), y).otherwise(F.concat(F.lit("Use "), y)))
                 b = let(b, lambda y: F.concat(F.upper(F.substring(y, 1, 1)), F.substring(y, 2, 100000)))
-            out = out.when(matches(t, p), made(name, b))
+            out = F.when(matches(t, p), made(name, b)) if out is None else out.when(matches(t, p), made(name, b))
         parts = F.struct(trimmed(group(t, L.KEY_VALUE, 1)).alias("key"), trimmed(group(t, L.KEY_VALUE, 2)).alias("value"))
         named = lambda g: F.when(matches(g["key"], r"\b(database|db|provider|stack|hosting)\b"), "decision").otherwise("fact")
         pair = let(parts, lambda g: F.when(~g["value"].endswith("?") & _usable(g["key"]), made(named(g), F.concat(g["key"], F.lit(" = "), g["value"]))))
@@ -291,10 +291,13 @@ def classified(c: Column) -> Column:
 
     def read(x: Column) -> Column:
         kind, body = labelled(x)
-        both = F.struct(kind.alias("kind"), body.alias("body"))
-        label = lambda g: F.when(g["kind"].isNotNull() & (g["body"] != ""), F.when(~interrogative(g["body"]), made(g["kind"], g["body"], single_fact(g["body"]))))
-        own = let(single_fact(x), lambda f: F.when(f.isNotNull(), made(f["memory_type"], content_of(f), f)))
-        labels = F.struct(kind.isNotNull() & (body != ""))
-        return F.when(labels["col1"], let(both, label)).otherwise(F.coalesce(F.when(~interrogative(x), own), plain(x)))
+        named = kind.isNotNull() & (body != "")
+        parts = F.struct(F.when(named, kind).alias("kind"), F.when(named, body).otherwise(x).alias("text"), x.alias("whole"))
+
+        def tell(g: Column) -> Column:
+            own = lambda f: F.when(g["kind"].isNotNull(), made(g["kind"], g["text"], f)).when(f.isNotNull(), made(f["memory_type"], content_of(f), f)).otherwise(plain(g["whole"]))
+            return F.when(~interrogative(g["text"]), let(single_fact(g["text"]), own))
+
+        return let(parts, tell)
 
     return let(c, read)

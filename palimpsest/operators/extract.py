@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import lexicons as L
 from palimpsest.functions import rich
 from palimpsest.functions.facts import FACT, classified, content_of, content_topic, correction, domain, domain_topic, fact, labelled, revocation, single_fact, switch, topic_of, uses_list
-from palimpsest.functions.text import authority, boundary_sentences, correction_like, first_match, group, interrogative, low_info, matches, noise, preference_noise, sentences, speculative, strip_correction_prefix, trimmed
+from palimpsest.functions.text import authority, boundary_sentences, correction_like, first_match, group, interrogative, let, low_info, matches, noise, preference_noise, sentences, speculative, strip_correction_prefix, trimmed
 
 _COMPOUND = r"^(.+?)\s+and\s+I\s+prefer\s+(.+)$"
 
@@ -21,9 +21,15 @@ def gated(messages: DataFrame) -> DataFrame:
 
 def sentence_facts(s: Column) -> Column:
     """Array of the facts of one sentence: a list of used things, a compound with `and I prefer`, or one fact."""
-    listed = uses_list(s)
-    both = F.array_compact(F.array(single_fact(trimmed(group(s, _COMPOUND, 1))), single_fact(F.concat(F.lit("I prefer "), trimmed(group(s, _COMPOUND, 2))))))
-    return F.when(F.size(F.coalesce(listed, F.array().cast(f"array<{FACT}>"))) > 0, listed).when(matches(s, _COMPOUND) & (F.size(both) > 0), both).otherwise(F.array_compact(F.array(single_fact(s))))
+    listed = F.coalesce(uses_list(s), F.array().cast(f"array<{FACT}>"))
+    # the two parts of a compound, then the whole; the extractors stand in the plan once
+    tries = F.array(trimmed(group(s, _COMPOUND, 1)), F.when(matches(s, _COMPOUND), F.concat(F.lit("I prefer "), trimmed(group(s, _COMPOUND, 2)))).otherwise(""), s)
+
+    def choose(found: Column) -> Column:
+        both = F.array_compact(F.slice(found, 1, 2))
+        return F.when(F.size(both) > 0, both).otherwise(F.array_compact(F.slice(found, 3, 1)))
+
+    return let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(let(F.transform(tries, single_fact), choose)))
 
 
 def _correction_fact(c: Column) -> Column:

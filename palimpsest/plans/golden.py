@@ -20,11 +20,11 @@ REVOCATIONS = ["The temporary password was reset; ignore temp1234", "Ignore the
 LABELLED = ["[decision] Ship on Friday", "Goal: grow fast", "constraint: never log keys", "We need to ship soon", "Deployed v2 to production", "Never store secrets", "port: 8080", "hosting = Fly", "random words here"]
 SCRIPT = [
     ("a", ["P uses Neon for database", "Actually, P uses self-hosted PostgreSQL", "I love red", "I love blue now", "The temporary password is temp1234", "The temporary password was reset; ignore temp1234"]),
-    ("b", ["I prefer dark theme", "Actually, I prefer light theme now", "I prefer light theme", "ok", "thanks a lot", "What database do we use?"]),
+    ("b", ["I prefer dark theme", "Actually, I prefer light theme now", "I prefer light theme", "I prefer light themes", "ok", "thanks a lot", "What database do we use?"]),
     ("c", ["P uses Neon for its database.", "We switched P to Turso for the database."]),
 ]
 #: What the fold must do with SCRIPT: user, place in order, action.
-SCRIPT_ACTIONS = [("a", 1, "create"), ("a", 2, "supersede"), ("a", 3, "create"), ("a", 4, "supersede"), ("a", 5, "create"), ("a", 6, "revoke"), ("b", 1, "create"), ("b", 2, "supersede"), ("b", 3, "merge"), ("c", 1, "create"), ("c", 2, "supersede")]
+SCRIPT_ACTIONS = [("a", 1, "create"), ("a", 2, "supersede"), ("a", 3, "create"), ("a", 4, "supersede"), ("a", 5, "create"), ("a", 6, "revoke"), ("b", 1, "create"), ("b", 2, "supersede"), ("b", 3, "supersede"), ("b", 4, "merge"), ("c", 1, "create"), ("c", 2, "supersede")]
 ANSWERS = [
     ("u1", 'Sure:\n```json\n[{"entity":"user","attribute":"db","value":"Neon","type":"FACT","state":"current","confidence":0.9}]\n```'),
     ("u1", '[{"entity":"P","attribute":"Programming Language","value":"Rust","type":"decision","confidence":0.2}]'),

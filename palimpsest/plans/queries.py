@@ -543,7 +543,7 @@ def fold_actions(spark, d):
     return fold.actions(_script(spark)).select("user_id", "seq", "action")
 
 
-@query("SELECT * FROM (VALUES ('a', 'Database: Neon for database', 'superseded'), ('a', 'Database: self-hosted PostgreSQL', 'active'), ('a', 'red', 'superseded'), ('a', 'blue', 'active'), ('a', 'Temporary password: temp1234', 'revoked'), ('b', 'dark theme', 'superseded'), ('b', 'light theme now', 'active'), ('c', 'Database: Neon for its database', 'superseded'), ('c', 'Database: Turso', 'active')) v(user_id, content, status)")
+@query("SELECT * FROM (VALUES ('a', 'Database: Neon for database', 'superseded'), ('a', 'Database: self-hosted PostgreSQL', 'active'), ('a', 'red', 'superseded'), ('a', 'blue', 'active'), ('a', 'Temporary password: temp1234', 'revoked'), ('b', 'dark theme', 'superseded'), ('b', 'light theme now', 'superseded'), ('b', 'light theme', 'active'), ('c', 'Database: Neon for its database', 'superseded'), ('c', 'Database: Turso', 'active')) v(user_id, content, status)")
 def fold_state(spark, d):
     return fold.state(_script(spark)).select("user_id", "content", "status")
 
