@@ -27,7 +27,9 @@ CELL_BITS = 16
 
 def ring(spark: SparkSession, shards: int, nodes: int, seed: int) -> list[tuple[int, int]]:
     """(cell, shard) of the virtual nodes in ring order; where two fall into one cell, the smaller shard has it."""
-    spots = spark.range(shards * nodes).select((F.col("id") % shards).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 64 - CELL_BITS).alias("cell"))
+    # a node's place depends on its shard and its number alone, so a shard more leaves all others where they are
+    named = spark.range(shards * nodes).select(F.floor(F.col("id") / nodes).cast("int").alias("shard"), (F.col("id") % nodes).alias("node"))
+    spots = named.select("shard", F.shiftrightunsigned(F.xxhash64("shard", "node", F.lit(seed)), 64 - CELL_BITS).alias("cell"))
     return [(r.cell, r.shard) for r in spots.groupBy("cell").agg(F.min("shard").alias("shard")).orderBy("cell").collect()]
 
 

@@ -110,11 +110,11 @@ def shingle_sets(words: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tup
         more, where = [], np.flatnonzero(short)
         first = np.searchsorted(doc, where)
         for d, f in zip(where, first, strict=True):
-            h = U64(0x1234567)
+            h = np.full(1, 0x1234567, U64)
             for w in words[f : f + count[d]]:
-                h = mix(np.array([h * U64(0xD6E8FEB86659FD93) + w], U64))[0]
+                h = mix(h * U64(0xD6E8FEB86659FD93) + w)
             more.append(h)
-        acc, of = np.concatenate([acc, np.array(more, U64)]), np.concatenate([of, where])
+        acc, of = np.concatenate([acc, *more]), np.concatenate([of, where])
         order = np.argsort(of, kind="stable")
         acc, of = acc[order], of[order]
     bounds = np.searchsorted(of, np.arange(n_docs + 1))
