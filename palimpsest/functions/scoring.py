@@ -130,7 +130,8 @@ def stability_score(label: Column) -> Column:
 
 
 def clamp01(c: Column, fallback: float) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(c.cast("double"), F.lit(fallback)))), F.lit(fallback))
+    number = F.coalesce(F.nanvl(c.cast("double"), F.lit(fallback)), F.lit(fallback))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))
 
 
 def blended(confidence: Column, importance: Column, gain: Column, local: dict[str, Column]) -> Column:

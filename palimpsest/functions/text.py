@@ -113,6 +113,32 @@ def utterance(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(trimmed(F.lower(F.coalesce(c, F.lit("")))), r"[^\w\s+]+", " "), r"\s+", " "))
 
 
+#: Contractions and what they stand for, and typographic marks.
+CONTRACTIONS = {
+    "doesn't": "does not", "don't": "do not", "can't": "cannot", "won't": "will not", "isn't": "is not", "aren't": "are not", "wasn't": "was not", "weren't": "were not",
+    "haven't": "have not", "hasn't": "has not", "hadn't": "had not", "didn't": "did not", "wouldn't": "would not", "couldn't": "could not", "shouldn't": "should not",
+    "mustn't": "must not", "i'm": "i am", "i've": "i have", "i'll": "i will", "i'd": "i would", "you're": "you are", "you've": "you have", "you'll": "you will", "we're": "we are",
+    "we've": "we have", "we'll": "we will", "that's": "that is", "it's": "it is", "there's": "there is", "here's": "here is", "what's": "what is", "let's": "let us",
+}
+_APOSTROPHES, _QUOTES = "\u2019\u2018\u201b\u02bc\u02bb", "\u201c\u201d\u201e\u201f"
+
+
+def plain_quotes(c: Column) -> Column:
+    return F.translate(c, _APOSTROPHES + _QUOTES, "'" * len(_APOSTROPHES) + '"' * len(_QUOTES))
+
+
+def expanded(c: Column) -> Column:
+    """Contractions written out, in lower case or with a capital."""
+    for a, b in CONTRACTIONS.items():
+        c = F.replace(F.replace(c, F.lit(a), F.lit(b)), F.lit(a.capitalize()), F.lit(b.capitalize()))
+    return c
+
+
+def normal(c: Column) -> Column:
+    """Plain quotes, contractions written out, repeated stops and white space single, lower case. NFKC, where wanted, comes before."""
+    return F.lower(trimmed(F.regexp_replace(F.regexp_replace(expanded(plain_quotes(c)), r"([.!?])\1+", "$1"), r"\s+", " ")))
+
+
 def spelling(c: Column) -> Column:
     out = F.lower(c)
     for a, b in (("favourite", "favorite"), ("colour", "color"), ("organise", "organize")):
@@ -153,6 +179,18 @@ def strip_correction_prefix(c: Column) -> tuple[Column, Column]:
     return F.when(had, trimmed(F.regexp_replace(c, pattern(L.CORRECTION_PREFIX), ""))).otherwise(c), had
 
 
+def smallest_clause(source: Column, value: Column) -> Column:
+    """The shortest clause that names the value, or all of its words; else the first clause."""
+
+    def find(g: Column) -> Column:
+        words = F.regexp_extract_all(g["value"], F.lit("[a-z0-9+#.-]+"), F.lit(0))
+        names = lambda x: F.contains(F.lower(x), g["value"]) | ((F.size(words) > 0) & F.forall(words, lambda w: F.contains(F.lower(x), w)))
+        ranked = F.array_sort(F.transform(F.filter(g["parts"], names), lambda x: F.struct(F.length(x).alias("n"), F.array_position(g["parts"], x).alias("at"), x.alias("text"))))
+        return F.coalesce(F.try_element_at(ranked, F.lit(1))["text"], F.try_element_at(g["parts"], F.lit(1)))
+
+    return let(F.struct(boundary_sentences(source).alias("parts"), F.lower(value).alias("value")), find)
+
+
 def json_text(c: Column) -> Column:
     """The JSON in a model's answer: inside a fence, else from the first bracket or brace to its last counterpart."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)

@@ -157,6 +157,7 @@ def model_facts(answers: DataFrame, column: str = "answer", least: float = 0.4)
     keep = [c for c in answers.columns if c != column]
     rows = answers.select(*keep, F.explode(F.from_json(text, MODEL_FACTS)).alias("f"))
     over = F.transform_keys("f.metadata", lambda k, _: F.when(k == "over", "preferred_over").otherwise(k))
+    # an attribute outside the list is rejected
     out = rows.select(*keep, F.col("f.entity").alias("entity"), rich.canonical_attribute(F.col("f.attribute")).alias("attribute"), F.trim("f.value").alias("value"), F.lower("f.type").alias("type"), F.lower("f.state").alias("state"), clamp01(F.col("f.confidence"), 0.5).alias("confidence"), over.alias("metadata"))
     return out.where((F.coalesce(F.col("value"), F.lit("")) != "") & F.col("attribute").isNotNull() & (F.col("confidence") >= least))
 

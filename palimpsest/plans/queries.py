@@ -12,7 +12,7 @@ from palimpsest.functions import facts, rich, scoring
 from palimpsest.functions import lexicons as L
 from palimpsest.functions import text as T
 from palimpsest.operators import compile as packing
-from palimpsest.operators import consolidate, context, extract, fold, messages, retrieve
+from palimpsest.operators import consolidate, context, extract, fold, messages, model, retrieve
 from palimpsest.plans import golden as G
 from palimpsest.sources.tables import EVENT_TYPES, conversation_messages, event_memory, normalized, read
 
@@ -527,7 +527,7 @@ def memory_gate(spark, d):
     return _frame(spark, G.SENTENCES).select("i", rich.memory_gate(F.col("s")).alias("g")).select("i", "g.*")
 
 
-@query("SELECT * FROM (VALUES ('u1', 'database', 'Neon', 'fact', 0.9::DOUBLE), ('u2', 'cache', 'Redis', 'decision', 1.0::DOUBLE)) v(user_id, attribute, value, type, confidence)")
+@query("SELECT * FROM (VALUES ('u1', 'database', 'Neon', 'fact', 0.9::DOUBLE), ('u2', 'uses', 'Redis', 'decision', 1.0::DOUBLE)) v(user_id, attribute, value, type, confidence)")
 def validate_model_facts(spark, d):
     return extract.model_facts(spark.createDataFrame(G.ANSWERS, "user_id string, answer string")).select("user_id", "attribute", "value", "type", "confidence")
 
@@ -618,4 +618,65 @@ def json_ids(spark, d):
     return f.select(F.to_json(ids).alias("ids"), F.to_json(src).alias("sources"))
 
 
+_NORMAL = ["I\u2019m fine!!  It's \u201cok\u201d", "Don't  stop...", "  plain "]
+
+
+@query("SELECT * FROM (VALUES (0, 'i am fine! it is \"ok\"'), (1, 'do not stop.'), (2, 'plain')) v(i, s)")
+def normal_text(spark, d):
+    return _frame(spark, _NORMAL).select("i", T.normal(F.col("s")).alias("s"))
+
+
+@query("SELECT * FROM (VALUES (0, 'I used Supabase'), (1, 'now I use Neon'), (2, 'I used Supabase but now I use Neon') ) v(i, clause) WHERE i < 2")
+def smallest_clause(spark, d):
+    rows = [(0, "I used Supabase but now I use Neon", "supabase"), (1, "I used Supabase but now I use Neon", "Neon")]
+    f = spark.createDataFrame(rows, "i int, s string, v string")
+    return f.select("i", T.smallest_clause(F.col("s"), F.col("v")).alias("clause"))
+
+
+_AI = [
+    ("u", '{"candidates":[{"action":"new","type":"DECISION","scope":"project","subject":"P","predicate":"database","value":"Neon","confidence":0.9,"importance":0.5,"stability":"permanent","ttl_hours":2,"rawText":"P uses Neon"},{"action":"DISCARD","predicate":"a","value":"b"},{"action":"NEW","predicate":"a","value":"b","confidence":0.1}]}'),
+    ("v", '{"candidates":[{"action":"SUPERSEDES","destination":"CONTEXT","type":"preference","predicate":"theme","value":" dark ","confidence":2}]}'),
+    ("w", "nothing"),
+]
+
+
+@query("SELECT * FROM (VALUES ('u', 'P uses Neon', 'decision', 'project.database', false, 'store', 0.855::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE, TIMESTAMP '2024-01-20 02:00:00'), ('v', 'dark', 'preference', 'user.theme', true, 'context', 0.92::DOUBLE, 0.9::DOUBLE, 0.85::DOUBLE, NULL)) v(user_id, content, type, topic_key, is_correction, bucket, confidence, importance, stability, valid_until)")
+def ai_candidates(spark, d):
+    rows = model.as_candidates(model.ai_candidates(spark.createDataFrame(_AI, "user_id string, answer string")), F.lit(AS_OF))
+    return rows.select("user_id", "content", "type", "topic_key", "is_correction", "bucket", F.round("confidence", 4).alias("confidence"), "importance", "stability", F.col("valid_until").cast("timestamp_ntz").alias("valid_until"))
+
+
+@query("SELECT * FROM (VALUES ('u', 0, 'tech_stack', 'PROJECT', 'project.tech_stack', 0.8::DOUBLE, 2), ('u', 1, 'other', 'USER', 'user.other', 1.0::DOUBLE, 0)) v(user_id, n, predicate, scope, topic_key, confidence, sources)")
+def validate_consolidation(spark, d):
+    a = [("u", '{"consolidated":[{"predicate":"tech_stack","scope":"else","value":"x","sourceMemoryIds":["1","2"]},{"predicate":"other","scope":"user","confidence":3},{"predicate":"third"}]}')]
+    rows = model.consolidations(spark.createDataFrame(a, "user_id string, answer string"))
+    return rows.select("user_id", "n", "predicate", "scope", "topic_key", "confidence", F.size("source_ids").alias("sources"))
+
+
+_FACTS = [
+    ("u", "Ada Stone", "name", "Ada Stone", "identity", "current", "user", 0.9, "My name is Ada Stone"), ("u", "P", "project_name", "P", "fact", "current", "project", 0.9, "I build P"),
+    ("u", "it", "stack", "Workers, Redis and D1 as the database", "usage", "current", "project", 0.8, "it uses Workers, Redis and D1 as the database"),
+    ("u", "user", "prefer", "Tailwind over Bootstrap", "preference", "current", "user", 0.8, "I prefer Tailwind over Bootstrap"), ("u", "user", "usage", "Mongo", "stopped_usage", "discontinued", "user", 0.7, "I stopped using Mongo because it was slow"),
+    ("u", "user", "mood", "happy", "fact", "current", "user", 0.9, "I am happy"), ("u", "user", "goal", "sleep?", "goal", "planned", "user", 0.9, "sleep?"), ("u", "we", "name", "Ada", "identity", "current", "user", 0.3, "call me Ada"),
+]
+
+
+@query("""SELECT * FROM (VALUES ('user', 'name', 'Ada Stone', 'fact', 'current', 'user.name', NULL, NULL), ('P', 'project', 'P', 'fact', 'current', 'project.name', NULL, NULL), ('P', 'uses', 'Workers', 'fact', 'current', 'project.uses.workers', NULL, NULL), ('P', 'uses', 'Redis', 'fact', 'current', 'project.uses.redis', NULL, NULL),
+('P', 'database', 'D1', 'decision', 'current', 'project.database.d1', NULL, NULL), ('user', 'preference', 'Tailwind', 'preference', 'current', 'user.preference.tailwind', 'Bootstrap', NULL), ('user', 'uses', 'Mongo', 'fact', 'stopped', 'user.uses.mongo', NULL, 'it was slow')) v(entity, attribute, value, type, state, key, preferred_over, reason)""")
+def validated_facts(spark, d):
+    rows = spark.createDataFrame(_FACTS, "user_id string, entity string, attribute string, value string, type string, state string, scope string, confidence double, source string")
+    return model.validated(rows).select("entity", "attribute", "value", "type", "state", "key", "preferred_over", "reason")
+
+
+@query("SELECT * FROM (VALUES (0, 500.0::DOUBLE), (1, 300.0::DOUBLE), (2, 8000.0::DOUBLE), (3, 8000.0::DOUBLE)) v(i, budget)")
+def budget(spark, d):
+    rows = [(0, "500", "9"), (1, None, "300"), (2, None, None), (3, "x", "5")]
+    return spark.createDataFrame(rows, "i int, a string, b string").select("i", model.budget(F.col("a"), F.col("b")).alias("budget"))
+
+
+@query("WITH s AS (SELECT event_type AS name, value AS ms FROM events), v AS (SELECT name, list_sort(list(ms)) AS v, round(avg(ms), 1) AS avg FROM s GROUP BY name) SELECT name, avg, round(v[least(len(v), floor(len(v) * 0.5)::BIGINT + 1)], 1) AS p50, round(v[least(len(v), floor(len(v) * 0.95)::BIGINT + 1)], 1) AS p95, len(v)::INTEGER AS n FROM v")
+def latency_report(spark, d):
+    return model.latency_report(read(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("ms")))
+
+
 SQL["q_json_ids"] = SQL["q_json_ids"].replace("[1,2,2]", "[1,2]")
