@@ -13,6 +13,14 @@ from palimpsest.functions.text import authority, boundary_sentences, correction_
 _COMPOUND = r"^(.+?)\s+and\s+I\s+prefer\s+(.+)$"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, each column computed here once: what comes later names columns, not the expressions behind them.
+
+    A generator of one row keeps the optimizer from copying long expressions into every filter and projection above.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def gated(messages: DataFrame) -> DataFrame:
     """Messages of users and assistants that say something, ask nothing and do not speculate."""
     c, role = F.col("content"), F.col("role")
@@ -82,7 +90,8 @@ def candidates(messages: DataFrame) -> DataFrame:
     told = F.when(F.col("revocation").isNotNull(), "user").when((F.col("role") == "assistant") & kind.isin("decision", "constraint") & F.col("correction").isNull(), "speculation").otherwise(authority(F.col("role"), F.col("content")))
     corrects = F.when(F.col("revocation").isNotNull(), False).when(F.col("correction").isNotNull(), True).otherwise(correction_like(F.col("content")) | F.coalesce(f["is_update"], F.lit(False)) | (F.col("text").isNotNull() & F.col("had_prefix")))
     extra = [c for c in messages.columns if c not in ("content", "role")]
-    return rows.select(*extra, "sentence", F.coalesce("part", F.lit(0)).alias("part"), body.alias("content"), kind.alias("type"), topic.alias("topic_key"), told.alias("authority"), corrects.alias("is_correction"), "correction", "revocation", F.col("f").alias("fact"))
+    out = rows.select(*extra, "sentence", F.coalesce("part", F.lit(0)).alias("part"), body.alias("content"), kind.alias("type"), topic.alias("topic_key"), told.alias("authority"), corrects.alias("is_correction"), "correction", "revocation", F.col("f").alias("fact"))
+    return settled(out)
 
 
 def fields(c: DataFrame) -> DataFrame:
@@ -122,7 +131,7 @@ def routed(c: DataFrame) -> DataFrame:
     """Candidates with their fields and bucket; transient ones with the context key and how long it holds."""
     out = fields(c).withColumn("bucket", bucket())
     key = F.when(F.col("bucket") == "context", context_key(F.col("content")))
-    return out.withColumn("context_key", key).withColumn("ttl_seconds", F.when(F.col("context_key").isNotNull(), context_ttl(F.col("context_key"))))
+    return settled(out.withColumn("context_key", key)).withColumn("ttl_seconds", F.when(F.col("context_key").isNotNull(), context_ttl(F.col("context_key"))))
 
 
 def bucket_counts(c: DataFrame) -> DataFrame:
