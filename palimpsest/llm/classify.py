@@ -31,9 +31,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .withColumn("__pos", F.xxhash64("doc_id", F.lit(seed)))
     )
+    there = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     few = None
     for y in (0, 1):
-        part = known.where(F.col("label") == y).orderBy("__pos", "doc_id").limit(per_label)
+        # hashes below this are about twice as many as are wanted, so that the limit's one task reads no more than that
+        top = min(1.0, 2 * per_label / max(1, there.get(y, 0)))
+        near = F.lit(True) if top == 1.0 else F.col("__pos") < F.lit(int((top - 0.5) * 2**64))
+        part = known.where((F.col("label") == y) & near).orderBy("__pos", "doc_id").limit(per_label)
         few = part if few is None else few.unionByName(part)
     # at most 2 * per_label ids: a proven bound for the broadcast
     met = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
