@@ -368,22 +368,22 @@ def _stack(spark: SparkSession) -> DataFrame:
     return rows.withColumns({"content": F.col("value"), "type": F.lit("preference"), "subject": F.col("scope"), "status": F.lit("active"), "importance": F.lit(0.8), "stability": F.lit(0.85)})
 
 
-@query("SELECT * FROM (VALUES ('s', 1, 'user.tech_stack', 'language'), ('s', 2, 'user.tech_stack', 'database'), ('s', 3, 'user.tech_stack', 'runtime'), ('s', 4, 'user.tech_stack', 'framework'), ('s', 5, 'user.tech_stack', 'language'), ('t', 1, 'project.tech_stack', 'language'), ('t', 2, 'project.tech_stack', 'runtime'), ('t', 3, 'project.tech_stack', 'database'), ('v', 1, 'user.tech_stack', 'language')) v(user_id, id, cluster, field)")
+@query("SELECT user_id, id::BIGINT AS id, cluster, field FROM (VALUES ('s', 1, 'user.tech_stack', 'language'), ('s', 2, 'user.tech_stack', 'database'), ('s', 3, 'user.tech_stack', 'runtime'), ('s', 4, 'user.tech_stack', 'framework'), ('s', 5, 'user.tech_stack', 'language'), ('t', 1, 'project.tech_stack', 'language'), ('t', 2, 'project.tech_stack', 'runtime'), ('t', 3, 'project.tech_stack', 'database'), ('v', 1, 'user.tech_stack', 'language')) v(user_id, id, cluster, field)")
 def cluster_assign(spark, d):
     return consolidate.clustered(_stack(spark)).select("user_id", "id", "cluster", "field")
 
 
-@query("SELECT * FROM (VALUES ('s', 'user.tech_stack', 5, 5), ('t', 'project.tech_stack', 3, 3)) v(user_id, cluster, members, atomics)")
+@query("SELECT user_id, cluster, members::BIGINT AS members, atomics::BIGINT AS atomics FROM (VALUES ('s', 'user.tech_stack', 5, 5), ('t', 'project.tech_stack', 3, 3)) v(user_id, cluster, members, atomics)")
 def cluster_having(spark, d):
     return consolidate.clusters(_stack(spark))
 
 
-@query("SELECT * FROM (VALUES ('s', 'language', 'TypeScript', 1), ('s', 'database', 'Neon', 2), ('s', 'runtime', 'Cloudflare Workers', 3), ('s', 'framework', 'Hono', 4), ('t', 'language', 'Go', 1), ('t', 'runtime', 'vercel', 2), ('t', 'database', 'runs postgres', 3), ('v', 'language', 'C', 1)) v(user_id, field, value, id)")
+@query("SELECT user_id, field, value, id::BIGINT AS id FROM (VALUES ('s', 'language', 'TypeScript', 1), ('s', 'database', 'Neon', 2), ('s', 'runtime', 'Cloudflare Workers', 3), ('s', 'framework', 'Hono', 4), ('t', 'language', 'Go', 1), ('t', 'runtime', 'vercel', 2), ('t', 'database', 'runs postgres', 3), ('v', 'language', 'C', 1)) v(user_id, field, value, id)")
 def consolidate_winner(spark, d):
     return consolidate.winners(_stack(spark)).select("user_id", "field", "value", "id")
 
 
-@query("SELECT 's' AS user_id, 'language' AS field, 1 AS kept_id, 5 AS challenger_id, 'kept TypeScript due to higher confidence' AS resolution")
+@query("SELECT 's' AS user_id, 'language' AS field, 1::BIGINT AS kept_id, 5::BIGINT AS challenger_id, 'kept TypeScript due to higher confidence' AS resolution")
 def consolidate_conflict(spark, d):
     return consolidate.conflicts(_stack(spark)).select("user_id", "field", "kept_id", "challenger_id", "resolution")
 
@@ -538,7 +538,7 @@ def _script(spark: SparkSession) -> DataFrame:
     return fold.fold(fold.prepared(told.where("bucket = 'store'"), ["ordinal", "sentence", "part"]))
 
 
-@query("SELECT * FROM " + _values(G.SCRIPT_ACTIONS, "user_id, seq, action"))
+@query("SELECT user_id, seq::BIGINT AS seq, action FROM " + _values(G.SCRIPT_ACTIONS, "user_id, seq, action"))
 def fold_actions(spark, d):
     return fold.actions(_script(spark)).select("user_id", "seq", "action")
 
