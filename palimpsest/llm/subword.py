@@ -1,8 +1,10 @@
 """Subword-bag embeddings averaged into a linear softmax, in numpy: the model behind `toxicity`.
 
-Every word adds itself and its character n-grams (bytes, word edges included) to its text's bag. A bag's
-vector is the mean of its features' embeddings; a softmax over two labels reads that vector. Embeddings and
-softmax are trained jointly with Adagrad. A misspelt word shares most n-grams, hence vectors, with the word.
+Every word adds itself and its character n-grams (bytes, word edges included) to its text's bag, once. A bag's
+vector is the mean of its features' embeddings and of `calm` zero vectors, so that a few words weigh little; a
+softmax over two labels reads that vector. Its bias stays at `empty`, the log-odds of a text that says nothing:
+label 1 has to be earned. Embeddings and softmax are trained jointly with Adagrad. A misspelt word shares most
+n-grams, hence vectors, with the word.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from palimpsest.llm.text import Buffer, pieces
+from palimpsest.llm.text import Buffer, mix, pieces
 
 U64 = np.uint64
 #: Word bytes: letters, digits and all non-ASCII bytes (after lower-casing).
@@ -27,26 +29,39 @@ class Shape:
     buckets: int = 1 << 18
     dim: int = 8
     grams: tuple[int, ...] = (3, 4, 5, 6)
-    epochs: int = 4
+    steps: int = 30_000
     balance: float = 0.0
-    rate: float = 0.3
+    rate: float = 0.4
+    calm: float = 1500.0
+    empty: float = -2.0
     seed: int = 17
 
 
 def _grams(texts: list[str | None], shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For words, then for each n-gram length: feature buckets in text order, and each text's offsets into them."""
+    """For words, then for each n-gram length: feature buckets in text order, and each text's offsets into them.
+
+    A word counts once in a text, so that one that is said over and over does not make up the whole bag.
+    """
     b = Buffer(texts)
-    start, end, _ = b.spans(_SEP)
+    start, end, doc = b.spans(_SEP)
+    words = b.hashes(start, end)
+    _, once = np.unique(words ^ mix(doc.astype(U64) + U64(1)), return_index=True)
+    once.sort()
+    start, end = start[once], end[once]
     mask = U64(shape.buckets - 1)
     edges = np.append(b.first, len(b.data))
-    yield ((b.hashes(start, end) ^ U64(0x51)) & mask).astype(np.int64), np.searchsorted(start, edges)
+    yield ((words[once] ^ U64(0x51)) & mask).astype(np.int64), np.searchsorted(start, edges)
     # n-grams see each word with one edge byte on either side; all separators look alike there
     sep = _SEP[b.data]
     b.data, b._prefix = np.where(sep, np.uint8(10), b.data), None
     seps = np.cumsum(sep, dtype=np.int32)  # separators up to and with a position
+    turn = np.zeros(len(sep) + 1, np.int8)
+    turn[start], turn[end] = 1, -1
+    kept = np.cumsum(turn, dtype=np.int8)[:-1].astype(bool)  # letters of a word's first place
     for k in shape.grams:
         # only a window's first or last byte may be a separator
-        at = np.flatnonzero(seps[k - 2 : -1] == seps[: 1 - k]) if len(sep) > k else np.zeros(0, np.int64)
+        ok = (seps[k - 2 : -1] == seps[: 1 - k]) & kept[1 : 2 - k if k > 2 else None] if len(sep) > k else np.zeros(0, bool)
+        at = np.flatnonzero(ok)
         yield (b.windows(at, k) & mask).astype(np.int64), np.searchsorted(at + 1, edges)
 
 
@@ -66,17 +81,18 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape) -> tuple[np
     emb = rng.uniform(-1.0 / shape.dim, 1.0 / shape.dim, (shape.buckets, shape.dim)).astype(np.float32)
     out = np.zeros((2, shape.dim), np.float32)
     out[1], out[0] = 0.5, -0.5
-    bias = np.zeros(2, np.float32)
+    bias = np.array([0, shape.empty], np.float32)
     g_emb = np.full(shape.buckets, 1e-8, np.float32)
-    g_out, g_bias = np.full((2, shape.dim), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    g_out = np.full((2, shape.dim), 1e-8, np.float32)
     bags = []
     for a, z in pieces(texts, 1 << 19):
         for f in features(texts[a:z], shape):
             u, k = np.unique(f.astype(np.int32), return_counts=True)
-            bags.append((u, (k / max(1, k.sum())).astype(np.float32)))
+            bags.append((u, (k / (shape.calm + k.sum())).astype(np.float32)))
     share = np.bincount(labels, minlength=2)[labels] / len(labels)
     weight = (0.5 / share) ** shape.balance
-    for epoch in range(shape.epochs):
+    # passes over few texts are many, so that a small sample is learnt as well
+    for _ in range(-(-shape.steps // max(1, len(bags)))):
         for i in rng.permutation(len(bags)):
             u, k = bags[i]
             if not len(u):
@@ -95,8 +111,6 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape) -> tuple[np
             emb[u] = e - shape.rate * step / np.sqrt(g_emb[u])[:, None]
             g_out += d_out * d_out
             out -= shape.rate * d_out / np.sqrt(g_out)
-            g_bias += p * p
-            bias -= 0.1 * p / np.sqrt(g_bias)
     return (emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -109,5 +123,5 @@ def log_odds(texts: list[str | None], weights: np.ndarray, bias: float, shape: S
             c = np.concatenate([[0.0], np.cumsum(weights[f], dtype=np.float64)])
             total += c[off[1:]] - c[off[:-1]]
             count += np.diff(off)
-        out[a:z] = total / np.maximum(1, count) + bias
+        out[a:z] = total / (shape.calm + count) + bias
     return out
