@@ -1,7 +1,8 @@
 """Logistic regression over hashed word n-grams, trained with follow-the-regularised-leader, in numpy.
 
 Tokens are runs of letters and digits and runs of other printing characters, case kept, so that shouting,
-table bars and symbol noise are words too; a bigram of one token twice is one feature whatever the token. A text's feature values are its n-grams' shares, times `gain`.
+table bars and symbol noise are words too; a bigram of one token twice is one feature whatever the token. A text's feature values are its n-grams' shares, times `gain`; the bias stays at
+`empty`, the log-odds of a text that says nothing, so that such a text is kept.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Shape:
     l1: float = 0.02
     l2: float = 0.05
     epochs: int = 3
+    empty: float = 2.0
     seed: int = 11
 
 
@@ -58,7 +60,7 @@ def _grams(texts: list[str | None], shape: Shape) -> Iterator[tuple[np.ndarray,
 def train(texts: list[str | None], labels: np.ndarray, shape: Shape) -> tuple[np.ndarray, float]:
     """(weight of each bucket, bias) after FTRL-proximal passes, one text at a time, in a seeded order."""
     z, n = np.zeros(shape.buckets), np.zeros(shape.buckets)
-    zb = nb = bias = 0.0
+    bias = shape.empty
     rows = []
     for a, e in pieces(texts, 1 << 19):
         parts = list(_grams(texts[a:e], shape))
@@ -80,9 +82,6 @@ def train(texts: list[str | None], labels: np.ndarray, shape: Shape) -> tuple[np
             sigma = (np.sqrt(n[u] + g * g) - np.sqrt(n[u])) / shape.alpha
             z[u] += g - sigma * w
             n[u] += g * g
-            zb += g0 - (np.sqrt(nb + g0 * g0) - np.sqrt(nb)) / shape.alpha * bias
-            nb += g0 * g0
-            bias = -zb / ((shape.beta + np.sqrt(nb)) / shape.alpha)
     return weights(z, n).astype(np.float32), float(bias)
 
 
