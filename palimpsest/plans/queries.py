@@ -679,4 +679,104 @@ def latency_report(spark, d):
     return model.latency_report(read(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("ms")))
 
 
+# more functions of the API --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_MEM} SELECT id, user_id, nullif(subject, '') AS entity, nullif(predicate, '') AS attribute, nullif(value, '') AS value, type, scope, status, confidence, importance FROM mem")
+def api_shape(spark, d):
+    return consolidate.api_shape(event_memory(spark, d))
+
+
+@query("WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CASE WHEN length(text) > 1000 THEN array_to_string(l[1:10], chr(10)) || chr(10) || '... [tool output truncated for context budget: ' || len(l) || ' lines total]' ELSE text END AS shown FROM x")
+def tool_output(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.tool_output(F.col("text")).alias("shown"))
+
+
+@query(f"SELECT i, {_rx('s', L.CORRECTION_PREFIX)} AS had, CASE WHEN {_rx('s', L.CORRECTION_PREFIX)} THEN {_trim(f'regexp_replace(s, {_q(L.CORRECTION_PREFIX)}, {_q("")}, {_q("i")})')} ELSE s END AS rest FROM {_sentences(G.SENTENCES)}")
+def correction_prefix(spark, d):
+    rest, had = T.strip_correction_prefix(F.col("s"))
+    return _frame(spark, G.SENTENCES).select("i", had.alias("had"), rest.alias("rest"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_rx('text', L.SPECULATIVE)} THEN 'speculation' WHEN role IN ('user', 'assistant') THEN role ELSE 'speculation' END AS authority FROM conversations")
+def authority(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.authority(F.col("role"), F.col("text")).alias("authority"))
+
+
+_SPLIT = "regexp_split_to_array(s, '(?i),|\\band\\b|\\bwith\\b')"
+
+
+@query(f"SELECT i, array_to_string(list_filter(list_transform({_SPLIT}, lambda x: {_trim('x')}), lambda x: x <> ''), '|') AS parts FROM {_sentences(G.SENTENCES + G.LISTS)}")
+def clauses(spark, d):
+    return _frame(spark, G.SENTENCES + G.LISTS).select("i", F.array_join(T.clauses(F.col("s")), "|").alias("parts"))
+
+
+def _first(c: str, rules: list[tuple[str, str]], default: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN {_rx(c, p)} THEN '{n}' END" for p, n in rules) + f", {default})"
+
+
+_TOOLS = ["Neon", "Upstash Redis", "Cloudflare R2", "pgvector", "OpenAI", "Hono", "AWS Lambda", "paper", "the database", "object storage", "semantic search", "web framework", "hosting", "our api", "summariz", "nothing"]
+
+
+@query(f"SELECT i, {_first('lower(s)', L.VALUE_ATTRIBUTES, repr('technology'))} AS by_value, {_first('lower(s)', L.PURPOSE_ATTRIBUTES, 'NULL')} AS by_purpose, {_first('lower(s)', L.SWITCH_ATTRIBUTES, repr('technology'))} AS by_switch FROM {_sentences(_TOOLS)}")
+def attributes(spark, d):
+    s = F.lower("s")
+    return _frame(spark, _TOOLS).select("i", facts.value_attribute(F.col("s")).alias("by_value"), facts.purpose_attribute(F.col("s")).alias("by_purpose"), T.first_match(s, L.SWITCH_ATTRIBUTES, F.lit("technology")).alias("by_switch"))
+
+
+_CHOICES = [("Tailwind", "ui_library"), ("Vue", "frontend_framework"), ("Rust", "language"), ("dark mode", "theme"), ("SQLite", "database"), ("kanban", "workflow"), ("Lambda", "runtime"), ("Hono", "framework"), ("teal", "favorite_color"), ("green tea", "favorite_color"), ("long walks", "preference")]
+
+
+@query(f"SELECT i, d AS domain, 'preference:' || CASE WHEN d = 'preference' THEN replace(lower(s), ' ', '_') ELSE d END AS topic FROM {_values([(i, s, x) for i, (s, x) in enumerate(_CHOICES)], 'i, s, d')}")
+def preference_domain(spark, d):
+    return _frame(spark, [s for s, _ in _CHOICES]).select("i", facts.domain(F.col("s")).alias("domain"), facts.domain_topic(F.col("s")).alias("topic"))
+
+
+@query(f"WITH {_MEM} SELECT id, CASE WHEN confidence >= 0.92 THEN 0.05 WHEN confidence >= 0.75 THEN 0.25 ELSE 0.8 END::DOUBLE AS gain, CASE WHEN stability >= 0.95 THEN 'permanent' WHEN stability >= 0.7 THEN 'long-term' WHEN stability >= 0.4 THEN 'short-term' ELSE 'session' END AS label FROM mem")
+def gain_and_label(spark, d):
+    return event_memory(spark, d).select("id", scoring.information_gain(F.col("confidence")).alias("gain"), scoring.stability_label(F.col("stability")).alias("label"))
+
+
+@query("SELECT * FROM (VALUES ('u', true), ('v', false)) v(user_id, changed)")
+def memory_changed(spark, d):
+    rows = [("u", "skip"), ("u", "merge"), ("v", "reject"), ("v", "skip")]
+    return consolidate.changed(spark.createDataFrame(rows, "user_id string, action string"))
+
+
+@query(f"WITH {_MEM} SELECT user_id, 'new ' || content AS content FROM mem WHERE id % 2 = 0")
+def not_present(spark, d):
+    m = event_memory(spark, d)
+    offered = m.select("user_id", F.upper("content").alias("content")).unionByName(m.where("id % 2 = 0").select("user_id", F.concat(F.lit("new "), "content").alias("content")))
+    return model.not_present(offered, m)
+
+
+@query("SELECT user_id::VARCHAR AS user_id, (CASE WHEN user_id % 2 = 0 THEN 5 ELSE 0 END + 1)::INTEGER AS version, 'memory' AS kind FROM (SELECT DISTINCT user_id FROM events)")
+def snapshot_version(spark, d):
+    m = event_memory(spark, d)
+    versions = m.where("cast(user_id as long) % 2 = 0").select("user_id").distinct().withColumn("version", F.lit(5))
+    return consolidate.next_version(m, versions, F.lit(AS_OF)).select("user_id", "version", "kind")
+
+
+@query("SELECT * FROM (VALUES ('u', 'database', 'Neon', 0.9::DOUBLE), ('u', 'uses', 'Redis', 0.7::DOUBLE), ('v', 'database', 'neon', 0.5::DOUBLE)) v(user_id, attribute, value, confidence)")
+def merged_facts(spark, d):
+    kind = "user_id string, attribute string, value string, confidence double"
+    local = spark.createDataFrame([("u", "db", "neon", 0.8), ("v", "database", "neon", 0.5)], kind)
+    told = spark.createDataFrame([("u", "database", "Neon", 0.9), ("u", "uses", "Redis", 0.7), ("v", "db", "Neon", 0.5)], kind)
+    return extract.merged_facts(local, told)
+
+
+@query("SELECT * FROM (VALUES ('context', 1), ('store', 2)) v(bucket, n)".replace("SELECT *", "SELECT bucket, n::BIGINT AS n"))
+def route_counts(spark, d):
+    said = ["I'm currently debugging an authentication bug", "The error is 401", "My name is Ada", "haha"]
+    m = normalized(_frame(spark, said).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
+    return extract.bucket_counts(extract.candidates(m))
+
+
+@query()
+def extract_candidates(spark, d):
+    said = G.USES + G.LISTS + G.PREFERENCES + G.STATEMENTS + G.SWITCHES + G.CORRECTIONS + G.REVOCATIONS + G.LABELLED
+    m = normalized(_frame(spark, said).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
+    return extract.routed(extract.candidates(m)).select("ordinal", "content", "type", "topic_key", "authority", "is_correction", "subject", "predicate", "value", "scope", "bucket")
+
+
 SQL["q_json_ids"] = SQL["q_json_ids"].replace("[1,2,2]", "[1,2]")
