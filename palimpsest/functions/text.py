@@ -269,8 +269,8 @@ def message_tokens(content: Column, name: Column | None = None, tool_call_id: Co
 
 def keywords(c: Column) -> Column:
     """Distinct word runs of over two characters that are no stop words, in the order of their first places."""
-    words = F.regexp_extract_all(spelling(F.coalesce(c, F.lit(""))), F.lit(r"\w+"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(L.STOPWORDS)))
+    words = F.regexp_extract_all(spelling(F.coalesce(c, F.lit(""))), F.lit(r"\w{3,}"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in L.STOPWORDS]))  # distinct, in the order of `words`
 
 
 def ranked_keywords(words: Column, k: int = 12) -> Column:
