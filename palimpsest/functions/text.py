@@ -142,7 +142,8 @@ def normal(c: Column) -> Column:
 def spelling(c: Column) -> Column:
     out = F.lower(c)
     for a, b in (("favourite", "favorite"), ("colour", "color"), ("organise", "organize")):
-        out = F.regexp_replace(out, pattern(rf"\b{a}\b", False), b)
+        # a whole word; the literal stands first, so that the engine can skip to it
+        out = F.regexp_replace(out, rf"{a}(?<![A-Za-z0-9_]{a})(?![A-Za-z0-9_])", b)
     return out
 
 
