@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import lexicons as L
@@ -39,12 +39,31 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(each, "double")(a, b)
 
 
+#: What `str.strip` takes off.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def may_reach(a: Column, b: Column, least: float) -> Column:
     """Whether two texts' lengths allow a similarity of `least`: an exact filter to apply before `similarity`."""
-    m, n = F.length(F.trim(a)), F.length(F.trim(b))
+    m, n = F.length(F.trim(F.lower(a), F.lit(_WHITE))), F.length(F.trim(F.lower(b), F.lit(_WHITE)))
     return F.least(m, n) >= F.greatest(m, n) * F.lit(least / (2 - least))
 
 
+def similar_pairs(queries: DataFrame, rows: DataFrame, key: str, text: str, least: float, blocks: int = 8) -> DataFrame:
+    """(query, key, similarity): whole texts of `queries` and `rows` that are at least `least` alike, each pair met once.
+
+    Both sides are cut into blocks and every pair of blocks is a task's work. Rows repeated with the same key and text are one.
+    """
+    hashed = lambda df: df.select(key, text).distinct().withColumn("__own", F.pmod(F.xxhash64(key, text), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = hashed(queries).select(F.col(key).alias("query"), F.col(text).alias("__a"), F.col("__own").cast("int").alias("__q"), every.alias("__r"))
+    r = hashed(rows).select(key, F.col(text).alias("__b"), F.col("__own").cast("int").alias("__r"), every.alias("__q"))
+    by = ["__q", "__r"]
+    met = q.repartition(blocks * blocks, *by).hint("merge").join(r.repartition(blocks * blocks, *by), by).where(may_reach(F.col("__a"), F.col("__b"), least))
+    # a generator of one row keeps the similarity from being computed for the filter and again for the result
+    return met.select("query", key, F.explode(F.array(similarity(F.col("__a"), F.col("__b")))).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def gain_of(best: float | None) -> float:
     """Information gain from the best similarity with what is known; None: nothing is known."""
     return 0.85 if best is None else 0.05 if best >= 0.92 else 0.25 if best >= 0.75 else 0.8

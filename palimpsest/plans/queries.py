@@ -151,6 +151,21 @@ def session_marker(spark, d):
     return marked.select("conv_id", "turn", T.resolved_session(F.lit(None), F.col("m")).alias("session_id"), clean.alias("text"))
 
 
+@query("""SELECT conv_id, turn, 'sess:' || substr(conv_id::VARCHAR, 1, 16) || ':' || substr(sha256(conv_id::VARCHAR || ':s-' || turn), 1, 40) AS scope, conv_id::VARCHAR AS bad_scope FROM conversations""")
+def session_scopes(spark, d):
+    """Of every turn: the scope of a well-formed session id, and of a malformed one."""
+    c, user = read(spark, d, "conversations"), F.col("conv_id").cast("string")
+    return c.select("conv_id", "turn", T.session_scope(user, F.concat(F.lit("s-"), F.col("turn").cast("string"))).alias("scope"), T.session_scope(user, F.lit("bad id!")).alias("bad_scope"))
+
+
+@query(f"SELECT conv_id, turn, 'c' || conv_id AS session_id, regexp_replace(text, '^\\s+', '') AS text FROM conversations")
+def session_markers(spark, d):
+    """Of every turn, with a marker put before it: the session found and the text left over."""
+    c = read(spark, d, "conversations")
+    m = c.withColumn("m", T.with_session_marker(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("text")))
+    return m.select("conv_id", "turn", T.resolved_session(F.lit(None), F.col("m")).alias("session_id"), T.session_marker(F.col("m"))[1].alias("text"))
+
+
 @query(f"SELECT conv_id, turn, {_tokens('text')} AS tokens FROM conversations")
 def token_estimate(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("tokens"))
@@ -587,9 +602,9 @@ def score_memory(spark, d):
 
 @query()
 def similarity(spark, d):
-    b = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("a"))
-    near = b.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
-    return b.join(near, "item_id").where(scoring.may_reach(F.col("a"), F.col("b"), 0.3)).select("item_id", F.round(scoring.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """The query set is the whole benchmark; each of its texts is compared with every row of it, itself among them."""
+    b = read(spark, d, "benchmark")
+    return scoring.similar_pairs(b, b, "item_id", "text", 0.3).select("query", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
