@@ -84,7 +84,8 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never merges across a space that a printing character follows, nor between a letter and a comma
-    or full stop before such a space, so a text is cut there and each distinct part is tokenised once.
+    or full stop before such a space, so a text is cut there and each distinct part is tokenised once. Where a text holds
+    an added token's content it has that token's id; such texts are not cut.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -92,7 +93,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Parts(self.tokenizer, most)
 
     @staticmethod
@@ -115,7 +116,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         find = self.known.__getitem__
         for text in texts:
-            first, *rest = self.parts(text)
+            first, *rest = [text] if any(a in text for a in self.added) else self.parts(text)
             yield array("I", self.tokenizer.encode(first, add_special_tokens=False).ids).tobytes() + b"".join(map(find, rest))
             self.known.renew()
 
