@@ -38,14 +38,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the row with its smallest id. Five words, similarity 0.8.
 
-    Rows repeated with the same id and text are one document. Wordless texts and null ids group with nothing.
+    Rows repeated with the same id and text are one document; different texts that share an id are documents of their
+    own, and the smaller hash goes first. Wordless texts and null ids group with nothing.
     """
     docs = _columns(docs)
-    kept = near_dedup.near_dedup(docs, ngram=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    met = docs.join(kept, "doc_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-    same = met.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
-    return same.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # ids may clash, so groups are made of rows under a number of their own
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__hash", "text").orderBy("source", "lang"))
+    met = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text")).withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    rows = cut(met.withColumn("__row", F.monotonically_increasing_id()))
+    found = near_dedup.near_dedup(rows.select(F.col("__row").alias("doc_id"), "text"), ngram=5, percent=80)
+    grouped = rows.select("__row", "doc_id", "__hash").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "__hash", "__row")).alias("x")).select("x.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
