@@ -3,8 +3,9 @@
 1. Tokens (64-bit hashes of lower-cased words, and one end a text) are counted over all learning documents; tasks
    add up their own before the shuffle.
 2. The most frequent tokens, at most `heavy`, go to all tasks; the first of them are the recurrent model's
-   words. It is trained on a fixed share of the learning documents, so on more of them as the corpus grows: each
-   task trains on its own, the models are averaged in two levels, and a second round starts from the average.
+   words. It is trained on all learning documents, each in one of the rounds: a round's documents are dealt by a hash
+   into shares of about `share` tokens, whatever files they lie in, each share trains a model of its own, the models are
+   averaged in two levels, and the next round starts from the average.
 3. One pass scores every text whole. A token that the model has no word for scores as the model's `unknown` times its
    smoothed share of all such tokens; the counts of those not among the heavy ones are joined by token, a few
    per cent of the corpus, and are needed for both scores.
@@ -40,11 +41,12 @@ AVERAGES = 64
 
 @dataclass(frozen=True)
 class Plan:
-    """Fixed sizes: heavy tokens, and one in how many learning documents each round trains on."""
+    """Fixed sizes: heavy tokens, into how many parts the rounds deal the learning documents, tokens of a local model."""
 
     heavy: int = 1 << 17
     rounds: int = 2
     one_in: int = 16
+    share: int = 1 << 19
     shape: gru.Shape = gru.Shape()
 
 
@@ -146,23 +148,37 @@ def _averaged(models: list[tuple[gru.Params, float]]) -> tuple[gru.Params, float
     return ({k: sum((m[k] * (w / total) for m, w in models)).astype(np.float32) for k in models[0][0]}, total) if total else None
 
 
-def trained(learning: DataFrame, start: gru.Params, words: Vocabulary, plan: Plan) -> gru.Params:
-    """Rounds of local training and weighted averaging; round r takes documents by a hash of id and text."""
+def trained(learning: DataFrame, start: gru.Params, words: Vocabulary, plan: Plan, total: int) -> gru.Params:
+    """Rounds of local training and weighted averaging; each of the learning documents, of `total` tokens, is in one round.
+
+    A task cuts what it has into models of one to two shares, so that rows that all hash alike stay bounded in memory.
+    """
     spark = learning.sparkSession
-    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(19)), F.lit(plan.one_in))
+    # rounds take parts in turn, so that all parts are taken
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(19)), F.lit(plan.one_in)) % plan.rounds
+    tasks = max(1, round(total / plan.rounds / plan.share))
     for turn in range(plan.rounds):
         shared = spark.sparkContext.broadcast((start, words))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, w = shared.value  # noqa: B023
-            texts = []
+            texts, size = [], 0
+
+            def one() -> pa.RecordBatch:
+                blob = pickle.dumps((gru.train(model, texts, w.end, plan.shape), float(size)))
+                return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
+
             for batch in batches:
                 for _, _, t, off in _tokens(batch.column(0).to_pylist()):
                     n = w.numbers(t)
-                    texts += [n[off[i] : off[i + 1]] for i in range(len(off) - 1)]
+                    for i in range(len(off) - 1):
+                        texts.append(n[off[i] : off[i + 1]])
+                        size += len(texts[-1])
+                        if size >= 2 * plan.share:
+                            yield one()
+                            texts, size = [], 0
             if texts:
-                blob = pickle.dumps((gru.train(model, texts, w.end, plan.shape), float(sum(map(len, texts)))))
-                yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
+                yield one()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: tuple[gru.Params, float] | None = None
@@ -173,8 +189,10 @@ def trained(learning: DataFrame, start: gru.Params, words: Vocabulary, plan: Pla
             if held is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["model"])
 
-        # a round's sample is dealt anew, so that a task's share is a mix of the corpus
-        models = learning.where(pick == turn).select("text").mapInArrow(local, "model binary")
+        # dealt anew, so that a task's share is a mix of the corpus, in an order that the files don't decide
+        dealt = learning.where(pick == turn).select("text", F.xxhash64("text", "doc_id", F.lit(23)).alias("__deal"))
+        dealt = dealt.repartition(tasks, "__deal").sortWithinPartitions("__deal").select("text")
+        models = cut(dealt.mapInArrow(local, "model binary"))
         few = models.repartition(AVERAGES).mapInArrow(average, "model binary").collect()
         mean = _averaged([pickle.loads(r.model) for r in few]) if few else None
         start = mean[0] if mean else start
@@ -188,7 +206,7 @@ def lm_scores(docs: DataFrame, learn, plan: Plan = Plan()) -> DataFrame:
     learning = docs.where(learn)
     counts = cut(token_counts(learning))
     words, weight, total, _ = vocabulary(counts, plan)
-    model = trained(learning, gru.initial(weight, plan.shape), words, plan)
+    model = trained(learning, gru.initial(weight, plan.shape), words, plan, total)
     shared = spark.sparkContext.broadcast((model, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
