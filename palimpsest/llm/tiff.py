@@ -1,9 +1,12 @@
-"""Media columns: TIFF. Reads grey 8-bit images from bytes: directories, strips or tiles, PackBits, LZW, deflate, predictors.
+"""Media columns: TIFF. Reads images of 8 or 16 bits a sample from bytes: directories, strips or tiles, PackBits, LZW, deflate, predictors.
 
 `pages` emits one row for each page (image directory) of a binary column. `write` makes the files that the query reads back.
 
+Samples of a pixel stand side by side, those of 16 bits little-endian, whether the file holds them so or plane by plane.
+
 Defined results: bytes that are no TIFF, or a page that cannot be decoded, give one row with the reason in `error`
-and null samples; null media give no row. Both byte orders are read. A text's payload is its UTF-8 bytes, filled up
+and null samples; the pages after a bad one follow as long as the chain of directories can be read. Other sample sizes
+than 8 and 16 bits, and other predictors than 1 and 2, are such errors. Null media give no row. Both byte orders are read. A text's payload is its UTF-8 bytes, filled up
 with bytes 255 to a positive multiple of 576; a null text is empty. Equal texts give equal files, whatever their ids.
 An empty table gives an empty result. Extra columns are ignored.
 """
@@ -18,7 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.base import per_batch, table
 
@@ -32,6 +38,7 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 #: The tags that are read.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR = 273, 277, 278, 279, 317
+PLANES = 284
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 
 
@@ -179,6 +186,8 @@ class Page:
     predictor: int
     tiled: bool
     samples: bytes
+    samples_per_pixel: int = 1
+    bits: int = 8
 
 
 def write(images: list[np.ndarray], compression: int, predictor: int, tiled: bool) -> bytes:
@@ -222,8 +231,8 @@ def write(images: list[np.ndarray], compression: int, predictor: int, tiled: boo
     return bytes(out)
 
 
-def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
-    """An image directory's whole-number fields by tag, and where the next one begins (0: none)."""
+def _fields(data: bytes, at: int, order: str) -> dict[int, list[int]]:
+    """An image directory's whole-number fields by tag."""
     (n,) = struct.unpack_from(order + "H", data, at)
     out = {}
     for i in range(n):
@@ -233,76 +242,112 @@ def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int
         spot = at + 10 + 12 * i
         if _SIZES[kind] * count > 4:
             (spot,) = struct.unpack_from(order + "I", data, spot)
+        if spot + _SIZES[kind] * count > len(data):
+            raise TiffError("a field beyond the end")
         out[tag] = list(struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", data, spot))
-    return out, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    return out
 
 
-def _page(data: bytes, f: dict[int, list[int]]) -> Page:
+def _page(data: bytes, f: dict[int, list[int]], order: str) -> Page:
     one = lambda tag, default: f.get(tag, [default])[0]
     if IMAGE_WIDTH not in f or IMAGE_LENGTH not in f:
         raise TiffError("a directory without an image size")
     width, height = f[IMAGE_WIDTH][0], f[IMAGE_LENGTH][0]
-    if one(SAMPLES, 1) != 1 or one(BITS, 1) != 8:
-        raise TiffError("not one sample of 8 bits a pixel")
+    each, bits = one(SAMPLES, 1), one(BITS, 1)
+    if not each or bits not in (8, 16) or set(f.get(BITS, [1])) != {bits}:
+        raise TiffError("not samples of 8 or of 16 bits")
     compression, predictor, tiled = one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_OFFSETS in f
     if predictor not in (1, 2):
         raise TiffError(f"predictor {predictor} is not supported")
     offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
     wide, high = (f[TILE_WIDTH][0], f[TILE_LENGTH][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-    image = np.zeros((height, width), np.uint8)
+    planes = each if one(PLANES, 1) == 2 else 1
+    side = each // planes  # samples that stand side by side in a block
     across = -(-width // wide)
-    for k, (o, c) in enumerate(zip(offsets, counts, strict=True)):
+    blocks = across * -(-height // high)
+    if len(offsets) < blocks * planes:
+        raise TiffError("strips or tiles are missing")
+    image = np.zeros((height, width, each), f"<u{bits // 8}")
+    for k, (o, c) in enumerate(zip(offsets[: blocks * planes], counts[: blocks * planes], strict=True)):
+        plane, k = divmod(k, blocks)
         y, x = k // across * high, k % across * wide
         rows = high if tiled else min(high, height - y)
-        block = np.frombuffer(_unpacked(data[o : o + c], compression), np.uint8)
-        if len(block) < rows * wide:
+        raw = _unpacked(data[o : o + c], compression)
+        need = rows * wide * side * bits // 8
+        if len(raw) < need:
             raise TiffError("a strip or tile is too short")
-        block = block[: rows * wide].reshape(rows, wide)
+        block = np.frombuffer(raw[:need], f"{order}u{bits // 8}").reshape(rows, wide, side)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        part = image[y : y + rows, x : x + wide]
+            block = np.cumsum(block, axis=1, dtype=f"u{bits // 8}")
+        part = image[y : y + rows, x : x + wide, plane : plane + side]
         part[:] = block[: part.shape[0], : part.shape[1]]
-    return Page(width, height, compression, predictor, tiled, image.tobytes())
+    return Page(width, height, compression, predictor, tiled, image.tobytes(), each, bits)
 
 
-def read(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its chain of directories."""
+def directories(data: bytes) -> Iterator[Page | TiffError]:
+    """The pages of a file in the order of its chain of directories, an error in the place of each that can't be decoded."""
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
-        raise TiffError("no TIFF header")
+        yield TiffError("no TIFF header")
+        return
     order = "<" if data[:2] == b"II" else ">"
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
         if at in seen:
-            raise TiffError("the chain of directories is a loop")
+            yield TiffError("the chain of directories is a loop")
+            return
         seen.add(at)
         try:
-            fields, following = _fields(data, at, order)
-            page = _page(data, fields)
-        except (struct.error, zlib.error, KeyError, IndexError, ValueError) as e:
-            raise e if isinstance(e, TiffError) else TiffError(str(e)) from e
+            (n,) = struct.unpack_from(order + "H", data, at)
+            (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        except struct.error as e:
+            yield TiffError(str(e))
+            return
+        try:
+            page: Page | TiffError = _page(data, _fields(data, at, order), order)
+        except TiffError as e:
+            page = e
+        except (struct.error, zlib.error, KeyError, IndexError, ValueError, ArithmeticError, MemoryError) as e:
+            page = TiffError(str(e))
         yield page
         at = following
 
 
+def read(data: bytes) -> Iterator[Page]:
+    """The pages of a file; the first that can't be decoded is raised."""
+    for page in directories(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
+
+
 def pages(media: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, page, width, height, compression, predictor, tiled, samples, error): one row for each page of `column`."""
-    kind = media.select(key).schema[0].dataType.simpleString()
-    names = ("width", "height", "compression", "predictor", "tiled", "samples")
-
-    def rows(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in (key, "page", *names, "error")}
-        for k, data in zip(batch[key], batch[column], strict=True):
-            n = 0
-            try:
-                for n, p in enumerate(read(data) if data is not None else (), 1):
-                    for c, v in zip(out, (k, n - 1, *(getattr(p, x) for x in names), None), strict=True):
-                        out[c].append(v)
-            except TiffError as e:
-                for c, v in zip(out, (k, n, *[None] * 6, str(e)), strict=True):
-                    out[c].append(v)
-        return out
-
-    return per_batch(media.select(key, column), f"{key} {kind}, page int, width int, height int, compression int, predictor int, tiled boolean, samples binary, error string", rows)
+    """(key, page, width, height, compression, predictor, tiled, samples, samples_per_pixel, bits, error): one row for each page of `column`.
+
+    A file's rows follow one another in the order of its pages.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = ("width", "height", "compression", "predictor", "tiled", "samples", "samples_per_pixel", "bits")
+    kind = T.StructType([T.StructField(key, media.schema[key].dataType), *T._parse_datatype_string("page int, width int, height int, compression int, predictor int, tiled boolean, samples binary, samples_per_pixel int, bits int, error string")])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        size = 0
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for n, p in enumerate(directories(data.as_py()) if data.is_valid else ()):
+                    bad = isinstance(p, TiffError)
+                    out.append((k, n, *([None] * 8 if bad else [getattr(p, x) for x in names]), str(p) if bad else None))
+                    size += 0 if bad else len(p.samples)
+                    if size > 8_000_000 or len(out) >= 10_000:
+                        yield done()
+                        out, size = [], 0
+        if out:
+            yield done()
+
+    return media.select(key, column).mapInArrow(run, kind)
 
 
 def stored(payload: bytes) -> bytes:
@@ -326,24 +371,42 @@ def media_of(docs: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the pages of every file hold, read back; a file that cannot be read fails the job."""
-
-    def read_back(batch: dict[str, list]) -> dict[str, list]:
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
-        out: dict[str, list] = {k: [] for k in names}
-        for data in batch["media"]:
-            got = list(read(data))
-            payload = b"".join(p.samples for p in got)
+    """What the rows of `pages` hold of every file, put together again; a page that cannot be read fails the job."""
+    own = F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = None, []
+
+        def done() -> tuple:
+            payload = b"".join(held)
             v = np.frombuffer(payload, np.uint8)
             spread = np.bincount(v >> 4, minlength=16)
             steps = int(np.abs(np.diff(v.astype(np.int16))).sum())
             feature = f"sum={int(v.sum(dtype=np.int64))};steps={steps};hist=" + ".".join(map(str, spread.tolist()))
-            for k, x in zip(names, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(got)), strict=True):
-                out[k].append(x)
-        return {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], **out}
+            return file["doc_id"], file["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), file["media_bytes"], file["media_sha256"], feature, len(held)
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            out = []
+            for f, samples, error in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if error is not None:
+                    raise TiffError(error)
+                if file is not None and f["row"] != file["row"]:
+                    out.append(done())
+                    held = []
+                file = f
+                held.append(samples)
+            if out:
+                yield batch_of(out)
+        if file is not None:
+            yield batch_of([done()])
 
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
-    return per_batch(media, kind, read_back)
+    return pages(media.select(own.alias("file"), "media"), "file", "media").select("file", "samples", "error").mapInArrow(put_together, kind)
 
 
 def op5_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
