@@ -794,4 +794,53 @@ def extract_candidates(spark, d):
     return extract.routed(extract.candidates(m)).select("ordinal", "content", "type", "topic_key", "authority", "is_correction", "subject", "predicate", "value", "scope", "bucket")
 
 
+# the memory's core over every row of the conversations -----------------------------------------------------------
+
+
+_ORDER = ["ordinal", "sentence", "part"]
+
+
+def _told(spark: SparkSession, d: str) -> DataFrame:
+    return extract.routed(extract.candidates(normalized(conversation_messages(spark, d))))
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return fold.fold(fold.prepared(_told(spark, d).where("bucket = 'store'"), _ORDER))
+
+
+@query()
+def conversation_candidates(spark, d):
+    return _told(spark, d).select("user_id", *_ORDER, "content", "type", "topic_key", "authority", "is_correction", "subject", "predicate", "value", "scope", "bucket")
+
+
+@query()
+def conversation_routes(spark, d):
+    return extract.bucket_counts(extract.candidates(normalized(conversation_messages(spark, d))))
+
+
+@query()
+def conversation_facts(spark, d):
+    return extract.rich_facts(normalized(conversation_messages(spark, d))).select("user_id", "message_key", "kind", "attribute", "value", "state", "confidence")
+
+
+@query()
+def conversation_memory_gate(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", rich.memory_gate(F.col("text")).alias("g")).select("conv_id", "turn", "g.*")
+
+
+@query()
+def conversation_actions(spark, d):
+    return fold.actions(_folded(spark, d))
+
+
+@query()
+def conversation_state(spark, d):
+    return fold.state(_folded(spark, d))
+
+
+@query()
+def conversation_corrections(spark, d):
+    return fold.corrections(_folded(spark, d))
+
+
 SQL["q_json_ids"] = SQL["q_json_ids"].replace("[1,2,2]", "[1,2]")
