@@ -6,7 +6,7 @@ follows it in the original text is parsed: `with` binds closer than `and`, `and`
 
 Score: how freely the text may be used, 0 to 1, as FREEDOM has it for a label. An expression scores its parts' minimum for
 `and`, maximum for `or`, and the mean of its part and 1 for `with` (an exception grants more). A text scores the minimum
-over its expressions and its phrases' labels, and 0.5 if it has neither.
+over its expressions and the labels of its phrases, but for notices whose label an expression names, and 0.5 if it has neither.
 
 Defined results: a null or empty text has no words, no labels ('') and the score 0.5; a malformed expression adds the
 labels of its known identifiers, without a score. Rows with equal or null ids are scanned each by itself. An empty
@@ -146,6 +146,8 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     base: set[str] = set()
     more: set[str] = set()
+    named: set[str] = set()
+    said: set[str] = set()
     scores: list[float] = []
     starts: list[int] = []
     tagged = False
@@ -160,11 +162,14 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     if tagged:
         for expression in _EXPRESSION.findall(text or ""):
             labels, score = evaluate(expression)
-            more |= labels
-            scores += [] if score is None else [score]
+            named |= labels
+            if score is not None:
+                scores.append(score)
+                said |= labels
     scores += [FREEDOM[x] for x in base]
     # a notice's label counts by itself unless an expression has said how it combines
-    scores += [FREEDOM[x] for x in more] if not tagged else []
+    scores += [FREEDOM[x] for x in more - said]
+    more |= named
     first = last = None
     if starts:
         lo, hi = min(starts), max(starts)
