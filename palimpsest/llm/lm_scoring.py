@@ -2,10 +2,10 @@
 
 1. Tokens (64-bit hashes of lower-cased words, and one end a text) are counted over all learning documents; tasks
    add up their own before the shuffle.
-2. The most frequent tokens, at most `heavy`, go to all tasks; the first of them are the recurrent model's
+2. The most frequent tokens, about `heavy`, go to all tasks; the first of them are the recurrent model's
    words. It is trained on all learning documents, each in one of the rounds: a round's documents are dealt by a hash
    into shares of about `share` tokens, whatever files they lie in, each share trains a model of its own, the models are
-   averaged in two levels, and the next round starts from the average.
+   averaged AVERAGES at a time until one is left, and the next round starts from the average.
 3. One pass scores every text whole. A token that the model has no word for scores as the model's `unknown` times its
    smoothed share of all such tokens; the counts of those not among the heavy ones are joined by token, a few
    per cent of the corpus, and are needed for both scores.
@@ -35,18 +35,19 @@ from palimpsest.llm.text import Buffer, pieces
 U64 = np.uint64
 #: The end of a text as a token: no word hashes to it but by a chance of 2^-64.
 END = U64(0x0E0F0E0F0E0F0E0F)
-#: Groups in which the tasks' models are first averaged.
-AVERAGES = 64
+#: Shares whose models a task averages.
+AVERAGES = 8
+#: Into how many parts a hash deals the tokens of the count up to which the heavy ones go.
+PARTS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Fixed sizes: heavy tokens, into how many parts the rounds deal the learning documents, tokens of a local model."""
+    """Fixed sizes: heavy tokens, rounds that the learning documents are dealt to, tokens of a local model."""
 
     heavy: int = 1 << 17
     rounds: int = 2
-    one_in: int = 16
-    share: int = 1 << 19
+    share: int = 1 << 20
     shape: gru.Shape = gru.Shape()
 
 
@@ -107,21 +108,23 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, plan: Plan) -> tuple[Vocabulary, np.ndarray, int, int]:
-    """(vocabulary, the model's word counts by number, N, V); at most `heavy` rows come to the driver.
+    """(vocabulary, the model's word counts by number, N, V); about `heavy` rows come to the driver.
 
-    The heavy tokens are those from a count on that lets at most `heavy` through; a histogram of the counts' logarithms,
-    at most 1024 rows, tells it, so no task sorts or gathers the tokens of all.
+    The heavy tokens are the most frequent ones. A histogram of the counts' logarithms, at most 1024 rows, tells from which
+    step on they all fit; of the step before it those with a small hash fill the room, however many tokens share it.
+    No task sorts or gathers the tokens of all.
     """
     step = F.floor(F.log2("n") * 16)
     steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()
     total, distinct = sum(r.n for r in steps), sum(r.kinds for r in steps)
-    least, through = 1 << 20, 0
+    least, part, room = 0, PARTS, plan.heavy
     for r in sorted(steps, key=lambda r: -r.step):
-        through += r.kinds
-        if through > plan.heavy:
+        least, part = r.step, min(PARTS, PARTS * room // r.kinds)
+        room -= r.kinds
+        if room <= 0:
             break
-        least = r.step
-    top = counts.where(step >= least).toArrow()
+    among = (F.col("token") == F.lit(int(END.view(np.int64)))) | (step > least) | ((step == least) & (F.pmod(F.xxhash64("token"), F.lit(PARTS)) < part))
+    top = counts.where(among).toArrow()
     tokens, n = top.column(0).to_numpy().view(U64), top.column(1).to_numpy().astype(np.int64)
     order = np.lexsort((tokens, -n))
     tokens, n = tokens[order], n[order]
@@ -154,8 +157,7 @@ def trained(learning: DataFrame, start: gru.Params, words: Vocabulary, plan: Pla
     A task cuts what it has into models of one to two shares, so that rows that all hash alike stay bounded in memory.
     """
     spark = learning.sparkSession
-    # rounds take parts in turn, so that all parts are taken
-    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(19)), F.lit(plan.one_in)) % plan.rounds
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(19)), F.lit(plan.rounds))
     tasks = max(1, round(total / plan.rounds / plan.share))
     for turn in range(plan.rounds):
         shared = spark.sparkContext.broadcast((start, words))
@@ -193,9 +195,14 @@ def trained(learning: DataFrame, start: gru.Params, words: Vocabulary, plan: Pla
         dealt = learning.where(pick == turn).select("text", F.xxhash64("text", "doc_id", F.lit(23)).alias("__deal"))
         dealt = dealt.repartition(tasks, "__deal").sortWithinPartitions("__deal").select("text")
         models = cut(dealt.mapInArrow(local, "model binary"))
-        few = models.repartition(AVERAGES).mapInArrow(average, "model binary").collect()
-        mean = _averaged([pickle.loads(r.model) for r in few]) if few else None
-        start = mean[0] if mean else start
+        left = tasks
+        while True:
+            left = -(-left // AVERAGES)
+            models = models.repartition(left).mapInArrow(average, "model binary")
+            if left == 1:
+                break
+        mean = models.first()
+        start = pickle.loads(mean.model)[0] if mean else start
     return start
 
 
