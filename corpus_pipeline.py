@@ -1,82 +1,5 @@
-"""The corpus pipeline: toxicity, quality, near-dedup, mixing, packing; counted as part of the subpackage llm.
+"""The corpus pipeline of the subpackage llm: STAGES in their order, run(spark, sf_dir), and its SQL (none)."""
 
-Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The first four return the columns
-of documents; the last returns the packed pieces. Rows whose id is null stay in the filtering stages like any other.
-"""
+from palimpsest.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, dedup, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from palimpsest.llm import classify, mixing, near_dedup, packing
-from palimpsest.llm.base import cut, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(*[c for c in COLUMNS if c in docs.columns])
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects (score >= 0.5) go; learnt from labelled rows of `docs`."""
-    docs = _columns(docs)
-    done = classify.toxicity(docs, docs, table(spark, sf_dir, "labels"), out="__score")
-    return done.where("__score < 0.5").drop("__score")
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects (score < 0.3) go; learnt from labelled rows of `docs`."""
-    docs = _columns(docs)
-    done = classify.quality(docs, docs, table(spark, sf_dir, "labels"), out="__score")
-    return done.where("__score >= 0.3").drop("__score")
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the row with its smallest id. Five words, similarity 0.8.
-
-    Rows repeated with the same id and text are one document; different texts that share an id are documents of their
-    own, and the smaller hash goes first. Wordless texts and null ids group with nothing.
-    """
-    docs = _columns(docs)
-    # ids may clash, so groups are made of rows under a number of their own
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__hash", "text").orderBy("source", "lang"))
-    met = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text")).withColumn("__turn", turn).where("__turn = 1").drop("__turn")
-    rows = cut(met.withColumn("__row", F.monotonically_increasing_id()))
-    found = near_dedup.near_dedup(rows.select(F.col("__row").alias("doc_id"), "text"), ngram=5, percent=80)
-    grouped = rows.select("__row", "doc_id", "__hash").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
-    kept = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "__hash", "__row")).alias("x")).select("x.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources holds them."""
-    return mixing.repeated(_columns(docs))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of at most 1024 tokens."""
-    return packing.pack(docs, packing.tokenizer_path())
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("quality classifier", keep_quality),
-    ("MinHash near-dedup", dedup),
-    ("mixing sources", mixed),
-    ("best-fit packing", packed),
-]
-
-#: Trained models and tokenizers have no SQL; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what one returns is stored before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "dedup", "run"]
