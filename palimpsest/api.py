@@ -25,7 +25,7 @@ def ingest(new: DataFrame, archive: DataFrame, items: DataFrame | None, as_of: d
     """Messages to append, the memory that results, its log, and the context to write."""
     fresh = messages.delta(normalized(new), archive)
     told = extract.routed(extract.candidates(fresh))
-    rows = fold.fold(fold.prepared(told.where("bucket = 'store'"), ["ordinal", "sentence", "part"]), items)
+    rows = fold.fold(fold.prepared(told.where("bucket = 'store'"), ["ordinal", "sentence", "part"], F.lit(as_of)), items)
     return {"messages": fresh, "memory": fold.state(rows), "actions": fold.actions(rows), "corrections": fold.corrections(rows), "context": context.writes(told, F.lit(as_of))}
 
 
@@ -54,11 +54,12 @@ def save(rows: DataFrame, items: DataFrame | None) -> DataFrame:
 def update(items: DataFrame, changes: DataFrame) -> DataFrame:
     """All items after changes (user_id, id or topic_key, value): the active one named is superseded by a new version.
 
-    New ids follow the user's highest. Changes that name no active item are left to `save`.
+    New ids follow the user's highest. Changes that name no active item are left to `save`; two that name the same are an error.
     """
     named = changes.select("user_id", F.col("id").alias("want_id") if "id" in changes.columns else F.lit(None).cast("long").alias("want_id"), F.lower(F.trim("topic_key")).alias("want_topic") if "topic_key" in changes.columns else F.lit(None).cast("string").alias("want_topic"), F.trim("value").alias("new_value"))
     hit = items.where("status = 'active'").join(named.where("new_value <> ''"), "user_id").where(F.coalesce(F.col("id") == F.col("want_id"), F.lower("topic_key") == F.col("want_topic")))
-    hit = hit.groupBy("user_id", "id").agg(F.max("new_value").alias("new_value"))
+    twice = F.count("*") > 1
+    hit = hit.groupBy("user_id", "id").agg(F.when(twice, F.raise_error(F.lit("several changes name one item"))).otherwise(F.max("new_value")).alias("new_value"))
     top = items.groupBy("user_id").agg(F.max("id").alias("top"))
     marked = items.join(hit, ["user_id", "id"], "left")
     old = marked.withColumn("status", F.when(F.col("new_value").isNotNull(), "superseded").otherwise(F.col("status"))).drop("new_value")
@@ -87,13 +88,22 @@ def compare_and_swap(items: DataFrame, id: int, expected: int, patch: dict) -> D
 
 
 def consolidate_all(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new records, items with the consolidated ones marked)."""
+    """(new records, all items after them: the records appended, their sources superseded by them)."""
     made = consolidate.consolidated(items)
-    return made, consolidate.applied(items, made)
+    return made, consolidate.appended(items, made)
 
 
-def compile_context(requests: DataFrame, items: DataFrame | None = None, budget: int = 8000) -> DataFrame:
-    return packing.compiled(requests, items, budget)
+def compile_context(requests: DataFrame, items: DataFrame | None = None, budget: int = 8000, entries: DataFrame | None = None, as_of: datetime | None = None) -> dict[str, DataFrame]:
+    """The messages to send, what was selected, and statistics; `entries` of short-term context count if they hold at `as_of`."""
+    return packing.compiled_parts(requests, items, budget, context.live(entries, as_of) if entries is not None else None)
+
+
+def process(new: DataFrame, archive: DataFrame, items: DataFrame | None, entries: DataFrame | None, as_of: datetime, budget: int = 8000) -> dict[str, DataFrame]:
+    """Ingests messages, and compiles the same requests with the memory and the context that result."""
+    done = ingest(new, archive, items, as_of)
+    held = done["context"] if entries is None else entries.unionByName(done["context"])
+    sent = compile_context(new, done["memory"], budget, held, as_of)
+    return done | {"sent": sent["messages"], "statistics": sent["statistics"]}
 
 
 search = retrieve.search

@@ -222,3 +222,100 @@ STABILITY_SCORES = {"permanent": 1.0, "long-term": 0.85, "short-term": 0.5, "ses
 
 SESSION_ID = r"^[A-Za-z0-9_-]{1,128}$"
 SESSION_MARKER = r"^\s*___\$\$\(([A-Za-z0-9_-]{1,128})\)\$\$___\s*"
+
+#: Patterns of the richer extractors, each with its attribute, state and confidence; their groups are named below by number.
+IDENTITY = [
+    (r"^\s*(?:my\s+)?(?:full\s+)?name\s+is\s+(.+?)\s*[.!?]?$", "name", 1.0),
+    (r"^\s*(?:i\s+am|i'm|we\s+are|we're)\s+(.+?)\s+years?\s+old\s*[.!?]?$", "age", 1.0),
+    (r"^\s*(?:my\s+)?(?:full\s+)?age\s+is\s+(.+?)\s*[.!?]?$", "age", 1.0),
+    (r"^\s*(?:call\s+me|you\s+can\s+call\s+me|people\s+call\s+me)\s+(.+?)\s*[.!?]?$", "name", 1.0),
+    (r"^\s*(?:my\s+)?(?:username|nickname|full\s+name)\s+is\s+(.+?)\s*[.!?]?$", "name", 1.0),
+]
+ROLE = r"^\s*(?:i\s+(?:am|'m|am\s+also)|we\s+are)\s+(.+?(?:student|developer|founder|engineer|designer|architect|manager|leader|ceo|cto|pm|analyst|consultant|freelancer|teacher|professor|doctor|nurse|lawyer|writer|artist|musician|entrepreneur))(?:\s+and\s+.+)?\s*[.!?]?$"
+ROLE_CONFIDENCE = 0.95
+TRANSIENT_ROLES = [
+    "tired", "happy", "confused", "sad", "angry", "excited", "hungry", "thirsty", "busy", "bored", "curious", "nervous", "scared", "worried", "proud",
+    "ashamed", "grateful", "hopeful", "motivated",
+]
+WHEREABOUTS = [
+    (r"^\s*(?:i\s+am|i'm|i'm\s+from|i'm\s+based\s+in)\s+(.+?)\s*[.!?]?$", "location", 1.0),
+    (r"^\s*(?:i\s+live|i\s+stay|i'm\s+based)\s+in\s+(.+?)\s*[.!?]?$", "location", 1.0),
+    (r"^\s*(?:i\s+am\s+from|i'm\s+from)\s+(.+?)\s*[.!?]?$", "location", 1.0),
+    (r"^\s*(?:i\s+am|i'm)\s+(.+?)\s+(?:years?\s+old|years old)\s*[.!?]?$", "age", 1.0),
+]
+OWNERSHIP_HAVE = r"^\s*(?:i\s+(?:have|own|maintain|manage|run|operate)|we\s+(?:have|own|maintain|manage|run|operate))\s+(?:a\s+|an\s+)?(.+?)\s*[.!?]?$"
+OWNERSHIP_MY = r"^\s*my\s+(.+?)\s+is\s+(.+?)\s*[.!?]?$"
+OWNERSHIP_THIS = r"^\s*this\s+is\s+my\s+(.+?)\s*[.!?]?$"
+OWNERSHIP_BELONGS = r"^\s*(.+?)\s+belongs\s+to\s+me\s*[.!?]?$"
+OWNERSHIP_CONFIDENCE = 0.95
+TRANSIENT_POSSESSIONS = ["headache", "question", "idea", "minutes", "opinion", "thought", "concern", "suspicion", "hunch", "feeling", "impression"]
+USAGE = [
+    (r"^\s*(?:and\s+)?(?:now\s+|currently\s+|these\s+days\s+|at\s+the\s+moment\s+|right\s+now\s+|today\s+)?(?:i\s+(?:currently\s+)?use|i\s+am\s+using|i'm\s+using|we\s+(?:currently\s+)?use|we're\s+using)\s+(.+?)\s*[.!?]?$", 0.98),
+    (r"^\s*(?:our\s+(?:system|team|project)\s+uses|my\s+(?:project|app|system)\s+uses)\s+(.+?)\s*[.!?]?$", 0.96),
+]
+USAGE_NEGATED = r"\b(not|don't|do not|doesn't|did not|never|no longer|without)\b"
+USAGE_NEGATED_CONFIDENCE = 0.95
+PAST_USAGE = [(r"^\s*(?:i\s+(?:used\s+to\s+use|used|previously\s+used|previously\s+relied\s+on|formerly\s+used|was\s+using|had\s+been\s+using))\s+(.+?)\s*[.!?]?$", 0.95)]
+STOPPED_USAGE = [
+    (r"^\s*(?:i\s+stopped\s+(?:using\s+)?|i\s+no\s+longer\s+use|i\s+don't\s+use\s+anymore|i\s+do\s+not\s+use\s+anymore|i\s+quit\s+(?:using\s+)?|i\s+abandoned|i\s+moved\s+away\s+from|i\s+switched\s+away\s+from|i\s+replaced\s+|i\s+removed\s+|i\s+discontinued)\s+(.+?)(?:\s+because\s+(.+?))?\s*[.!?]?$", 0.95),
+]
+PREFERENCES = [
+    (r"^\s*(?:i\s+)?prefer\s+(.+?)(?:\s+over\s+(.+?))?\s*[.!?]?$", 0.98),
+    (r"^\s*(?:i\s+)?(?:really\s+)?like\s+(.+?)\s*[.!?]?$", 0.95),
+    (r"^\s*(?:i\s+)?(?:really\s+)?love\s+(.+?)\s*[.!?]?$", 0.95),
+    (r"^\s*(?:i\s+)?(?:would\s+rather\s+use|i'd\s+rather\s+use)\s+(.+?)(?:\s+over\s+(.+?))?\s*[.!?]?$", 0.96),
+    (r"^\s*(?:i\s+)?choose\s+(.+?)(?:\s+over\s+(.+?))?\s*[.!?]?$", 0.95),
+    (r"^\s*(?:i\s+)?usually\s+choose\s+(.+?)\s*[.!?]?$", 0.92),
+]
+#: The value is the second group.
+PREFERRED_IS = (r"^\s*(?:x|it)\s+is\s+my\s+preferred\s+(.+?)\s+is\s+(.+?)\s*[.!?]?$", 0.95)
+DISLIKES = [
+    (r"^\s*(?:i\s+don't\s+(?:really\s+)?like|i\s+do\s+not\s+(?:really\s+)?like|i\s+dislike|i\s+hate)\s+(.+?)(?:\s+anymore|\s+any\s+more)?\s*[.!?]?$", 0.95),
+    (r"^\s*(?:i\s+never\s+use|i\s+avoid|i\s+don't\s+want\s+to\s+use|i\s+refuse\s+to\s+use)\s+(.+?)\s*[.!?]?$", 0.92),
+    (r"^\s*i\s+am\s+not\s+a\s+fan\s+of\s+(.+?)\s*[.!?]?$", 0.85),
+]
+#: A dislike without a value: it marks a clause's kind, but gives no fact.
+DISLIKE_BARE = r"^\s*(?:x|it)\s+is\s+not\s+for\s+me\s*[.!?]?$"
+NOT_DISLIKE = r"\bdon't know\b|\bdon't understand\b"
+FAVORITES = [
+    (r"^\s*(?:my\s+)?(?:favorite|favourite)\s+(.+?)\s+(?:is|are|=|:)\s+(.+?)\s*[.!?]?$", 0.98),
+    (r"^\s*(?:my\s+)?(?:preferred|favourite)\s+(.+?)\s+(?:is|are|=|:)\s+(.+?)\s*[.!?]?$", 0.95),
+]
+FAVORITE_DOMAIN = r"\b(color|colour|food|language|framework|database|editor|ide|os|operating\s+system|programming\s+language|ui\s+library|frontend\s+framework|backend\s+framework|cloud\s+provider|hosting\s+provider|browser|game|movie|book|music|artist|tool)\b"
+FAVORITE_NAMES = {
+    "color": "color", "colour": "color", "food": "food", "language": "language", "framework": "framework", "database": "database", "editor": "editor", "ide": "ide",
+    "os": "os", "operating system": "os", "programming language": "language", "ui library": "ui_library", "frontend framework": "frontend_framework",
+    "backend framework": "backend_framework", "cloud provider": "cloud_provider", "hosting provider": "hosting_provider", "browser": "browser", "game": "game",
+    "movie": "movie", "book": "book", "music": "music", "artist": "artist", "tool": "tool",
+}
+GOALS = [(r"^\s*(?:i\s+want\s+to|i\s+would\s+like\s+to|i'd\s+like\s+to|i\s+hope\s+to|i\s+intend\s+to|my\s+goal\s+is\s+to|i\s+aim\s+to|i\s+need\s+to|i\s+wish\s+to)\s+(.+?)\s*[.!?]?$", 0.95)]
+PLANS = [(r"^\s*(?:i\s+plan\s+to|i'm\s+planning\s+to|i\s+am\s+planning\s+to|i\s+will\s+probably|i'm\s+going\s+to|i\s+intend\s+to|i\s+expect\s+to|i\s+am\s+preparing\s+to)\s+(.+?)\s*[.!?]?$", 0.95)]
+POSSIBLE_PLANS = [
+    (r"^\s*(?:i\s+might|i\s+may|i\s+could|maybe\s+i'll|perhaps\s+i'll|i'm\s+considering|i'm\s+thinking\s+about|i\s+am\s+thinking\s+about|i\s+may\s+decide\s+to|i'm\s+not\s+sure\s+but|possibly|there's\s+a\s+chance\s+i'll)\s+(.+?)\s*[.!?]?$", 0.7),
+]
+DECISIONS = [(r"^\s*(?:i\s+decided\s+to|i've\s+decided\s+to|i\s+have\s+decided\s+to|i\s+chose\s+|i\s+selected\s+|i've\s+chosen\s+|i\s+settled\s+on|we\s+decided\s+to|we\s+chose)\s+(.+?)\s*[.!?]?$", 0.95)]
+TEMPORARY = [(r"^\s*(?:i'm\s+testing|i'm\s+trying|i'm\s+debugging|i'm\s+currently\s+debugging|i'm\s+experimenting\s+with|i'm\s+checking\s+|i'm\s+looking\s+at|i'm\s+reading\s+about|i'm\s+learning\s+about)\s+(.+?)\s*[.!?]?$", 0.4)]
+CONDITIONAL = r"^\s*(?:if\s+.+\s+then\s+i\s+will|if\s+.+\s+works\s+i'll\s+use|i\s+will\s+use\s+if|i\s+might\s+use\s+if|depending\s+on|unless\s+|provided\s+that|only\s+if)\s+"
+CONDITIONAL_ACTION = r"\b(?:will\s+use|will\s+switch|will\s+adopt|will\s+choose)\s+(.+?)\s*[.!?]?$"
+CONDITIONAL_CONFIDENCE = 0.6
+NEGATION = r"\b(not|don't|do not|doesn't|did not|never|no longer|without|cannot|can't|won't|wouldn't|isn't|is not|aren't|are not|wasn't|was not)\b"
+
+#: The memory gate: what is no memory, how questions begin, phrases that say nothing, words that memories hold.
+GREETING = r"^\s*(?:hello|hi|hey|yo|sup|greetings|good\s+morning|good\s+afternoon|good\s+evening|good\s+night)(?:\s+(?:there|folks|everyone|all|team|guys|bro|dude|man|friend))?\s*[!.?]*$"
+REQUEST = r"^\s*(?:what\s+is\s+|what's\s+what\s+is\s+|how\s+does\s+.+?\s+work|explain\s+|summarize\s+|translate\s+|rewrite\s+|make\s+a\s+prompt|create\s+a\s+function|give\s+me\s+an\s+example|search\s+for|find\s+|calculate\s+|convert\s+)\s+"
+GATE_QUESTION_STARTS = ["what", "why", "how", "when", "where", "who", "which", "should", "can", "could", "would", "is", "are", "do", "does", "did", "will"]
+GATE_LOW_INFO = [
+    "ok", "okay", "k", "kk", "yes", "yep", "yeah", "yup", "no", "nope", "nah", "thanks", "thank you", "thx", "ty", "cool", "great", "nice", "good", "fine", "sure",
+    "got it", "sounds good", "works for me", "makes sense", "understood", "perfect", "awesome",
+]
+GATE_WORDS = [
+    "use", "used", "using", "prefer", "like", "love", "hate", "dislike", "avoid", "want", "plan", "goal", "decided", "chose", "stopped", "no", "longer", "building",
+    "creating", "developing", "working", "maintain", "learning", "own", "have", "has", "favorite", "preferred", "intend", "am", "name", "call", "testing", "trying",
+    "switching", "migrating", "live", "living", "reside", "residing", "based", "stay", "staying", "hail", "from",
+]
+
+#: Confidence of a kind of fact, stated or implied.
+CONFIDENCE = {
+    "identity": (1.0, 0.85), "preference": (0.98, 0.75), "usage": (0.98, 0.7), "stopped_usage": (0.98, 0.7), "past_usage": (0.95, 0.7), "plan": (0.95, 0.6),
+    "possible_plan": (0.7, 0.4), "goal": (0.95, 0.7), "decision": (0.95, 0.7), "ownership": (0.95, 0.75), "temporary": (0.4, 0.25), "ambiguous": (0.7, 0.5),
+}

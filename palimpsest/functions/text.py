@@ -199,6 +199,15 @@ def json_text(c: Column) -> Column:
     return F.coalesce(F.nullif(trimmed(fenced), F.lit("")), F.nullif(bare, F.lit("")), trimmed(c))
 
 
+def ids(c: Column, kind: str = "long") -> Column:
+    """The distinct ids of a JSON list, in its order; none if it is malformed."""
+    return F.array_distinct(F.coalesce(F.from_json(c, f"array<{kind}>"), F.array().cast(f"array<{kind}>")))
+
+
+def ids_text(c: Column) -> Column:
+    return F.to_json(F.array_distinct(c))
+
+
 # classifying ----------------------------------------------------------------------------------------------------
 
 

@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scoring import memory_scores, memory_tokens, message_scores, selection_value
-from palimpsest.functions.text import keywords, message_tokens, tool_output
+from palimpsest.functions.text import keywords, message_tokens, ranked_keywords, tool_output, wants_history
+from palimpsest.operators import retrieve
 from palimpsest.operators.consolidate import prompt_block
+from palimpsest.sources.schemas import MEMORY
 
 #: Cells of the exact table up to which it is built; beyond, the greedy order by value for each token decides.
 EXACT_CELLS = 400_000
 FIELDS = ["user_id", "item_id", "kind", "role", "content", "token_cost", "ordinal", "mandatory", "value"]
 
 
+#: Fixed values of a request's retrieval: ranked keywords, hits, hits that are few, the latest items then taken, durable ones, links.
+TERMS, HITS, FEW_HITS, LATEST, DURABLE, LINKED = 12, 40, 4, 20, 40, 20
+DURABLE_TYPES = ["fact", "preference", "constraint"]
+
+
 def query_words(messages: DataFrame) -> DataFrame:
-    """(user_id, query): the keywords of each request's last user message."""
-    last = F.max_by("content", F.when(F.col("role") == "user", F.col("ordinal")))
-    return messages.groupBy("user_id").agg(keywords(F.coalesce(last, F.lit(""))).alias("query"))
+    """(user_id, query, history): the keywords of each request's last user message, and whether it asks for what was before."""
+    last = F.coalesce(F.max_by("content", F.when(F.col("role") == "user", F.col("ordinal"))), F.lit(""))
+    return messages.groupBy("user_id").agg(last.alias("last")).select("user_id", keywords(F.col("last")).alias("query"), wants_history(F.col("last")).alias("history"))
+
+
+def retrieved(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """The items that each request (user_id, query, history) calls for, all users at once.
+
+    Of a user's active items: those that hold one of the ranked keywords, the latest ones if such hits are few, and the
+    durable ones of the user's own scope, each up to its number; then the items that these link to (also superseded ones if
+    history is asked for); of a topic only the item in force, and superseded ones that were linked to, if asked for.
+    """
+    fields = ("content", "value", "predicate", "subject", "topic_key")
+    asked = queries.select("user_id", ranked_keywords(F.col("query"), TERMS).alias("__terms"), F.col("history").alias("__history"))
+    rows = items.where("status = 'active'").join(asked, "user_id")
+    holds = F.exists("__terms", lambda t: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(c), t), F.lit(False)) for c in fields]))
+    rows = rows.withColumns({"__hit": (F.size("__terms") == 0) | holds, "__own": F.coalesce(F.col("scope") == "user", F.lit(False))})
+    # one sort a user serves all three
+    w = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("id").desc())
+    count = lambda c, over: F.sum(F.col(c).cast("int")).over(over)
+    rows = rows.withColumns({"__n": F.row_number().over(w), "__hits": count("__hit", w), "__owns": count("__own", w), "__found": count("__hit", Window.partitionBy("user_id"))})
+    hit, latest = F.col("__hit") & (F.col("__hits") <= HITS), (F.col("__found") < FEW_HITS) & (F.col("__n") <= LATEST)
+    durable = F.col("__own") & (F.col("__owns") <= DURABLE) & F.col("type").isin(DURABLE_TYPES)
+    seeds = rows.where(hit | latest | durable).select(*items.columns)
+    near = retrieve.expand(seeds, items.join(asked.select("user_id", "__history"), "user_id").where("status = 'active' or __history").drop("__history"), 1, active_only=False, limit=LINKED)
+    resolved = retrieve.resolve_conflicts(seeds.unionByName(near))
+    before = near.where("status = 'superseded'").join(asked.where("__history").select("user_id"), "user_id", "left_semi")
+    return retrieve.union_by_id(resolved, before)
+
+
+def short_term(context: DataFrame) -> DataFrame:
+    """(user_id, short, short_items): the live context entries (user_id, key, value) as text."""
+    line = F.concat(F.lit("• "), "key", F.lit(": "), "value")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", line.alias("line")))), lambda x: x["line"]), "\n")
+    return context.groupBy("user_id").agg(F.concat(F.lit("[Short-Term Context (current state)]\n"), lines).alias("short"), F.count("*").alias("short_items"))
 
 
 def _valued(df: DataFrame) -> DataFrame:
@@ -29,10 +70,13 @@ def _valued(df: DataFrame) -> DataFrame:
 
 
 def message_items(messages: DataFrame) -> DataFrame:
-    """Messages as selectable items; long tool output is cut first."""
-    own = messages.withColumn("content", F.when(F.col("role") == "tool", tool_output(F.col("content"))).otherwise(F.col("content")))
+    """Messages as selectable items; long tool output is cut first, unless a column `untouched` says that it stays."""
+    cut = F.col("role") == "tool"
+    if "untouched" in messages.columns:
+        cut = cut & ~F.col("untouched")
+    own = messages.withColumn("content", F.when(cut, tool_output(F.col("content"))).otherwise(F.col("content")))
     total = F.count("*").over(Window.partitionBy("user_id"))
-    rows = own.join(query_words(messages), "user_id").withColumn("total", total)
+    rows = own.join(query_words(messages).select("user_id", "query"), "user_id").withColumn("total", total)
     rows = rows.withColumn("s", message_scores(F.col("role"), F.col("content"), F.col("ordinal"), F.col("total"), F.col("query")))
     rows = rows.withColumns({"item_id": F.concat(F.lit("msg-"), "ordinal"), "token_cost": message_tokens(F.col("content")), "ordinal": F.col("ordinal").cast("long")})
     return _valued(rows).select(*FIELDS)
@@ -40,7 +84,7 @@ def message_items(messages: DataFrame) -> DataFrame:
 
 def memory_items(items: DataFrame, queries: DataFrame) -> DataFrame:
     """Memory items as selectable items of the users who ask; they come after all messages, by id."""
-    rows = items.join(queries, "user_id")
+    rows = items.join(queries.select("user_id", "query"), "user_id")
     rows = rows.withColumn("s", memory_scores({c: F.col(c) for c in items.columns}, F.col("query")))
     rows = rows.withColumns({"item_id": F.concat(F.lit("mem-"), F.col("id")), "role": F.lit("system"), "token_cost": memory_tokens(F.col("type"), F.col("content")), "ordinal": F.lit(100000) + F.row_number().over(Window.partitionBy("user_id").orderBy("id")).cast("long")})
     return _valued(rows).select(*FIELDS)
@@ -90,10 +134,12 @@ def selected(items: DataFrame, budget: int) -> DataFrame:
     return items.groupBy("user_id").applyInPandas(pick, items.schema)
 
 
-def assembled(chosen: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, position, role, content): the messages to send; memory stands once, in the first system message."""
+def assembled(chosen: DataFrame, items: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """(user_id, position, role, content): the messages to send; memory, then `short` (of `short_term`), stand once, in the first system message."""
     used = chosen.where("kind = 'canonical_memory'").select("user_id", F.expr("substring(item_id, 5)").cast("long").alias("id"))
     blocks = prompt_block(items.join(used, ["user_id", "id"], "left_semi"))
+    if short is not None:
+        blocks = blocks.join(short.select("user_id", "short"), "user_id", "full").select("user_id", F.concat_ws("\n\n", "block", "short").alias("block"))
     rank = F.when(F.col("kind") == "system", 0).when(F.col("kind") == "new_message", 2).otherwise(1)
     turns = chosen.where("kind <> 'canonical_memory'").withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(rank, "ordinal")))
     has = F.max(F.col("kind") == "system").over(Window.partitionBy("user_id"))
@@ -104,13 +150,40 @@ def assembled(chosen: DataFrame, items: DataFrame) -> DataFrame:
     return told.unionByName(lone)
 
 
-def compiled(messages: DataFrame, items: DataFrame | None = None, budget: int = 8000) -> DataFrame:
-    """(user_id, budget, messages_in, tokens_in, selected, tokens_out, memory_used, overflow_tokens) of each request.
+def compiled_parts(messages: DataFrame, items: DataFrame | None = None, budget: int = 8000, context: DataFrame | None = None) -> dict[str, DataFrame]:
+    """`selected` items, the `messages` to send, and `statistics` of each request (a user's messages).
 
-    Mandatory items are never dropped, so a request can exceed its budget; by how much is `overflow_tokens`.
+    What is retrieved of `items` competes with the messages for the budget. A request without memory and context that fits is sent as it is.
+    Mandatory items are never dropped, and the context comes on top, so a request can exceed its budget by `overflow_tokens`.
     """
-    own = message_items(messages)
-    every = own if items is None else own.unionByName(memory_items(items, query_words(messages)))
-    cost_in = own.groupBy("user_id").agg(F.count("*").alias("messages_in"), (F.sum("token_cost") + 3).alias("tokens_in"))
-    out = selected(every, budget).groupBy("user_id").agg(F.count("*").alias("selected"), (F.sum("token_cost") + 3).alias("tokens_out"), F.count_if(F.col("kind") == "canonical_memory").alias("memory_used"))
-    return cost_in.join(out, "user_id", "left").select("user_id", F.lit(budget).alias("budget"), "messages_in", "tokens_in", F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("tokens_out", F.lit(3)).alias("tokens_out"), F.coalesce("memory_used", F.lit(0)).alias("memory_used"), F.greatest(F.lit(0), F.coalesce("tokens_out", F.lit(3)) - 3 - budget).alias("overflow_tokens"))
+    queries = query_words(messages)
+    called = retrieved(items, queries) if items is not None else None
+    short = short_term(context) if context is not None else None
+    size = messages.groupBy("user_id").agg(F.count("*").alias("messages_in"), (F.sum(message_tokens(F.col("content"))) + 3).alias("tokens_in"))
+    plain = size.withColumn("untouched", F.col("tokens_in") <= budget)
+    for more in (called, short):
+        if more is not None:
+            plain = plain.join(more.select("user_id").distinct().withColumn("__more", F.lit(True)), "user_id", "left").withColumn("untouched", F.col("untouched") & F.col("__more").isNull()).drop("__more")
+    own = message_items(messages.join(plain.select("user_id", "untouched"), "user_id"))
+    every = own if called is None else own.unionByName(memory_items(called, queries))
+    chosen = selected(every, budget)
+    sent = assembled(chosen, called if called is not None else _no_items(messages), short)
+    picked = chosen.groupBy("user_id").agg(F.count("*").alias("selected"), F.count_if(F.col("kind") == "canonical_memory").alias("memory_used"))
+    out = sent.groupBy("user_id").agg((F.sum(message_tokens(F.col("content"))) + 3).alias("tokens_out"))
+    stats = size.join(picked, "user_id", "left").join(out, "user_id", "left")
+    stats = stats.join(short.select("user_id", "short_items"), "user_id", "left") if short is not None else stats.withColumn("short_items", F.lit(0).cast("long"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    stats = stats.select(
+        "user_id", F.lit(budget).alias("budget"), "messages_in", "tokens_in", none("selected"), F.coalesce("tokens_out", F.lit(3)).alias("tokens_out"), none("memory_used"), none("short_items"),
+        F.greatest(F.lit(0), F.coalesce("tokens_out", F.lit(3)) - 3 - budget).alias("overflow_tokens"),
+    )
+    return {"selected": chosen, "messages": sent, "statistics": stats}
+
+
+def _no_items(messages: DataFrame) -> DataFrame:
+    return messages.sparkSession.createDataFrame([], MEMORY)
+
+
+def compiled(messages: DataFrame, items: DataFrame | None = None, budget: int = 8000, context: DataFrame | None = None) -> DataFrame:
+    """The statistics of each request: messages and tokens in and out, what was selected, memory used, overflow."""
+    return compiled_parts(messages, items, budget, context)["statistics"]

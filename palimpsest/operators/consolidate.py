@@ -36,6 +36,16 @@ def next_version(items: DataFrame, versions: DataFrame, as_of: Column) -> DataFr
     return state.join(latest_version(versions, state), "user_id").select("user_id", (F.col("version") + 1).alias("version"), F.lit("memory").alias("kind"), "state_json", as_of.alias("created_at"))
 
 
+def action_counts(actions: DataFrame) -> DataFrame:
+    """(user_id, action, n): how often the fold did what."""
+    return actions.groupBy("user_id", "action").agg(F.count("*").alias("n"))
+
+
+def type_counts(items: DataFrame) -> DataFrame:
+    """(user_id, type, n, active)."""
+    return items.groupBy("user_id", "type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
+
+
 def changed(results: DataFrame) -> DataFrame:
     """(user_id, changed): whether any applied action altered the memory."""
     return results.groupBy("user_id").agg(F.bool_or(F.col("action").isin("create", "merge", "supersede", "revoke")).alias("changed"))
@@ -132,6 +142,17 @@ def applied(items: DataFrame, records: DataFrame) -> DataFrame:
     return items.join(gone, ["user_id", "id"], "left").withColumn("status", F.when(F.col("__gone"), "superseded").otherwise(F.col("status"))).drop("__gone")
 
 
+def appended(items: DataFrame, records: DataFrame) -> DataFrame:
+    """All items with the records as items of their own, numbered after the user's highest id, each superseding its first source."""
+    top = items.groupBy("user_id").agg(F.max("id").alias("__top"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("topic_key"))
+    new = records.join(top, "user_id").withColumns({
+        "id": F.col("__top") + nth, "subject": F.col("scope"), "supersedes_id": F.element_at("source_ids", 1), "related_ids": F.col("source_ids"), "contradicts_ids": F.array().cast("array<long>"),
+        "relationship": F.lit("supersedes"), "status": F.lit("active"), "version": F.lit(1),
+    })
+    return applied(items, records).unionByName(new.select(*[c for c in items.columns if c in new.columns]), allowMissingColumns=True)
+
+
 def prompt_block(items: DataFrame) -> DataFrame:
     """(user_id, block): items grouped by type under title-case headings, as text for a prompt; the order is by id."""
     p, v = F.trim(F.coalesce("predicate", F.lit(""))), F.trim(F.coalesce("value", F.lit("")))

@@ -139,13 +139,36 @@ def bucket_counts(c: DataFrame) -> DataFrame:
 
 
 def rich_facts(messages: DataFrame) -> DataFrame:
-    """The richer extractors over every clause; a message's key and value count once, the most confident first."""
+    """The richer extractors over every clause; a message's key and value count once, the first in reading order."""
     rows = messages.select("user_id", "message_key", F.posexplode(boundary_sentences(F.col("content"))).alias("clause", "text"))
     rows = rows.select("user_id", "message_key", "clause", F.posexplode(rich.clause_facts(F.col("text"))).alias("part", "f")).select("user_id", "message_key", "clause", "part", "f.*")
-    w = Window.partitionBy("user_id", "message_key", "attribute", F.lower("value")).orderBy(F.col("confidence").desc(), "clause", "part")
+    w = Window.partitionBy("user_id", "message_key", "fact_key", "value").orderBy("clause", "part")
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def routes(messages: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+    """(user_id, message_key, route, confidence): skip, local, or model where `supplied` has facts of the message.
+
+    `supplied` (user_id, message_key, confidence) are validated facts of a model; nothing here calls one.
+    """
+    by = ["user_id", "message_key"]
+    gate = messages.select(*by, rich.memory_gate(F.col("content")).alias("g"))
+    local = rich_facts(messages).groupBy(*by).agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
+    rows = gate.join(local, by, "left")
+    if supplied is not None:
+        rows = rows.join(supplied.groupBy(*by).agg(F.max("confidence").alias("model_best")), by, "left")
+    else:
+        rows = rows.withColumn("model_best", F.lit(None).cast("double"))
+    some, sure = F.coalesce("n", F.lit(0)) > 0, F.col("g.confidence")
+    skip = ~F.col("g.call_model") & (F.size("g.kinds") == 0)
+    local_only = (some & (sure >= 0.9)) | ~F.col("g.call_model")
+    called = ~skip & ~local_only
+    told = F.greatest("best", "model_best")
+    alone = F.when(some, 0.7).otherwise(0.3) if supplied is None else F.coalesce("best", F.lit(0.3))
+    confidence = F.when(skip, sure).when(called, F.when(F.col("model_best").isNotNull(), told).otherwise(alone)).when(some, sure).otherwise(0.5)
+    return rows.select(*by, F.when(skip, "skip").when(called & F.col("model_best").isNotNull(), "model").otherwise("local").alias("route"), confidence.alias("confidence"))
+
+
 def merged_facts(local: DataFrame, model: DataFrame) -> DataFrame:
     """Local and supplied model facts (user_id, attribute, value, confidence, extra): the most confident of each, local before model."""
     both = local.withColumn("__from", F.lit(0)).unionByName(model.withColumn("__from", F.lit(1)), allowMissingColumns=True)

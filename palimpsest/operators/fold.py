@@ -12,21 +12,20 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.facts import content_topic
 from palimpsest.functions.scoring import candidate_scores, gain_of, similarity_of
+from palimpsest.sources.schemas import ITEM, names
 
 Item = dict[str, Any]
 
-ITEM = (
-    "user_id string, id long, content string, type string, topic_key string, subject string, predicate string, value string, scope string, confidence double, importance double, "
-    "stability double, freshness double, information_gain double, source_message_ids array<string>, supersedes_id long, status string, version int, changed_at long"
-)
 #: Rows of a fold: an `item` of the final state, or an `action` in the order of the candidates with its item and correction.
 ROW = f"kind string, seq long, action string, reason string, corrected_from string, corrected_to string, {ITEM}"
-_NAMES = [x.strip().split(" ")[0] for x in ROW.split(",")]
+_NAMES = names(ROW)
+_TIMES = ["valid_from", "valid_until", "created_at", "updated_at"]
+_LISTS = ["source_message_ids", "contradicts_ids", "related_ids"]
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -59,22 +58,28 @@ def step(items: list[Item], c: Item, new_id: int) -> tuple[str, str, Item | None
     alike = [x for x in active if x["type"] == c["type"]]
     near = {x["id"]: similarity_of(c["content"], x["content"]) for x in alike}
     gain = gain_of(max(near.values(), default=None))
+    now = c.get("as_of")
     told = {k: c[k] for k in ("content", "type", "topic_key", "subject", "predicate", "value", "scope", "confidence", "importance", "stability", "freshness")}
 
+    def changed(x: Item, status: str) -> None:
+        x["status"], x["changed_at"], x["updated_at"], x["version"] = status, c["seq"], now, x["version"] + 1
+
     def written(over: Item | None) -> Item:
         item = told | {
             "user_id": c["user_id"], "id": new_id, "information_gain": gain, "source_message_ids": list(c["source_message_ids"]), "status": "active", "changed_at": c["seq"],
-            "supersedes_id": over["id"] if over else None, "version": over["version"] + 1 if over else 1,
+            "supersedes_id": over["id"] if over else None, "version": over["version"] + 1 if over else 1, "relationship": "supersedes" if over else None,
+            "contradicts_ids": [over["id"]] if over else [], "related_ids": [over["id"]] if over else [],
+            "valid_from": c.get("valid_from") or now, "valid_until": c.get("valid_until"), "created_at": now, "updated_at": now,
         }
         if over:
-            over["status"], over["changed_at"] = "superseded", c["seq"]
+            changed(over, "superseded")
         items.append(item)
         return item
 
     if c["revoked_target"] is not None:
         hit = revoked(c, active)
         for x in hit:
-            x["status"], x["changed_at"] = "revoked", c["seq"]
+            changed(x, "revoked")
         return ("revoke", "revocation", None, None) if hit else ("skip", "no_revocation_target", None, None)
     if c["old_value"] is not None:
         x = corrected(c, active)
@@ -88,7 +93,7 @@ def step(items: list[Item], c: Item, new_id: int) -> tuple[str, str, Item | None
             x["stability"] = min(1.0, max(x["stability"], c["stability"]) + 0.08)
             x["information_gain"] = gain
             x.update({k: c[k] for k in ("subject", "predicate", "value", "scope") if c[k]})
-            x["version"], x["changed_at"] = x["version"] + 1, c["seq"]
+            changed(x, "active")
             return "merge", "near_duplicate", x, None
     for x in alike:
         if c["topic_key"] and (x["topic_key"] or "").strip() == c["topic_key"]:
@@ -101,35 +106,44 @@ def step(items: list[Item], c: Item, new_id: int) -> tuple[str, str, Item | None
     return "create", "new_topic", written(None), None
 
 
-def run(user: str, rows: Iterator[Item], items: list[Item]) -> pd.DataFrame:
-    """Folds a user's candidates, in order, and lists the actions and the final items."""
+def run(user: str, rows: Iterator[Item], items: list[Item], following: int | None = None) -> pd.DataFrame:
+    """Folds a user's candidates, in order, and lists the actions and the final items; new ids go on from the highest."""
     out = []
-    following = max((x["id"] for x in items), default=0) + 1
+    following = following or max((x["id"] for x in items), default=0) + 1
     for c in rows:
         action, reason, item, change = step(items, c, following)
         following += action in ("create", "supersede")
         known = {k: item[k] for k in ("id", "content", "type", "topic_key")} if item else {}
         out.append({"kind": "action", "seq": c["seq"], "action": action, "reason": reason, "user_id": user, "corrected_from": change and change[0], "corrected_to": change and change[1]} | known)
     rows = out + [{"kind": "item"} | x for x in items]
-    return pd.DataFrame([[r.get(n) for n in _NAMES] for r in rows], columns=_NAMES, dtype=object)
+    frame = pd.DataFrame([[r.get(n) for n in _NAMES] for r in rows], columns=_NAMES, dtype=object)
+    for t in _TIMES:
+        frame[t] = pd.to_datetime(frame[t])
+    return frame
+
 
+def prepared(candidates: DataFrame, order: list[str], as_of: Column | None = None) -> DataFrame:
+    """Routed candidates as the fold reads them: scores, flat correction and revocation, and `seq` by user in `order`.
 
-def prepared(candidates: DataFrame, order: list[str]) -> DataFrame:
-    """Routed candidates as the fold reads them: scores, flat correction and revocation, and `seq` by user in `order`."""
+    `as_of`: when they are applied, else their own `as_of`, if they have one; `valid_from` and `valid_until` are theirs.
+    """
+    time = lambda n: (F.col(n) if n in candidates.columns else F.lit(None)).cast("timestamp")
     s = candidate_scores(F.col("content"), F.col("type"), F.col("authority"), F.col("is_correction"))
     rows = candidates.withColumn("s", s).withColumn("topic_key", F.coalesce(F.nullif("topic_key", F.lit("")), content_topic(F.col("content"), F.col("type"))))
     return rows.select(
         "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).cast("long").alias("seq"), "content", "type", "topic_key", "authority", "is_correction",
         "subject", "predicate", "value", "scope", "s.confidence", "s.importance", "s.stability", "s.freshness", F.array("message_key").alias("source_message_ids"),
         F.col("correction.old_value").alias("old_value"), F.col("correction.new_value").alias("new_value"), F.col("revocation.target").alias("revoked_target"),
-        F.coalesce("revocation.value", F.lit("")).alias("revoked_value"),
+        F.coalesce("revocation.value", F.lit("")).alias("revoked_value"), (time("as_of") if as_of is None else as_of.cast("timestamp")).alias("as_of"),
+        time("valid_from").alias("valid_from"), time("valid_until").alias("valid_until"),
     )
 
 
 def _plain(frame: pd.DataFrame) -> list[Item]:
     rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
     for r in rows:
-        r["source_message_ids"] = list(r["source_message_ids"]) if r["source_message_ids"] is not None else []
+        for k in _LISTS:
+            r[k] = list(r[k]) if r.get(k) is not None else []
         r["supersedes_id"] = int(r["supersedes_id"]) if r.get("supersedes_id") is not None else None
     return rows
 
@@ -139,12 +153,14 @@ def fold(ready: DataFrame, items: DataFrame | None = None) -> DataFrame:
     order = lambda f: f.sort_values("seq")
     if items is None:
         return ready.groupBy("user_id").applyInPandas(lambda key, f: run(key[0], iter(_plain(order(f))), []), ROW)
+    have = [F.col(n) if n in items.columns else F.lit(None).cast(k).alias(n) for n, k in (x.strip().split(" ", 1) for x in ITEM.split(", "))]
+    items = items.select(*have)
     both = lambda key, f, g: run(key[0], iter(_plain(order(f))), _plain(g.sort_values("id")))
     return ready.groupBy("user_id").cogroup(items.groupBy("user_id")).applyInPandas(both, ROW)
 
 
 def state(rows: DataFrame) -> DataFrame:
-    return rows.where("kind = 'item'").select(*[x.strip().split(" ")[0] for x in ITEM.split(",")])
+    return rows.where("kind = 'item'").select(*names(ITEM))
 
 
 def actions(rows: DataFrame) -> DataFrame:
@@ -156,6 +172,11 @@ def corrections(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'action' and action = 'supersede' and corrected_to is not null").select("user_id", "seq", F.col("topic_key").alias("target"), F.col("corrected_from").alias("old_value"), F.col("corrected_to").alias("new_value"), F.lit("active").alias("status"))
 
 
-def dumped(items: list[Item]) -> str:
-    """A user's items as state text."""
-    return json.dumps(items, sort_keys=True)
+def dumped(items: list[Item], following: int) -> str:
+    """A user's active items, and the next id, as state text: what is over can't be changed again."""
+    return json.dumps({"items": [x for x in items if x["status"] == "active"], "next": following}, sort_keys=True, default=lambda t: None if pd.isna(t) else t.isoformat())
+
+
+def loaded(text: str) -> tuple[list[Item], int]:
+    kept = json.loads(text)
+    return kept["items"], kept["next"]

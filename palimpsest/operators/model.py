@@ -158,7 +158,9 @@ def validated(rows: DataFrame, source: str = "source") -> DataFrame:
     out = out.withColumn("part", F.explode(parts)).withColumn("attribute", F.when(F.col("attribute") == "database", "database").otherwise(F.col("part.attribute")))
     out = out.withColumn("c", F.when(F.col("attribute") == "preference", comparison(F.col("part.value"))).otherwise(F.struct(clean_value(F.col("part.value")).alias("value"), F.lit(None).cast("string").alias("preferred_over"))))
     value = F.col("c.value")
-    by = Window.partitionBy(*keep) if keep else Window.partitionBy(F.lit(0))
+    if not keep:
+        raise ValueError("facts need columns that name their message")
+    by = Window.partitionBy(*keep)
     out = out.withColumn("project", F.max(F.when(F.col("attribute") == "project", value)).over(by)).withColumn("names", F.collect_set(F.when(F.col("attribute") == "name", F.lower(value))).over(by))
     owned = F.col("attribute").isin(USER_OWNED)
     scope = F.when(F.col("attribute") == "experiment", "session").when(F.col("attribute") == "project", "project").when(owned, "user").otherwise(F.coalesce(F.lower("scope"), F.lit("user")))
@@ -187,11 +189,25 @@ def compile_versions(compiled: DataFrame, latest: DataFrame, as_of: Column) -> D
 
 
 def latency_report(samples: DataFrame) -> DataFrame:
-    """(name, avg, p50, p95, n): percentiles are the element at floor(n * p) of the sorted values."""
-    n = F.size("v")
-    at = lambda p: F.element_at("v", F.least(n, F.floor(n * F.lit(p)).cast("int") + 1))
-    rows = samples.groupBy("name").agg(F.round(F.avg("ms"), 1).alias("avg"), F.array_sort(F.collect_list("ms")).alias("v"))
-    return rows.select("name", "avg", F.round(at(0.5), 1).alias("p50"), F.round(at(0.95), 1).alias("p95"), n.alias("n"))
+    """(name, avg, p50, p95, n): percentiles are the element at floor(n * p) of the sorted values.
+
+    A histogram (64 buckets an octave) tells in which bucket that element is; only that bucket's distinct values are then
+    ordered, so no task holds or sorts a name's values.
+    """
+    ms = F.col("ms")
+    octave = lambda x: F.floor(F.log2(x) * 64)
+    # in the order of the values: those below zero, zero, those above
+    rows = samples.where("ms is not null").select("name", "ms", F.when(ms > 0, octave(ms)).when(ms == 0, -100_000).otherwise(-200_000 - octave(-ms)).alias("b"))
+    counts = rows.groupBy("name", "b").agg(F.count("*").alias("c"))
+    own = Window.partitionBy("name")
+    counts = counts.withColumns({"upto": F.sum("c").over(own.orderBy("b")), "n": F.sum("c").over(own)}).withColumn("p", F.explode(F.array(F.lit(0.5), F.lit(0.95))))
+    at = F.least(F.col("n"), F.floor(F.col("n") * F.col("p")) + 1)
+    there = counts.where((at > F.col("upto") - F.col("c")) & (at <= F.col("upto"))).select("name", "b", "p", (at - F.col("upto") + F.col("c")).alias("k"))
+    values = rows.join(there, ["name", "b"]).groupBy("name", "p", "k", "ms").agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy("name", "p").orderBy("ms"))).where("upto >= k")
+    found = values.groupBy("name").agg(*[F.round(F.min(F.when(F.col("p") == p, F.col("ms"))), 1).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))])
+    means = rows.groupBy("name").agg(F.round(F.avg("ms"), 1).alias("avg"), F.count("*").cast("int").alias("n"))
+    return means.join(found, "name").select("name", "avg", "p50", "p95", "n")
 
 
 def reduction(compiled: DataFrame) -> DataFrame:

@@ -37,3 +37,30 @@ STACK = [
     ("s", 4, "framework", "user.framework", "user", "Hono", 0.7), ("s", 5, "language", "user.language", "user", "JavaScript", 0.4), ("t", 1, "language", "project.language", "project", "Go", 0.9),
     ("t", 2, "", "project.hosting", "project", "vercel", 0.6), ("t", 3, "notes", "project.notes", "project", "runs postgres", 0.5), ("t", 4, "favorite_color", "preference:favorite_color", "user", "red", 0.9), ("v", 1, "language", "user.language", "user", "C", 0.9),
 ]
+
+#: Sentences of the richer extractors and what they must give: place, kind, attribute, value, state, confidence.
+RICH = [
+    "My name is Ada Stone. I use Cloudflare Workers.", "I used to use Supabase but now I use Neon Postgres.", "I don't like MongoDB anymore, I stopped using it last year.", "I prefer tea", "I avoid Java",
+    "I am not a fan of PHP", "my laptop is a ThinkPad", "My favorite color is green", "I am a freelance developer", "I want to use GraphQL for my next project.", "I plan to migrate to Bun.",
+    "I might switch to Deno later.", "I decided to use Hono for routing.", "I'm testing Rust", "I am 19 years old", "I have a headache", "If it works then I will use Bun", "We're using Kafka without Zookeeper",
+    "I prefer Material UI over Ant Design.",
+]
+RICH_FACTS = [
+    (0, "identity", "name", "Ada Stone", "current", 1.0), (0, "usage", "technology", "Cloudflare Workers", "current", 0.98), (1, "past_usage", "technology", "Supabase", "past", 0.95),
+    (1, "usage", "technology", "Neon Postgres", "current", 0.98), (2, "dislike", "dislike", "MongoDB", "current", 0.95), (3, "preference", "preference", "tea", "current", 0.98), (4, "dislike", "dislike", "Java", "current", 0.92),
+    (5, "identity", "location", "not a fan of PHP", "current", 1.0), (5, "dislike", "dislike", "PHP", "current", 0.85), (6, "ownership", "laptop", "a ThinkPad", "current", 0.95),
+    (7, "ownership", "favorite color", "green", "current", 0.95), (8, "identity", "occupation", "a freelance developer", "current", 0.95), (9, "goal", "goal", "use GraphQL for my next project", "planned", 0.95),
+    (10, "plan", "plan", "migrate to Bun", "planned", 0.95), (11, "possible_plan", "plan", "switch to Deno later", "possible", 0.7), (12, "decision", "decision", "use Hono for routing", "current", 0.95),
+    (13, "identity", "location", "testing Rust", "current", 1.0), (13, "temporary", "temporary_state", "Rust", "current", 0.4), (14, "identity", "age", "19", "current", 1.0), (16, "conditional", "plan", "Bun", "conditional", 0.6),
+    (17, "usage", "technology", "Kafka without Zookeeper", "stopped", 0.95), (18, "preference", "ui_library", "Material UI", "current", 0.98),
+]
+#: Texts at the memory gate: whether a model is called, confidence, reason, kinds.
+GATES = [
+    ("hey there!", False, 0.99, "greeting_or_acknowledgement", ""), ("Hello.", False, 0.99, "greeting_or_acknowledgement", ""), ("ok", False, 0.99, "low_info", ""), ("thanks!", False, 0.99, "low_info", ""),
+    ("Ok great thanks", False, 0.99, "low_info", ""), ("nope", False, 0.99, "low_info", ""), ("What is the capital of France?", False, 0.99, "pure_question", ""),
+    ("I use Cloudflare Workers with D1 for storage.", False, 0.95, "local_patterns", "usage"), ("I used to use Supabase but now I use Neon Postgres.", False, 0.95, "local_patterns", "past_usage,usage"),
+    ("I am Ada Stone", True, 0.5, "ambiguous_semantic", "ambiguous"), ("haha", False, 0.85, "no_memory_keywords", ""), ("lgtm", False, 0.85, "no_memory_keywords", ""),
+    ("Tell me what database we use", True, 0.5, "ambiguous_semantic", "ambiguous"), ("My favorite color is green", False, 0.95, "local_patterns", "favorite"), ("", False, 0.99, "empty", ""),
+]
+ROUTED = ["hey there, thanks!", "I prefer Material UI over Ant Design.", "I am Ada Stone", "The sky looked odd from here"]
+ROUTES = [(0, "skip", 0.85), (1, "local", 0.95), (2, "local", 0.7), (3, "local", 0.3)]

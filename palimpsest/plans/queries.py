@@ -14,6 +14,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators import compile as packing
 from palimpsest.operators import consolidate, context, extract, fold, messages, model, retrieve
 from palimpsest.plans import golden as G
+from palimpsest.streaming import streams
 from palimpsest.sources.tables import EVENT_TYPES, conversation_messages, event_memory, normalized, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,7 +376,7 @@ def context_version(spark, d):
 
 @query(f"WITH {_MEM} SELECT user_id, type, count(*) AS n, count(*) FILTER (status = 'active') AS active FROM mem GROUP BY ALL")
 def status_counts(spark, d):
-    return event_memory(spark, d).groupBy("user_id", "type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
+    return consolidate.type_counts(event_memory(spark, d))
 
 
 def _stack(spark: SparkSession) -> DataFrame:
@@ -443,14 +444,14 @@ def rate_limit_count(spark, d):
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_window(spark, d):
-    own = read(spark, d, "events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return own.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+    own = streams.tumbling(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "6 hours", "1 hour")
+    return own.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, k")
 def session_window(spark, d):
-    own = read(spark, d, "events").groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count("*").alias("n"))
-    return own.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "n")
+    own = streams.sessions(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "2 hours", "1 hour")
+    return own.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
 # extraction -----------------------------------------------------------------------------------------------------
@@ -493,9 +494,9 @@ def extract_possessive(spark, d):
     return _facts(spark, G.STATEMENTS, facts.possessive)
 
 
-@query("SELECT * FROM (VALUES (2, 'user', 'name', 'Ada', 'fact'), (3, 'database', 'database', 'Neon', 'decision'), (4, 'port', 'port', '8080', 'fact'), (5, 'goal', 'goal', 'growth', 'goal')) v(i, entity, attribute, value, memory_type)")
+@query("SELECT * FROM (VALUES (2, 'user', 'name', 'Ada', 'fact'), (3, 'database', 'database', 'Neon', 'decision'), (4, 'port', 'port', '8080', 'fact'), (5, 'goal', 'goal', 'growth', 'goal'), (9, 'We', 'We', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)")
 def extract_is(spark, d):
-    return _facts(spark, G.STATEMENTS, facts.the_is).where("i between 2 and 5")
+    return _facts(spark, G.STATEMENTS, facts.the_is)
 
 
 @query("SELECT * FROM (VALUES (6, 'user', 'location', 'Oslo', 'fact'), (7, 'user', 'location', 'Rome', 'fact')) v(i, entity, attribute, value, memory_type)")
@@ -531,15 +532,25 @@ def extract_labelled(spark, d):
     return x.where("c is not null").select("i", "c.memory_type", "c.body")
 
 
-@query()
+@query("SELECT i, kind, attribute, value, state, confidence::DOUBLE AS confidence FROM " + _values(G.RICH_FACTS, "i, kind, attribute, value, state, confidence"))
 def rich_facts(spark, d):
-    m = normalized(_frame(spark, G.STATEMENTS + G.PREFERENCES + G.USES).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
-    return extract.rich_facts(m).select("message_key", "kind", "attribute", "value", "state", "confidence")
+    m = normalized(_frame(spark, G.RICH).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
+    found = extract.rich_facts(m).join(m.select("message_key", F.col("ordinal").alias("i")), "message_key")
+    return found.select("i", "kind", "attribute", "value", "state", "confidence")
 
 
-@query()
+@query("SELECT i, call_model, confidence::DOUBLE AS confidence, reason, kinds FROM " + _values([(i, *x[1:]) for i, x in enumerate(G.GATES)], "i, call_model, confidence, reason, kinds"))
 def memory_gate(spark, d):
-    return _frame(spark, G.SENTENCES).select("i", rich.memory_gate(F.col("s")).alias("g")).select("i", "g.*")
+    rows = _frame(spark, [x[0] for x in G.GATES]).withColumn("composed", T.nfkc(F.col("s")))
+    rows = rows.select("i", rich.memory_gate(F.col("s"), F.col("composed")).alias("g"))
+    return rows.select("i", "g.call_model", "g.confidence", "g.reason", F.array_join("g.kinds", ",").alias("kinds"))
+
+
+@query("SELECT i, route, confidence::DOUBLE AS confidence FROM " + _values(G.ROUTES, "i, route, confidence"))
+def route(spark, d):
+    said = [x for x in G.ROUTED]
+    m = normalized(_frame(spark, said).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
+    return extract.routes(m).join(m.select("message_key", F.col("ordinal").alias("i")), "message_key").select("i", "route", "confidence")
 
 
 @query("SELECT * FROM (VALUES ('u1', 'database', 'Neon', 'fact', 0.9::DOUBLE), ('u2', 'uses', 'Redis', 'decision', 1.0::DOUBLE)) v(user_id, attribute, value, type, confidence)")
@@ -612,25 +623,54 @@ def knapsack(spark, d):
     return packing.selected(packing.message_items(conversation_messages(spark, d)), 300).select("user_id", "item_id", "token_cost", "mandatory")
 
 
+_ASKED = "a AS (SELECT DISTINCT user_id, CASE WHEN user_id::BIGINT % 2 = 0 THEN ['purchase', 'click'] ELSE ['nowhere'] END AS words, user_id::BIGINT % 3 = 0 AS history FROM mem)"
+
+
+@query(f"""WITH {_MEM}, {_ASKED}, act AS (SELECT m.*, len(list_filter(words, lambda w: contains(content, w) OR contains(value, w) OR contains(predicate, w) OR contains(subject, w) OR contains(topic_key, w))) > 0 AS hit FROM mem m JOIN a USING (user_id) WHERE status = 'active'),
+r AS (SELECT *, sum(hit::INTEGER) OVER w AS hits, row_number() OVER w AS n, sum((scope = 'user')::INTEGER) OVER w AS owns, sum(hit::INTEGER) OVER (PARTITION BY user_id) AS found FROM act WINDOW w AS (PARTITION BY user_id ORDER BY updated_at DESC, id DESC ROWS UNBOUNDED PRECEDING)),
+seeds AS (SELECT user_id, id FROM r WHERE (hit AND hits <= 40) OR (found < 4 AND n <= 20) OR (scope = 'user' AND owns <= 40 AND type IN ('fact', 'preference', 'constraint'))),
+linked AS (SELECT m.user_id, m.id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.id DESC) AS n FROM seeds s JOIN mem l USING (user_id, id) JOIN mem m ON m.user_id = l.user_id AND m.id = l.supersedes_id JOIN a ON a.user_id = m.user_id
+ WHERE (m.status = 'active' OR (history AND m.status <> 'revoked')) AND NOT EXISTS (SELECT 1 FROM seeds x WHERE x.user_id = m.user_id AND x.id = m.id)),
+near AS (SELECT user_id, id FROM linked WHERE n <= 20), gathered AS (SELECT * FROM seeds UNION SELECT * FROM near),
+res AS (SELECT m.user_id, m.id, row_number() OVER (PARTITION BY m.user_id, m.topic_key ORDER BY m.version DESC, m.updated_at DESC, m.id DESC) AS n FROM gathered JOIN mem m USING (user_id, id)),
+got AS (SELECT user_id, id FROM res WHERE n = 1 UNION SELECT user_id, near.id FROM near JOIN a USING (user_id) JOIN mem m USING (user_id, id) WHERE history AND m.status = 'superseded')
+SELECT m.user_id, m.id, m.content, m.status FROM got JOIN mem m USING (user_id, id)""")
+def retrieved(spark, d):
+    """What requests of every user call for: some hit keywords, some have few hits, some ask for history."""
+    m = event_memory(spark, d)
+    even = F.col("user_id").cast("long") % 2 == 0
+    q = m.select("user_id").distinct().select("user_id", F.when(even, F.array(F.lit("purchase"), F.lit("click"))).otherwise(F.array(F.lit("nowhere"))).alias("query"), (F.col("user_id").cast("long") % 3 == 0).alias("history"))
+    return packing.retrieved(m, q).select(*_SHOWN)
+
+
 @query()
 def compile_context(spark, d):
-    return packing.compiled(conversation_messages(spark, d), event_memory(spark, d).where("status = 'active'"), 500)
+    return packing.compiled(conversation_messages(spark, d), event_memory(spark, d), 500)
 
 
 @query()
 def assembled_context(spark, d):
-    m, items = conversation_messages(spark, d), event_memory(spark, d).where("status = 'active'")
-    every = packing.message_items(m).unionByName(packing.memory_items(items, packing.query_words(m)))
-    return packing.assembled(packing.selected(every, 500), items)
+    return packing.compiled_parts(conversation_messages(spark, d), event_memory(spark, d), 500)["messages"]
 
 
-@query("SELECT * FROM (VALUES ('[1,2,2]', '[\"a\",\"b\"]'), ('[]', '[]'), ('[7]', '[\"x\"]')) v(ids, sources)")
+@query("SELECT * FROM (VALUES ('a', 'Database: self-hosted PostgreSQL', 'supersedes', true), ('a', 'blue', 'supersedes', true), ('b', 'light theme', 'supersedes', true), ('c', 'Database: Turso', 'supersedes', true)) v(user_id, content, relationship, linked)")
+def ingest_search(spark, d):
+    """The script ingested, then read back by recency, resolved, as of its moment, and from its links."""
+    from palimpsest import api
+
+    rows = [(u, i, "user", s) for u, said in G.SCRIPT for i, s in enumerate(said)]
+    m = spark.createDataFrame(rows, "user_id string, ordinal int, role string, content string")
+    memory = api.ingest(m, normalized(m).limit(0), None, AS_OF)["memory"]
+    live = retrieve.as_of(retrieve.resolve_conflicts(retrieve.retrieve(memory, "recent", 50)), AS_OF)
+    linked = retrieve.expand(live, memory, 1, active_only=False).select("user_id", F.col("id").alias("supersedes_id")).withColumn("linked", F.lit(True))
+    return live.join(linked, ["user_id", "supersedes_id"], "left").select("user_id", "content", "relationship", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+@query("SELECT * FROM (VALUES ('[1,2]', '[\"a\",\"b\"]'), ('[]', '[]'), ('[7]', '[\"x\"]')) v(ids, sources)")
 def json_ids(spark, d):
     rows = [("[1,2,2]", '["a","b","a"]'), ("oops", "{}"), ("[7]", '["x"]')]
     f = spark.createDataFrame(rows, "a string, b string")
-    ids = F.array_distinct(F.coalesce(F.from_json("a", "array<long>"), F.array().cast("array<long>")))
-    src = F.array_distinct(F.coalesce(F.from_json("b", "array<string>"), F.array().cast("array<string>")))
-    return f.select(F.to_json(ids).alias("ids"), F.to_json(src).alias("sources"))
+    return f.select(T.ids_text(T.ids(F.col("a"))).alias("ids"), T.ids_text(T.ids(F.col("b"), "string")).alias("sources"))
 
 
 _NORMAL = ["I\u2019m fine!!  It's \u201cok\u201d", "Don't  stop...", "  plain "]
@@ -842,5 +882,3 @@ def conversation_state(spark, d):
 def conversation_corrections(spark, d):
     return fold.corrections(_folded(spark, d))
 
-
-SQL["q_json_ids"] = SQL["q_json_ids"].replace("[1,2,2]", "[1,2]")

@@ -6,6 +6,14 @@ MEMORY = (
     "importance double, stability double, freshness double, information_gain double, source_message_ids array<string>, supersedes_id long, contradicts_ids array<long>, "
     "related_ids array<long>, relationship string, status string, version int, valid_from timestamp, valid_until timestamp, created_at timestamp, updated_at timestamp"
 )
+#: The memory as the fold writes it: `changed_at` is the place, in the user's candidates, of what changed an item last.
+ITEM = f"{MEMORY}, changed_at long"
+
+
+def names(layout: str) -> list[str]:
+    return [x.strip().split(" ")[0] for x in layout.split(", ")]
+
+
 CORRECTIONS = "user_id string, target string, old_value string, new_value string, status string, source_message_ids array<string>, created_at timestamp"
 CONTEXT_VERSIONS = "user_id string, version int, kind string, state_json string, source_message_ids array<string>, created_at timestamp"
 USERS = "user_id string, created_at timestamp"

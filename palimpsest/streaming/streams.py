@@ -75,10 +75,11 @@ def folded(ready: DataFrame) -> DataFrame:
     """The fold over a stream of prepared candidates, in the order of their arrival, within a batch by `seq`: its actions."""
 
     def go(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items = json.loads(state.get[0]) if state.exists else []
+        items, following = fold.loaded(state.get[0]) if state.exists else ([], 1)
         for f in frames:
-            out = fold.run(key[0], iter(fold._plain(f.sort_values("seq"))), items)
+            out = fold.run(key[0], iter(fold._plain(f.sort_values("seq"))), items, following)
+            following = max([following - 1, *(x["id"] for x in items)]) + 1
             yield out[out.kind == "action"][["user_id", "seq", "action", "reason", "id", "content"]]
-        state.update((fold.dumped(items),))
+        state.update((fold.dumped(items, following),))
 
     return ready.groupBy("user_id").applyInPandasWithState(go, "user_id string, seq long, action string, reason string, id long, content string", "items string", "append", GroupStateTimeout.NoTimeout)
