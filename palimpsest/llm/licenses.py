@@ -1,12 +1,14 @@
 """License scans: Aho-Corasick finds identifier tags and notice phrases, a shunting-yard parser evaluates expressions.
 
-A text is lower-cased (A-Z) and cut into words; phrases are found where their words stand one after another, all of them
-in one pass of an automaton over the whole text. Where a tag of an SPDX identifier is found, the expression that
-follows it in the original text is parsed: `with` binds closer than `and`, `and` closer than `or`.
+A text is lower-cased (A-Z) and cut into words; phrases and the words of a tag are found where they stand one after
+another, all of them in one pass of an automaton over the whole text. Where the words of a tag are written as
+`SPDX-License-Identifier:`, the rest of the line in the original text is parsed as an expression: `with` binds closer
+than `and`, `and` closer than `or`.
 
-Score: how freely the text may be used, 0 to 1, as FREEDOM has it for a label. An expression scores its parts' minimum for
-`and`, maximum for `or`, and the mean of its part and 1 for `with` (an exception grants more). A text scores the minimum
-over its expressions and the labels of its phrases, but for notices whose label an expression names, and 0.5 if it has neither.
+Score: how freely the text may be used, 0 to 1, as FAMILIES has it for a label. An expression scores its parts' minimum for
+`and`, maximum for `or`, and the mean of its part and 1 for `with` a known exception (it grants more). A text scores the
+minimum over its expressions and the labels of its phrases, but for notices whose label an expression names, and 0.5 if
+it has neither. An identifier of no known family has no label and counts as 0.5.
 
 Defined results: a null or empty text has no words, no labels ('') and the score 0.5; a malformed expression adds the
 labels of its known identifiers, without a score. Rows with equal or null ids are scanned each by itself. An empty
@@ -24,34 +26,82 @@ from palimpsest.llm.base import per_batch, table
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Phrases of well-known notices, and their labels.
-NOTICES = {
-    "apache license version 2 0": "apache-2.0",
-    "mit license": "mit",
-    "permission is hereby granted free of charge": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "bsd license": "bsd",
-    "mozilla public license": "mpl",
-    "lesser general public license": "lgpl",
-    "affero general public license": "agpl",
-    "cc by sa": "cc-by-sa",
-    "cc by nc": "cc-by-nc",
-    "cc by nd": "cc-by-nd",
-    "cc0": "cc0",
-    "public domain": "public-domain",
-    "unlicense": "unlicense",
-    "boost software license": "bsl-1.0",
-    "isc license": "isc",
+#: Families of licences by label: how freely a text under them may be used, what their identifiers are
+#: or begin with (before a hyphen), and the words of their notices.
+FAMILIES: dict[str, tuple[float, list[str], list[str]]] = {
+    "0bsd": (1.0, ["0bsd"], []),
+    "beerware": (1.0, ["beerware"], ["beer ware license"]),
+    "cc0": (1.0, ["cc0"], ["cc0", "creative commons zero"]),
+    "mit-0": (1.0, ["mit-0"], []),
+    "public-domain": (1.0, ["public-domain", "pddl"], ["public domain"]),
+    "unlicense": (1.0, ["unlicense"], ["unlicense"]),
+    "wtfpl": (1.0, ["wtfpl"], ["do what the fuck you want to public license"]),
+    "bsd": (0.95, ["bsd"], ["bsd license", "redistribution and use in source and binary forms"]),
+    "bsl-1.0": (0.95, ["bsl-1.0"], ["boost software license"]),
+    "isc": (0.95, ["isc"], ["isc license"]),
+    "mit": (0.95, ["mit"], ["mit license", "permission is hereby granted free of charge"]),
+    "mulan": (0.95, ["mulanpsl"], ["mulan psl"]),
+    "ncsa": (0.95, ["ncsa"], ["university of illinois ncsa open source license"]),
+    "postgresql": (0.95, ["postgresql"], ["postgresql license"]),
+    "unicode": (0.95, ["unicode"], ["unicode license"]),
+    "upl": (0.95, ["upl"], ["universal permissive license"]),
+    "w3c": (0.95, ["w3c"], ["w3c software notice and license"]),
+    "x11": (0.95, ["x11", "xfree86"], ["x11 license"]),
+    "zlib": (0.95, ["zlib", "libpng"], ["zlib license", "zlib libpng license"]),
+    "apache-1": (0.9, ["apache-1.0", "apache-1.1"], ["apache license version 1 0", "apache license version 1 1", "apache software license"]),
+    "apache-2.0": (0.9, ["apache-2.0"], ["apache license version 2 0", "apache license 2 0"]),
+    "cecill-b": (0.9, ["cecill-b"], ["cecill b"]),
+    "php": (0.9, ["php"], ["php license"]),
+    "python": (0.9, ["python", "psf"], ["python software foundation license"]),
+    "ruby": (0.9, ["ruby"], ["ruby license"]),
+    "afl": (0.85, ["afl"], ["academic free license"]),
+    "cc-by": (0.85, ["cc-by"], []),
+    "ecl": (0.85, ["ecl"], ["educational community license"]),
+    "odc-by": (0.85, ["odc-by"], ["open data commons attribution license"]),
+    "ofl": (0.85, ["ofl"], ["sil open font license"]),
+    "openssl": (0.85, ["openssl"], ["openssl license"]),
+    "artistic": (0.8, ["artistic", "clartistic"], ["artistic license"]),
+    "json": (0.8, ["json"], ["the software shall be used for good not evil"]),
+    "ms-pl": (0.8, ["ms-pl"], ["microsoft public license"]),
+    "mpl": (0.7, ["mpl"], ["mozilla public license"]),
+    "vim": (0.7, ["vim"], ["vim license"]),
+    "cddl": (0.65, ["cddl"], ["common development and distribution license"]),
+    "cpl": (0.65, ["cpl"], ["common public license"]),
+    "epl": (0.65, ["epl"], ["eclipse public license"]),
+    "ipl": (0.65, ["ipl"], ["ibm public license"]),
+    "apsl": (0.6, ["apsl"], ["apple public source license"]),
+    "cc-by-sa": (0.6, ["cc-by-sa"], ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"]),
+    "cecill-c": (0.6, ["cecill-c"], ["cecill c"]),
+    "lgpl": (0.6, ["lgpl", "lgpllr"], ["lesser general public license", "library general public license"]),
+    "ms-rl": (0.6, ["ms-rl"], ["microsoft reciprocal license"]),
+    "odbl": (0.6, ["odbl"], ["open database license"]),
+    "eupl": (0.5, ["eupl"], ["european union public licence", "european union public license"]),
+    "gfdl": (0.5, ["gfdl"], ["gnu free documentation license"]),
+    "cecill": (0.45, ["cecill"], ["cecill"]),
+    "osl": (0.45, ["osl"], ["open software license"]),
+    "qpl": (0.45, ["qpl"], ["q public license"]),
+    "sleepycat": (0.45, ["sleepycat"], ["sleepycat license"]),
+    "gpl": (0.4, ["gpl"], []),
+    "agpl": (0.3, ["agpl"], ["affero general public license"]),
+    "cc-by-nc": (0.2, ["cc-by-nc"], ["cc by nc", "creative commons attribution noncommercial"]),
+    "cc-by-nd": (0.2, ["cc-by-nd"], ["cc by nd", "creative commons attribution noderivatives"]),
+    "commons-clause": (0.2, [], ["commons clause"]),
+    "elastic": (0.2, ["elastic"], ["elastic license"]),
+    "polyform": (0.2, ["polyform"], ["polyform noncommercial license"]),
+    "busl": (0.15, ["busl"], ["business source license"]),
+    "sspl": (0.15, ["sspl"], ["server side public license"]),
+    "confidential": (0.0, [], ["proprietary and confidential"]),
+    "reserved": (0.0, [], []),
 }
-
-#: How freely a text under a label may be used.
-FREEDOM = {
-    "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "mit": 0.95, "isc": 0.95, "bsd": 0.95, "bsl-1.0": 0.95, "apache-2.0": 0.9,
-    "cc-by": 0.85, "mpl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "reserved": 0.0,
-}
+FREEDOM = {label: freedom for label, (freedom, _, _) in FAMILIES.items()}
+NOTICES = {phrase: label for label, (_, _, phrases) in FAMILIES.items() for phrase in phrases}
+#: Identifiers' beginnings, the longer first.
+_NAMES = sorted(((name, label) for label, (_, names, _) in FAMILIES.items() for name in names), key=lambda x: (-len(x[0]), x[0]))
+#: Exceptions are named so, or are one of these.
+_EXCEPTION = re.compile(r"[a-z0-9.-]+-exception(?:-[0-9.]+)?")
+_OTHER_EXCEPTIONS = {"gpl-cc-1.0", "linux-syscall-note", "shl-2.0", "shl-2.1"}
 
 _TAG = " spdx license identifier "
-_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -59,11 +109,19 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: A word in the original text.
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 def label_of(identifier: str) -> str | None:
-    """The label of an SPDX identifier: the family whose name it has or begins with."""
+    """The label of an SPDX identifier: the family whose name it has or, before a hyphen, begins with."""
     x = identifier.lower().rstrip("+")
-    families = sorted(FREEDOM, key=len, reverse=True)
-    return next((f for f in families if x == f or x.startswith(f + "-")), None)
+    return next((label for name, label in _NAMES if x == name or x.startswith(name + "-")), None)
+
+
+def is_exception(identifier: str) -> bool:
+    x = identifier.lower()
+    return x in _OTHER_EXCEPTIONS or _EXCEPTION.fullmatch(x) is not None
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -112,9 +170,9 @@ def evaluate(expression: str) -> tuple[set[str], float | None]:
     for i, token in enumerate(order):
         if token in _RANK:
             b, a = stack.pop(), stack.pop()
-            stack.append(min(a, b) if token == "and" else max(a, b) if token == "or" else (a + 1) / 2)
+            stack.append(min(a, b) if token == "and" else max(a, b) if token == "or" else (a + b) / 2 if b else a)
         elif i + 1 < len(order) and order[i + 1] == "with":
-            stack.append(1.0)  # an exception's name, no licence
+            stack.append(float(is_exception(token)))  # no licence: 1 grants more, 0 nothing
         else:
             name = label_of(token)
             labels |= {name} if name else set()
@@ -140,9 +198,29 @@ def automaton():
     return _automaton
 
 
+def expressions(raw: bytes, firsts: list[int]) -> list[str]:
+    """What follows the tags whose first words have these numbers, where they are written as tags, up to the line's end."""
+    out = []
+    wanted = iter(firsts)
+    at = next(wanted, None)
+    spans: list[tuple[int, int]] = []
+    for i, m in enumerate(_WORD.finditer(raw)):
+        if at is None:
+            break
+        if i >= at:
+            spans.append(m.span())
+        if len(spans) == 3:
+            (_, a), (b, c), (d, e) = spans
+            if raw[a:b] == raw[c:d] == b"-" and raw[e : e + 1] == b":":
+                out.append(re.split(rb"[\r\n]", raw[e + 1 :], maxsplit=1)[0].decode("utf-8", "replace"))
+            spans, at = [], next(wanted, None)
+    return out
+
+
 def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = raw.translate(_WORDS).split()
     flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     base: set[str] = set()
     more: set[str] = set()
@@ -150,25 +228,23 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     said: set[str] = set()
     scores: list[float] = []
     starts: list[int] = []
-    tagged = False
+    tags: list[int] = []
     for end, (back, label, is_base) in automaton().iter(flat):
         if label is None:
-            tagged = True
+            tags.append(end - back)
         elif is_base:
             base.add(label)
             starts.append(end - back)
         else:
             more.add(label)
-    if tagged:
-        for expression in _EXPRESSION.findall(text or ""):
-            labels, score = evaluate(expression)
-            named |= labels
-            if score is not None:
-                scores.append(score)
-                said |= labels
-    scores += [FREEDOM[x] for x in base]
+    for expression in expressions(raw, [flat.count(" ", 0, x) for x in tags]) if tags else ():
+        labels, score = evaluate(expression)
+        named |= labels
+        if score is not None:
+            scores.append(score)
+            said |= labels
     # a notice's label counts by itself unless an expression has said how it combines
-    scores += [FREEDOM[x] for x in more - said]
+    scores += [FREEDOM[x] for x in base] + [FREEDOM[x] for x in more - said]
     more |= named
     first = last = None
     if starts:
