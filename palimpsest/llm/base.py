@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -21,14 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder of `spark.checkpoint.dir`; a lost executor costs no recomputation.
 
-    Only where that setting is empty, as in tests, a folder of this machine is used.
+    Only where that setting is empty and Spark runs in this process alone, as in tests, a folder of this machine is
+    used; on a cluster an empty setting is an error. Spark removes what is no longer referred to if
+    `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+#: Rows alike that one task unrolls from their number.
+UNROLLED = 1 << 16
+
+
+def unrolled(df: DataFrame, n: str, out: str, *by: str) -> DataFrame:
+    """Each row `n` times with `out` = 0, 1, ..; a row repeated very often is dealt to as many tasks as it needs.
+
+    `by`: columns by which rows are dealt, along with the part of a row's repeats.
+    """
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / UNROLLED))
+    dealt = df.withColumn("__part", F.explode(parts)).repartition(*by, "__part")
+    first = F.col("__part") * UNROLLED
+    return dealt.withColumn(out, F.explode(F.sequence(first, F.least(first + UNROLLED, F.col(n)) - 1))).drop("__part")
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5: which fold a document is of (null ids: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

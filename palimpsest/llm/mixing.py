@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.base import WORD, cut, earlier, numbered, table
+from palimpsest.llm.base import WORD, cut, earlier, numbered, table, unrolled
 
 
 def word_count(text: str = "text") -> Column:
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weigh: Callable[[DataFrame], DataFrame] | None = None,
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0))
     goal = goal.withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
     placed = earlier(groups, ["source"], "pos", ["doc_id", "size"], F.col("words"), "before")
-    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("of"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = unrolled(placed, "n", "i", "pos").join(goal, F.col("source").eqNullSafe(F.col("of")))
     extra = F.least(F.greatest(F.col("rest") - F.col("before") - F.col("i") * F.col("size"), F.lit(0)), F.col("size"))
     full = (extra == F.col("size")) & (F.col("size") > 0)
     return placed.select(

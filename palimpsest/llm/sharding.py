@@ -20,7 +20,7 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.base import cut, table
+from palimpsest.llm.base import cut, table, unrolled
 
 CELL_BITS = 16
 
@@ -87,7 +87,7 @@ def assign(docs: DataFrame, shards: int = 40, nodes: int = 128, load: float | No
 
     w = Window.partitionBy("cell").orderBy("pos", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("__in_cell", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(held.select("cell", "arc", "cell_first")), "cell")
-    placed = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = unrolled(placed, "n", "i", "pos")
     placed = placed.withColumn("rank", F.col("cell_first") + F.col("__in_cell") + F.col("i"))
     # at most a row for each arc and one more for each shard that fills up
     met = placed.join(F.broadcast(plan_rows), (F.col("arc") == F.col("plan_arc")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
