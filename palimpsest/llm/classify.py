@@ -5,8 +5,9 @@ Both models are fitted in one executor task on a bounded sample of labelled rows
 
 Defined results: a null or empty text has no features and gets the score of the bias; with no labelled rows
 (or labels of one kind only) nothing can be learnt, and every text gets the score `unlearnt`, which keeps it.
-Documents that share an id with others are scored each by its own text. Ties cannot arise. Extra columns of
-the input stay as they are; a column that has the result's name is replaced by the result.
+Documents that share an id with others are scored each by its own text; such an id's label is learnt once, with the
+smallest of its texts, and as 1 if its labels differ. Ties cannot arise. Extra columns of the input stay as they are; a
+column that has the result's name, in any case, is replaced by the result.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def fit(sample: DataFrame, model: ModuleType, shape: object) -> tuple[np.ndarray
 
 def scored(docs: DataFrame, fitted: tuple[np.ndarray, float] | None, model: ModuleType, shape: object, unlearnt: float, text: str = "text", out: str = "score") -> DataFrame:
     """All rows and columns of `docs`, with the probability of label 1 as `out`."""
-    docs = docs.drop(out) if out in docs.columns else docs
+    docs = docs.drop(out)  # whatever its case
     if fitted is None:
         return docs.withColumn(out, F.lit(unlearnt))
     shared = docs.sparkSession.sparkContext.broadcast(fitted)

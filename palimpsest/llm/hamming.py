@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.base import cut, table
 
 
+#: Looked-up values that are broadcast at most, each with its query's code; more are joined by value.
+FEW_PROBES = 1 << 17
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -48,12 +52,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bits: int = 64) ->
     best = active.select("query_id", F.col("query_id").alias("vec_id"), F.lit(0).alias("distance")).limit(0)
     done = None
     t = 0
-    while not active.isEmpty():
+    while waiting := active.count():
         j, r = t % m, t // m
         if r <= widths[j]:
             masks = [sum(1 << b for b in chosen) for chosen in combinations(range(widths[j]), r)]
-            flips = vectors.sparkSession.createDataFrame([(r, x) for x in masks], "r int, mask long")
-            probes = active.withColumn("r", F.lit(r)).join(F.broadcast(flips), "r").select("query_id", "own", "reach", F.col("own")[j].bitwiseXOR(F.col("mask")).alias("value"))
+            # at most C(width, r) values a query, whatever the rows
+            probes = active.withColumn("mask", F.explode(F.lit(masks).cast("array<long>"))).select("query_id", "own", "reach", F.col("own")[j].bitwiseXOR(F.col("mask")).alias("value"))
+            if waiting * len(masks) <= FEW_PROBES:
+                probes = F.broadcast(probes)  # the index stays where it is
             index = codes.select(F.col("seg")[j].alias("value"), "vec_id", "seg")
             parts = [_distance(F.col("own")[i], F.col("seg")[i]) for i in range(m)]
             whole = parts[0]
