@@ -451,18 +451,18 @@ def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in gru.initial(rng.integers(1, 50, 12), sh).items()}
     inputs, targets, h0 = rng.integers(0, 12, (6, 3)), rng.integers(0, 12, (6, 3)), rng.normal(0, 1, (3, 5))
-    real, keep = np.ones((6, 3), bool), np.ones((6, 3))
+    real, goes_on = np.ones((6, 3), bool), np.ones((6, 3))
     real[4:, 1] = False
-    keep[3, 2] = keep[2, 0] = keep[2, 1] = 0
+    goes_on[3, 2] = goes_on[2, 0] = goes_on[2, 1] = 0
 
     def loss():
         h, total = h0, 0.0
         for t in range(6):
-            h = gru._step(p["x"][inputs[t]] + p["b"], h * keep[t][:, None], p["h"], 5)[0]
+            h = gru._step(p["x"][inputs[t]] + p["b"], h * goes_on[t][:, None], p["h"], 5)[0]
             total -= (gru._word_log_p(p, h, targets[t], sh) * real[t]).sum()
         return total / real.sum()
 
-    g, rows, _ = gru._window(p, inputs, targets, real, keep, h0, sh)
+    g, rows, _ = gru._window(p, inputs, targets, real, goes_on, h0, sh)
     g["x"] = _spread(g["x"], rows, p["x"])
     for k in p:
         for _ in range(3):
