@@ -604,7 +604,62 @@ def score_message(spark, d):
     return packing.message_items(conversation_messages(spark, d)).select("user_id", "ordinal", "mandatory", "value")
 
 
-@query()
+#: SQL of the ids that requests `a` (user_id, words, history) call for.
+_GOT = """act AS (SELECT m.*, len(words) = 0 OR len(list_filter(words, lambda w: contains(content, w) OR contains(value, w) OR contains(predicate, w) OR contains(subject, w) OR contains(topic_key, w))) > 0 AS hit FROM mem m JOIN a USING (user_id) WHERE status = 'active'),
+r AS (SELECT *, sum(hit::INTEGER) OVER w AS hits, row_number() OVER w AS n, sum((scope = 'user')::INTEGER) OVER w AS owns, sum(hit::INTEGER) OVER (PARTITION BY user_id) AS found FROM act WINDOW w AS (PARTITION BY user_id ORDER BY updated_at DESC, id DESC ROWS UNBOUNDED PRECEDING)),
+seeds AS (SELECT user_id, id FROM r WHERE (hit AND hits <= 40) OR (found < 4 AND n <= 20) OR (scope = 'user' AND owns <= 40 AND type IN ('fact', 'preference', 'constraint'))),
+linked AS (SELECT m.user_id, m.id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.id DESC) AS n FROM seeds s JOIN mem l USING (user_id, id) JOIN mem m ON m.user_id = l.user_id AND m.id = l.supersedes_id JOIN a ON a.user_id = m.user_id
+ WHERE (m.status = 'active' OR (history AND m.status <> 'revoked')) AND NOT EXISTS (SELECT 1 FROM seeds x WHERE x.user_id = m.user_id AND x.id = m.id)),
+near AS (SELECT user_id, id FROM linked WHERE n <= 20), gathered AS (SELECT * FROM seeds UNION SELECT * FROM near),
+res AS (SELECT m.user_id, m.id, row_number() OVER (PARTITION BY m.user_id, m.topic_key ORDER BY m.version DESC, m.updated_at DESC, m.id DESC) AS n FROM gathered JOIN mem m USING (user_id, id)),
+got AS (SELECT user_id, id FROM res WHERE n = 1 UNION SELECT user_id, near.id FROM near JOIN a USING (user_id) JOIN mem m USING (user_id, id) WHERE history AND m.status = 'superseded')"""
+
+_REQUESTS = f"""b AS (SELECT conv_id::VARCHAR AS user_id, turn, role, text, list_distinct({_words('text')}) AS w FROM conversations),
+q AS (SELECT user_id, coalesce(max_by(w, turn) FILTER (role = 'user'), []) AS q, coalesce(max_by(text, turn) FILTER (role = 'user'), '') AS last FROM b GROUP BY user_id),
+a AS (SELECT user_id, list_transform((list_sort(list_transform(q, lambda w: {{'n': -length(w), 'w': w}})))[1:12], lambda x: x.w) AS words, {_rx('last', L.HISTORY)} AS history FROM q)"""
+
+
+def _relevant(w: str) -> str:
+    shared = f"len(list_intersect({w}, q))"
+    return f"(CASE WHEN len(q) = 0 THEN 0.5 WHEN len({w}) = 0 THEN 0.3 WHEN {shared} = 0 THEN 0.25 ELSE least(1.0::DOUBLE, 0.4::DOUBLE + {shared} / len(q)::DOUBLE * 0.6::DOUBLE) END)::DOUBLE"
+
+
+#: SQL of the memory items `it` of requests `q` (user_id, q) as selectable items.
+_MEMORY_ITEMS = f"""k AS (SELECT it.*, q, list_distinct({_words('content')}) AS w, list_distinct({_words("regexp_replace(topic_key, '[._-]', ' ', 'g')")}) AS tw, coalesce(scope = 'user' AND type IN ('preference', 'fact', 'constraint'), false) AS durable FROM it JOIN q USING (user_id)),
+own AS (SELECT *, greatest({_relevant('w')}, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN len(list_intersect(tw, q)) > 0 THEN {_relevant('tw')} ELSE 0.0::DOUBLE END * 0.5::DOUBLE)) AS r0 FROM k),
+fit AS (SELECT *, CASE WHEN durable THEN greatest(r0, 0.55::DOUBLE) ELSE r0 END AS r1 FROM own),
+memory_items AS (SELECT user_id, 'mem-' || id AS item_id, 'canonical_memory' AS kind, 'system' AS role, content, {_tokens("type || ': ' || content")} + 2 AS token_cost, 100000 + row_number() OVER (PARTITION BY user_id ORDER BY id) AS ordinal, durable AND status = 'active' AS mandatory,
+ round(least(1.0::DOUBLE, 0.25::DOUBLE * CASE WHEN status = 'superseded' THEN greatest(0.35::DOUBLE, r1 * 0.85::DOUBLE) ELSE r1 END + 0.25::DOUBLE * coalesce(nullif(importance, 0), 0.8::DOUBLE) + 0.2::DOUBLE * freshness + 0.1::DOUBLE * coalesce(nullif(confidence, 0), 0.85::DOUBLE)
+  + 0.1::DOUBLE * coalesce(nullif(stability, 0), 0.8::DOUBLE) + 0.1::DOUBLE * information_gain), 4) AS value FROM fit)"""
+
+_MESSAGE_ITEMS = f"""message_items AS (SELECT v.user_id, 'msg-' || v.ordinal AS item_id, CASE WHEN c.role = 'system' THEN 'system' WHEN c.turn = max(c.turn) OVER (PARTITION BY c.conv_id) THEN 'new_message' ELSE 'message' END AS kind, c.role, c.text AS content, {_tokens('c.text')} + 3 AS token_cost,
+ v.ordinal::BIGINT AS ordinal, v.mandatory, v.value FROM ({SQL['q_score_message']}) v JOIN conversations c ON c.conv_id::VARCHAR = v.user_id AND c.turn = v.ordinal)"""
+
+
+def _chosen(budget: int) -> str:
+    """SQL of the best selection of the items `every`: all sets that fit, their sums in item order; of equal sums the one with the earlier items."""
+    return f"""room AS (SELECT user_id, {budget} - coalesce(sum(token_cost) FILTER (mandatory), 0) AS room, coalesce(sum(token_cost) FILTER (NOT mandatory), 0) AS wanted FROM every GROUP BY user_id),
+opt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ordinal, item_id) AS i FROM every WHERE NOT mandatory),
+sets AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS mask, 0::HUGEINT AS cost, 0.0::DOUBLE AS total FROM room WHERE room > 0 AND wanted > room
+ UNION ALL SELECT s.user_id, o.i, s.mask + CASE WHEN taken THEN 1::BIGINT << (o.i - 1) ELSE 0 END, s.cost + CASE WHEN taken THEN o.token_cost ELSE 0 END, s.total + CASE WHEN taken THEN o.value ELSE 0.0::DOUBLE END
+ FROM sets s JOIN opt o ON o.user_id = s.user_id AND o.i = s.i + 1 JOIN room r ON r.user_id = s.user_id CROSS JOIN (VALUES (true), (false)) v(taken) WHERE NOT taken OR s.cost + o.token_cost <= r.room),
+best AS (SELECT user_id, mask FROM (SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY total DESC, mask) AS n FROM sets s JOIN (SELECT user_id, max(i) AS last FROM opt GROUP BY user_id) m ON m.user_id = s.user_id AND m.last = s.i) WHERE n = 1),
+chosen AS (SELECT * FROM every WHERE mandatory UNION ALL SELECT o.* EXCLUDE (i) FROM opt o JOIN room r USING (user_id) LEFT JOIN best USING (user_id) WHERE r.room > 0 AND (r.wanted <= r.room OR (mask >> (o.i - 1)) & 1 = 1))"""
+
+
+#: SQL of a compiled request over the conversations and the events: what is chosen, and the messages that are sent.
+_COMPILED = f"""WITH RECURSIVE {_MEM}, {_REQUESTS}, {_GOT}, it AS (SELECT m.* FROM mem m JOIN got USING (user_id, id)), {_MEMORY_ITEMS}, {_MESSAGE_ITEMS},
+every AS (SELECT user_id, item_id, kind, role, content, token_cost, ordinal, mandatory, value FROM message_items UNION ALL SELECT user_id, item_id, kind, role, content, token_cost, ordinal, mandatory, value FROM memory_items), {_chosen(500)},
+lines AS (SELECT m.user_id, m.id, array_to_string(list_transform(string_split(replace(m.type, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS head, '  - ' || CASE m.status WHEN 'superseded' THEN '(previous) ' ELSE '' END || CASE WHEN m.type = 'preference' THEN m.predicate || ': ' || m.value ELSE m.content END AS line
+ FROM chosen c JOIN mem m ON m.user_id = c.user_id AND c.item_id = 'mem-' || m.id),
+heads AS (SELECT user_id, head, '• ' || head || ':' || chr(10) || string_agg(line, chr(10) ORDER BY id) AS t FROM lines GROUP BY user_id, head),
+blocks AS (SELECT user_id, '[Project Memory & Canonical State]' || chr(10) || string_agg(t, chr(10) ORDER BY head) AS block FROM heads GROUP BY user_id),
+turns AS (SELECT c.*, block, row_number() OVER (PARTITION BY user_id ORDER BY CASE kind WHEN 'system' THEN 0 WHEN 'new_message' THEN 2 ELSE 1 END, ordinal)::INTEGER AS position, bool_or(kind = 'system') OVER (PARTITION BY user_id) AS led FROM chosen c LEFT JOIN blocks USING (user_id) WHERE kind <> 'canonical_memory'),
+sent AS (SELECT user_id, position, role, CASE WHEN kind = 'system' AND position = 1 AND block IS NOT NULL THEN content || chr(10) || chr(10) || block ELSE content END AS content FROM turns
+ UNION ALL SELECT DISTINCT user_id, 0, 'system', block FROM turns WHERE NOT led AND block IS NOT NULL)"""
+
+
+@query(f"WITH {_MEM}, it AS (SELECT * FROM mem WHERE status = 'active'), q AS (SELECT DISTINCT user_id, ['purchase', 'click'] AS q FROM it), {_MEMORY_ITEMS} SELECT user_id, item_id, token_cost, mandatory, value FROM memory_items")
 def score_memory(spark, d):
     items = event_memory(spark, d).where("status = 'active'")
     queries = items.select("user_id").distinct().withColumn("query", F.array(F.lit("purchase"), F.lit("click")))
@@ -618,7 +673,7 @@ def similarity(spark, d):
     return scoring.similar_pairs(b, b, "item_id", "text", 0.3).select("query", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MESSAGE_ITEMS}, every AS (SELECT * FROM message_items), {_chosen(300)} SELECT user_id, item_id, token_cost, mandatory FROM chosen")
 def knapsack(spark, d):
     return packing.selected(packing.message_items(conversation_messages(spark, d)), 300).select("user_id", "item_id", "token_cost", "mandatory")
 
@@ -626,14 +681,7 @@ def knapsack(spark, d):
 _ASKED = "a AS (SELECT DISTINCT user_id, CASE WHEN user_id::BIGINT % 2 = 0 THEN ['purchase', 'click'] ELSE ['nowhere'] END AS words, user_id::BIGINT % 3 = 0 AS history FROM mem)"
 
 
-@query(f"""WITH {_MEM}, {_ASKED}, act AS (SELECT m.*, len(list_filter(words, lambda w: contains(content, w) OR contains(value, w) OR contains(predicate, w) OR contains(subject, w) OR contains(topic_key, w))) > 0 AS hit FROM mem m JOIN a USING (user_id) WHERE status = 'active'),
-r AS (SELECT *, sum(hit::INTEGER) OVER w AS hits, row_number() OVER w AS n, sum((scope = 'user')::INTEGER) OVER w AS owns, sum(hit::INTEGER) OVER (PARTITION BY user_id) AS found FROM act WINDOW w AS (PARTITION BY user_id ORDER BY updated_at DESC, id DESC ROWS UNBOUNDED PRECEDING)),
-seeds AS (SELECT user_id, id FROM r WHERE (hit AND hits <= 40) OR (found < 4 AND n <= 20) OR (scope = 'user' AND owns <= 40 AND type IN ('fact', 'preference', 'constraint'))),
-linked AS (SELECT m.user_id, m.id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.id DESC) AS n FROM seeds s JOIN mem l USING (user_id, id) JOIN mem m ON m.user_id = l.user_id AND m.id = l.supersedes_id JOIN a ON a.user_id = m.user_id
- WHERE (m.status = 'active' OR (history AND m.status <> 'revoked')) AND NOT EXISTS (SELECT 1 FROM seeds x WHERE x.user_id = m.user_id AND x.id = m.id)),
-near AS (SELECT user_id, id FROM linked WHERE n <= 20), gathered AS (SELECT * FROM seeds UNION SELECT * FROM near),
-res AS (SELECT m.user_id, m.id, row_number() OVER (PARTITION BY m.user_id, m.topic_key ORDER BY m.version DESC, m.updated_at DESC, m.id DESC) AS n FROM gathered JOIN mem m USING (user_id, id)),
-got AS (SELECT user_id, id FROM res WHERE n = 1 UNION SELECT user_id, near.id FROM near JOIN a USING (user_id) JOIN mem m USING (user_id, id) WHERE history AND m.status = 'superseded')
+@query(f"""WITH {_MEM}, {_ASKED}, {_GOT}
 SELECT m.user_id, m.id, m.content, m.status FROM got JOIN mem m USING (user_id, id)""")
 def retrieved(spark, d):
     """What requests of every user call for: some hit keywords, some have few hits, some ask for history."""
@@ -643,12 +691,14 @@ def retrieved(spark, d):
     return packing.retrieved(m, q).select(*_SHOWN)
 
 
-@query()
+@query(f"""{_COMPILED}, took AS (SELECT user_id, count(*) AS selected, count(*) FILTER (kind = 'canonical_memory') AS memory_used FROM chosen GROUP BY user_id), told AS (SELECT user_id, sum({_tokens('content')} + 3) + 3 AS tokens_out FROM sent GROUP BY user_id),
+came AS (SELECT user_id, count(*) AS messages_in, sum(token_cost) + 3 AS tokens_in FROM message_items GROUP BY user_id)
+SELECT user_id, 500 AS budget, messages_in, tokens_in::BIGINT AS tokens_in, selected, tokens_out::BIGINT AS tokens_out, memory_used, 0::BIGINT AS short_items, greatest(0, tokens_out - 3 - 500)::BIGINT AS overflow_tokens FROM came JOIN took USING (user_id) JOIN told USING (user_id)""")
 def compile_context(spark, d):
     return packing.compiled(conversation_messages(spark, d), event_memory(spark, d), 500)
 
 
-@query()
+@query(f"{_COMPILED} SELECT user_id, position, role, content FROM sent")
 def assembled_context(spark, d):
     return packing.compiled_parts(conversation_messages(spark, d), event_memory(spark, d), 500)["messages"]
 
