@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.scoring import memory_scores, memory_tokens, message_scores, selection_value
 from palimpsest.functions.text import keywords, message_tokens, ranked_keywords, tool_output, wants_history
 from palimpsest.operators import retrieve
-from palimpsest.operators.consolidate import prompt_block
-from palimpsest.sources.schemas import MEMORY
+from palimpsest.operators.consolidate import PROMPT_TITLE, prompt_head, prompt_line
 
 #: Cells of the exact table up to which it is built; beyond, the greedy order by value for each token decides.
 EXACT_CELLS = 400_000
@@ -40,20 +39,25 @@ def retrieved(items: DataFrame, queries: DataFrame) -> DataFrame:
     """
     fields = ("content", "value", "predicate", "subject", "topic_key")
     asked = queries.select("user_id", ranked_keywords(F.col("query"), TERMS).alias("__terms"), F.col("history").alias("__history"))
-    rows = items.where("status = 'active'").join(asked, "user_id")
+    rows = items.where("status <> 'revoked'").join(asked, "user_id")
+    active = F.col("status") == "active"
     holds = F.exists("__terms", lambda t: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(c), t), F.lit(False)) for c in fields]))
-    rows = rows.withColumns({"__hit": (F.size("__terms") == 0) | holds, "__own": F.coalesce(F.col("scope") == "user", F.lit(False))})
-    # one sort a user serves all three
-    w = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("id").desc())
+    rows = rows.withColumns({"__hit": active & ((F.size("__terms") == 0) | holds), "__own": active & F.coalesce(F.col("scope") == "user", F.lit(False))})
+    # one sort a user, its active items first, serves all three
+    w = Window.partitionBy("user_id").orderBy(active.desc(), F.col("updated_at").desc(), F.col("id").desc())
     count = lambda c, over: F.sum(F.col(c).cast("int")).over(over)
     rows = rows.withColumns({"__n": F.row_number().over(w), "__hits": count("__hit", w), "__owns": count("__own", w), "__found": count("__hit", Window.partitionBy("user_id"))})
     hit, latest = F.col("__hit") & (F.col("__hits") <= HITS), (F.col("__found") < FEW_HITS) & (F.col("__n") <= LATEST)
     durable = F.col("__own") & (F.col("__owns") <= DURABLE) & F.col("type").isin(DURABLE_TYPES)
-    seeds = rows.where(hit | latest | durable).select(*items.columns)
-    near = retrieve.expand(seeds, items.join(asked.select("user_id", "__history"), "user_id").where("status = 'active' or __history").drop("__history"), 1, active_only=False, limit=LINKED)
-    resolved = retrieve.resolve_conflicts(seeds.unionByName(near))
-    before = near.where("status = 'superseded'").join(asked.where("__history").select("user_id"), "user_id", "left_semi")
-    return retrieve.union_by_id(resolved, before)
+    rows = rows.withColumn("__seed", active & (hit | latest | durable)).drop("__terms", "__hit", "__own", "__n", "__hits", "__owns", "__found")
+    # what seeds link to is marked among the same rows, so the memory stands twice in the plan, not once for each step
+    linked = retrieve.links(rows.where("__seed")).select("user_id", F.col("target").alias("id")).distinct().withColumn("__linked", F.lit(True))
+    rows = rows.join(linked, ["user_id", "id"], "left")
+    near = F.col("__linked").isNotNull() & ~F.col("__seed") & (active | F.col("__history"))
+    rows = rows.withColumn("__near", near).withColumn("__n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("__near").desc(), F.col("id").desc())))
+    rows = rows.where(F.col("__seed") | (F.col("__near") & (F.col("__n") <= LINKED))).withColumn("__n", retrieve.conflict_rank())
+    before = F.col("__near") & F.col("__history") & (F.col("status") == "superseded")
+    return rows.where((F.col("__n") == 1) | before).select(*items.columns)
 
 
 def short_term(context: DataFrame) -> DataFrame:
@@ -83,11 +87,11 @@ def message_items(messages: DataFrame) -> DataFrame:
 
 
 def memory_items(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """Memory items as selectable items of the users who ask; they come after all messages, by id."""
+    """Memory items as selectable items of the users who ask, with their `head` and `line` in a prompt; they come after all messages, by id."""
     rows = items.join(queries.select("user_id", "query"), "user_id")
     rows = rows.withColumn("s", memory_scores({c: F.col(c) for c in items.columns}, F.col("query")))
     rows = rows.withColumns({"item_id": F.concat(F.lit("mem-"), F.col("id")), "role": F.lit("system"), "token_cost": memory_tokens(F.col("type"), F.col("content")), "ordinal": F.lit(100000) + F.row_number().over(Window.partitionBy("user_id").orderBy("id")).cast("long")})
-    return _valued(rows).select(*FIELDS)
+    return _valued(rows.withColumns({"head": prompt_head(), "line": prompt_line()})).select(*FIELDS, "head", "line")
 
 
 def knapsack(cost: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
@@ -134,20 +138,28 @@ def selected(items: DataFrame, budget: int) -> DataFrame:
     return items.groupBy("user_id").applyInPandas(pick, items.schema)
 
 
-def assembled(chosen: DataFrame, items: DataFrame, short: DataFrame | None = None) -> DataFrame:
-    """(user_id, position, role, content): the messages to send; memory, then `short` (of `short_term`), stand once, in the first system message."""
-    used = chosen.where("kind = 'canonical_memory'").select("user_id", F.expr("substring(item_id, 5)").cast("long").alias("id"))
-    blocks = prompt_block(items.join(used, ["user_id", "id"], "left_semi"))
-    if short is not None:
-        blocks = blocks.join(short.select("user_id", "short"), "user_id", "full").select("user_id", F.concat_ws("\n\n", "block", "short").alias("block"))
-    rank = F.when(F.col("kind") == "system", 0).when(F.col("kind") == "new_message", 2).otherwise(1)
-    turns = chosen.where("kind <> 'canonical_memory'").withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(rank, "ordinal")))
-    has = F.max(F.col("kind") == "system").over(Window.partitionBy("user_id"))
-    turns = turns.withColumn("has_system", has).join(blocks, "user_id", "left")
-    first = (F.col("kind") == "system") & (F.col("position") == 1) & F.col("block").isNotNull()
-    told = turns.select("user_id", "position", "role", F.when(first, F.concat("content", F.lit("\n\n"), "block")).otherwise(F.col("content")).alias("content"))
-    lone = turns.where("not has_system and block is not null").select("user_id", F.lit(0).alias("position"), F.lit("system").alias("role"), F.col("block").alias("content")).distinct()
-    return told.unionByName(lone)
+def arranged(chosen: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """(user_id, selected, memory_used, sent): a request's chosen items as one row; `sent`: an array of (position, role, content).
+
+    Memory, then `short` (of `short_term`), stand once, in the first system message or one of their own before the others.
+    What a request holds is bounded by its budget and its mandatory items; the selection has dealt the rows by user already.
+    """
+    rank = F.when(F.col("kind") == "system", 0).when(F.col("kind") == "new_message", 2).otherwise(1).alias("rank")
+    memory = F.col("kind") == "canonical_memory"
+    number = F.expr("substring(item_id, 5)").try_cast("long").alias("id")
+    rows = chosen.groupBy("user_id").agg(
+        F.count("*").alias("selected"), F.count_if(memory).alias("memory_used"), F.array_sort(F.collect_list(F.when(~memory, F.struct(rank, "ordinal", "role", "content")))).alias("turns"),
+        F.array_sort(F.collect_list(F.when(memory, F.struct("head", number, "line")))).alias("told"),
+    )
+    joined = lambda h: F.concat(F.lit("• "), h, F.lit(":\n"), F.array_join(F.transform(F.filter("told", lambda x: x["head"] == h), lambda x: x["line"]), "\n"))
+    block = F.concat(F.lit(PROMPT_TITLE), F.array_join(F.transform(F.array_distinct(F.transform("told", lambda x: x["head"])), joined), "\n"))
+    rows = rows.withColumn("block", F.when(F.size("told") > 0, block))
+    rows = rows.join(short.select("user_id", "short"), "user_id", "left") if short is not None else rows.withColumn("short", F.lit(None).cast("string"))
+    rows = rows.withColumn("block", F.nullif(F.concat_ws("\n\n", "block", "short"), F.lit("")))
+    led = F.exists("turns", lambda x: x["rank"] == 0)
+    sent = F.transform("turns", lambda x, i: F.struct((i + 1).alias("position"), x["role"].alias("role"), F.when((i == 0) & led & F.col("block").isNotNull(), F.concat(x["content"], F.lit("\n\n"), F.col("block"))).otherwise(x["content"]).alias("content")))
+    lone = F.array(F.struct(F.lit(0).alias("position"), F.lit("system").alias("role"), F.col("block").alias("content")))
+    return rows.select("user_id", "selected", "memory_used", F.when(led | F.col("block").isNull(), sent).otherwise(F.concat(lone, sent)).alias("sent"))
 
 
 def compiled_parts(messages: DataFrame, items: DataFrame | None = None, budget: int = 8000, context: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -157,31 +169,27 @@ def compiled_parts(messages: DataFrame, items: DataFrame | None = None, budget:
     Mandatory items are never dropped, and the context comes on top, so a request can exceed its budget by `overflow_tokens`.
     """
     queries = query_words(messages)
-    called = retrieved(items, queries) if items is not None else None
     short = short_term(context) if context is not None else None
     size = messages.groupBy("user_id").agg(F.count("*").alias("messages_in"), (F.sum(message_tokens(F.col("content"))) + 3).alias("tokens_in"))
     plain = size.withColumn("untouched", F.col("tokens_in") <= budget)
-    for more in (called, short):
+    # who has an active item has something retrieved
+    for more in (items.where("status = 'active'") if items is not None else None, context):
         if more is not None:
             plain = plain.join(more.select("user_id").distinct().withColumn("__more", F.lit(True)), "user_id", "left").withColumn("untouched", F.col("untouched") & F.col("__more").isNull()).drop("__more")
-    own = message_items(messages.join(plain.select("user_id", "untouched"), "user_id"))
-    every = own if called is None else own.unionByName(memory_items(called, queries))
+    every = message_items(messages.join(plain.select("user_id", "untouched"), "user_id"))
+    none = F.lit(None).cast("string")
+    every = every.withColumns({"head": none, "line": none}) if items is None else every.unionByName(memory_items(retrieved(items, queries), queries), allowMissingColumns=True)
     chosen = selected(every, budget)
-    sent = assembled(chosen, called if called is not None else _no_items(messages), short)
-    picked = chosen.groupBy("user_id").agg(F.count("*").alias("selected"), F.count_if(F.col("kind") == "canonical_memory").alias("memory_used"))
-    out = sent.groupBy("user_id").agg((F.sum(message_tokens(F.col("content"))) + 3).alias("tokens_out"))
-    stats = size.join(picked, "user_id", "left").join(out, "user_id", "left")
+    done = arranged(chosen, short)
+    out = F.aggregate("sent", F.lit(3).cast("long"), lambda n, x: n + message_tokens(x["content"]))
+    stats = size.join(done.select("user_id", "selected", "memory_used", out.alias("tokens_out")), "user_id", "left")
     stats = stats.join(short.select("user_id", "short_items"), "user_id", "left") if short is not None else stats.withColumn("short_items", F.lit(0).cast("long"))
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     stats = stats.select(
         "user_id", F.lit(budget).alias("budget"), "messages_in", "tokens_in", none("selected"), F.coalesce("tokens_out", F.lit(3)).alias("tokens_out"), none("memory_used"), none("short_items"),
         F.greatest(F.lit(0), F.coalesce("tokens_out", F.lit(3)) - 3 - budget).alias("overflow_tokens"),
     )
-    return {"selected": chosen, "messages": sent, "statistics": stats}
-
-
-def _no_items(messages: DataFrame) -> DataFrame:
-    return messages.sparkSession.createDataFrame([], MEMORY)
+    return {"selected": chosen, "messages": done.select("user_id", F.inline("sent")), "statistics": stats}
 
 
 def compiled(messages: DataFrame, items: DataFrame | None = None, budget: int = 8000, context: DataFrame | None = None) -> DataFrame:

@@ -153,8 +153,17 @@ def appended(items: DataFrame, records: DataFrame) -> DataFrame:
     return applied(items, records).unionByName(new.select(*[c for c in items.columns if c in new.columns]), allowMissingColumns=True)
 
 
-def prompt_block(items: DataFrame) -> DataFrame:
-    """(user_id, block): items grouped by type under title-case headings, as text for a prompt; the order is by id."""
+#: Fixed value: what a prompt's block of memory begins with.
+PROMPT_TITLE = "[Project Memory & Canonical State]\n"
+
+
+def prompt_head() -> Column:
+    """The title-case heading of an item's type."""
+    return F.initcap(F.replace(F.coalesce("type", F.lit("fact")), F.lit("_"), F.lit(" ")))
+
+
+def prompt_line() -> Column:
+    """An item's line in a prompt."""
     p, v = F.trim(F.coalesce("predicate", F.lit(""))), F.trim(F.coalesce("value", F.lit("")))
     spaced = F.replace(p, F.lit("_"), F.lit(" "))
     pair = F.concat(spaced, F.lit(": "), v)
@@ -162,11 +171,16 @@ def prompt_block(items: DataFrame) -> DataFrame:
     named = p.startswith("favorite_") | p.startswith("preferred_") | (F.lower("type") == "preference") | (F.trim("content") == v)
     entry = F.when((p != "") & (v != "") & p.startswith("disliked_"), dislikes).when((p != "") & (v != "") & named, pair).otherwise(F.col("content"))
     mark = F.when(F.lower("status") == "superseded", "(previous) ").when(F.lower("status") == "revoked", "(revoked) ").otherwise("")
-    rows = items.select("user_id", "id", F.initcap(F.replace(F.coalesce("type", F.lit("fact")), F.lit("_"), F.lit(" "))).alias("head"), F.concat(F.lit("  - "), mark, entry).alias("line"))
+    return F.concat(F.lit("  - "), mark, entry)
+
+
+def prompt_block(items: DataFrame) -> DataFrame:
+    """(user_id, block): items grouped by type under title-case headings, as text for a prompt; the order is by id."""
+    rows = items.select("user_id", "id", prompt_head().alias("head"), prompt_line().alias("line"))
     groups = rows.groupBy("user_id", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     shown = F.concat(F.lit("• "), F.col("head"), F.lit(":\n"), F.col("lines"))
     blocks = groups.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", shown.alias("text")))), lambda x: x["text"]), "\n").alias("text"))
-    return blocks.select("user_id", F.concat(F.lit("[Project Memory & Canonical State]\n"), F.col("text")).alias("block"))
+    return blocks.select("user_id", F.concat(F.lit(PROMPT_TITLE), F.col("text")).alias("block"))
 
 
 def rendered(items: DataFrame) -> DataFrame:

@@ -100,12 +100,17 @@ def expand(seeds: DataFrame, items: DataFrame, depth: int = 1, active_only: bool
     return found if limit is None else found.withColumn("__n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("id").desc()))).where(F.col("__n") <= limit).drop("__n")
 
 
-def resolve_conflicts(items: DataFrame) -> DataFrame:
-    """Of each user's topic the item of the highest version, then latest, then active, then highest id; blank topics all."""
+def conflict_rank() -> Column:
+    """1 for the item in force of each user's topic: of the highest version, then latest, then active, then highest id; blank topics are all alone."""
     topic = F.trim(F.coalesce("topic_key", F.lit("")))
     alone = F.when(topic == "", F.col("id"))
     w = Window.partitionBy("user_id", topic, alone).orderBy(F.col("version").desc(), F.col("updated_at").desc(), (F.col("status") == "active").desc(), F.col("id").desc())
-    return items.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return F.row_number().over(w)
+
+
+def resolve_conflicts(items: DataFrame) -> DataFrame:
+    """The items in force: one of each user's topic, by `conflict_rank`."""
+    return items.withColumn("__n", conflict_rank()).where("__n = 1").drop("__n")
 
 
 def version_chain(items: DataFrame) -> DataFrame:
