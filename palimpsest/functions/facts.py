@@ -91,7 +91,7 @@ def location(t: Column) -> Column:
 
 def uses(t: Column) -> Column:
     def make(g: Column) -> Column:
-        name = F.when(F.lower(g["entity"]).startswith("the "), trimmed(F.substring(g["entity"], 5, 1000))).otherwise(g["entity"])
+        name = F.when(F.lower(g["entity"]).startswith("the "), trimmed(F.substr(g["entity"], F.lit(5)))).otherwise(g["entity"])
         parts = F.struct(name.alias("name"), trimmed(group(g["value"], r"^(.+?)\s+for\s+(.+)$", 2)).alias("purpose"), value_attribute(g["value"]).alias("known"), _words(g["value"]).alias("words"))
 
         def tell(x: Column) -> Column:
@@ -121,7 +121,7 @@ def possessive(t: Column) -> Column:
 
 def preference(t: Column) -> Column:
     def make(g: Column) -> Column:
-        choice = F.when(F.lower(g["first"]).startswith("use "), trimmed(F.substring(g["first"], 5, 10000))).otherwise(g["first"])
+        choice = F.when(F.lower(g["first"]).startswith("use "), trimmed(F.substr(g["first"], F.lit(5)))).otherwise(g["first"])
         return F.when(_usable(g["first"]), let(choice, lambda c: let(domain(c, g["other"]), lambda a: fact(F.lit("user"), a, c, "preference", _key("user.preference", a), "user", g["other"]))))
 
     return _when(t, L.PREFER, {"first": clean_value(group(t, L.PREFER, 1)), "other": clean_value(F.concat(group(t, L.PREFER, 2), group(t, L.PREFER, 3)))}, make)
@@ -235,7 +235,7 @@ def revocation(t: Column) -> Column:
 def content_of(x: Column) -> Column:
     """A fact as a line of text."""
     attribute = x["attribute"]
-    title = F.when(attribute != "", F.concat(F.upper(F.substring(attribute, 1, 1)), F.replace(F.substring(attribute, 2, 10000), F.lit("_"), F.lit(" ")))).otherwise("Item")
+    title = F.when(attribute != "", F.concat(F.upper(F.substring(attribute, 1, 1)), F.replace(F.substr(attribute, F.lit(2)), F.lit("_"), F.lit(" ")))).otherwise("Item")
     return F.when(x["memory_type"] == "preference", x["value"]).when(attribute == "project", F.concat(F.lit("Project: "), x["value"])).otherwise(F.concat(title, F.lit(": "), x["value"]))
 
 
@@ -282,7 +282,7 @@ def classified(c: Column) -> Column:
             b = trimmed(group(t, p, 1))
             if name == "decision":
                 b = let(b, lambda y: F.when(F.lower(y).startswith("use "), y).otherwise(F.concat(F.lit("Use "), y)))
-                b = let(b, lambda y: F.concat(F.upper(F.substring(y, 1, 1)), F.substring(y, 2, 100000)))
+                b = let(b, lambda y: F.concat(F.upper(F.substring(y, 1, 1)), F.substr(y, F.lit(2))))
             out = F.when(matches(t, p), made(name, b)) if out is None else out.when(matches(t, p), made(name, b))
         parts = F.struct(trimmed(group(t, L.KEY_VALUE, 1)).alias("key"), trimmed(group(t, L.KEY_VALUE, 2)).alias("value"))
         named = lambda g: F.when(matches(g["key"], r"\b(database|db|provider|stack|hosting)\b"), "decision").otherwise("fact")

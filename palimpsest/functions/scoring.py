@@ -40,12 +40,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 #: What `str.strip` takes off.
-_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:
     """Whether two texts' lengths allow a similarity of `least`: an exact filter to apply before `similarity`."""
-    m, n = F.length(F.trim(F.lower(a), F.lit(_WHITE))), F.length(F.trim(F.lower(b), F.lit(_WHITE)))
+    m, n = F.length(F.trim(F.lower(a), F.lit(WHITE))), F.length(F.trim(F.lower(b), F.lit(WHITE)))
     return F.least(m, n) >= F.greatest(m, n) * F.lit(least / (2 - least))
 
 

@@ -6,7 +6,6 @@ group (`applyInPandas`, or keyed state in a stream); users spread over tasks. `s
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -106,13 +105,20 @@ def step(items: list[Item], c: Item, new_id: int) -> tuple[str, str, Item | None
     return "create", "new_topic", written(None), None
 
 
-def run(user: str, rows: Iterator[Item], items: list[Item], following: int | None = None) -> pd.DataFrame:
-    """Folds a user's candidates, in order, and lists the actions and the final items; new ids go on from the highest."""
+def run(user: str, rows: Iterator[Item], items: list[Item], following: int | None = None, apart: int | None = None) -> pd.DataFrame:
+    """Folds a user's candidates, in order, and lists the actions and the final items; new ids go on from the highest.
+
+    `apart`: these are a part of the user's candidates; new ids are this and the candidate's place, and an information gain
+    that other parts may lower is left open.
+    """
     out = []
     following = following or max((x["id"] for x in items), default=0) + 1
     for c in rows:
-        action, reason, item, change = step(items, c, following)
-        following += action in ("create", "supersede")
+        action, reason, item, change = step(items, c, following if apart is None else apart + c["seq"])
+        new = action in ("create", "supersede")
+        following += new
+        if apart is not None and new and item["information_gain"] >= 0.8:
+            item["information_gain"] = None
         known = {k: item[k] for k in ("id", "content", "type", "topic_key")} if item else {}
         out.append({"kind": "action", "seq": c["seq"], "action": action, "reason": reason, "user_id": user, "corrected_from": change and change[0], "corrected_to": change and change[1]} | known)
     rows = out + [{"kind": "item"} | x for x in items]
@@ -126,12 +132,13 @@ def prepared(candidates: DataFrame, order: list[str], as_of: Column | None = Non
     """Routed candidates as the fold reads them: scores, flat correction and revocation, and `seq` by user in `order`.
 
     `as_of`: when they are applied, else their own `as_of`, if they have one; `valid_from` and `valid_until` are theirs.
+    Candidates that have a `seq` (from `dependencies.numbered`) keep it.
     """
     time = lambda n: (F.col(n) if n in candidates.columns else F.lit(None)).cast("timestamp")
     s = candidate_scores(F.col("content"), F.col("type"), F.col("authority"), F.col("is_correction"))
     rows = candidates.withColumn("s", s).withColumn("topic_key", F.coalesce(F.nullif("topic_key", F.lit("")), content_topic(F.col("content"), F.col("type"))))
     return rows.select(
-        "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).cast("long").alias("seq"), "content", "type", "topic_key", "authority", "is_correction",
+        "user_id", "seq" if "seq" in candidates.columns else F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).cast("long").alias("seq"), "content", "type", "topic_key", "authority", "is_correction",
         "subject", "predicate", "value", "scope", "s.confidence", "s.importance", "s.stability", "s.freshness", F.array("message_key").alias("source_message_ids"),
         F.col("correction.old_value").alias("old_value"), F.col("correction.new_value").alias("new_value"), F.col("revocation.target").alias("revoked_target"),
         F.coalesce("revocation.value", F.lit("")).alias("revoked_value"), (time("as_of") if as_of is None else as_of.cast("timestamp")).alias("as_of"),
@@ -170,13 +177,3 @@ def actions(rows: DataFrame) -> DataFrame:
 def corrections(rows: DataFrame) -> DataFrame:
     """The log: what each superseding correction changed."""
     return rows.where("kind = 'action' and action = 'supersede' and corrected_to is not null").select("user_id", "seq", F.col("topic_key").alias("target"), F.col("corrected_from").alias("old_value"), F.col("corrected_to").alias("new_value"), F.lit("active").alias("status"))
-
-
-def dumped(items: list[Item], following: int) -> str:
-    """A user's active items, and the next id, as state text: what is over can't be changed again."""
-    return json.dumps({"items": [x for x in items if x["status"] == "active"], "next": following}, sort_keys=True, default=lambda t: None if pd.isna(t) else t.isoformat())
-
-
-def loaded(text: str) -> tuple[list[Item], int]:
-    kept = json.loads(text)
-    return kept["items"], kept["next"]

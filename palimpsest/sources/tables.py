@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,20 @@ def write(df: DataFrame, path: str, buckets: int = 64) -> None:
     dealt.repartition("user_bucket").sortWithinPartitions("user_bucket", *cols).write.mode("append").partitionBy("user_bucket").parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the shared folder of `spark.checkpoint.dir`, so that a lost executor costs no recomputation.
+
+    Where that is unset and Spark runs in this process alone, as in tests, a temporary folder serves; on a cluster that is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def request_messages(requests: DataFrame, body: str = "body") -> DataFrame:
     """(other columns, ordinal, role, content, id, message_id, tool_call_id, name): messages of JSON request bodies.
 

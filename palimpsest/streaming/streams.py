@@ -1,4 +1,4 @@
-"""The same operators on streams: idempotent delivery, windows, keyed context, admission and the fold."""
+"""The same operators on streams: idempotent delivery, windows and admission; `state` has context and the fold."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators import fold
-
-
 def once(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each message key once within the watermark; `created_at` is the event time."""
     return messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["user_id", "message_key"])
@@ -29,28 +26,6 @@ def sessions(events: DataFrame, key: str, gap: str, delay: str, ts: str = "ts")
     return own.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), key, "n")
 
 
-def context(entries: DataFrame) -> DataFrame:
-    """The state of each user's context after each batch: (user_id, key, value, expires_at); the last write of a key wins.
-
-    `entries`: user_id, key, value, written_at, expires_at. Whether an entry still holds is for the reader's `as_of`.
-    """
-
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = json.loads(state.get[0]) if state.exists else {}
-        touched = set()
-        for f in frames:
-            for r in f.sort_values(["written_at", "value"]).itertuples():
-                stamp = r.written_at.isoformat()
-                if r.key not in known or known[r.key][1] <= stamp:
-                    known[r.key] = [r.value, stamp, None if pd.isna(r.expires_at) else r.expires_at.isoformat()]
-                    touched.add(r.key)
-        state.update((json.dumps(known),))
-        rows = [(key[0], k, known[k][0], None if known[k][2] is None else pd.Timestamp(known[k][2])) for k in sorted(touched)]
-        yield pd.DataFrame(rows, columns=["user_id", "key", "value", "expires_at"]).astype({"expires_at": "datetime64[ns]"})
-
-    return entries.groupBy("user_id").applyInPandasWithState(keep, "user_id string, key string, value string, expires_at timestamp", "known string", "update", GroupStateTimeout.NoTimeout)
-
-
 def admitted(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """(user_id, ts, allowed, remaining): a request passes while fewer than `limit` admitted ones lie in the last `seconds`."""
 
@@ -69,17 +44,3 @@ def admitted(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFra
         yield pd.DataFrame(rows, columns=["user_id", "ts", "allowed", "remaining"])
 
     return requests.groupBy("user_id").applyInPandasWithState(admit, "user_id string, ts timestamp, allowed boolean, remaining long", "log string", "append", GroupStateTimeout.NoTimeout)
-
-
-def folded(ready: DataFrame) -> DataFrame:
-    """The fold over a stream of prepared candidates, in the order of their arrival, within a batch by `seq`: its actions."""
-
-    def go(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, following = fold.loaded(state.get[0]) if state.exists else ([], 1)
-        for f in frames:
-            out = fold.run(key[0], iter(fold._plain(f.sort_values("seq"))), items, following)
-            following = max([following - 1, *(x["id"] for x in items)]) + 1
-            yield out[out.kind == "action"][["user_id", "seq", "action", "reason", "id", "content"]]
-        state.update((fold.dumped(items, following),))
-
-    return ready.groupBy("user_id").applyInPandasWithState(go, "user_id string, seq long, action string, reason string, id long, content string", "items string", "append", GroupStateTimeout.NoTimeout)
