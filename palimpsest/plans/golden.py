@@ -1,4 +1,15 @@
-"""Sentences with known results: the inputs of queries over text forms that the driver's tables do not hold."""
+"""Sentences with known results, which queries let the rows of a given table say, and how their names vary by the row."""
+
+import re
+
+#: Names in the sentences that get the row's number, in the sentences and in what they must give alike.
+VARIED = ["Upstash Redis", "self-hosted PostgreSQL", "Neon", "kanban", "React", "Hono", "Turso", "Redis", "Groq", "Bun", "Tailwind", "Bootstrap", "Rust", "MongoDB", "Ada", "Oslo", "Rome", "Helix", "Vim", "Node", "weekly", "Supabase", "Fly", "temp1234", "8080", "Material UI", "ThinkPad"]
+
+
+def varied(text: str) -> str:
+    """The text with `{n}` after each of these names."""
+    return re.sub("|".join(map(re.escape, sorted(VARIED, key=len, reverse=True))), lambda m: m[0] + ("{n}" if m[0][-1].isdigit() else " {n}"), text)
+
 
 SENTENCES = [
     "ok", "okay", "sounds good to me", "thanks a lot", "cool", "lgtm", "yes", "+", "Deploy the new version to AWS Lambda", "What database do we use?",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,7 +15,9 @@ from palimpsest.functions import text as T
 from palimpsest.operators import compile as packing
 from palimpsest.operators import consolidate, context, extract, fold, messages, model, retrieve
 from palimpsest.plans import golden as G
+from palimpsest.plans.golden import varied
 from palimpsest.streaming import streams
+from palimpsest.sources.tables import request_messages as parse_requests
 from palimpsest.sources.tables import EVENT_TYPES, conversation_messages, event_memory, normalized, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,8 +114,52 @@ _SHOWN = ["user_id", "id", "content", "status"]
 _SHOWN_SQL = "user_id, id, content, status"
 
 
-def _frame(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "i int, s string")
+def _planted(spark: SparkSession, d: str, rows: list[str]) -> DataFrame:
+    """(conv_id, turn, i, n, s): every turn of the conversations says one of the sentences, its names numbered by the turn."""
+    c = read(spark, d, "conversations")
+    place, n = F.col("conv_id") * 8 + F.col("turn"), ((F.col("conv_id") * 13 + F.col("turn")) % 997).cast("string")
+    said = F.element_at(F.array(*[F.lit(varied(x)) for x in rows]), (place % len(rows) + 1).cast("int"))
+    return c.select("conv_id", "turn", (place % len(rows)).cast("int").alias("i"), n.alias("n"), F.replace(said, F.lit("{n}"), n).alias("s"))
+
+
+def _planted_messages(spark: SparkSession, d: str, rows: list[str]) -> DataFrame:
+    """The same as messages: each turn a request of its own user."""
+    p = _planted(spark, d, rows)
+    return normalized(p.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("user_id"), F.lit(0).alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
+
+
+def _told(values: str, n: int, numbers: str = "") -> str:
+    """SQL of what planted sentences must give: `values` is a table (i, ..) by the number of the sentence, of `n` in all; `numbers`: columns that are no text."""
+    names = re.search(r"v\(i, ([^)]*)\)$", values)[1].split(", ")
+    shown = ", ".join(c if c in numbers.split() else f"replace({c}, '{{n}}', b.n) AS {c}" for c in names)
+    return f"SELECT b.conv_id, b.turn, {shown} FROM {_base(n)} b JOIN {varied(values)} ON b.i = v.i"
+
+
+def _base(n: int) -> str:
+    return f"(SELECT conv_id, turn, (conv_id * 8 + turn) % {n} AS i, ((conv_id * 13 + turn) % 997)::VARCHAR AS n FROM conversations)"
+
+
+def _said(rows: list[str]) -> str:
+    """SQL of the planted sentences themselves: conv_id, turn, s."""
+    return f"(SELECT b.conv_id, b.turn, replace(v.s, '{{n}}', b.n) AS s FROM {_base(len(rows))} b JOIN {varied(_sentences(rows))} ON b.i = v.i)"
+
+
+def _played(spark: SparkSession, d: str, rows: list[tuple], kind: str, vary: bool = True) -> DataFrame:
+    """`rows` (the first field names a part) by conversation: each conversation plays one of the parts, as `user_id`, its names numbered by its id."""
+    parts = sorted({r[0] for r in rows})
+    put = lambda x: varied(x) if vary and isinstance(x, str) else x
+    script = spark.createDataFrame([(parts.index(r[0]), *map(put, r[1:])) for r in rows], re.sub(r"^\S+ [a-z]+", "__part int", kind))
+    conv = read(spark, d, "conversations").select("conv_id").distinct().withColumns({"__own": (F.col("conv_id") % len(parts)).cast("int"), "__n": (F.col("conv_id") % 997).cast("string")})
+    met = conv.join(F.broadcast(script), F.col("__part") == F.col("__own"))  # the script is a constant
+    return met.select(F.col("conv_id").cast("string").alias("user_id"), *[F.replace(c, F.lit("{n}"), F.col("__n")).alias(c) if t == "string" else F.col(c) for c, t in script.dtypes if c != "__part"])
+
+
+def _plays(sql: str, rows: list[tuple], text: str, plain: str = "", part: str = "user_id", vary: bool = True) -> str:
+    """SQL of what the parts that conversations play must give: `sql` by `part`, its columns `text` with names, its columns `plain` as they are."""
+    parts = ", ".join(map(_q, sorted({r[0] for r in rows})))
+    shown = ", ".join(["b.conv_id::VARCHAR AS user_id", *[f"replace(t.{c}, '{{n}}', b.n) AS {c}" for c in text.split()], *[f"t.{c}" for c in plain.split()]])
+    who = f"(SELECT DISTINCT conv_id, (conv_id % 997)::VARCHAR AS n, ([{parts}])[conv_id % {len({r[0] for r in rows})} + 1] AS who FROM conversations)"
+    return f"SELECT {shown} FROM ({varied(sql) if vary else sql}) t JOIN {who} b ON t.{part} = b.who"
 
 
 # messages, identity, text ---------------------------------------------------------------------------------------
@@ -123,33 +170,40 @@ def message_key(spark, d):
     return normalized(conversation_messages(spark, d)).select("user_id", "ordinal", "message_key")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'user', 'hi'), (0, 1, 'assistant', 'there'), (1, 0, 'user', 'one'), (1, 1, 'user', 'two'), (2, 0, 'user', 'alone'), (3, 0, 'tool', 'x')) v(r, ordinal, role, content)")
+_BODIES = [
+    (0, '{"messages":[{"role":"user","content":"hi Neon"},{"role":"assistant","content":"there"}]}'),
+    (1, '{"input":["one","two"]}'),
+    (2, '{"input":"alone on Bun"}'),
+    (3, '{"messages":[{"role":"tool","content":"x","tool_call_id":"t"}]}'),
+    (4, '{"other":1}'),
+]
+
+
+@query(_plays("SELECT * FROM (VALUES (0, 0, 'user', 'hi Neon'), (0, 1, 'assistant', 'there'), (1, 0, 'user', 'one'), (1, 1, 'user', 'two'), (2, 0, 'user', 'alone on Bun'), (3, 0, 'tool', 'x')) v(r, ordinal, role, content)", _BODIES, "role content", "ordinal", "r"))
 def request_messages(spark, d):
-    from palimpsest.sources.tables import request_messages as parse
+    return parse_requests(_played(spark, d, _BODIES, "r int, body string")).select("user_id", "ordinal", "role", "content")
 
-    bodies = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"there"}]}', '{"input":["one","two"]}', '{"input":"alone"}', '{"messages":[{"role":"tool","content":"x","tool_call_id":"t"}]}', '{"other":1}']
-    return parse(spark.createDataFrame(list(enumerate(bodies)), "r int, body string")).select("r", "ordinal", "role", "content")
 
+_CLIENTS = [(0, " Neon ", "m", None), (1, " ", "Hono", None), (2, None, None, "Bun"), (3, "", None, " ")]
 
-@query("SELECT * FROM (VALUES (0, 'a1'), (1, 'm2'), (2, 'tool:t3'), (3, NULL)) v(i, client)")
+
+@query(_plays("SELECT * FROM (VALUES (0, 'Neon'), (1, 'Hono'), (2, 'tool:Bun'), (3, NULL)) v(i, client)", _CLIENTS, "client", "", "i"))
 def client_id(spark, d):
-    rows = [(0, " a1 ", "m", None), (1, " ", "m2", None), (2, None, None, "t3"), (3, "", None, " ")]
-    return spark.createDataFrame(rows, "i int, a string, b string, c string").select("i", T.client_id(F.col("a"), F.col("b"), F.col("c")).alias("client"))
+    return _played(spark, d, _CLIENTS, "i int, a string, b string, c string").select("user_id", T.client_id(F.col("a"), F.col("b"), F.col("c")).alias("client"))
 
 
-@query("SELECT conv_id::VARCHAR AS user_id, 'sess:' || substr(conv_id::VARCHAR, 1, 16) || ':' || substr(sha256(conv_id::VARCHAR || ':s-' || turn), 1, 40) AS scope FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id::VARCHAR, conv_id::VARCHAR FROM conversations WHERE turn = 1")
+@query("SELECT conv_id::VARCHAR AS user_id, turn, CASE WHEN turn % 2 = 0 THEN 'sess:' || substr(conv_id::VARCHAR, 1, 16) || ':' || substr(sha256(conv_id::VARCHAR || ':s-' || turn), 1, 40) ELSE conv_id::VARCHAR END AS scope FROM conversations")
 def session_scope(spark, d):
-    c = read(spark, d, "conversations").where("turn < 2")
-    user = F.col("conv_id").cast("string")
-    return c.select(user.alias("user_id"), T.session_scope(user, F.when(F.col("turn") == 0, F.concat(F.lit("s-"), F.col("turn").cast("string"))).otherwise("bad id!")).alias("scope"))
+    c, user = read(spark, d, "conversations"), F.col("conv_id").cast("string")
+    return c.select(user.alias("user_id"), "turn", T.session_scope(user, F.when(F.col("turn") % 2 == 0, F.concat(F.lit("s-"), F.col("turn").cast("string"))).otherwise("bad id!")).alias("scope"))
 
 
-@query("SELECT conv_id, turn, 'c' || conv_id AS session_id, text FROM conversations WHERE turn = 0 AND NOT regexp_matches(text, '^\\s')")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'x' || turn ELSE 'c' || conv_id END AS session_id, regexp_replace(text, '^\\s+', '') AS text FROM conversations")
 def session_marker(spark, d):
-    c = read(spark, d, "conversations").where("turn = 0").where(~F.col("text").rlike(r"^\s"))
-    marked = c.withColumn("m", T.with_session_marker(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("text")))
-    found, clean = T.session_marker(F.col("m"))
-    return marked.select("conv_id", "turn", T.resolved_session(F.lit(None), F.col("m")).alias("session_id"), clean.alias("text"))
+    """Every turn has a marker; every other one is asked with a session of its own, which goes before the marker's."""
+    marked = read(spark, d, "conversations").withColumn("m", T.with_session_marker(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("text")))
+    own = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x"), F.col("turn").cast("string")))
+    return marked.select("conv_id", "turn", T.resolved_session(own, F.col("m")).alias("session_id"), T.session_marker(F.col("m"))[1].alias("text"))
 
 
 @query("""SELECT conv_id, turn, 'sess:' || substr(conv_id::VARCHAR, 1, 16) || ':' || substr(sha256(conv_id::VARCHAR || ':s-' || turn), 1, 40) AS scope, conv_id::VARCHAR AS bad_scope FROM conversations""")
@@ -177,10 +231,10 @@ def request_tokens(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg((F.sum(T.message_tokens(F.col("text"))) + 3).alias("tokens"))
 
 
-@query(f"SELECT i, {_low('s', repr('user'))} AS low, {_asks('s')} AS asks, {_rx('s', L.SPECULATIVE)} AS doubts FROM {_sentences(G.SENTENCES)}")
+@query(f"SELECT conv_id, turn, {_low('s', repr('user'))} AS low, {_asks('s')} AS asks, {_rx('s', L.SPECULATIVE)} AS doubts FROM {_said(G.SENTENCES)}")
 def gates(spark, d):
     s = F.col("s")
-    return _frame(spark, G.SENTENCES).select("i", T.low_info(s, F.lit("user")).alias("low"), T.interrogative(s).alias("asks"), T.speculative(s).alias("doubts"))
+    return _planted(spark, d, G.SENTENCES).select("conv_id", "turn", T.low_info(s, F.lit("user")).alias("low"), T.interrogative(s).alias("asks"), T.speculative(s).alias("doubts"))
 
 
 @query(f"SELECT conv_id, turn, {_low('text', 'role')} AS low, {_asks('text')} AS asks FROM conversations")
@@ -188,9 +242,9 @@ def conversation_gates(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.low_info(F.col("text"), F.col("role")).alias("low"), T.interrogative(F.col("text")).alias("asks"))
 
 
-@query(f"SELECT i, ({_utter('s')} = '' OR len(list_filter(string_split({_utter('s')}, ' '), lambda w: w NOT IN {_in(L.NOISE_WORDS)})) = 0) AS noise, {_rx('s', L.CORRECTION)} AS corrects FROM {_sentences(G.SENTENCES)}")
+@query(f"SELECT conv_id, turn, ({_utter('s')} = '' OR len(list_filter(string_split({_utter('s')}, ' '), lambda w: w NOT IN {_in(L.NOISE_WORDS)})) = 0) AS noise, {_rx('s', L.CORRECTION)} AS corrects FROM {_said(G.SENTENCES)}")
 def noise(spark, d):
-    return _frame(spark, G.SENTENCES).select("i", T.noise(F.col("s")).alias("noise"), T.correction_like(F.col("s")).alias("corrects"))
+    return _planted(spark, d, G.SENTENCES).select("conv_id", "turn", T.noise(F.col("s")).alias("noise"), T.correction_like(F.col("s")).alias("corrects"))
 
 
 @query(f"SELECT doc_id, len(w) AS n, array_to_string(list_sort(w), ' ') AS words FROM (SELECT doc_id, list_distinct({_words('text')}) AS w FROM documents)")
@@ -220,9 +274,9 @@ def slug_spelling(spark, d):
 _CLEAN = "trim(regexp_replace(regexp_replace(trim(s), '^[''\"`]+|[''\"`]+$', '', 'g'), '[.!?]+$', ''))"
 
 
-@query(f"SELECT i, {_CLEAN} AS value FROM {_sentences(G.SENTENCES)}")
+@query(f"SELECT conv_id, turn, {_CLEAN} AS value FROM {_said(G.SENTENCES)}")
 def clean_value(spark, d):
-    return _frame(spark, G.SENTENCES).select("i", T.clean_value(F.col("s")).alias("value"))
+    return _planted(spark, d, G.SENTENCES).select("conv_id", "turn", T.clean_value(F.col("s")).alias("value"))
 
 
 _CUT = "string_split(regexp_replace(text, '([.;!?])\\s+([A-Z\"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
@@ -379,34 +433,34 @@ def status_counts(spark, d):
     return consolidate.type_counts(event_memory(spark, d))
 
 
-def _stack(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(G.STACK, "user_id string, id long, predicate string, topic_key string, scope string, value string, confidence double")
+def _stack(spark: SparkSession, d: str) -> DataFrame:
+    rows = _played(spark, d, G.STACK, "user_id string, id long, predicate string, topic_key string, scope string, value string, confidence double")
     return rows.withColumns({"content": F.col("value"), "type": F.lit("preference"), "subject": F.col("scope"), "status": F.lit("active"), "importance": F.lit(0.8), "stability": F.lit(0.85)})
 
 
-@query("SELECT user_id, id::BIGINT AS id, cluster, field FROM (VALUES ('s', 1, 'user.tech_stack', 'language'), ('s', 2, 'user.tech_stack', 'database'), ('s', 3, 'user.tech_stack', 'runtime'), ('s', 4, 'user.tech_stack', 'framework'), ('s', 5, 'user.tech_stack', 'language'), ('t', 1, 'project.tech_stack', 'language'), ('t', 2, 'project.tech_stack', 'runtime'), ('t', 3, 'project.tech_stack', 'database'), ('v', 1, 'user.tech_stack', 'language')) v(user_id, id, cluster, field)")
+@query(_plays("SELECT user_id, id::BIGINT AS id, cluster, field FROM (VALUES ('s', 1, 'user.tech_stack', 'language'), ('s', 2, 'user.tech_stack', 'database'), ('s', 3, 'user.tech_stack', 'runtime'), ('s', 4, 'user.tech_stack', 'framework'), ('s', 5, 'user.tech_stack', 'language'), ('t', 1, 'project.tech_stack', 'language'), ('t', 2, 'project.tech_stack', 'runtime'), ('t', 3, 'project.tech_stack', 'database'), ('v', 1, 'user.tech_stack', 'language')) v(user_id, id, cluster, field)", G.STACK, "cluster field", "id"))
 def cluster_assign(spark, d):
-    return consolidate.clustered(_stack(spark)).select("user_id", "id", "cluster", "field")
+    return consolidate.clustered(_stack(spark, d)).select("user_id", "id", "cluster", "field")
 
 
-@query("SELECT user_id, cluster, members::BIGINT AS members, atomics::BIGINT AS atomics FROM (VALUES ('s', 'user.tech_stack', 5, 5), ('t', 'project.tech_stack', 3, 3)) v(user_id, cluster, members, atomics)")
+@query(_plays("SELECT user_id, cluster, members::BIGINT AS members, atomics::BIGINT AS atomics FROM (VALUES ('s', 'user.tech_stack', 5, 5), ('t', 'project.tech_stack', 3, 3)) v(user_id, cluster, members, atomics)", G.STACK, "cluster", "members atomics"))
 def cluster_having(spark, d):
-    return consolidate.clusters(_stack(spark))
+    return consolidate.clusters(_stack(spark, d))
 
 
-@query("SELECT user_id, field, value, id::BIGINT AS id FROM (VALUES ('s', 'language', 'TypeScript', 1), ('s', 'database', 'Neon', 2), ('s', 'runtime', 'Cloudflare Workers', 3), ('s', 'framework', 'Hono', 4), ('t', 'language', 'Go', 1), ('t', 'runtime', 'vercel', 2), ('t', 'database', 'runs postgres', 3), ('v', 'language', 'C', 1)) v(user_id, field, value, id)")
+@query(_plays("SELECT user_id, field, value, id::BIGINT AS id FROM (VALUES ('s', 'language', 'TypeScript', 1), ('s', 'database', 'Neon', 2), ('s', 'runtime', 'Cloudflare Workers', 3), ('s', 'framework', 'Hono', 4), ('t', 'language', 'Go', 1), ('t', 'runtime', 'vercel', 2), ('t', 'database', 'runs postgres', 3), ('v', 'language', 'C', 1)) v(user_id, field, value, id)", G.STACK, "field value", "id"))
 def consolidate_winner(spark, d):
-    return consolidate.winners(_stack(spark)).select("user_id", "field", "value", "id")
+    return consolidate.winners(_stack(spark, d)).select("user_id", "field", "value", "id")
 
 
-@query("SELECT 's' AS user_id, 'language' AS field, 1::BIGINT AS kept_id, 5::BIGINT AS challenger_id, 'kept TypeScript due to higher confidence' AS resolution")
+@query(_plays("SELECT 's' AS user_id, 'language' AS field, 1::BIGINT AS kept_id, 5::BIGINT AS challenger_id, 'kept TypeScript due to higher confidence' AS resolution", G.STACK, "field resolution", "kept_id challenger_id"))
 def consolidate_conflict(spark, d):
-    return consolidate.conflicts(_stack(spark)).select("user_id", "field", "kept_id", "challenger_id", "resolution")
+    return consolidate.conflicts(_stack(spark, d)).select("user_id", "field", "kept_id", "challenger_id", "resolution")
 
 
-@query("SELECT * FROM (VALUES ('s', 'Tech Stack: database=Neon, framework=Hono, language=TypeScript, runtime=Cloudflare Workers', 0.813::DOUBLE, 5), ('t', 'Tech Stack: database=runs postgres, language=Go, runtime=vercel', 0.667::DOUBLE, 3)) v(user_id, content, confidence, sources)")
+@query(_plays("SELECT * FROM (VALUES ('s', 'Tech Stack: database=Neon, framework=Hono, language=TypeScript, runtime=Cloudflare Workers', 0.813::DOUBLE, 5), ('t', 'Tech Stack: database=runs postgres, language=Go, runtime=vercel', 0.667::DOUBLE, 3)) v(user_id, content, confidence, sources)", G.STACK, "content", "confidence sources"))
 def consolidate_record(spark, d):
-    return consolidate.consolidated(_stack(spark)).select("user_id", "content", "confidence", F.size("source_ids").alias("sources"))
+    return consolidate.consolidated(_stack(spark, d)).select("user_id", "content", "confidence", F.size("source_ids").alias("sources"))
 
 
 @query(f"WITH {_MEM} SELECT user_id, string_agg(CASE WHEN subject = '' THEN '' ELSE subject || '.' END || predicate || ': ' || value, chr(10) ORDER BY id) AS context FROM mem WHERE status = 'active' GROUP BY user_id")
@@ -423,10 +477,10 @@ def prompt_block(spark, d):
 # context and rates ----------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT i, coalesce({" , ".join(f"CASE WHEN {_rx('s', p)} THEN '{k}' END" for p, k in L.CONTEXT_KEYS)}, 'recent_decisions') AS key, CASE WHEN coalesce({" , ".join(f"CASE WHEN {_rx('s', p)} THEN '{k}' END" for p, k in L.CONTEXT_KEYS)}, '') = 'current_error' THEN 3600 ELSE 7200 END AS ttl FROM {_sentences(G.SENTENCES)}""")
+@query(f"""SELECT conv_id, turn, coalesce({" , ".join(f"CASE WHEN {_rx('s', p)} THEN '{k}' END" for p, k in L.CONTEXT_KEYS)}, 'recent_decisions') AS key, CASE WHEN coalesce({" , ".join(f"CASE WHEN {_rx('s', p)} THEN '{k}' END" for p, k in L.CONTEXT_KEYS)}, '') = 'current_error' THEN 3600 ELSE 7200 END AS ttl FROM {_said(G.SENTENCES)}""")
 def context_key_ttl(spark, d):
-    rows = _frame(spark, G.SENTENCES).select("i", extract.context_key(F.col("s")).alias("key"))
-    return rows.select("i", "key", extract.context_ttl(F.col("key")).alias("ttl"))
+    rows = _planted(spark, d, G.SENTENCES).select("conv_id", "turn", extract.context_key(F.col("s")).alias("key"))
+    return rows.select("conv_id", "turn", "key", extract.context_ttl(F.col("key")).alias("ttl"))
 
 
 @query("""WITH x AS (SELECT user_id::VARCHAR AS user_id, event_type AS key, value::VARCHAR AS value, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value::VARCHAR DESC) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-20')
@@ -457,126 +511,128 @@ def session_window(spark, d):
 # extraction -----------------------------------------------------------------------------------------------------
 
 
-def _facts(spark: SparkSession, rows: list[str], f: Callable) -> DataFrame:
-    x = _frame(spark, rows).select("i", f(F.col("s")).alias("f"))
-    return x.where("f is not null").select("i", "f.entity", "f.attribute", "f.value", "f.memory_type")
+def _facts(spark: SparkSession, d: str, rows: list[str], f: Callable) -> DataFrame:
+    x = _planted(spark, d, rows).select("conv_id", "turn", f(F.col("s")).alias("f"))
+    return x.where("f is not null").select("conv_id", "turn", "f.entity", "f.attribute", "f.value", "f.memory_type")
 
 
-@query("SELECT * FROM (VALUES (0, 'P', 'database', 'Neon for database', 'decision'), (1, 'team', 'workflow', 'kanban', 'fact'), (2, 'App', 'frontend', 'React', 'decision'), (3, 'It', 'framework', 'Hono', 'decision')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (0, 'P', 'database', 'Neon for database', 'decision'), (1, 'team', 'workflow', 'kanban', 'fact'), (2, 'App', 'frontend', 'React', 'decision'), (3, 'It', 'framework', 'Hono', 'decision')) v(i, entity, attribute, value, memory_type)", len(G.USES)))
 def extract_uses(spark, d):
-    return _facts(spark, G.USES, facts.uses)
+    return _facts(spark, d, G.USES, facts.uses)
 
 
-@query("SELECT * FROM (VALUES (0, 'project', 'runtime', 'Cloudflare Workers'), (0, 'project', 'framework', 'Hono'), (0, 'project', 'database', 'Turso'), (0, 'project', 'caching', 'Upstash Redis'), (0, 'project', 'summarization', 'Groq'), (1, 'Gateway', 'runtime', 'Bun'), (1, 'Gateway', 'cache', 'Redis')) v(i, entity, attribute, value)")
+@query(_told("(VALUES (0, 'project', 'runtime', 'Cloudflare Workers'), (0, 'project', 'framework', 'Hono'), (0, 'project', 'database', 'Turso'), (0, 'project', 'caching', 'Upstash Redis'), (0, 'project', 'summarization', 'Groq'), (1, 'Gateway', 'runtime', 'Bun'), (1, 'Gateway', 'cache', 'Redis')) v(i, entity, attribute, value)", len(G.LISTS)))
 def extract_list(spark, d):
-    x = _frame(spark, G.LISTS).select("i", F.explode(facts.uses_list(F.col("s"))).alias("f"))
-    return x.select("i", "f.entity", "f.attribute", "f.value")
+    x = _planted(spark, d, G.LISTS).select("conv_id", "turn", F.explode(facts.uses_list(F.col("s"))).alias("f"))
+    return x.select("conv_id", "turn", "f.entity", "f.attribute", "f.value")
 
 
-@query("SELECT * FROM (VALUES (0, 'ui_library', 'Tailwind', 'Bootstrap'), (1, 'language', 'Rust', 'Go'), (12, 'theme', 'dark mode', NULL)) v(i, attribute, value, preferred_over)")
+@query(_told("(VALUES (0, 'ui_library', 'Tailwind', 'Bootstrap'), (1, 'language', 'Rust', 'Go'), (12, 'theme', 'dark mode', NULL)) v(i, attribute, value, preferred_over)", len(G.PREFERENCES)))
 def extract_prefer(spark, d):
-    x = _frame(spark, G.PREFERENCES).select("i", facts.preference(F.col("s")).alias("f"))
-    return x.where("f is not null").select("i", "f.attribute", "f.value", "f.preferred_over")
+    x = _planted(spark, d, G.PREFERENCES).select("conv_id", "turn", facts.preference(F.col("s")).alias("f"))
+    return x.where("f is not null").select("conv_id", "turn", "f.attribute", "f.value", "f.preferred_over")
 
 
-@query("SELECT * FROM (VALUES (2, 'user', 'favorite_color', 'green', 'preference'), (3, 'user', 'preferred_database', 'Neon', 'preference')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (2, 'user', 'favorite_color', 'green', 'preference'), (3, 'user', 'preferred_database', 'Neon', 'preference')) v(i, entity, attribute, value, memory_type)", len(G.PREFERENCES)))
 def extract_favorite(spark, d):
-    return _facts(spark, G.PREFERENCES, facts.favorite)
+    return _facts(spark, d, G.PREFERENCES, facts.favorite)
 
 
-@query("SELECT * FROM (VALUES (4, 'user', 'favorite_color', 'red', 'preference'), (5, 'user', 'language', 'TypeScript', 'preference'), (6, 'user', 'disliked_database', 'MongoDB', 'preference'), (7, 'user', 'disliked_coffee', 'coffee', 'preference'), (8, 'user', 'favorite_color', 'blue', 'preference')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (4, 'user', 'favorite_color', 'red', 'preference'), (5, 'user', 'language', 'TypeScript', 'preference'), (6, 'user', 'disliked_database', 'MongoDB', 'preference'), (7, 'user', 'disliked_coffee', 'coffee', 'preference'), (8, 'user', 'favorite_color', 'blue', 'preference')) v(i, entity, attribute, value, memory_type)", len(G.PREFERENCES)))
 def extract_affect(spark, d):
-    return _facts(spark, G.PREFERENCES, facts.affection)
+    return _facts(spark, d, G.PREFERENCES, facts.affection)
 
 
-@query("SELECT * FROM (VALUES (0, 'P', 'architecture', 'event-driven microservices', 'architecture'), (1, 'Team', 'goal', 'shipping weekly', 'goal')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (0, 'P', 'architecture', 'event-driven microservices', 'architecture'), (1, 'Team', 'goal', 'shipping weekly', 'goal')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_possessive(spark, d):
-    return _facts(spark, G.STATEMENTS, facts.possessive)
+    return _facts(spark, d, G.STATEMENTS, facts.possessive)
 
 
-@query("SELECT * FROM (VALUES (2, 'user', 'name', 'Ada', 'fact'), (3, 'database', 'database', 'Neon', 'decision'), (4, 'port', 'port', '8080', 'fact'), (5, 'goal', 'goal', 'growth', 'goal'), (9, 'We', 'We', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (2, 'user', 'name', 'Ada', 'fact'), (3, 'database', 'database', 'Neon', 'decision'), (4, 'port', 'port', '8080', 'fact'), (5, 'goal', 'goal', 'growth', 'goal'), (9, 'We', 'We', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_is(spark, d):
-    return _facts(spark, G.STATEMENTS, facts.the_is)
+    return _facts(spark, d, G.STATEMENTS, facts.the_is)
 
 
-@query("SELECT * FROM (VALUES (6, 'user', 'location', 'Oslo', 'fact'), (7, 'user', 'location', 'Rome', 'fact')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (6, 'user', 'location', 'Oslo', 'fact'), (7, 'user', 'location', 'Rome', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_location(spark, d):
-    return _facts(spark, G.STATEMENTS, facts.location)
+    return _facts(spark, d, G.STATEMENTS, facts.location)
 
 
-@query("SELECT * FROM (VALUES (7, 'from Rome', 'project', 'from Rome', 'fact'), (8, 'P', 'project', 'P', 'fact'), (9, 'tired', 'project', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (7, 'from Rome', 'project', 'from Rome', 'fact'), (8, 'P', 'project', 'P', 'fact'), (9, 'tired', 'project', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_building(spark, d):
-    return _facts(spark, G.STATEMENTS, facts.building)
+    return _facts(spark, d, G.STATEMENTS, facts.building)
 
 
-@query("SELECT * FROM (VALUES (0, 'P', 'database', 'Turso', 'decision'), (1, 'project', 'cache', 'Redis', 'decision'), (2, 'project', 'runtime', 'Bun', 'decision')) v(i, entity, attribute, value, memory_type)")
+@query(_told("(VALUES (0, 'P', 'database', 'Turso', 'decision'), (1, 'project', 'cache', 'Redis', 'decision'), (2, 'project', 'runtime', 'Bun', 'decision')) v(i, entity, attribute, value, memory_type)", len(G.SWITCHES)))
 def extract_switch(spark, d):
-    return _facts(spark, G.SWITCHES, facts.switch)
+    return _facts(spark, d, G.SWITCHES, facts.switch)
 
 
-@query("SELECT * FROM (VALUES (0, 'P', 'Neon', 'self-hosted PostgreSQL'), (1, 'database', '', 'self-hosted PostgreSQL'), (2, 'App', 'Node', 'Bun'), (3, 'editor', 'Vim', 'Helix'), (4, 'plan', '', 'weekly')) v(i, target, old_value, new_value)")
+@query(_told("(VALUES (0, 'P', 'Neon', 'self-hosted PostgreSQL'), (1, 'database', '', 'self-hosted PostgreSQL'), (2, 'App', 'Node', 'Bun'), (3, 'editor', 'Vim', 'Helix'), (4, 'plan', '', 'weekly')) v(i, target, old_value, new_value)", len(G.CORRECTIONS)))
 def extract_correction(spark, d):
-    x = _frame(spark, G.CORRECTIONS).select("i", facts.correction(F.col("s")).alias("c"))
-    return x.where("c is not null").select("i", "c.target", "c.old_value", "c.new_value")
+    x = _planted(spark, d, G.CORRECTIONS).select("conv_id", "turn", facts.correction(F.col("s")).alias("c"))
+    return x.where("c is not null").select("conv_id", "turn", "c.target", "c.old_value", "c.new_value")
 
 
-@query("SELECT * FROM (VALUES (0, 'temporary password', 'temp1234'), (1, 'password', ''), (2, 'token', ''), (3, 'key', ''), (4, 'address', '')) v(i, target, value)")
+@query(_told("(VALUES (0, 'temporary password', 'temp1234'), (1, 'password', ''), (2, 'token', ''), (3, 'key', ''), (4, 'address', '')) v(i, target, value)", len(G.REVOCATIONS)))
 def extract_revocation(spark, d):
-    x = _frame(spark, G.REVOCATIONS).select("i", facts.revocation(F.col("s")).alias("r"))
-    return x.where("r is not null").select("i", "r.target", "r.value")
+    x = _planted(spark, d, G.REVOCATIONS).select("conv_id", "turn", facts.revocation(F.col("s")).alias("r"))
+    return x.where("r is not null").select("conv_id", "turn", "r.target", "r.value")
 
 
-@query("SELECT * FROM (VALUES (0, 'decision', 'Ship on Friday'), (1, 'goal', 'grow fast'), (2, 'constraint', 'never log keys'), (3, 'goal', 'ship soon'), (4, 'important_event', 'v2 to production'), (5, 'constraint', 'store secrets'), (6, 'fact', 'Port: 8080'), (7, 'decision', 'Hosting: Fly')) v(i, memory_type, body)")
+@query(_told("(VALUES (0, 'decision', 'Ship on Friday'), (1, 'goal', 'grow fast'), (2, 'constraint', 'never log keys'), (3, 'goal', 'ship soon'), (4, 'important_event', 'v2 to production'), (5, 'constraint', 'store secrets'), (6, 'fact', 'Port: 8080'), (7, 'decision', 'Hosting: Fly')) v(i, memory_type, body)", len(G.LABELLED)))
 def extract_labelled(spark, d):
-    x = _frame(spark, G.LABELLED).select("i", facts.classified(F.col("s")).alias("c"))
-    return x.where("c is not null").select("i", "c.memory_type", "c.body")
+    x = _planted(spark, d, G.LABELLED).select("conv_id", "turn", facts.classified(F.col("s")).alias("c"))
+    return x.where("c is not null").select("conv_id", "turn", "c.memory_type", "c.body")
 
 
-@query("SELECT i, kind, attribute, value, state, confidence::DOUBLE AS confidence FROM " + _values(G.RICH_FACTS, "i, kind, attribute, value, state, confidence"))
+@query(_told(_values(G.RICH_FACTS, "i, kind, attribute, value, state, confidence"), len(G.RICH), "confidence").replace("confidence FROM", "confidence::DOUBLE AS confidence FROM"))
 def rich_facts(spark, d):
-    m = normalized(_frame(spark, G.RICH).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
-    found = extract.rich_facts(m).join(m.select("message_key", F.col("ordinal").alias("i")), "message_key")
-    return found.select("i", "kind", "attribute", "value", "state", "confidence")
+    m = _planted_messages(spark, d, G.RICH)
+    found = extract.rich_facts(m).join(m.select("user_id", "conv_id", "turn"), "user_id")
+    return found.select("conv_id", "turn", "kind", "attribute", "value", "state", "confidence")
 
 
-@query("SELECT i, call_model, confidence::DOUBLE AS confidence, reason, kinds FROM " + _values([(i, *x[1:]) for i, x in enumerate(G.GATES)], "i, call_model, confidence, reason, kinds"))
+@query(_told(_values([(i, *x[1:]) for i, x in enumerate(G.GATES)], "i, call_model, confidence, reason, kinds"), len(G.GATES), "call_model confidence").replace("confidence,", "confidence::DOUBLE AS confidence,", 1))
 def memory_gate(spark, d):
-    rows = _frame(spark, [x[0] for x in G.GATES]).withColumn("composed", T.nfkc(F.col("s")))
-    rows = rows.select("i", rich.memory_gate(F.col("s"), F.col("composed")).alias("g"))
-    return rows.select("i", "g.call_model", "g.confidence", "g.reason", F.array_join("g.kinds", ",").alias("kinds"))
+    rows = _planted(spark, d, [x[0] for x in G.GATES]).withColumn("composed", T.nfkc(F.col("s")))
+    rows = rows.select("conv_id", "turn", rich.memory_gate(F.col("s"), F.col("composed")).alias("g"))
+    return rows.select("conv_id", "turn", "g.call_model", "g.confidence", "g.reason", F.array_join("g.kinds", ",").alias("kinds"))
 
 
-@query("SELECT i, route, confidence::DOUBLE AS confidence FROM " + _values(G.ROUTES, "i, route, confidence"))
+@query(_told(_values(G.ROUTES, "i, route, confidence"), len(G.ROUTED), "confidence").replace("confidence FROM", "confidence::DOUBLE AS confidence FROM"))
 def route(spark, d):
-    said = [x for x in G.ROUTED]
-    m = normalized(_frame(spark, said).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
-    return extract.routes(m).join(m.select("message_key", F.col("ordinal").alias("i")), "message_key").select("i", "route", "confidence")
+    m = _planted_messages(spark, d, G.ROUTED)
+    return extract.routes(m).join(m.select("user_id", "conv_id", "turn"), "user_id").select("conv_id", "turn", "route", "confidence")
 
 
-@query("SELECT * FROM (VALUES ('u1', 'database', 'Neon', 'fact', 0.9::DOUBLE), ('u2', 'uses', 'Redis', 'decision', 1.0::DOUBLE)) v(user_id, attribute, value, type, confidence)")
+@query(_plays("SELECT * FROM (VALUES ('u1', 'database', 'Neon', 'fact', 0.9::DOUBLE), ('u2', 'uses', 'Redis', 'decision', 1.0::DOUBLE)) v(user_id, attribute, value, type, confidence)", G.ANSWERS, "attribute value type", "confidence"))
 def validate_model_facts(spark, d):
-    return extract.model_facts(spark.createDataFrame(G.ANSWERS, "user_id string, answer string")).select("user_id", "attribute", "value", "type", "confidence")
+    return extract.model_facts(_played(spark, d, G.ANSWERS, "user_id string, answer string")).select("user_id", "attribute", "value", "type", "confidence")
+
+
+_SCRIPT = [(u, i, "user", s) for u, said in G.SCRIPT for i, s in enumerate(said)]
 
 
-def _script(spark: SparkSession) -> DataFrame:
-    rows = [(u, i, "user", s) for u, said in G.SCRIPT for i, s in enumerate(said)]
-    told = extract.routed(extract.candidates(normalized(spark.createDataFrame(rows, "user_id string, ordinal int, role string, content string"))))
+def _script(spark: SparkSession, d: str) -> DataFrame:
+    rows = _played(spark, d, _SCRIPT, "user_id string, ordinal int, role string, content string")
+    told = extract.routed(extract.candidates(normalized(rows)))
     return fold.fold(fold.prepared(told.where("bucket = 'store'"), ["ordinal", "sentence", "part"]))
 
 
-@query("SELECT user_id, seq::BIGINT AS seq, action FROM " + _values(G.SCRIPT_ACTIONS, "user_id, seq, action"))
+@query(_plays("SELECT user_id, seq::BIGINT AS seq, action FROM " + _values(G.SCRIPT_ACTIONS, "user_id, seq, action"), _SCRIPT, "action", "seq"))
 def fold_actions(spark, d):
-    return fold.actions(_script(spark)).select("user_id", "seq", "action")
+    return fold.actions(_script(spark, d)).select("user_id", "seq", "action")
 
 
-@query("SELECT * FROM (VALUES ('a', 'Database: Neon for database', 'superseded'), ('a', 'Database: self-hosted PostgreSQL', 'active'), ('a', 'red', 'superseded'), ('a', 'blue', 'active'), ('a', 'Temporary password: temp1234', 'revoked'), ('b', 'dark theme', 'superseded'), ('b', 'light theme now', 'superseded'), ('b', 'light theme', 'active'), ('c', 'Database: Neon for its database', 'superseded'), ('c', 'Database: Turso', 'active')) v(user_id, content, status)")
+@query(_plays("SELECT * FROM (VALUES ('a', 'Database: Neon for database', 'superseded'), ('a', 'Database: self-hosted PostgreSQL', 'active'), ('a', 'red', 'superseded'), ('a', 'blue', 'active'), ('a', 'Temporary password: temp1234', 'revoked'), ('b', 'dark theme', 'superseded'), ('b', 'light theme now', 'superseded'), ('b', 'light theme', 'active'), ('c', 'Database: Neon for its database', 'superseded'), ('c', 'Database: Turso', 'active')) v(user_id, content, status)", _SCRIPT, "content status", ""))
 def fold_state(spark, d):
-    return fold.state(_script(spark)).select("user_id", "content", "status")
+    return fold.state(_script(spark, d)).select("user_id", "content", "status")
 
 
-@query("SELECT * FROM (VALUES ('a', 'Database: Neon for database', 'Database: self-hosted PostgreSQL'), ('b', 'dark theme', 'light theme now'), ('c', 'Database: Neon for its database', 'Database: Turso')) v(user_id, old_value, new_value)")
+@query(_plays("SELECT * FROM (VALUES ('a', 'Database: Neon for database', 'Database: self-hosted PostgreSQL'), ('b', 'dark theme', 'light theme now'), ('c', 'Database: Neon for its database', 'Database: Turso')) v(user_id, old_value, new_value)", _SCRIPT, "old_value new_value", ""))
 def corrections_log(spark, d):
-    return fold.corrections(_script(spark)).select("user_id", "old_value", "new_value")
+    return fold.corrections(_script(spark, d)).select("user_id", "old_value", "new_value")
 
 
 # scores and packing ---------------------------------------------------------------------------------------------
@@ -703,39 +759,40 @@ def assembled_context(spark, d):
     return packing.compiled_parts(conversation_messages(spark, d), event_memory(spark, d), 500)["messages"]
 
 
-@query("SELECT * FROM (VALUES ('a', 'Database: self-hosted PostgreSQL', 'supersedes', true), ('a', 'blue', 'supersedes', true), ('b', 'light theme', 'supersedes', true), ('c', 'Database: Turso', 'supersedes', true)) v(user_id, content, relationship, linked)")
+@query(_plays("SELECT * FROM (VALUES ('a', 'Database: self-hosted PostgreSQL', 'supersedes', true), ('a', 'blue', 'supersedes', true), ('b', 'light theme', 'supersedes', true), ('c', 'Database: Turso', 'supersedes', true)) v(user_id, content, relationship, linked)", _SCRIPT, "content relationship", "linked"))
 def ingest_search(spark, d):
     """The script ingested, then read back by recency, resolved, as of its moment, and from its links."""
     from palimpsest import api
 
-    rows = [(u, i, "user", s) for u, said in G.SCRIPT for i, s in enumerate(said)]
-    m = spark.createDataFrame(rows, "user_id string, ordinal int, role string, content string")
+    m = _played(spark, d, _SCRIPT, "user_id string, ordinal int, role string, content string")
     memory = api.ingest(m, normalized(m).limit(0), None, AS_OF)["memory"]
     live = retrieve.as_of(retrieve.resolve_conflicts(retrieve.retrieve(memory, "recent", 50)), AS_OF)
     linked = retrieve.expand(live, memory, 1, active_only=False).select("user_id", F.col("id").alias("supersedes_id")).withColumn("linked", F.lit(True))
     return live.join(linked, ["user_id", "supersedes_id"], "left").select("user_id", "content", "relationship", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
-@query("SELECT * FROM (VALUES ('[1,2]', '[\"a\",\"b\"]'), ('[]', '[]'), ('[7]', '[\"x\"]')) v(ids, sources)")
+_IDS = [(0, "[1,2,2]", '["Neon","b","Neon"]'), (1, "oops", "{}"), (2, "[7]", '["Bun"]')]
+
+
+@query(_plays("SELECT * FROM (VALUES (0, '[1,2]', '[\"Neon\",\"b\"]'), (1, '[]', '[]'), (2, '[7]', '[\"Bun\"]')) v(i, ids, sources)", _IDS, "ids sources", "", "i"))
 def json_ids(spark, d):
-    rows = [("[1,2,2]", '["a","b","a"]'), ("oops", "{}"), ("[7]", '["x"]')]
-    f = spark.createDataFrame(rows, "a string, b string")
-    return f.select(T.ids_text(T.ids(F.col("a"))).alias("ids"), T.ids_text(T.ids(F.col("b"), "string")).alias("sources"))
+    f = _played(spark, d, _IDS, "i int, a string, b string")
+    return f.select("user_id", T.ids_text(T.ids(F.col("a"))).alias("ids"), T.ids_text(T.ids(F.col("b"), "string")).alias("sources"))
 
 
 _NORMAL = ["I\u2019m fine!!  It's \u201cok\u201d", "Don't  stop...", "  plain "]
 
 
-@query("SELECT * FROM (VALUES (0, 'i am fine! it is \"ok\"'), (1, 'do not stop.'), (2, 'plain')) v(i, s)")
+@query(_told("(VALUES (0, 'i am fine! it is \"ok\"'), (1, 'do not stop.'), (2, 'plain')) v(i, s)", len(_NORMAL)))
 def normal_text(spark, d):
-    return _frame(spark, _NORMAL).select("i", T.normal(F.col("s")).alias("s"))
+    return _planted(spark, d, _NORMAL).select("conv_id", "turn", T.normal(F.col("s")).alias("s"))
 
 
-@query("SELECT * FROM (VALUES (0, 'I used Supabase'), (1, 'now I use Neon'), (2, 'I used Supabase but now I use Neon') ) v(i, clause) WHERE i < 2")
+@query(_told("(VALUES (0, 'I used Supabase'), (1, 'now I use Neon')) v(i, clause)", 2))
 def smallest_clause(spark, d):
-    rows = [(0, "I used Supabase but now I use Neon", "supabase"), (1, "I used Supabase but now I use Neon", "Neon")]
-    f = spark.createDataFrame(rows, "i int, s string, v string")
-    return f.select("i", T.smallest_clause(F.col("s"), F.col("v")).alias("clause"))
+    f = _planted(spark, d, ["I used Supabase but now I use Neon"] * 2)
+    value = F.when(F.col("i") == 0, "supabase").otherwise(F.concat(F.lit("Neon "), "n"))
+    return f.select("conv_id", "turn", T.smallest_clause(F.col("s"), value).alias("clause"))
 
 
 _AI = [
@@ -745,16 +802,18 @@ _AI = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('u', 'P uses Neon', 'decision', 'project.database', false, 'store', 0.855::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE, TIMESTAMP '2024-01-20 02:00:00'), ('v', 'dark', 'preference', 'user.theme', true, 'context', 0.92::DOUBLE, 0.9::DOUBLE, 0.85::DOUBLE, NULL)) v(user_id, content, type, topic_key, is_correction, bucket, confidence, importance, stability, valid_until)")
+@query(_plays("SELECT * FROM (VALUES ('u', 'P uses Neon', 'decision', 'project.database', false, 'store', 0.855::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE, TIMESTAMP '2024-01-20 02:00:00'), ('v', 'dark', 'preference', 'user.theme', true, 'context', 0.92::DOUBLE, 0.9::DOUBLE, 0.85::DOUBLE, NULL)) v(user_id, content, type, topic_key, is_correction, bucket, confidence, importance, stability, valid_until)", _AI, "content type topic_key bucket", "is_correction confidence importance stability valid_until"))
 def ai_candidates(spark, d):
-    rows = model.as_candidates(model.ai_candidates(spark.createDataFrame(_AI, "user_id string, answer string")), F.lit(AS_OF))
+    rows = model.as_candidates(model.ai_candidates(_played(spark, d, _AI, "user_id string, answer string")), F.lit(AS_OF))
     return rows.select("user_id", "content", "type", "topic_key", "is_correction", "bucket", F.round("confidence", 4).alias("confidence"), "importance", "stability", F.col("valid_until").cast("timestamp_ntz").alias("valid_until"))
 
 
-@query("SELECT * FROM (VALUES ('u', 0, 'tech_stack', 'PROJECT', 'project.tech_stack', 0.8::DOUBLE, 2), ('u', 1, 'other', 'USER', 'user.other', 1.0::DOUBLE, 0)) v(user_id, n, predicate, scope, topic_key, confidence, sources)")
+_RECORDS = [("u", '{"consolidated":[{"predicate":"tech_stack","scope":"else","value":"x","sourceMemoryIds":["1","2"]},{"predicate":"other","scope":"user","confidence":3},{"predicate":"third"}]}')]
+
+
+@query(_plays("SELECT * FROM (VALUES ('u', 0, 'tech_stack', 'PROJECT', 'project.tech_stack', 0.8::DOUBLE, 2), ('u', 1, 'other', 'USER', 'user.other', 1.0::DOUBLE, 0)) v(user_id, n, predicate, scope, topic_key, confidence, sources)", _RECORDS, "predicate scope topic_key", "n confidence sources"))
 def validate_consolidation(spark, d):
-    a = [("u", '{"consolidated":[{"predicate":"tech_stack","scope":"else","value":"x","sourceMemoryIds":["1","2"]},{"predicate":"other","scope":"user","confidence":3},{"predicate":"third"}]}')]
-    rows = model.consolidations(spark.createDataFrame(a, "user_id string, answer string"))
+    rows = model.consolidations(_played(spark, d, _RECORDS, "user_id string, answer string"))
     return rows.select("user_id", "n", "predicate", "scope", "topic_key", "confidence", F.size("source_ids").alias("sources"))
 
 
@@ -766,17 +825,19 @@ _FACTS = [
 ]
 
 
-@query("""SELECT * FROM (VALUES ('user', 'name', 'Ada Stone', 'fact', 'current', 'user.name', NULL, NULL), ('P', 'project', 'P', 'fact', 'current', 'project.name', NULL, NULL), ('P', 'uses', 'Workers', 'fact', 'current', 'project.uses.workers', NULL, NULL), ('P', 'uses', 'Redis', 'fact', 'current', 'project.uses.redis', NULL, NULL),
-('P', 'database', 'D1', 'decision', 'current', 'project.database.d1', NULL, NULL), ('user', 'preference', 'Tailwind', 'preference', 'current', 'user.preference.tailwind', 'Bootstrap', NULL), ('user', 'uses', 'Mongo', 'fact', 'stopped', 'user.uses.mongo', NULL, 'it was slow')) v(entity, attribute, value, type, state, key, preferred_over, reason)""")
+@query(_plays("""SELECT 'u' AS user_id, v.* FROM (VALUES ('user', 'name', 'Ada Stone', 'fact', 'current', 'user.name', NULL, NULL), ('P', 'project', 'P', 'fact', 'current', 'project.name', NULL, NULL), ('P', 'uses', 'Workers', 'fact', 'current', 'project.uses.workers', NULL, NULL), ('P', 'uses', 'Redis', 'fact', 'current', 'project.uses.redis', NULL, NULL),
+('P', 'database', 'D1', 'decision', 'current', 'project.database.d1', NULL, NULL), ('user', 'preference', 'Tailwind', 'preference', 'current', 'user.preference.tailwind', 'Bootstrap', NULL), ('user', 'uses', 'Mongo', 'fact', 'stopped', 'user.uses.mongo', NULL, 'it was slow')) v(entity, attribute, value, type, state, key, preferred_over, reason)""", _FACTS, "entity attribute value type state key preferred_over reason", vary=False))
 def validated_facts(spark, d):
-    rows = spark.createDataFrame(_FACTS, "user_id string, entity string, attribute string, value string, type string, state string, scope string, confidence double, source string")
-    return model.validated(rows).select("entity", "attribute", "value", "type", "state", "key", "preferred_over", "reason")
+    rows = _played(spark, d, _FACTS, "user_id string, entity string, attribute string, value string, type string, state string, scope string, confidence double, source string", vary=False)
+    return model.validated(rows).select("user_id", "entity", "attribute", "value", "type", "state", "key", "preferred_over", "reason")
 
 
-@query("SELECT * FROM (VALUES (0, 500.0::DOUBLE), (1, 300.0::DOUBLE), (2, 8000.0::DOUBLE), (3, 8000.0::DOUBLE)) v(i, budget)")
+_BUDGETS = [(0, "500", "9"), (1, None, "300"), (2, None, None), (3, "x", "5")]
+
+
+@query(_plays("SELECT * FROM (VALUES (0, 500.0::DOUBLE), (1, 300.0::DOUBLE), (2, 8000.0::DOUBLE), (3, 8000.0::DOUBLE)) v(i, budget)", _BUDGETS, "", "budget", "i"))
 def budget(spark, d):
-    rows = [(0, "500", "9"), (1, None, "300"), (2, None, None), (3, "x", "5")]
-    return spark.createDataFrame(rows, "i int, a string, b string").select("i", model.budget(F.col("a"), F.col("b")).alias("budget"))
+    return _played(spark, d, _BUDGETS, "i int, a string, b string").select("user_id", model.budget(F.col("a"), F.col("b")).alias("budget"))
 
 
 @query("WITH s AS (SELECT event_type AS name, value AS ms FROM events), v AS (SELECT name, list_sort(list(ms)) AS v, round(avg(ms), 1) AS avg FROM s GROUP BY name) SELECT name, avg, round(v[least(len(v), floor(len(v) * 0.5)::BIGINT + 1)], 1) AS p50, round(v[least(len(v), floor(len(v) * 0.95)::BIGINT + 1)], 1) AS p95, len(v)::INTEGER AS n FROM v")
@@ -797,10 +858,10 @@ def tool_output(spark, d):
     return read(spark, d, "documents").select("doc_id", T.tool_output(F.col("text")).alias("shown"))
 
 
-@query(f"SELECT i, {_rx('s', L.CORRECTION_PREFIX)} AS had, CASE WHEN {_rx('s', L.CORRECTION_PREFIX)} THEN {_trim(f'regexp_replace(s, {_q(L.CORRECTION_PREFIX)}, {_q("")}, {_q("i")})')} ELSE s END AS rest FROM {_sentences(G.SENTENCES)}")
+@query(f"SELECT conv_id, turn, {_rx('s', L.CORRECTION_PREFIX)} AS had, CASE WHEN {_rx('s', L.CORRECTION_PREFIX)} THEN {_trim(f'regexp_replace(s, {_q(L.CORRECTION_PREFIX)}, {_q("")}, {_q("i")})')} ELSE s END AS rest FROM {_said(G.SENTENCES)}")
 def correction_prefix(spark, d):
     rest, had = T.strip_correction_prefix(F.col("s"))
-    return _frame(spark, G.SENTENCES).select("i", had.alias("had"), rest.alias("rest"))
+    return _planted(spark, d, G.SENTENCES).select("conv_id", "turn", had.alias("had"), rest.alias("rest"))
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN {_rx('text', L.SPECULATIVE)} THEN 'speculation' WHEN role IN ('user', 'assistant') THEN role ELSE 'speculation' END AS authority FROM conversations")
@@ -811,9 +872,9 @@ def authority(spark, d):
 _SPLIT = "regexp_split_to_array(s, '(?i),|\\band\\b|\\bwith\\b')"
 
 
-@query(f"SELECT i, array_to_string(list_filter(list_transform({_SPLIT}, lambda x: {_trim('x')}), lambda x: x <> ''), '|') AS parts FROM {_sentences(G.SENTENCES + G.LISTS)}")
+@query(f"SELECT conv_id, turn, array_to_string(list_filter(list_transform({_SPLIT}, lambda x: {_trim('x')}), lambda x: x <> ''), '|') AS parts FROM {_said(G.SENTENCES + G.LISTS)}")
 def clauses(spark, d):
-    return _frame(spark, G.SENTENCES + G.LISTS).select("i", F.array_join(T.clauses(F.col("s")), "|").alias("parts"))
+    return _planted(spark, d, G.SENTENCES + G.LISTS).select("conv_id", "turn", F.array_join(T.clauses(F.col("s")), "|").alias("parts"))
 
 
 def _first(c: str, rules: list[tuple[str, str]], default: str) -> str:
@@ -823,18 +884,18 @@ def _first(c: str, rules: list[tuple[str, str]], default: str) -> str:
 _TOOLS = ["Neon", "Upstash Redis", "Cloudflare R2", "pgvector", "OpenAI", "Hono", "AWS Lambda", "paper", "the database", "object storage", "semantic search", "web framework", "hosting", "our api", "summariz", "nothing"]
 
 
-@query(f"SELECT i, {_first('lower(s)', L.VALUE_ATTRIBUTES, repr('technology'))} AS by_value, {_first('lower(s)', L.PURPOSE_ATTRIBUTES, 'NULL')} AS by_purpose, {_first('lower(s)', L.SWITCH_ATTRIBUTES, repr('technology'))} AS by_switch FROM {_sentences(_TOOLS)}")
+@query(f"SELECT conv_id, turn, {_first('lower(s)', L.VALUE_ATTRIBUTES, repr('technology'))} AS by_value, {_first('lower(s)', L.PURPOSE_ATTRIBUTES, 'NULL')} AS by_purpose, {_first('lower(s)', L.SWITCH_ATTRIBUTES, repr('technology'))} AS by_switch FROM {_said(_TOOLS)}")
 def attributes(spark, d):
     s = F.lower("s")
-    return _frame(spark, _TOOLS).select("i", facts.value_attribute(F.col("s")).alias("by_value"), facts.purpose_attribute(F.col("s")).alias("by_purpose"), T.first_match(s, L.SWITCH_ATTRIBUTES, F.lit("technology")).alias("by_switch"))
+    return _planted(spark, d, _TOOLS).select("conv_id", "turn", facts.value_attribute(F.col("s")).alias("by_value"), facts.purpose_attribute(F.col("s")).alias("by_purpose"), T.first_match(s, L.SWITCH_ATTRIBUTES, F.lit("technology")).alias("by_switch"))
 
 
 _CHOICES = [("Tailwind", "ui_library"), ("Vue", "frontend_framework"), ("Rust", "language"), ("dark mode", "theme"), ("SQLite", "database"), ("kanban", "workflow"), ("Lambda", "runtime"), ("Hono", "framework"), ("teal", "favorite_color"), ("green tea", "favorite_color"), ("long walks", "preference")]
 
 
-@query(f"SELECT i, d AS domain, 'preference:' || CASE WHEN d = 'preference' THEN replace(lower(s), ' ', '_') ELSE d END AS topic FROM {_values([(i, s, x) for i, (s, x) in enumerate(_CHOICES)], 'i, s, d')}")
+@query(f"SELECT conv_id, turn, v.d AS domain, 'preference:' || CASE WHEN v.d = 'preference' THEN replace(lower(replace(v.s, '{{n}}', b.n)), ' ', '_') ELSE v.d END AS topic FROM {_base(len(_CHOICES))} b JOIN {varied(_values([(i, s, x) for i, (s, x) in enumerate(_CHOICES)], 'i, s, d'))} ON b.i = v.i")
 def preference_domain(spark, d):
-    return _frame(spark, [s for s, _ in _CHOICES]).select("i", facts.domain(F.col("s")).alias("domain"), facts.domain_topic(F.col("s")).alias("topic"))
+    return _planted(spark, d, [s for s, _ in _CHOICES]).select("conv_id", "turn", facts.domain(F.col("s")).alias("domain"), facts.domain_topic(F.col("s")).alias("topic"))
 
 
 @query(f"WITH {_MEM} SELECT id, CASE WHEN confidence >= 0.92 THEN 0.05 WHEN confidence >= 0.75 THEN 0.25 ELSE 0.8 END::DOUBLE AS gain, CASE WHEN stability >= 0.95 THEN 'permanent' WHEN stability >= 0.7 THEN 'long-term' WHEN stability >= 0.4 THEN 'short-term' ELSE 'session' END AS label FROM mem")
@@ -842,10 +903,12 @@ def gain_and_label(spark, d):
     return event_memory(spark, d).select("id", scoring.information_gain(F.col("confidence")).alias("gain"), scoring.stability_label(F.col("stability")).alias("label"))
 
 
-@query("SELECT * FROM (VALUES ('u', true), ('v', false)) v(user_id, changed)")
+_RESULTS = [("u", "skip"), ("u", "merge"), ("v", "reject"), ("v", "skip")]
+
+
+@query(_plays("SELECT * FROM (VALUES ('u', true), ('v', false)) v(user_id, changed)", _RESULTS, "", "changed"))
 def memory_changed(spark, d):
-    rows = [("u", "skip"), ("u", "merge"), ("v", "reject"), ("v", "skip")]
-    return consolidate.changed(spark.createDataFrame(rows, "user_id string, action string"))
+    return consolidate.changed(_played(spark, d, _RESULTS, "user_id string, action string"))
 
 
 @query(f"WITH {_MEM} SELECT user_id, 'new ' || content AS content FROM mem WHERE id % 2 = 0")
@@ -862,26 +925,29 @@ def snapshot_version(spark, d):
     return consolidate.next_version(m, versions, F.lit(AS_OF)).select("user_id", "version", "kind")
 
 
-@query("SELECT * FROM (VALUES ('u', 'database', 'Neon', 0.9::DOUBLE), ('u', 'uses', 'Redis', 0.7::DOUBLE), ('v', 'database', 'neon', 0.5::DOUBLE)) v(user_id, attribute, value, confidence)")
+_LOCAL = [("u", "db", "neon", 0.8), ("v", "database", "neon", 0.5)]
+_MODEL = [("u", "database", "Neon", 0.9), ("u", "uses", "Redis", 0.7), ("v", "db", "Neon", 0.5)]
+
+
+@query(_plays("SELECT * FROM (VALUES ('u', 'database', 'Neon', 0.9::DOUBLE), ('u', 'uses', 'Redis', 0.7::DOUBLE), ('v', 'database', 'neon', 0.5::DOUBLE)) v(user_id, attribute, value, confidence)", _LOCAL, "attribute value", "confidence", vary=False))
 def merged_facts(spark, d):
     kind = "user_id string, attribute string, value string, confidence double"
-    local = spark.createDataFrame([("u", "db", "neon", 0.8), ("v", "database", "neon", 0.5)], kind)
-    told = spark.createDataFrame([("u", "database", "Neon", 0.9), ("u", "uses", "Redis", 0.7), ("v", "db", "Neon", 0.5)], kind)
-    return extract.merged_facts(local, told)
+    return extract.merged_facts(*[_played(spark, d, rows, kind, vary=False) for rows in (_LOCAL, _MODEL)])
+
+
+_ROUTED = ["I'm currently debugging an authentication bug", "The error is 401", "My name is Ada", "haha"]
 
 
-@query("SELECT * FROM (VALUES ('context', 1), ('store', 2)) v(bucket, n)".replace("SELECT *", "SELECT bucket, n::BIGINT AS n"))
+@query(f"SELECT bucket, count(*) AS n FROM {_base(4)} b JOIN (VALUES (0, 'context'), (1, 'store'), (2, 'store')) v(i, bucket) ON b.i = v.i GROUP BY bucket")
 def route_counts(spark, d):
-    said = ["I'm currently debugging an authentication bug", "The error is 401", "My name is Ada", "haha"]
-    m = normalized(_frame(spark, said).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
-    return extract.bucket_counts(extract.candidates(m))
+    return extract.bucket_counts(extract.candidates(_planted_messages(spark, d, _ROUTED)))
 
 
 @query()
 def extract_candidates(spark, d):
     said = G.USES + G.LISTS + G.PREFERENCES + G.STATEMENTS + G.SWITCHES + G.CORRECTIONS + G.REVOCATIONS + G.LABELLED
-    m = normalized(_frame(spark, said).select(F.lit("u").alias("user_id"), F.col("i").alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
-    return extract.routed(extract.candidates(m)).select("ordinal", "content", "type", "topic_key", "authority", "is_correction", "subject", "predicate", "value", "scope", "bucket")
+    told = extract.routed(extract.candidates(_planted_messages(spark, d, said)))
+    return told.select("conv_id", "turn", "content", "type", "topic_key", "authority", "is_correction", "subject", "predicate", "value", "scope", "bucket")
 
 
 # the memory's core over every row of the conversations -----------------------------------------------------------

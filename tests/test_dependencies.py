@@ -74,18 +74,18 @@ def test_equals_the_fold_by_users(spark, seed, start):
 
 
 def test_one_user_is_many_groups(spark, monkeypatch):
-    """A user of 20 000 candidates whose topics don't meet: components stay small; ranges and blocks are crossed."""
+    """A user of 5000 candidates whose topics don't meet: components stay small; ranges and blocks are crossed."""
     monkeypatch.setattr(dependencies, "RANGE_BITS", 8)
     rng = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(rng.choices(letters, k=rng.randrange(5, 10)))
-    rows = [("hot", i, f"{word()} {word()} {word()}", "fact", f"topic {i % 6000}", "user", False, "s", "p", "v", "project", 0.9, 0.7, 0.5, 1.0, ["m"], None, None, None, "", None, None, None) for i in range(1, 20_001)]
+    rows = [("hot", i, f"{word()} {word()} {word()}", "fact", f"topic {i % 1500}", "user", False, "s", "p", "v", "project", 0.9, 0.7, 0.5, 1.0, ["m"], None, None, None, "", None, None, None) for i in range(1, 5001)]
     ready = spark.createDataFrame(rows, READY)
     told, _ = dependencies.dealt(ready, spark.createDataFrame([], ITEM))
     sizes = [r.n for r in told.groupBy("component").agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) > 5000 and max(sizes) < 40
+    assert len(sizes) > 1200 and max(sizes) < 40
     done = dependencies.fold_apart(ready).where("kind = 'action'").groupBy("action").count().collect()
-    assert {r.action: r["count"] for r in done} == {"create": 6000, "supersede": 14_000}
+    assert {r.action: r["count"] for r in done} == {"create": 1500, "supersede": 3500}
 
 
 def test_numbered(spark):
