@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.facts import content_of, fact, topic_of
 from palimpsest.functions.text import slug
 from palimpsest.operators import compile as packing
-from palimpsest.operators import consolidate, context, extract, fold, messages, retrieve
-from palimpsest.sources.tables import normalized
+from palimpsest.operators import consolidate, context, dependencies, engine, fold, retrieve
 
 TYPES = ["fact", "decision", "constraint", "preference", "goal", "architecture", "important_event", "active_task", "temporary_state"]
 
@@ -21,12 +20,12 @@ def memory_type(c: Column) -> Column:
     return F.when(low.isin(TYPES), low).otherwise("fact")
 
 
-def ingest(new: DataFrame, archive: DataFrame, items: DataFrame | None, as_of: datetime) -> dict[str, DataFrame]:
-    """Messages to append, the memory that results, its log, and the context to write."""
-    fresh = messages.delta(normalized(new), archive)
-    told = extract.routed(extract.candidates(fresh))
-    rows = fold.fold(fold.prepared(told.where("bucket = 'store'"), ["ordinal", "sentence", "part"], F.lit(as_of)), items)
-    return {"messages": fresh, "memory": fold.state(rows), "actions": fold.actions(rows), "corrections": fold.corrections(rows), "context": context.writes(told, F.lit(as_of))}
+def ingest(new: DataFrame, archive: DataFrame, items: DataFrame | None, as_of: datetime, **known: DataFrame | None) -> dict[str, DataFrame]:
+    """The whole pass over new messages: what to append to the archive, the memory that results, its log, and the context to write.
+
+    `known`: users, versions and supplied model answers, as `engine.whole_pass` takes them.
+    """
+    return engine.whole_pass(new, as_of, archive, items=items, **known)
 
 
 def save_candidates(rows: DataFrame) -> DataFrame:
@@ -48,7 +47,7 @@ def save_candidates(rows: DataFrame) -> DataFrame:
 
 def save(rows: DataFrame, items: DataFrame | None) -> DataFrame:
     """The fold's rows after saving."""
-    return fold.fold(fold.prepared(save_candidates(rows), ["message_key"]), items)
+    return dependencies.folded(fold.prepared(save_candidates(rows), ["message_key"]), items)
 
 
 def update(items: DataFrame, changes: DataFrame) -> DataFrame:
@@ -63,8 +62,6 @@ def update(items: DataFrame, changes: DataFrame) -> DataFrame:
     top = items.groupBy("user_id").agg(F.max("id").alias("top"))
     marked = items.join(hit, ["user_id", "id"], "left")
     old = marked.withColumn("status", F.when(F.col("new_value").isNotNull(), "superseded").otherwise(F.col("status"))).drop("new_value")
-    from pyspark.sql import Window
-
     fresh = marked.where("new_value is not null").join(top, "user_id")
     f = fact(F.coalesce(F.nullif("subject", F.lit("")), F.lit("user")), F.coalesce(F.nullif("predicate", F.lit("")), F.lit("item")), F.col("new_value"), F.col("type"), F.lit(None), F.col("scope"))
     fresh = fresh.withColumns({
@@ -98,12 +95,18 @@ def compile_context(requests: DataFrame, items: DataFrame | None = None, budget:
     return packing.compiled_parts(requests, items, budget, context.live(entries, as_of) if entries is not None else None)
 
 
-def process(new: DataFrame, archive: DataFrame, items: DataFrame | None, entries: DataFrame | None, as_of: datetime, budget: int = 8000) -> dict[str, DataFrame]:
-    """Ingests messages, and compiles the same requests with the memory and the context that result."""
-    done = ingest(new, archive, items, as_of)
+def process(new: DataFrame, archive: DataFrame, items: DataFrame | None, entries: DataFrame | None, as_of: datetime, budget: int = 8000, **known: DataFrame | None) -> dict[str, DataFrame]:
+    """Ingests requests, searches the memory that results for each one's last user text, and compiles the requests with it.
+
+    `found`: at most 20 items a user, of those that the text calls for, `rendered`: they as lines; `sent`, `statistics`: the compiled request.
+    """
+    done = ingest(new, archive, items, as_of, **known)
     held = done["context"] if entries is None else entries.unionByName(done["context"])
+    query = packing.query_words(new)
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc()))
+    found = packing.retrieved(done["memory"], query).withColumn("__n", turn).where("__n <= 20").drop("__n")
     sent = compile_context(new, done["memory"], budget, held, as_of)
-    return done | {"sent": sent["messages"], "statistics": sent["statistics"]}
+    return done | {"found": found, "rendered": consolidate.rendered(found), "sent": sent["messages"], "statistics": sent["statistics"]}
 
 
 search = retrieve.search

@@ -293,3 +293,17 @@ def fold_apart(ready: DataFrame, items: DataFrame | None = None) -> DataFrame:
     out = renamed(acts, "id").select(*layout).unionByName(held).unionByName(rest)
     return out.withColumn("user_id", F.when(F.col("user_id") != "-", F.substr("user_id", F.lit(2))))
 
+
+
+def folded(ready: DataFrame, items: DataFrame | None = None, most: int = 2000) -> DataFrame:
+    """The rows of `fold.fold(ready, items)`: users of at most `most` candidates and items as a group each, all others by components."""
+    ready = stored(ready)
+    counts = ready.groupBy("user_id").agg(F.count("*").alias("n"))
+    if items is not None:
+        items = stored(items)
+        counts = counts.unionByName(items.groupBy("user_id").agg(F.count("*").alias("n"))).groupBy("user_id").agg(F.sum("n").alias("n"))
+    large = stored(counts.where(F.col("n") > most).select(F.col("user_id").alias("__u")))
+    if large.isEmpty():
+        return fold.fold(ready, items)
+    parted = lambda f, how: None if f is None else f.join(large, F.col("user_id").eqNullSafe(F.col("__u")), how)
+    return fold.fold(parted(ready, "left_anti"), parted(items, "left_anti")).unionByName(fold_apart(parted(ready, "left_semi"), parted(items, "left_semi")))

@@ -30,7 +30,7 @@ USER_OWNED = ["name", "occupation", "preference", "dislike", "goal", "plan", "ex
 SINGLE_VALUED = ["name", "occupation", "project"]
 PROJECT_WORDS = ["it", "this", "that", "the project", "the app", "the system", "project"]
 
-_CANDIDATE = "struct<action:string,destination:string,type:string,scope:string,subject:string,predicate:string,value:string,topicKey:string,confidence:double,importance:double,stability:string,ttl_hours:double,informationGain:double,rawText:string>"
+_CANDIDATE = "struct<action:string,destination:string,type:string,scope:string,subject:string,predicate:string,value:string,topicKey:string,confidence:double,importance:double,stability:string,ttl_hours:double,informationGain:double,rawText:string,supersedes_id:string>"
 _RECORD = "struct<type:string,scope:string,subject:string,predicate:string,value:string,topicKey:string,confidence:double,importance:double,stability:string,sourceMemoryIds:array<string>,consolidationNote:string>"
 
 
@@ -48,13 +48,13 @@ def ai_candidates(answers: DataFrame, column: str = "answer", least: float = 0.4
     keep = [c for c in answers.columns if c != column]
     parsed = F.from_json(json_text(F.col(column)), f"struct<candidates:array<{_CANDIDATE}>>")["candidates"]
     c = lambda n: F.col(f"c.{n}")
-    rows = answers.select(*keep, F.explode(parsed).alias("c"))
+    rows = answers.select(*keep, F.posexplode(parsed).alias("n", "c"))
     action, destination = F.upper(F.coalesce(c("action"), F.lit("NEW"))), F.upper(F.coalesce(c("destination"), F.lit("STORE")))
     out = rows.select(
-        *keep, action.alias("action"), destination.alias("destination"), F.upper(F.coalesce(c("type"), F.lit("FACT"))).alias("type"), _one_of(F.coalesce(c("scope"), F.lit("USER")), SCOPES, "USER").alias("scope"),
+        *keep, "n", action.alias("action"), destination.alias("destination"), F.upper(F.coalesce(c("type"), F.lit("FACT"))).alias("type"), _one_of(F.coalesce(c("scope"), F.lit("USER")), SCOPES, "USER").alias("scope"),
         F.coalesce(c("subject"), F.lit("user")).alias("subject"), F.trim(c("predicate")).alias("predicate"), F.trim(c("value")).alias("value"), F.trim(c("topicKey")).alias("topic"),
         clamp01(c("confidence"), 0.8).alias("confidence"), clamp01(c("importance"), 0.7).alias("importance"), _one_of(F.coalesce(c("stability"), F.lit("long-term")), STABILITIES, "long-term", False).alias("stability"),
-        c("ttl_hours").alias("ttl_hours"), clamp01(c("informationGain"), 0.8).alias("gain"), c("rawText").alias("raw_text"),
+        c("ttl_hours").alias("ttl_hours"), clamp01(c("informationGain"), 0.8).alias("gain"), c("rawText").alias("raw_text"), c("supersedes_id").alias("supersedes_id"),
     )
     allowed = F.col("action").isin(ACTIONS) & F.col("destination").isin(DESTINATIONS) & (F.col("action") != "DISCARD") & (F.col("destination") != "DISCARD")
     return out.where(allowed & (F.col("value") != "") & (F.col("predicate") != "") & (F.col("confidence") >= least))
@@ -69,7 +69,7 @@ def as_candidates(rows: DataFrame, as_of: Column) -> DataFrame:
     content = F.when(kind == "preference", F.col("value")).otherwise(F.coalesce(F.nullif("raw_text", F.lit("")), F.concat("predicate", F.lit(": "), "value")))
     local = candidate_scores(content, kind, F.lit("user"), update)
     until = F.when(F.col("ttl_hours") > 0, as_of + F.make_dt_interval(hours=F.col("ttl_hours").cast("int")))
-    known = ["action", "destination", "type", "scope", "subject", "predicate", "value", "topic", "confidence", "importance", "stability", "ttl_hours", "gain", "raw_text"]
+    known = ["action", "destination", "type", "scope", "subject", "predicate", "value", "topic", "confidence", "importance", "stability", "ttl_hours", "gain", "raw_text", "supersedes_id"]
     return rows.withColumn("s", local).select(
         *[c for c in rows.columns if c not in known], content.alias("content"), kind.alias("type"), topic.alias("topic_key"), F.lit("user").alias("authority"), update.alias("is_correction"),
         F.when(F.col("destination") == "CONTEXT", "context").otherwise("store").alias("bucket"), "subject", "predicate", "value", scope.alias("scope"),

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import facts, rich, scoring
 from palimpsest.functions import lexicons as L
 from palimpsest.functions import text as T
+from palimpsest.functions.qgrams import normal_texts, similar_texts
 from palimpsest.operators import compile as packing
-from palimpsest.operators import consolidate, context, extract, fold, messages, model, retrieve
+from palimpsest.operators import consolidate, context, dependencies, engine, extract, fold, messages, model, retrieve
 from palimpsest.plans import golden as G
 from palimpsest.plans.golden import varied
 from palimpsest.streaming import streams
@@ -998,3 +999,63 @@ def conversation_state(spark, d):
 def conversation_corrections(spark, d):
     return fold.corrections(_folded(spark, d))
 
+
+# the whole pass -------------------------------------------------------------------------------------------------
+
+
+_OFFERED = [
+    ("a", '{"candidates":[{"action":"NEW","type":"FACT","scope":"PROJECT","subject":"P","predicate":"hosting","value":"Fly","confidence":0.9,"rawText":"P is hosted on Fly"},{"action":"NEW","type":"FACT","scope":"PROJECT","predicate":"hosting","value":"Fly","confidence":0.8,"rawText":"p is HOSTED on Fly"},{"action":"SUPERSEDES","type":"PREFERENCE","scope":"USER","predicate":"favorite_color","value":"violet","topicKey":"preference:favorite_color","confidence":0.9,"supersedes_id":"p is hosted on Fly"}]}'),
+    ("b", "nothing"),
+    ("c", '{"candidates":[{"action":"NEW","type":"DECISION","scope":"PROJECT","subject":"P","predicate":"database","value":"Turso","confidence":0.9,"rawText":"database: Turso"}]}'),
+]
+_PASSED = """VALUES ('a', 'Database: Neon for database', 'superseded'), ('a', 'Database: self-hosted PostgreSQL', 'active'), ('a', 'red', 'superseded'), ('a', 'blue', 'superseded'), ('a', 'violet', 'active'), ('a', 'Temporary password: temp1234', 'revoked'),
+('a', 'P is hosted on Fly', 'obsolete'), ('b', 'dark theme', 'superseded'), ('b', 'light theme now', 'superseded'), ('b', 'light theme', 'active'), ('c', 'Database: Neon for its database', 'superseded'), ('c', 'Database: Turso', 'active')"""
+
+
+def _passed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Every conversation plays a script and has a model's answer supplied; nothing was there before."""
+    kind = "user_id string, ordinal int, role string, content string"
+    return engine.whole_pass(_played(spark, d, _SCRIPT, kind), AS_OF, answers=_played(spark, d, _OFFERED, "user_id string, answer string"))
+
+
+@query(_plays(f"SELECT * FROM ({_PASSED}) v(user_id, content, status)", _SCRIPT, "content status"))
+def engine_memory(spark, d):
+    return _passed(spark, d)["memory"].select("user_id", "content", "status")
+
+
+@query(_plays("SELECT user_id, 1 AS version, 'memory' AS kind, decisions, preferences FROM (VALUES ('a', '[\"Database: self-hosted PostgreSQL\"]', '[\"violet\"]'), ('b', '[]', '[\"light theme\"]'), ('c', '[\"Database: Turso\"]', '[]')) v(user_id, decisions, preferences)", _SCRIPT, "decisions preferences", "version kind"))
+def engine_versions(spark, d):
+    """The snapshots that the pass appends, with two of their lists."""
+    kept = lambda n: F.coalesce(F.get_json_object("state_json", f"$.{n}"), F.lit("[]")).alias(n)
+    return _passed(spark, d)["versions"].select("user_id", "version", "kind", kept("decisions"), kept("preferences"))
+
+
+@query(_plays("SELECT user_id, action, n::BIGINT AS n FROM (VALUES ('a', 'create', 4), ('a', 'supersede', 3), ('a', 'revoke', 1), ('b', 'create', 1), ('b', 'supersede', 2), ('b', 'merge', 1), ('c', 'create', 1), ('c', 'supersede', 1)) v(user_id, action, n)", _SCRIPT, "action", "n"))
+def action_counts(spark, d):
+    return consolidate.action_counts(_passed(spark, d)["actions"])
+
+
+@query(_plays("SELECT user_id, seq::BIGINT AS seq, action FROM " + _values(G.SCRIPT_ACTIONS, "user_id, seq, action"), _SCRIPT, "action", "seq"))
+def fold_apart(spark, d):
+    """The script's candidates folded by dependency components instead of by users."""
+    rows = _played(spark, d, _SCRIPT, "user_id string, ordinal int, role string, content string")
+    told = extract.routed(extract.candidates(normalized(rows))).where("bucket = 'store'")
+    return fold.actions(dependencies.fold_apart(fold.prepared(dependencies.numbered(told, _ORDER), _ORDER))).select("user_id", "seq", "action")
+
+
+#: SQL of the longest common subsequence of two texts: a row of the table is a list, its running maximum the next row.
+_LCS = """list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda _: 0), list_transform(range(1, length(a) + 1), lambda i: [i])),
+ lambda row, i: list_prepend(0, list_transform(range(2, length(b) + 2), lambda j: list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN a[i[1]] = b[k - 1] THEN row[k - 1] + 1 ELSE row[k] END)))))[-1]"""
+
+
+@query(f"""WITH t AS (SELECT DISTINCT conv_id % 20 AS grp, s FROM {_said(G.SENTENCES + G.CORRECTIONS)} x), p AS (SELECT l.grp, l.s AS a0, r.s AS b0, trim(lower(l.s)) AS a, trim(lower(r.s)) AS b FROM t l JOIN t r ON l.grp = r.grp AND l.s < r.s),
+s AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 2.0 * {_LCS} / (length(a) + length(b)) END::DOUBLE AS similarity FROM p)
+SELECT grp, least(a, b) AS one, greatest(a, b) AS other, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.75 AND a <> b""")
+def near_texts(spark, d):
+    """Unequal texts of one group that are at least 0.75 alike, by the index of q-grams."""
+    t = _planted(spark, d, G.SENTENCES + G.CORRECTIONS).select((F.col("conv_id") % 20).alias("grp"), "s")
+    t = normal_texts(t, "s", "norm").select("grp", "norm").distinct().withColumn("id", F.xxhash64("grp", "norm"))
+    pairs = similar_texts(t, ["grp"], 0.75)
+    a, b = (t.select(F.col("id").alias(f"id_{n}"), F.col("norm").alias(n), *extra) for n, extra in (("a", ["grp"]), ("b", [])))
+    met = pairs.join(a, "id_a").join(b, "id_b")
+    return met.select("grp", F.least("a", "b").alias("one"), F.greatest("a", "b").alias("other"), F.round("similarity", 6).alias("similarity"))
