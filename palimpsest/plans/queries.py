@@ -1043,17 +1043,18 @@ def fold_apart(spark, d):
     return fold.actions(dependencies.fold_apart(fold.prepared(dependencies.numbered(told, _ORDER), _ORDER))).select("user_id", "seq", "action")
 
 
-#: SQL of the longest common subsequence of two texts: a row of the table is a list, its running maximum the next row.
-_LCS = """list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda _: 0), list_transform(range(1, length(a) + 1), lambda i: [i])),
- lambda row, i: list_prepend(0, list_transform(range(2, length(b) + 2), lambda j: list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN a[i[1]] = b[k - 1] THEN row[k - 1] + 1 ELSE row[k] END)))))[-1]"""
+#: SQL of the longest common subsequence of texts a and b, row by row of the table.
+_LCS = """list_reduce(list_prepend(list_transform(range(length(b) + 1), lambda _: 0::BIGINT), list_transform(range(1, length(a) + 1), lambda i: [i])),
+ lambda row, i: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [j])),
+ lambda done, j: list_append(done, CASE WHEN a[i[1]] = b[j[1]] THEN row[j[1]] + 1 ELSE greatest(done[j[1]], row[j[1] + 1]) END)))[-1]"""
 
 
-@query(f"""WITH t AS (SELECT DISTINCT conv_id % 20 AS grp, s FROM {_said(G.SENTENCES + G.CORRECTIONS)} x), p AS (SELECT l.grp, l.s AS a0, r.s AS b0, trim(lower(l.s)) AS a, trim(lower(r.s)) AS b FROM t l JOIN t r ON l.grp = r.grp AND l.s < r.s),
+@query(f"""WITH t AS (SELECT DISTINCT turn AS grp, s FROM {_said(G.SENTENCES + G.CORRECTIONS)} x), p AS (SELECT l.grp, l.s AS a0, r.s AS b0, trim(lower(l.s)) AS a, trim(lower(r.s)) AS b FROM t l JOIN t r ON l.grp = r.grp AND l.s < r.s),
 s AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 2.0 * {_LCS} / (length(a) + length(b)) END::DOUBLE AS similarity FROM p)
 SELECT grp, least(a, b) AS one, greatest(a, b) AS other, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.75 AND a <> b""")
 def near_texts(spark, d):
     """Unequal texts of one group that are at least 0.75 alike, by the index of q-grams."""
-    t = _planted(spark, d, G.SENTENCES + G.CORRECTIONS).select((F.col("conv_id") % 20).alias("grp"), "s")
+    t = _planted(spark, d, G.SENTENCES + G.CORRECTIONS).select(F.col("turn").alias("grp"), "s")
     t = normal_texts(t, "s", "norm").select("grp", "norm").distinct().withColumn("id", F.xxhash64("grp", "norm"))
     pairs = similar_texts(t, ["grp"], 0.75)
     a, b = (t.select(F.col("id").alias(f"id_{n}"), F.col("norm").alias(n), *extra) for n, extra in (("a", ["grp"]), ("b", [])))
