@@ -7,7 +7,8 @@ at distance t div m from the query's: after it, every code within distance t of
 farther off in every segment than has been looked up differs in more than t bits. A query is done when the distance
 of its k-th best neighbour is at most t, so nothing that could tie or beat it is missing. A candidate is verified
 (its full distance must not be above the present k-th, and no earlier step may have found it) inside the join, so
-only neighbours that matter leave it.
+only neighbours that matter leave it. How far a k-th neighbour can be is known from the start, from a few hundred codes. A query
+that would look up more values than there are codes meets every code once instead, in blocks.
 
 Defined results: rows with a null id, a null vector or a vector of another length than `bits` take no part; a null
 component counts as not positive. Repeated rows count once; a vector is no neighbour of itself, but one with an equal
@@ -17,8 +18,8 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import ceil, log2
+from functools import reduce
+from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,37 +45,65 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bits: int = 64) ->
     first = F.row_number().over(Window.partitionBy("bits").orderBy("vec_id"))
     codes = cut(rows.withColumn("__n", first).where(F.col("__n") <= k + 1).select("vec_id", "seg"))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("seg").alias("own"), F.lit(bits).alias("reach"))
-    active = cut(queries)
-    best = active.select("query_id", F.col("query_id").alias("vec_id"), F.lit(0).alias("distance")).limit(0)
-    done = None
-    t = 0
-    while not active.isEmpty():
+    active = cut(_first_reach(queries, codes, m, k))
+    none = active.select("query_id", F.col("query_id").alias("vec_id"), F.lit(0).alias("distance")).limit(0)
+    best = none
+    t = spent = 0
+    while t <= bits + m and not active.isEmpty():
         j, r = t % m, t // m
+        spent += comb(widths[j], r)
+        if spent > n:  # looking up more values than there are codes: the rest of the queries meet every code once
+            return _ranked(best.join(active.select("query_id"), "query_id", "left_anti").unionByName(_scanned(active, codes, m, n)), k)
         if r <= widths[j]:
-            masks = [sum(1 << b for b in chosen) for chosen in combinations(range(widths[j]), r)]
-            flips = vectors.sparkSession.createDataFrame([(r, x) for x in masks], "r int, mask long")
-            probes = active.withColumn("r", F.lit(r)).join(F.broadcast(flips), "r").select("query_id", "own", "reach", F.col("own")[j].bitwiseXOR(F.col("mask")).alias("value"))
             index = codes.select(F.col("seg")[j].alias("value"), "vec_id", "seg")
-            parts = [_distance(F.col("own")[i], F.col("seg")[i]) for i in range(m)]
-            whole = parts[0]
-            for x in parts[1:]:
-                whole = whole + x
-            new = (whole <= F.col("reach")) & (F.col("query_id") != F.col("vec_id"))
+            new = (_whole(m) <= F.col("reach")) & (F.col("query_id") != F.col("vec_id"))
             for i in range(m):
                 if i != j and (i < j or r):
-                    new = new & (parts[i] > (r if i < j else r - 1))
-            found = probes.join(index, (probes["value"] == index["value"]) & new).select("query_id", "vec_id", whole.cast("int").alias("distance"))
-            order = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-            best = cut(best.unionByName(found).withColumn("rank", order).where(F.col("rank") <= k).drop("rank"))
+                    new = new & (_distance(F.col("own")[i], F.col("seg")[i]) > (r if i < j else r - 1))
+            probes = _probes(active, j, widths[j], r)
+            found = probes.join(index, (probes["value"] == index["value"]) & new).select("query_id", "vec_id", _whole(m).alias("distance"))
+            best = cut(_ranked(best.unionByName(found), k).drop("rank"))
             reach = best.groupBy("query_id").agg(F.count("*").alias("have"), F.max("distance").alias("far"))
-            state = active.drop("reach").join(reach, "query_id", "left")
-            active = cut(state.withColumn("reach", F.when(F.col("have") >= k, F.col("far")).otherwise(bits)).where((F.col("reach") > t) & F.lit(t < bits)).select("query_id", "own", "reach"))
+            state = active.join(reach, "query_id", "left")
+            nearer = F.when(F.col("have") >= k, F.least("reach", "far")).otherwise(F.col("reach"))
+            active = cut(state.withColumn("reach", nearer).where((F.col("reach") > t) & F.lit(t < bits)).select("query_id", "own", "reach"))
         t += 1
-        if t > bits + m:
-            break
-    done = best
+    return _ranked(best, k)
+
+
+def _whole(m: int) -> Column:
+    return reduce(lambda a, b: a + b, [_distance(F.col("own")[i], F.col("seg")[i]) for i in range(m)]).cast("int")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return done.withColumn("rank", order).select("query_id", "rank", "vec_id", "distance")
+    return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+
+def _first_reach(queries: DataFrame, codes: DataFrame, m: int, k: int, most: int = 512) -> DataFrame:
+    """`queries` with a `reach` that their k-th distance can't exceed: the k-th among at most `most` codes, picked by a hash."""
+    few = F.broadcast(codes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most))  # at most `most` rows
+    near = queries.join(few, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", _whole(m).alias("distance"))
+    far = _ranked(near, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("far"))
+    return queries.join(far, "query_id", "left").select("query_id", "own", F.coalesce("far", "reach").alias("reach"))
+
+
+def _probes(active: DataFrame, j: int, width: int, r: int) -> DataFrame:
+    """The values at distance r from each query's segment j: its bits are flipped one after another, in rising order."""
+    out = active.select("query_id", "own", "reach", F.col("own")[j].alias("value"), F.lit(-1).alias("bit"))
+    for step in range(r):
+        out = out.withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.lit(width - r + step))))
+        out = out.withColumn("value", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))))
+    return out.drop("bit")
+
+
+def _scanned(active: DataFrame, codes: DataFrame, m: int, n: int, block: int = 4096) -> DataFrame:
+    """All codes within reach of each query, by blocks of codes; what a query has found before is found again."""
+    blocks = -(-n // block)
+    dealt = codes.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asked = active.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    near = (_whole(m) <= F.col("reach")) & (F.col("query_id") != F.col("vec_id"))
+    return asked.join(dealt, (asked["block"] == dealt["block"]) & near).select("query_id", "vec_id", _whole(m).alias("distance"))
 
 
 def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
