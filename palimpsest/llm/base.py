@@ -91,7 +91,6 @@ def earlier(df: DataFrame, by: list[str], pos: str, ties: list[str], value: Colu
     """
     df = df.withColumns({"__range": F.shiftright(pos, 54), "__value": value})
     totals = df.groupBy(*by, "__range").agg(F.sum("__value").alias("__total"))
-    w = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__range").alias("__k"), F.coalesce(F.sum("__total").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     same = F.col("__range") == F.col("__k")
     for c in by:

@@ -1,7 +1,7 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads; DataFrame functions only.
 
-Shards have virtual nodes on a ring of 2^16 cells; a row belongs to the first node clockwise of its id's hash. A
-shard that is full takes no more: what overflows goes on clockwise to the next node whose shard has room. With the
+Shards have virtual nodes on a ring of 2^16 cells; a row belongs to the first node clockwise of the hash of its id and text,
+so that rows without an id, or of one id, are dealt like any others. A shard that is full takes no more: what overflows goes on clockwise to the next node whose shard has room. With the
 exact capacities of the law `rows` (their sum is the number of rows) the counts end at most one apart; with a load
 factor c > 1 a shard holds at most ceil(c * rows / shards), and fewer rows move when a shard is added.
 
@@ -64,7 +64,7 @@ def assign(docs: DataFrame, shards: int = 40, nodes: int = 128, load: float | No
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     groups = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    groups = cut(groups.withColumn("pos", F.xxhash64("doc_id", F.lit(seed))).withColumn("cell", F.shiftrightunsigned("pos", 64 - CELL_BITS)))
+    groups = cut(groups.withColumn("pos", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed))).withColumn("cell", F.shiftrightunsigned("pos", 64 - CELL_BITS)))
 
     spots = ring(spark, shards, nodes, seed)
     # the arc of a cell: the first node at or after it, else the first of all; at most 2^16 rows
