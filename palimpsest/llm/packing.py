@@ -150,7 +150,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2) -> Dat
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of `docs` (doc_id, text)."""
     pieces = cut(pieces_of(docs, tokenizer, size, end)).withColumn("__row", F.monotonically_increasing_id())
     full = pieces.where(F.col("length") == size).withColumns({"sequence_id": 2 * F.col("__row") + 1, "offset": F.lit(0).cast("long")})
-    part = pieces.where(F.col("length") < size).withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(64)))
+    part = pieces.where(F.col("length") < size)
+    # parts of about 2^16 rows if one length had them all
+    part = part.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(max(64, part.count() >> 16))))
     counts = cut(part.groupBy("length", "__part").agg(F.count("*").alias("n")))
     # fewer than `size` rows
     histogram = np.zeros(size + 1, np.int64)
