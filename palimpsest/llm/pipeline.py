@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import classify, mixing, near_dedup, packing
@@ -46,9 +46,11 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_dedup.near_dedup(known, ngram=5, percent=80).select("doc_id", F.col("text_hash").alias("__hash"), "component")
     grouped = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "__hash")).alias("x")).select("x.*")
     kept = grouped.unionByName(found.where("component is null").select("doc_id", "__hash").distinct())
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy(*[c for c in ("source", "lang", "n_chars") if c in docs.columns], F.lit(0)))
-    rows = known.join(kept, ["doc_id", "__hash"], "left_semi").withColumn("__turn", turn).where("__turn = 1").drop("__turn")
-    return rows.unionByName(docs.where("doc_id is null")).drop("__hash").select(*[c for c in COLUMNS if c in docs.columns])
+    # of a row repeated very often each task keeps one before they meet
+    rest = [c for c in ("source", "lang", "n_chars", "text") if c in docs.columns]
+    rows = known.join(kept, ["doc_id", "__hash"], "left_semi").groupBy("doc_id", "__hash").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "x.*")
+    names = [c for c in COLUMNS if c in docs.columns]
+    return rows.select(*names).unionByName(docs.where("doc_id is null").select(*names))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
