@@ -346,7 +346,6 @@ def test_pack(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want = Counter()
     for d, text, _ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
