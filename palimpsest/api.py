@@ -50,25 +50,29 @@ def save(rows: DataFrame, items: DataFrame | None) -> DataFrame:
     return dependencies.folded(fold.prepared(save_candidates(rows), ["message_key"]), items)
 
 
-def update(items: DataFrame, changes: DataFrame) -> DataFrame:
+def update(items: DataFrame, changes: DataFrame, as_of: Column | None = None) -> DataFrame:
     """All items after changes (user_id, id or topic_key, value): the active one named is superseded by a new version.
 
     New ids follow the user's highest. Changes that name no active item are left to `save`; two that name the same are an error.
+    `as_of`: when that happens, where the items have these columns.
     """
     named = changes.select("user_id", F.col("id").alias("want_id") if "id" in changes.columns else F.lit(None).cast("long").alias("want_id"), F.lower(F.trim("topic_key")).alias("want_topic") if "topic_key" in changes.columns else F.lit(None).cast("string").alias("want_topic"), F.trim("value").alias("new_value"))
     hit = items.where("status = 'active'").join(named.where("new_value <> ''"), "user_id").where(F.coalesce(F.col("id") == F.col("want_id"), F.lower("topic_key") == F.col("want_topic")))
     twice = F.count("*") > 1
     hit = hit.groupBy("user_id", "id").agg(F.when(twice, F.raise_error(F.lit("several changes name one item"))).otherwise(F.max("new_value")).alias("new_value"))
     top = items.groupBy("user_id").agg(F.max("id").alias("top"))
+    none = lambda t: F.lit(None).cast(t)
     marked = items.join(hit, ["user_id", "id"], "left")
-    old = marked.withColumn("status", F.when(F.col("new_value").isNotNull(), "superseded").otherwise(F.col("status"))).drop("new_value")
+    gone, moment = F.col("new_value").isNotNull(), none("timestamp") if as_of is None else as_of.cast("timestamp")
+    there = lambda *c: [x for x in c if x in items.columns]
+    old = marked.withColumns({"status": F.when(gone, "superseded").otherwise(F.col("status"))} | {c: F.when(gone, F.coalesce(moment, c)).otherwise(F.col(c)) for c in there("updated_at")}).drop("new_value")
     fresh = marked.where("new_value is not null").join(top, "user_id")
     f = fact(F.coalesce(F.nullif("subject", F.lit("")), F.lit("user")), F.coalesce(F.nullif("predicate", F.lit("")), F.lit("item")), F.col("new_value"), F.col("type"), F.lit(None), F.col("scope"))
     fresh = fresh.withColumns({
         "supersedes_id": F.col("id"), "id": F.col("top") + F.row_number().over(Window.partitionBy("user_id").orderBy("id")), "content": content_of(f), "value": F.col("new_value"),
         "version": F.col("version") + 1, "confidence": F.lit(0.95), "importance": F.greatest("importance", F.lit(0.8)), "stability": F.lit(0.6), "freshness": F.lit(1.0), "information_gain": F.lit(0.85),
-    })
-    return old.unionByName(fresh.select(*items.columns))
+    } | {c: moment for c in there("created_at", "updated_at")} | {c: none(dict(items.dtypes)[c]) for c in there("valid_from", "valid_until", "relationship", "contradicts_ids", "related_ids")})
+    return old.select(*items.columns).unionByName(fresh.select(*items.columns))
 
 
 def forget(items: DataFrame, **what) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import lexicons as L
 from palimpsest.functions import rich
 from palimpsest.functions.facts import FACT, classified, content_of, content_topic, correction, domain, domain_topic, fact, labelled, revocation, single_fact, switch, topic_of, uses_list
-from palimpsest.functions.text import authority, boundary_sentences, correction_like, first_match, group, interrogative, let, low_info, matches, noise, preference_noise, sentences, speculative, strip_correction_prefix, trimmed
+from palimpsest.functions.text import authority, boundary_sentences, correction_like, first_match, group, interrogative, let, low_info, matches, nfkc, noise, preference_noise, sentences, speculative, strip_correction_prefix, trimmed
 
 _COMPOUND = r"^(.+?)\s+and\s+I\s+prefer\s+(.+)$"
 
@@ -22,9 +22,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def gated(messages: DataFrame) -> DataFrame:
-    """Messages of users and assistants that say something, ask nothing and do not speculate."""
+    """Messages of users and assistants that say something, ask nothing and do not speculate; what says nothing is told by its composed form."""
     c, role = F.col("content"), F.col("role")
-    return messages.where(role.isin("user", "assistant")).where(~low_info(c, role) & ~interrogative(c) & ~speculative(c))
+    own = messages.where(role.isin("user", "assistant")).where(~interrogative(c) & ~speculative(c))
+    return own.withColumn("__composed", nfkc(c)).where(~low_info(F.col("__composed"), role)).drop("__composed")
 
 
 def sentence_facts(s: Column) -> Column:
@@ -56,41 +57,44 @@ def _correction_fact(c: Column) -> Column:
 def candidates(messages: DataFrame) -> DataFrame:
     """Candidates of messages (user_id, message_key, ordinal, role, content, and what else they carry), in reading order.
 
-    `message_ordinal`, `sentence`, `part`: where a candidate stands. A fact's key counts once in a message.
+    `sentence`, `part`: where a candidate stands. A fact's key counts once in a message. Other columns of the messages stay, but
+    for those that have a result's name.
     """
+    results = ("sentence", "part", "type", "topic_key", "authority", "is_correction", "correction", "revocation", "fact")
+    messages = messages.drop(*results)
     stripped, had = strip_correction_prefix(F.col("content"))
-    base = gated(messages).withColumns({"stripped": stripped, "had_prefix": had})
-    base = base.where(~interrogative(F.col("stripped"))).withColumns({"revocation": revocation(F.col("stripped")), "correction": correction(F.col("stripped"))})
+    base = gated(messages).withColumns({"__stripped": stripped, "__had_prefix": had})
+    base = base.where(~interrogative(F.col("__stripped"))).withColumns({"revocation": revocation(F.col("__stripped")), "correction": correction(F.col("__stripped"))})
     whole = F.col("revocation").isNotNull() | F.col("correction").isNotNull()
     keep = [c for c in base.columns]
-    rows = base.select(*keep, F.posexplode_outer(F.when(whole, F.array(F.lit(None).cast("string"))).otherwise(sentences(F.col("stripped")))).alias("sentence", "s"))
-    s = F.col("s")
-    rows = rows.withColumn("update", switch(s)).withColumn("quiet", s.isNull() | low_info(s, F.col("role")) | interrogative(s))
-    found = F.when(F.col("quiet"), F.array().cast(f"array<{FACT}>")).when(F.col("update").isNotNull(), F.array("update")).otherwise(sentence_facts(s))
-    rows = rows.withColumn("found", found).select(*keep, "sentence", F.posexplode_outer("found").alias("part", "fact"))
+    rows = base.select(*keep, F.posexplode_outer(F.when(whole, F.array(F.lit(None).cast("string"))).otherwise(sentences(F.col("__stripped")))).alias("sentence", "__s"))
+    s = F.col("__s")
+    rows = rows.withColumn("__update", switch(s)).withColumn("__quiet", s.isNull() | low_info(s, F.col("role")) | interrogative(s))
+    found = F.when(F.col("__quiet"), F.array().cast(f"array<{FACT}>")).when(F.col("__update").isNotNull(), F.array("__update")).otherwise(sentence_facts(s))
+    rows = rows.withColumn("__found", found).select(*keep, "sentence", F.posexplode_outer("__found").alias("part", "fact"))
     by_message = Window.partitionBy("user_id", "message_key", "ordinal")
     key = F.coalesce(F.col("fact.fact_key"), topic_of(F.col("fact")))
-    rows = rows.withColumn("key", F.when(F.col("fact").isNotNull() & ~F.col("fact.is_update"), key))
+    rows = rows.withColumn("__key", F.when(F.col("fact").isNotNull() & ~F.col("fact.is_update"), key))
     rows = rows.withColumns({
-        "turn": F.when(F.col("key").isNotNull(), F.row_number().over(Window.partitionBy("user_id", "message_key", "ordinal", "key").orderBy("sentence", "part"))).otherwise(1),
-        "facts": F.count("fact").over(by_message), "first": F.row_number().over(by_message.orderBy("sentence", "part")),
+        "__turn": F.when(F.col("__key").isNotNull(), F.row_number().over(Window.partitionBy("user_id", "message_key", "ordinal", "__key").orderBy("sentence", "part"))).otherwise(1),
+        "__facts": F.count("fact").over(by_message), "__first": F.row_number().over(by_message.orderBy("sentence", "part")),
     })
-    rows = rows.where((F.col("fact").isNotNull() & (F.col("turn") == 1)) | ((F.col("facts") == 0) & (F.col("first") == 1)))
+    rows = rows.where((F.col("fact").isNotNull() & (F.col("__turn") == 1)) | ((F.col("__facts") == 0) & (F.col("__first") == 1)))
     lone = F.col("fact").isNull() & F.col("revocation").isNull() & F.col("correction").isNull()
-    rows = rows.withColumn("text", F.when(lone, classified(F.col("stripped")))).withColumn("corrected", F.when(F.col("correction").isNotNull(), _correction_fact(F.col("correction"))))
+    rows = rows.withColumn("__text", F.when(lone, classified(F.col("__stripped")))).withColumn("__corrected", F.when(F.col("correction").isNotNull(), _correction_fact(F.col("correction"))))
     unlabelled = (F.col("role") == "assistant") & labelled(F.col("content"))[0].isNull()
-    rows = rows.where(F.when(F.col("revocation").isNotNull(), F.col("role") == "user").when(lone, F.col("text").isNotNull() & ~unlabelled).otherwise(True))
-    f = F.coalesce(F.col("fact"), F.col("corrected"), F.col("text.fact"))
-    rows = rows.withColumn("f", f)
-    f = F.col("f")
-    kind = F.when(F.col("revocation").isNotNull(), "fact").otherwise(F.coalesce(F.col("text.memory_type"), f["memory_type"]))
-    body = F.when(F.col("revocation").isNotNull(), F.concat(F.lit("REVOKE: "), F.col("revocation.target"))).otherwise(F.coalesce(F.col("text.body"), content_of(f)))
+    rows = rows.where(F.when(F.col("revocation").isNotNull(), F.col("role") == "user").when(lone, F.col("__text").isNotNull() & ~unlabelled).otherwise(True))
+    f = F.coalesce(F.col("fact"), F.col("__corrected"), F.col("__text.fact"))
+    rows = rows.withColumn("__f", f)
+    f = F.col("__f")
+    kind = F.when(F.col("revocation").isNotNull(), "fact").otherwise(F.coalesce(F.col("__text.memory_type"), f["memory_type"]))
+    body = F.when(F.col("revocation").isNotNull(), F.concat(F.lit("REVOKE: "), F.col("revocation.target"))).otherwise(F.coalesce(F.col("__text.body"), content_of(f)))
     prefers = F.lower(F.col("correction.target")).isin("preference", "my preference", "choice")
-    topic = F.when(F.col("revocation").isNotNull(), "__revocation__").when(prefers, domain_topic(F.col("correction.new_value"))).when(f.isNotNull(), topic_of(f)).otherwise(content_topic(F.col("text.body"), F.col("text.memory_type")))
+    topic = F.when(F.col("revocation").isNotNull(), "__revocation__").when(prefers, domain_topic(F.col("correction.new_value"))).when(f.isNotNull(), topic_of(f)).otherwise(content_topic(F.col("__text.body"), F.col("__text.memory_type")))
     told = F.when(F.col("revocation").isNotNull(), "user").when((F.col("role") == "assistant") & kind.isin("decision", "constraint") & F.col("correction").isNull(), "speculation").otherwise(authority(F.col("role"), F.col("content")))
-    corrects = F.when(F.col("revocation").isNotNull(), False).when(F.col("correction").isNotNull(), True).otherwise(correction_like(F.col("content")) | F.coalesce(f["is_update"], F.lit(False)) | (F.col("text").isNotNull() & F.col("had_prefix")))
+    corrects = F.when(F.col("revocation").isNotNull(), False).when(F.col("correction").isNotNull(), True).otherwise(correction_like(F.col("content")) | F.coalesce(f["is_update"], F.lit(False)) | (F.col("__text").isNotNull() & F.col("__had_prefix")))
     extra = [c for c in messages.columns if c not in ("content", "role")]
-    out = rows.select(*extra, "sentence", F.coalesce("part", F.lit(0)).alias("part"), body.alias("content"), kind.alias("type"), topic.alias("topic_key"), told.alias("authority"), corrects.alias("is_correction"), "correction", "revocation", F.col("f").alias("fact"))
+    out = rows.select(*extra, "sentence", F.coalesce("part", F.lit(0)).alias("part"), body.alias("content"), kind.alias("type"), topic.alias("topic_key"), told.alias("authority"), corrects.alias("is_correction"), "correction", "revocation", F.col("__f").alias("fact"))
     return settled(out)
 
 
@@ -152,7 +156,7 @@ def routes(messages: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     `supplied` (user_id, message_key, confidence) are validated facts of a model; nothing here calls one.
     """
     by = ["user_id", "message_key"]
-    gate = messages.select(*by, rich.memory_gate(F.col("content")).alias("g"))
+    gate = messages.select(*by, "content", nfkc(F.col("content")).alias("__composed")).select(*by, rich.memory_gate(F.col("content"), F.col("__composed")).alias("g"))
     local = rich_facts(messages).groupBy(*by).agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
     rows = gate.join(local, by, "left")
     if supplied is not None:
@@ -170,10 +174,19 @@ def routes(messages: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
 
 
 def merged_facts(local: DataFrame, model: DataFrame) -> DataFrame:
-    """Local and supplied model facts (user_id, attribute, value, confidence, extra): the most confident of each, local before model."""
+    """Local and supplied model facts (user_id, attribute, value, confidence, extra): the most confident of each, local before model.
+
+    A `metadata` map, if they have one, is that of all facts of an identity; of a key the most confident fact's value.
+    """
     both = local.withColumn("__from", F.lit(0)).unionByName(model.withColumn("__from", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("user_id", rich.canonical_attribute(F.col("attribute")), F.lower("value")).orderBy(F.col("confidence").desc(), "__from")
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__from")
+    own = Window.partitionBy("user_id", rich.canonical_attribute(F.col("attribute")), F.lower("value"))
+    rows = both.withColumn("__n", F.row_number().over(own.orderBy(F.col("confidence").desc(), "__from")))
+    if "metadata" in both.columns:
+        every = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("m"))).over(own))
+        empty = F.create_map().cast("map<string,string>")
+        more = lambda acc, x: F.map_concat(acc, F.map_filter(F.map_from_entries(x["m"]), lambda k, _: ~F.map_contains_key(acc, k)))
+        rows = rows.withColumn("metadata", F.aggregate(every, empty, more))
+    return rows.where("__n = 1").drop("__n", "__from")
 
 
 #: The strict layout of supplied model facts.

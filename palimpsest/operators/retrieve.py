@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.tables import stored
+
 #: Orders that retrieval knows; ids break ties, newest first.
 ORDERS = {"importance": "importance", "confidence": "confidence", "recent": "updated_at"}
 
@@ -100,6 +102,22 @@ def expand(seeds: DataFrame, items: DataFrame, depth: int = 1, active_only: bool
     return found if limit is None else found.withColumn("__n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("id").desc()))).where(F.col("__n") <= limit).drop("__n")
 
 
+def expand_all(seeds: DataFrame, items: DataFrame, active_only: bool = True) -> DataFrame:
+    """Items of the same user that the seeds link to over any number of links, without the seeds; revoked ones never.
+
+    Each round meets only what the round before found anew, so cycles end it. A recursive query would do the same in one
+    plan, but can only add rows, not leave out what is known: where links meet again, its paths would multiply.
+    """
+    pool = items.where("status = 'active'" if active_only else "status <> 'revoked'")
+    edges = stored(links(items).join(pool.select("user_id", F.col("id").alias("target")), ["user_id", "target"]).select("user_id", "id", "target"))
+    first = stored(seeds.select("user_id", "id").distinct())
+    seen = frontier = first
+    while not frontier.isEmpty():
+        frontier = stored(frontier.join(edges, ["user_id", "id"]).select("user_id", F.col("target").alias("id")).distinct().join(seen, ["user_id", "id"], "left_anti"))
+        seen = stored(seen.unionByName(frontier))
+    return pool.join(seen.join(first, ["user_id", "id"], "left_anti"), ["user_id", "id"], "left_semi")
+
+
 def conflict_rank() -> Column:
     """1 for the item in force of each user's topic: of the highest version, then latest, then active, then highest id; blank topics are all alone."""
     topic = F.trim(F.coalesce("topic_key", F.lit("")))

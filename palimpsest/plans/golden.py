@@ -36,6 +36,63 @@ SCRIPT = [
 ]
 #: What the fold must do with SCRIPT: user, place in order, action.
 SCRIPT_ACTIONS = [("a", 1, "create"), ("a", 2, "supersede"), ("a", 3, "create"), ("a", 4, "supersede"), ("a", 5, "create"), ("a", 6, "revoke"), ("b", 1, "create"), ("b", 2, "supersede"), ("b", 3, "supersede"), ("b", 4, "merge"), ("c", 1, "create"), ("c", 2, "supersede")]
+#: All sentences of one message each, and what candidates they must give: place, content, type, topic, whether it corrects, subject, predicate, value, scope.
+SAID = USES + LISTS + PREFERENCES + STATEMENTS + SWITCHES + CORRECTIONS + REVOCATIONS + LABELLED
+CANDIDATES = [
+    (0, "Database: Neon for database", "decision", "project.database", False, "P", "database", "Neon for database", "project"),
+    (1, "Workflow: kanban", "fact", "project.workflow", False, "team", "workflow", "kanban", "project"),
+    (2, "Frontend: React", "decision", "project.frontend", False, "App", "frontend", "React", "project"),
+    (3, "Framework: Hono", "decision", "project.framework", False, "It", "framework", "Hono", "project"),
+    (5, "Runtime: Cloudflare Workers", "decision", "project.runtime", False, "project", "runtime", "Cloudflare Workers", "project"),
+    (5, "Framework: Hono", "decision", "project.framework", False, "project", "framework", "Hono", "project"),
+    (5, "Database: Turso", "decision", "project.database", False, "project", "database", "Turso", "project"),
+    (5, "Caching: Upstash Redis", "decision", "project.caching", False, "project", "caching", "Upstash Redis", "project"),
+    (5, "Summarization: Groq", "decision", "project.summarization", False, "project", "summarization", "Groq", "project"),
+    (6, "Runtime: Bun", "decision", "project.runtime", False, "Gateway", "runtime", "Bun", "project"),
+    (6, "Cache: Redis", "decision", "project.cache", False, "Gateway", "cache", "Redis", "project"),
+    (7, "Runtime: Bun", "decision", "project.runtime", False, "It", "runtime", "Bun", "project"),
+    (8, "Tailwind", "preference", "preference:ui_library", False, "user", "ui_library", "Tailwind", "user"),
+    (9, "Rust", "preference", "preference:language", False, "user", "language", "Rust", "user"),
+    (10, "green", "preference", "preference:favorite_color", False, "user", "favorite_color", "green", "user"),
+    (11, "Neon", "preference", "preference:preferred_database", False, "user", "preferred_database", "Neon", "user"),
+    (12, "red", "preference", "preference:favorite_color", False, "user", "favorite_color", "red", "user"),
+    (13, "TypeScript", "preference", "preference:language", False, "user", "language", "TypeScript", "user"),
+    (14, "MongoDB", "preference", "preference:disliked_database", False, "user", "disliked_database", "MongoDB", "user"),
+    (15, "coffee", "preference", "preference:disliked_coffee", False, "user", "disliked_coffee", "coffee", "user"),
+    (16, "blue", "preference", "preference:favorite_color", False, "user", "favorite_color", "blue", "user"),
+    (20, "dark mode", "preference", "preference:theme", False, "user", "theme", "dark mode", "user"),
+    (21, "Architecture: event-driven microservices", "architecture", "project.architecture", False, "P", "architecture", "event-driven microservices", "project"),
+    (22, "Goal: shipping weekly", "goal", "project.goal", False, "Team", "goal", "shipping weekly", "project"),
+    (23, "Name: Ada", "fact", "user.name", False, "user", "name", "Ada", "user"),
+    (24, "Database: Neon", "decision", "project.database", False, "database", "database", "Neon", "project"),
+    (25, "Port: 8080", "fact", "project.port", False, "port", "port", "8080", "project"),
+    (26, "Goal: growth", "goal", "project.goal", False, "goal", "goal", "growth", "project"),
+    (27, "Location: Oslo", "fact", "user.location", False, "user", "location", "Oslo", "user"),
+    (28, "Project: from Rome", "fact", "project.name", False, "from Rome", "project", "from Rome", "project"),
+    (29, "Project: P", "fact", "project.name", False, "P", "project", "P", "project"),
+    (30, "Project: tired", "fact", "project.name", False, "tired", "project", "tired", "project"),
+    (31, "Database: Turso", "decision", "project.database", True, "P", "database", "Turso", "project"),
+    (32, "Cache: Redis", "decision", "project.cache", True, "project", "cache", "Redis", "project"),
+    (33, "Runtime: Bun", "decision", "project.runtime", True, "project", "runtime", "Bun", "project"),
+    (35, "Database: self-hosted PostgreSQL", "decision", "project.database", True, "P", "database", "self-hosted PostgreSQL", "project"),
+    (36, "Database: self-hosted PostgreSQL", "decision", "project.database", True, "database", "database", "self-hosted PostgreSQL", "project"),
+    (37, "Runtime: Bun", "fact", "project.runtime", True, "App", "runtime", "Bun", "project"),
+    (38, "Preference: Helix", "fact", "project.preference", True, "editor", "preference", "Helix", "project"),
+    (39, "Plan: weekly", "fact", "project.plan", True, "plan", "plan", "weekly", "project"),
+    (41, "REVOKE: temporary password", "fact", "__revocation__", False, "project", "revoke", "temporary password", "project"),
+    (42, "REVOKE: password", "fact", "__revocation__", False, "project", "revoke", "password", "project"),
+    (43, "REVOKE: token", "fact", "__revocation__", False, "project", "revoke", "token", "project"),
+    (44, "REVOKE: key", "fact", "__revocation__", False, "project", "revoke", "key", "project"),
+    (45, "REVOKE: address", "fact", "__revocation__", False, "project", "revoke", "address", "project"),
+    (47, "Ship on Friday", "decision", "decision:ship_friday", False, "project", "decision", "Ship on Friday", "project"),
+    (48, "Goal: grow fast", "goal", "project.goal", False, "Goal", "Goal", "grow fast", "project"),
+    (49, "Constraint: never log keys", "fact", "project.constraint", False, "constraint", "constraint", "never log keys", "project"),
+    (50, "ship soon", "goal", "goal:ship_soon", False, "project", "goal", "ship soon", "project"),
+    (51, "v2 to production", "important_event", "important_event:v2_production", False, "project", "important_event", "v2 to production", "project"),
+    (52, "store secrets", "constraint", "constraint:store_secrets", False, "project", "constraint", "store secrets", "project"),
+    (53, "Port: 8080", "fact", "project.port", False, "port", "port", "8080", "project"),
+    (54, "Hosting: Fly", "decision", "project.hosting", False, "hosting", "hosting", "Fly", "project"),
+]
 ANSWERS = [
     ("u1", 'Sure:\n```json\n[{"entity":"user","attribute":"db","value":"Neon","type":"FACT","state":"current","confidence":0.9}]\n```'),
     ("u1", '[{"entity":"P","attribute":"Programming Language","value":"Rust","type":"decision","confidence":0.2}]'),

@@ -9,12 +9,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest import api
 from palimpsest.functions import facts, rich, scoring
 from palimpsest.functions import lexicons as L
 from palimpsest.functions import text as T
+from palimpsest.functions.names import register
 from palimpsest.functions.qgrams import normal_texts, similar_texts
 from palimpsest.operators import compile as packing
-from palimpsest.operators import consolidate, context, dependencies, engine, extract, fold, messages, model, retrieve
+from palimpsest.operators import consolidate, context, dependencies, engine, extract, fold, messages, model, postings, retrieve
 from palimpsest.plans import golden as G
 from palimpsest.plans.golden import varied
 from palimpsest.streaming import streams
@@ -129,7 +131,7 @@ def _planted_messages(spark: SparkSession, d: str, rows: list[str]) -> DataFrame
     return normalized(p.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("user_id"), F.lit(0).alias("ordinal"), F.lit("user").alias("role"), F.col("s").alias("content")))
 
 
-def _told(values: str, n: int, numbers: str = "") -> str:
+def _gives(values: str, n: int, numbers: str = "") -> str:
     """SQL of what planted sentences must give: `values` is a table (i, ..) by the number of the sentence, of `n` in all; `numbers`: columns that are no text."""
     names = re.search(r"v\(i, ([^)]*)\)$", values)[1].split(", ")
     shown = ", ".join(c if c in numbers.split() else f"replace({c}, '{{n}}', b.n) AS {c}" for c in names)
@@ -517,91 +519,91 @@ def _facts(spark: SparkSession, d: str, rows: list[str], f: Callable) -> DataFra
     return x.where("f is not null").select("conv_id", "turn", "f.entity", "f.attribute", "f.value", "f.memory_type")
 
 
-@query(_told("(VALUES (0, 'P', 'database', 'Neon for database', 'decision'), (1, 'team', 'workflow', 'kanban', 'fact'), (2, 'App', 'frontend', 'React', 'decision'), (3, 'It', 'framework', 'Hono', 'decision')) v(i, entity, attribute, value, memory_type)", len(G.USES)))
+@query(_gives("(VALUES (0, 'P', 'database', 'Neon for database', 'decision'), (1, 'team', 'workflow', 'kanban', 'fact'), (2, 'App', 'frontend', 'React', 'decision'), (3, 'It', 'framework', 'Hono', 'decision')) v(i, entity, attribute, value, memory_type)", len(G.USES)))
 def extract_uses(spark, d):
     return _facts(spark, d, G.USES, facts.uses)
 
 
-@query(_told("(VALUES (0, 'project', 'runtime', 'Cloudflare Workers'), (0, 'project', 'framework', 'Hono'), (0, 'project', 'database', 'Turso'), (0, 'project', 'caching', 'Upstash Redis'), (0, 'project', 'summarization', 'Groq'), (1, 'Gateway', 'runtime', 'Bun'), (1, 'Gateway', 'cache', 'Redis')) v(i, entity, attribute, value)", len(G.LISTS)))
+@query(_gives("(VALUES (0, 'project', 'runtime', 'Cloudflare Workers'), (0, 'project', 'framework', 'Hono'), (0, 'project', 'database', 'Turso'), (0, 'project', 'caching', 'Upstash Redis'), (0, 'project', 'summarization', 'Groq'), (1, 'Gateway', 'runtime', 'Bun'), (1, 'Gateway', 'cache', 'Redis')) v(i, entity, attribute, value)", len(G.LISTS)))
 def extract_list(spark, d):
     x = _planted(spark, d, G.LISTS).select("conv_id", "turn", F.explode(facts.uses_list(F.col("s"))).alias("f"))
     return x.select("conv_id", "turn", "f.entity", "f.attribute", "f.value")
 
 
-@query(_told("(VALUES (0, 'ui_library', 'Tailwind', 'Bootstrap'), (1, 'language', 'Rust', 'Go'), (12, 'theme', 'dark mode', NULL)) v(i, attribute, value, preferred_over)", len(G.PREFERENCES)))
+@query(_gives("(VALUES (0, 'ui_library', 'Tailwind', 'Bootstrap'), (1, 'language', 'Rust', 'Go'), (12, 'theme', 'dark mode', NULL)) v(i, attribute, value, preferred_over)", len(G.PREFERENCES)))
 def extract_prefer(spark, d):
     x = _planted(spark, d, G.PREFERENCES).select("conv_id", "turn", facts.preference(F.col("s")).alias("f"))
     return x.where("f is not null").select("conv_id", "turn", "f.attribute", "f.value", "f.preferred_over")
 
 
-@query(_told("(VALUES (2, 'user', 'favorite_color', 'green', 'preference'), (3, 'user', 'preferred_database', 'Neon', 'preference')) v(i, entity, attribute, value, memory_type)", len(G.PREFERENCES)))
+@query(_gives("(VALUES (2, 'user', 'favorite_color', 'green', 'preference'), (3, 'user', 'preferred_database', 'Neon', 'preference')) v(i, entity, attribute, value, memory_type)", len(G.PREFERENCES)))
 def extract_favorite(spark, d):
     return _facts(spark, d, G.PREFERENCES, facts.favorite)
 
 
-@query(_told("(VALUES (4, 'user', 'favorite_color', 'red', 'preference'), (5, 'user', 'language', 'TypeScript', 'preference'), (6, 'user', 'disliked_database', 'MongoDB', 'preference'), (7, 'user', 'disliked_coffee', 'coffee', 'preference'), (8, 'user', 'favorite_color', 'blue', 'preference')) v(i, entity, attribute, value, memory_type)", len(G.PREFERENCES)))
+@query(_gives("(VALUES (4, 'user', 'favorite_color', 'red', 'preference'), (5, 'user', 'language', 'TypeScript', 'preference'), (6, 'user', 'disliked_database', 'MongoDB', 'preference'), (7, 'user', 'disliked_coffee', 'coffee', 'preference'), (8, 'user', 'favorite_color', 'blue', 'preference')) v(i, entity, attribute, value, memory_type)", len(G.PREFERENCES)))
 def extract_affect(spark, d):
     return _facts(spark, d, G.PREFERENCES, facts.affection)
 
 
-@query(_told("(VALUES (0, 'P', 'architecture', 'event-driven microservices', 'architecture'), (1, 'Team', 'goal', 'shipping weekly', 'goal')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
+@query(_gives("(VALUES (0, 'P', 'architecture', 'event-driven microservices', 'architecture'), (1, 'Team', 'goal', 'shipping weekly', 'goal')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_possessive(spark, d):
     return _facts(spark, d, G.STATEMENTS, facts.possessive)
 
 
-@query(_told("(VALUES (2, 'user', 'name', 'Ada', 'fact'), (3, 'database', 'database', 'Neon', 'decision'), (4, 'port', 'port', '8080', 'fact'), (5, 'goal', 'goal', 'growth', 'goal'), (9, 'We', 'We', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
+@query(_gives("(VALUES (2, 'user', 'name', 'Ada', 'fact'), (3, 'database', 'database', 'Neon', 'decision'), (4, 'port', 'port', '8080', 'fact'), (5, 'goal', 'goal', 'growth', 'goal'), (9, 'We', 'We', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_is(spark, d):
     return _facts(spark, d, G.STATEMENTS, facts.the_is)
 
 
-@query(_told("(VALUES (6, 'user', 'location', 'Oslo', 'fact'), (7, 'user', 'location', 'Rome', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
+@query(_gives("(VALUES (6, 'user', 'location', 'Oslo', 'fact'), (7, 'user', 'location', 'Rome', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_location(spark, d):
     return _facts(spark, d, G.STATEMENTS, facts.location)
 
 
-@query(_told("(VALUES (7, 'from Rome', 'project', 'from Rome', 'fact'), (8, 'P', 'project', 'P', 'fact'), (9, 'tired', 'project', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
+@query(_gives("(VALUES (7, 'from Rome', 'project', 'from Rome', 'fact'), (8, 'P', 'project', 'P', 'fact'), (9, 'tired', 'project', 'tired', 'fact')) v(i, entity, attribute, value, memory_type)", len(G.STATEMENTS)))
 def extract_building(spark, d):
     return _facts(spark, d, G.STATEMENTS, facts.building)
 
 
-@query(_told("(VALUES (0, 'P', 'database', 'Turso', 'decision'), (1, 'project', 'cache', 'Redis', 'decision'), (2, 'project', 'runtime', 'Bun', 'decision')) v(i, entity, attribute, value, memory_type)", len(G.SWITCHES)))
+@query(_gives("(VALUES (0, 'P', 'database', 'Turso', 'decision'), (1, 'project', 'cache', 'Redis', 'decision'), (2, 'project', 'runtime', 'Bun', 'decision')) v(i, entity, attribute, value, memory_type)", len(G.SWITCHES)))
 def extract_switch(spark, d):
     return _facts(spark, d, G.SWITCHES, facts.switch)
 
 
-@query(_told("(VALUES (0, 'P', 'Neon', 'self-hosted PostgreSQL'), (1, 'database', '', 'self-hosted PostgreSQL'), (2, 'App', 'Node', 'Bun'), (3, 'editor', 'Vim', 'Helix'), (4, 'plan', '', 'weekly')) v(i, target, old_value, new_value)", len(G.CORRECTIONS)))
+@query(_gives("(VALUES (0, 'P', 'Neon', 'self-hosted PostgreSQL'), (1, 'database', '', 'self-hosted PostgreSQL'), (2, 'App', 'Node', 'Bun'), (3, 'editor', 'Vim', 'Helix'), (4, 'plan', '', 'weekly')) v(i, target, old_value, new_value)", len(G.CORRECTIONS)))
 def extract_correction(spark, d):
     x = _planted(spark, d, G.CORRECTIONS).select("conv_id", "turn", facts.correction(F.col("s")).alias("c"))
     return x.where("c is not null").select("conv_id", "turn", "c.target", "c.old_value", "c.new_value")
 
 
-@query(_told("(VALUES (0, 'temporary password', 'temp1234'), (1, 'password', ''), (2, 'token', ''), (3, 'key', ''), (4, 'address', '')) v(i, target, value)", len(G.REVOCATIONS)))
+@query(_gives("(VALUES (0, 'temporary password', 'temp1234'), (1, 'password', ''), (2, 'token', ''), (3, 'key', ''), (4, 'address', '')) v(i, target, value)", len(G.REVOCATIONS)))
 def extract_revocation(spark, d):
     x = _planted(spark, d, G.REVOCATIONS).select("conv_id", "turn", facts.revocation(F.col("s")).alias("r"))
     return x.where("r is not null").select("conv_id", "turn", "r.target", "r.value")
 
 
-@query(_told("(VALUES (0, 'decision', 'Ship on Friday'), (1, 'goal', 'grow fast'), (2, 'constraint', 'never log keys'), (3, 'goal', 'ship soon'), (4, 'important_event', 'v2 to production'), (5, 'constraint', 'store secrets'), (6, 'fact', 'Port: 8080'), (7, 'decision', 'Hosting: Fly')) v(i, memory_type, body)", len(G.LABELLED)))
+@query(_gives("(VALUES (0, 'decision', 'Ship on Friday'), (1, 'goal', 'grow fast'), (2, 'constraint', 'never log keys'), (3, 'goal', 'ship soon'), (4, 'important_event', 'v2 to production'), (5, 'constraint', 'store secrets'), (6, 'fact', 'Port: 8080'), (7, 'decision', 'Hosting: Fly')) v(i, memory_type, body)", len(G.LABELLED)))
 def extract_labelled(spark, d):
     x = _planted(spark, d, G.LABELLED).select("conv_id", "turn", facts.classified(F.col("s")).alias("c"))
     return x.where("c is not null").select("conv_id", "turn", "c.memory_type", "c.body")
 
 
-@query(_told(_values(G.RICH_FACTS, "i, kind, attribute, value, state, confidence"), len(G.RICH), "confidence").replace("confidence FROM", "confidence::DOUBLE AS confidence FROM"))
+@query(_gives(_values(G.RICH_FACTS, "i, kind, attribute, value, state, confidence"), len(G.RICH), "confidence").replace("confidence FROM", "confidence::DOUBLE AS confidence FROM"))
 def rich_facts(spark, d):
     m = _planted_messages(spark, d, G.RICH)
     found = extract.rich_facts(m).join(m.select("user_id", "conv_id", "turn"), "user_id")
     return found.select("conv_id", "turn", "kind", "attribute", "value", "state", "confidence")
 
 
-@query(_told(_values([(i, *x[1:]) for i, x in enumerate(G.GATES)], "i, call_model, confidence, reason, kinds"), len(G.GATES), "call_model confidence").replace("confidence,", "confidence::DOUBLE AS confidence,", 1))
+@query(_gives(_values([(i, *x[1:]) for i, x in enumerate(G.GATES)], "i, call_model, confidence, reason, kinds"), len(G.GATES), "call_model confidence").replace("confidence,", "confidence::DOUBLE AS confidence,", 1))
 def memory_gate(spark, d):
     rows = _planted(spark, d, [x[0] for x in G.GATES]).withColumn("composed", T.nfkc(F.col("s")))
     rows = rows.select("conv_id", "turn", rich.memory_gate(F.col("s"), F.col("composed")).alias("g"))
     return rows.select("conv_id", "turn", "g.call_model", "g.confidence", "g.reason", F.array_join("g.kinds", ",").alias("kinds"))
 
 
-@query(_told(_values(G.ROUTES, "i, route, confidence"), len(G.ROUTED), "confidence").replace("confidence FROM", "confidence::DOUBLE AS confidence FROM"))
+@query(_gives(_values(G.ROUTES, "i, route, confidence"), len(G.ROUTED), "confidence").replace("confidence FROM", "confidence::DOUBLE AS confidence FROM"))
 def route(spark, d):
     m = _planted_messages(spark, d, G.ROUTED)
     return extract.routes(m).join(m.select("user_id", "conv_id", "turn"), "user_id").select("conv_id", "turn", "route", "confidence")
@@ -763,8 +765,6 @@ def assembled_context(spark, d):
 @query(_plays("SELECT * FROM (VALUES ('a', 'Database: self-hosted PostgreSQL', 'supersedes', true), ('a', 'blue', 'supersedes', true), ('b', 'light theme', 'supersedes', true), ('c', 'Database: Turso', 'supersedes', true)) v(user_id, content, relationship, linked)", _SCRIPT, "content relationship", "linked"))
 def ingest_search(spark, d):
     """The script ingested, then read back by recency, resolved, as of its moment, and from its links."""
-    from palimpsest import api
-
     m = _played(spark, d, _SCRIPT, "user_id string, ordinal int, role string, content string")
     memory = api.ingest(m, normalized(m).limit(0), None, AS_OF)["memory"]
     live = retrieve.as_of(retrieve.resolve_conflicts(retrieve.retrieve(memory, "recent", 50)), AS_OF)
@@ -784,12 +784,12 @@ def json_ids(spark, d):
 _NORMAL = ["I\u2019m fine!!  It's \u201cok\u201d", "Don't  stop...", "  plain "]
 
 
-@query(_told("(VALUES (0, 'i am fine! it is \"ok\"'), (1, 'do not stop.'), (2, 'plain')) v(i, s)", len(_NORMAL)))
+@query(_gives("(VALUES (0, 'i am fine! it is \"ok\"'), (1, 'do not stop.'), (2, 'plain')) v(i, s)", len(_NORMAL)))
 def normal_text(spark, d):
     return _planted(spark, d, _NORMAL).select("conv_id", "turn", T.normal(F.col("s")).alias("s"))
 
 
-@query(_told("(VALUES (0, 'I used Supabase'), (1, 'now I use Neon')) v(i, clause)", 2))
+@query(_gives("(VALUES (0, 'I used Supabase'), (1, 'now I use Neon')) v(i, clause)", 2))
 def smallest_clause(spark, d):
     f = _planted(spark, d, ["I used Supabase but now I use Neon"] * 2)
     value = F.when(F.col("i") == 0, "supabase").otherwise(F.concat(F.lit("Neon "), "n"))
@@ -944,10 +944,9 @@ def route_counts(spark, d):
     return extract.bucket_counts(extract.candidates(_planted_messages(spark, d, _ROUTED)))
 
 
-@query()
+@query(_gives(_values(G.CANDIDATES, "i, content, type, topic_key, is_correction, subject, predicate, value, scope"), len(G.SAID), "is_correction").replace(" FROM", ", 'user' AS authority, 'store' AS bucket FROM", 1))
 def extract_candidates(spark, d):
-    said = G.USES + G.LISTS + G.PREFERENCES + G.STATEMENTS + G.SWITCHES + G.CORRECTIONS + G.REVOCATIONS + G.LABELLED
-    told = extract.routed(extract.candidates(_planted_messages(spark, d, said)))
+    told = extract.routed(extract.candidates(_planted_messages(spark, d, G.SAID)))
     return told.select("conv_id", "turn", "content", "type", "topic_key", "authority", "is_correction", "subject", "predicate", "value", "scope", "bucket")
 
 
@@ -982,7 +981,8 @@ def conversation_facts(spark, d):
 
 @query()
 def conversation_memory_gate(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", rich.memory_gate(F.col("text")).alias("g")).select("conv_id", "turn", "g.*")
+    c = read(spark, d, "conversations").withColumn("composed", T.nfkc(F.col("text")))
+    return c.select("conv_id", "turn", rich.memory_gate(F.col("text"), F.col("composed")).alias("g")).select("conv_id", "turn", "g.*")
 
 
 @query()
@@ -1060,3 +1060,155 @@ def near_texts(spark, d):
     a, b = (t.select(F.col("id").alias(f"id_{n}"), F.col("norm").alias(n), *extra) for n, extra in (("a", ["grp"]), ("b", [])))
     met = pairs.join(a, "id_a").join(b, "id_b")
     return met.select("grp", F.least("a", "b").alias("one"), F.greatest("a", "b").alias("other"), F.round("similarity", 6).alias("similarity"))
+
+
+# the rest of the API over tables --------------------------------------------------------------------------------
+
+
+@query(f"SELECT message_key FROM ({_KEYED}) WHERE user_id = '3'")
+def archived_keys(spark, d):
+    return messages.archived_keys(normalized(conversation_messages(spark, d)), "3")
+
+
+@query(f"WITH {_MEM} SELECT user_id, id, CASE WHEN id % 3 = 0 THEN upper(content) ELSE content END AS content, status FROM mem")
+def union_by_id(spark, d):
+    m = event_memory(spark, d)
+    return retrieve.union_by_id(m.where("id % 3 = 0").withColumn("content", F.upper("content")), m).select(*_SHOWN)
+
+
+@query(f"WITH {_MEM} SELECT user_id, id, CASE WHEN status = 'active' AND predicate = 'click' THEN 'revoked' ELSE status END AS status FROM mem")
+def forget(spark, d):
+    return api.forget(event_memory(spark, d), attribute="click").select("user_id", "id", "status")
+
+
+@query(f"WITH {_MEM} SELECT user_id, id, CASE WHEN id = 40 AND version = 1 THEN 'patched' ELSE content END AS content, CASE WHEN id = 40 AND version = 1 THEN 2 ELSE version END AS version FROM mem")
+def compare_and_swap(spark, d):
+    return api.compare_and_swap(event_memory(spark, d), 40, 1, {"content": "patched"}).select("user_id", "id", "content", "version")
+
+
+@query(f"""WITH {_MEM}, hit AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM mem WHERE status = 'active' AND topic_key IN ('event.click', 'event.view')),
+top AS (SELECT user_id, max(id) AS top FROM mem GROUP BY user_id)
+SELECT user_id, id, content, version, CASE WHEN status = 'active' AND topic_key IN ('event.click', 'event.view') THEN 'superseded' ELSE status END AS status, supersedes_id,
+ CASE WHEN status = 'active' AND topic_key IN ('event.click', 'event.view') THEN TIMESTAMP '2024-01-20' ELSE updated_at END AS updated_at FROM mem
+UNION ALL SELECT h.user_id, t.top + n, CASE predicate WHEN 'click' THEN 'Click: new' ELSE 'View: new' END, version + 1, 'active', id, TIMESTAMP '2024-01-20' FROM hit h JOIN top t USING (user_id)""")
+def update(spark, d):
+    """Two topics of every user get a new value."""
+    m = event_memory(spark, d)
+    users = m.select("user_id").distinct()
+    changes = users.select("user_id", F.explode(F.array(F.lit("event.click"), F.lit("EVENT.view "))).alias("topic_key"), F.lit(" new ").alias("value"))
+    done = api.update(m, changes, F.lit(AS_OF))
+    return done.select("user_id", "id", "content", "version", "status", "supersedes_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query("SELECT DISTINCT conv_id::VARCHAR AS user_id, 'Editor: Helix ' || conv_id AS content, 'fact' AS type, 'user' AS scope, 'editor' AS predicate, 1::BIGINT AS id, 'active' AS status FROM conversations")
+def save(spark, d):
+    rows = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("user_id"), F.lit("user").alias("subject"), F.lit("editor").alias("attribute"), F.concat(F.lit(" Helix "), "conv_id").alias("value")).distinct()
+    return fold.state(api.save(rows, None)).select("user_id", "content", "type", "scope", "predicate", "id", "status")
+
+
+@query("SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'goal' WHEN 1 THEN 'fact' WHEN 2 THEN 'active_task' ELSE 'fact' END AS type FROM conversations")
+def memory_type(spark, d):
+    c = read(spark, d, "conversations")
+    given = F.element_at(F.array(F.lit(" GOAL "), F.lit("nonsense"), F.lit("Active_Task"), F.lit(None)), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return c.select("conv_id", "turn", api.memory_type(given).alias("type"))
+
+
+@query(f"SELECT user_id, round((1 - tokens_out / tokens_in::DOUBLE) * 100, 1) AS percent FROM ({SQL['q_compile_context']})")
+def token_reduction(spark, d):
+    return model.reduction(packing.compiled(conversation_messages(spark, d), event_memory(spark, d), 500))
+
+
+@query(f"""SELECT user_id, CASE WHEN user_id::BIGINT % 2 = 0 THEN 4 ELSE 1 END AS version, 'compile' AS kind, budget, tokens_out AS total_tokens FROM ({SQL['q_compile_context']})""")
+def compile_versions(spark, d):
+    done = packing.compiled(conversation_messages(spark, d), event_memory(spark, d), 500)
+    known = done.where(F.col("user_id").cast("long") % 2 == 0).select("user_id", F.lit(3).alias("version"))
+    rows = model.compile_versions(done, known, F.lit(AS_OF))
+    get = lambda n: F.get_json_object("state_json", f"$.{n}").cast("long")
+    return rows.select("user_id", "version", "kind", get("budget").cast("int").alias("budget"), get("total_tokens").alias("total_tokens"))
+
+
+_NEGATIVE = [("I do not use Neon", True), ("I use Neon without Bun", True), ("We cannot deploy", True), ("It is nothing", False), ("I use Hono", False), ("Notes about Rust", False), ("we WON'T", True), ("I never did", True)]
+
+
+@query(_gives(_values([(i, x) for i, (_, x) in enumerate(_NEGATIVE)], "i, negated"), len(_NEGATIVE), "negated").replace("SELECT b.conv_id, b.turn, negated", "SELECT b.conv_id, b.turn, v.negated"))
+def negation(spark, d):
+    return _planted(spark, d, [s for s, _ in _NEGATIVE]).select("conv_id", "turn", rich.negated(F.col("s")).alias("negated"))
+
+
+#: Kind, and its confidence if it is said outright and if not.
+_SURE = [("identity", 1.0, 0.85), ("preference", 0.98, 0.75), ("stopped_usage", 0.98, 0.7), ("possible_plan", 0.7, 0.4), ("temporary", 0.4, 0.25), ("unheard of", 0.7, 0.5)]
+
+
+@query(f"SELECT conv_id, turn, (CASE WHEN turn % 2 = 0 THEN v.a ELSE v.b END)::DOUBLE AS confidence FROM {_base(len(_SURE))} b JOIN {_values([(i, a, b) for i, (_, a, b) in enumerate(_SURE)], 'i, a, b')} ON b.i = v.i")
+def confidence_table(spark, d):
+    return _planted(spark, d, [k for k, _, _ in _SURE]).select("conv_id", "turn", rich.confidence_of(F.col("s"), F.col("turn") % 2 == 0).alias("confidence"))
+
+
+@query(f"WITH {_MEM} SELECT id, least(1.0::DOUBLE, confidence * greatest(0.85::DOUBLE, stability)) AS confidence, greatest(importance, stability) AS importance, greatest(confidence, 0.85::DOUBLE) AS gain FROM mem")
+def blended_scores(spark, d):
+    local = {"confidence": F.col("stability"), "importance": F.col("stability"), "gain": F.col("information_gain")}
+    s = scoring.blended(F.col("confidence"), F.col("importance"), F.col("confidence"), local)
+    return event_memory(spark, d).select("id", s.alias("s")).select("id", "s.*")
+
+
+@query("SELECT conv_id, turn, 2.0::DOUBLE * (length(conv_id::VARCHAR) + 1) / (2 * length(conv_id::VARCHAR) + 3) AS ratio, 'fi' || conv_id AS composed FROM conversations")
+def sql_names(spark, d):
+    """The functions that SQL texts call by name."""
+    register(spark)
+    text = "SELECT conv_id, turn, lcs_ratio(concat('A', conv_id), concat(' a', conv_id, 'b ')) AS ratio, nfkc(concat('\ufb01', conv_id)) AS composed FROM {c}"
+    return spark.sql(text, c=read(spark, d, "conversations"))
+
+
+@query(f"WITH {_MEM} SELECT {_SHOWN_SQL} FROM mem WHERE contains(content, 'purchase') OR contains(value, 'purchase') OR contains(content, 'nowhere') OR contains(predicate, 'purchase') OR contains(topic_key, 'purchase')")
+def search_postings(spark, d):
+    """Items that hold a term, found by the grams of their fields and then tested."""
+    m = event_memory(spark, d)
+    return postings.search(m, postings.postings(m), ["purchase", "nowhere"]).select(*_SHOWN)
+
+
+@query(f"""WITH RECURSIVE {_MEM}, edges AS (SELECT user_id, id, supersedes_id AS target FROM mem WHERE supersedes_id IS NOT NULL UNION ALL SELECT user_id, min(id), max(id) FROM mem GROUP BY user_id, topic_key),
+reach AS (SELECT user_id, id FROM mem WHERE status = 'active' AND predicate = 'click' UNION SELECT e.user_id, e.target FROM reach r JOIN edges e ON e.user_id = r.user_id AND e.id = r.id)
+SELECT {_SHOWN_SQL} FROM mem m WHERE EXISTS (SELECT 1 FROM reach r WHERE r.user_id = m.user_id AND r.id = m.id) AND NOT (status = 'active' AND predicate = 'click')""")
+def expand_all(spark, d):
+    """Whole chains of versions, whose first items are planted to be related to their last: cycles."""
+    m = event_memory(spark, d)
+    ends = m.groupBy("user_id", "topic_key").agg(F.min("id").alias("id"), F.max("id").alias("last")).select("user_id", "id", F.array("last").alias("related_ids"))
+    m = m.join(ends, ["user_id", "id"], "left")
+    return retrieve.expand_all(m.where("status = 'active' and predicate = 'click'"), m, active_only=False).select(*_SHOWN)
+
+
+@query("""WITH c AS (SELECT conv_id::VARCHAR AS user_id, turn, '[{"type":"text","text":' || to_json('t' || conv_id) || '},{"b":1,"a":' || turn || ',"c":[true,null]}]' AS content FROM conversations)
+SELECT user_id, turn, content, 'hash:' || sha256('{"role":"user","content":' || to_json(content) || ',"ordinal":0}') AS message_key FROM c""")
+def content_keys(spark, d):
+    """Contents that are arrays of parts: their compact text, keys in the order of the request, makes the key."""
+    c = read(spark, d, "conversations")
+    part = F.concat(F.lit('{"messages":[{"role":"user","content":[ {"type":"text", "text":"t'), F.col("conv_id"), F.lit('"}, {"b":1,"a":'), F.col("turn"), F.lit(',"c":[true,null]}]}]}'))
+    rows = parse_requests(c.select(F.col("conv_id").cast("string").alias("user_id"), "turn", part.alias("body")))
+    return normalized(rows).select("user_id", "turn", "content", "message_key")
+
+
+@query(_plays("SELECT * FROM (VALUES ('u', 'database', 'Neon', 'one', 'x', 'z'), ('v', 'database', 'neon', 'two', NULL, 'q')) v(user_id, attribute, value, source, a, b)", _LOCAL, "attribute value source a b", "", vary=False))
+def merged_metadata(spark, d):
+    """The metadata of facts of one identity together, the most confident fact's first."""
+    rows = [("u", "db", "neon", 0.8, '{"source":"local","a":"x","b":"y"}'), ("u", "database", "Neon", 0.9, '{"source":"one","b":"z"}'), ("v", "database", "neon", 0.5, '{"source":"two"}'), ("v", "db", "Neon", 0.4, '{"source":"three","b":"q"}')]
+    f = _played(spark, d, rows, "user_id string, attribute string, value string, confidence double, metadata string", vary=False)
+    f = f.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    done = extract.merged_facts(f.where("value = 'neon'"), f.where("value = 'Neon'"))
+    return done.select("user_id", "attribute", "value", *[F.col("metadata")[k].alias(k) for k in ("source", "a", "b")])
+
+
+@query(_plays("SELECT user_id, id::BIGINT AS id, status, supersedes_id::BIGINT AS supersedes_id FROM (VALUES ('s', 1, 'superseded', NULL), ('s', 2, 'superseded', NULL), ('s', 3, 'superseded', NULL), ('s', 4, 'superseded', NULL), ('s', 5, 'superseded', NULL), ('s', 6, 'active', 1), ('t', 1, 'superseded', NULL), ('t', 2, 'superseded', NULL), ('t', 3, 'superseded', NULL), ('t', 4, 'active', NULL), ('t', 5, 'active', 1), ('v', 1, 'active', NULL)) v(user_id, id, status, supersedes_id)", G.STACK, "status", "id supersedes_id"))
+def apply_consolidation(spark, d):
+    """The stacks consolidated: their members superseded by a record of their own."""
+    rows = _stack(spark, d).withColumn("supersedes_id", F.lit(None).cast("long"))
+    return api.consolidate_all(rows)[1].select("user_id", "id", "status", "supersedes_id")
+
+
+@query(f"SELECT user_id, item_id FROM ({SQL['q_knapsack']}) WHERE NOT mandatory")
+def sql_knapsack(spark, d):
+    """The optional items that a budget of 300 is spent on, by the function that SQL texts call."""
+    register(spark)
+    text = """WITH r AS (SELECT user_id, 300 - coalesce(sum(CASE WHEN mandatory THEN token_cost END), 0) AS room FROM {m} GROUP BY user_id),
+    o AS (SELECT user_id, array_sort(collect_list(CASE WHEN NOT mandatory THEN struct(ordinal, item_id, token_cost, value) END)) AS x FROM {m} GROUP BY user_id)
+    SELECT user_id, explode(transform(knapsack(x.token_cost, x.value, CAST(room AS INT)), i -> x[i].item_id)) AS item_id FROM o JOIN r USING (user_id)"""
+    return spark.sql(text, m=packing.message_items(conversation_messages(spark, d)))
