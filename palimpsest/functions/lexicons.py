@@ -319,3 +319,15 @@ CONFIDENCE = {
     "identity": (1.0, 0.85), "preference": (0.98, 0.75), "usage": (0.98, 0.7), "stopped_usage": (0.98, 0.7), "past_usage": (0.95, 0.7), "plan": (0.95, 0.6),
     "possible_plan": (0.7, 0.4), "goal": (0.95, 0.7), "decision": (0.95, 0.7), "ownership": (0.95, 0.75), "temporary": (0.4, 0.25), "ambiguous": (0.7, 0.5),
 }
+
+#: Fixed patterns of the validation of facts, read in the clause that names the value.
+TEMPORARY_HINT = r"\b(?:testing|trying|experimenting|debugging|checking|looking\s+at|learning\s+about|playing\s+with|evaluating)\b"
+CONDITIONAL_HINT = r"\b(?:if|unless|provided\s+that|depending\s+on|only\s+if)\b"
+ASKING_START = r"^(?:what|why|how|when|where|who|which|should|can|could|would)\b"
+DISLIKING = r"\b(?:don'?t|do\s+not)\s+(?:really\s+)?(?:like|love|enjoy)|hate|dislike|avoid\b"
+GOAL_CONDITION = r"\s+\b(?:if|unless)\b.+$"
+GOAL_VERB = r"^(?:use|using|to\s+use|switch\s+to)\s+"
+CONDITION_ONLY = r"^(?:latency|pricing|cost|performance)\b"
+STOPPED_USE = r"\bstopped\s+using\b|\bno\s+longer\s+use\b|\bdon'?t\s+use\b.*\banymore\b"
+PAST_USE = r"\bused\s+to\s+use\b|\bpreviously\s+used\b|(?:^|\b)i\s+used\b"
+GIVEN_REASON = r"\s+(?:because|due\s+to|since)\s+.+$"

@@ -141,6 +141,37 @@ def type_of(attribute: Column, state: Column) -> Column:
     return F.when(attribute.isin("preference", "dislike"), "preference").when(attribute.isin("goal", "plan"), "goal").when(attribute == "experiment", "temporary_state").when(attribute == "database", "decision").when((attribute == "uses") & unsure, "goal").otherwise("fact")
 
 
+def _classed(rows: DataFrame) -> DataFrame:
+    """Attribute, value and state of facts by what their clause says; questions and conditions alone go.
+
+    In this order: what is only tried is an experiment; a preference; what the clause dislikes; a goal or plan, its condition and
+    its verb taken off; names; used things, which may have been stopped or be past. `type` is the memory's type that was told.
+    """
+    clause, attribute, state, value = F.col("clause"), F.col("attribute"), F.col("state"), F.col("value")
+    text = F.trim(clause)
+    tried = (attribute == "experiment") | matches(clause, L.TEMPORARY_HINT) | (F.col("type") == "temporary_state")
+    asks = interrogative(clause) | text.endswith("?") | matches(text, L.ASKING_START)
+    prefers = ((attribute == "preference") | (F.col("type") == "preference")) & (attribute != "dislike")
+    dislikes = (attribute == "dislike") | matches(clause, L.DISLIKING)
+    aims = attribute.isin("goal", "plan") | (F.col("type") == "goal")
+    kind = F.when(tried, "tried").when(prefers, "prefers").when(dislikes, "dislikes").when(aims, "aims").when(attribute.isin("name", "occupation", "project"), "named").when(attribute.isin("uses", "database"), "uses")
+    rows = rows.where(tried | ~asks).withColumn("__kind", kind)
+    kind = F.col("__kind")
+    without = lambda c, p: F.regexp_replace(c, "(?i)" + p, "")
+    bare = F.trim(without(value, L.GOAL_CONDITION))
+    aim = clean_value(F.coalesce(F.nullif(without(bare, L.GOAL_VERB), F.lit("")), bare))
+    rows = rows.withColumn("__aim", F.when(kind == "aims", aim))
+    rows = rows.where(~F.coalesce((kind == "aims") & (matches(F.col("__aim"), L.CONDITION_ONLY) | matches(text, r"^if\b")), F.lit(False)))
+    unsure = state.isin("possible", "conditional") | matches(clause, L.CONDITIONAL_HINT)
+    stopped = matches(clause, L.STOPPED_USE)
+    used = F.when(stopped, "stopped").when(matches(clause, L.PAST_USE) & ~matches(clause, r"\bnow\b"), "past").when(rich.negated(clause) & (state == "current"), "stopped").when(state.isin("past", "stopped"), state).otherwise("current")
+    return rows.withColumns({
+        "attribute": F.when(kind == "tried", "experiment").when(kind == "prefers", "preference").when(kind == "dislikes", "dislike").when((kind == "aims") & (unsure | (attribute == "plan") | matches(clause, r"\bplan\b")), "plan").when(kind == "aims", "goal").otherwise(attribute),
+        "value": F.when(kind == "dislikes", clean_value(without(value, r"\s+anymore\s*$"))).when(kind == "aims", F.coalesce(F.nullif("__aim", F.lit("")), value)).when((kind == "uses") & stopped, clean_value(without(value, L.GIVEN_REASON))).otherwise(value),
+        "state": F.when(kind.isin("tried", "prefers", "dislikes", "named"), "current").when((kind == "aims") & unsure, F.when(state == "possible", "possible").otherwise("conditional")).when(kind == "aims", "planned").when(kind == "uses", used).otherwise(state),
+    }).drop("__kind", "__aim")
+
+
 def validated(rows: DataFrame, source: str = "source") -> DataFrame:
     """Facts (message columns, entity, attribute, value, type, state, scope, confidence, source text) made strict.
 
@@ -153,7 +184,7 @@ def validated(rows: DataFrame, source: str = "source") -> DataFrame:
     a = rich.canonical_attribute(F.col("attribute"))
     out = rows.withColumn("attribute", a).where(F.col("attribute").isNotNull() & (F.trim("value") != "") & ~F.trim("value").endswith("?"))
     out = out.withColumn("state", F.coalesce(_map(STATES, F.lower("state")), F.lit("current"))).withColumn("clause", smallest_clause(F.col(source), F.col("value")))
-    out = out.where(~interrogative(F.col("clause")))
+    out = _classed(out.withColumn("type", F.coalesce(_map(FACT_TYPES, F.lower("type")), F.lit("fact"))))
     parts = F.when(F.col("attribute").isin("uses", "database"), atomic_uses(F.col("value"))).otherwise(F.array(F.struct(F.col("attribute").alias("attribute"), F.col("value").alias("value"))))
     out = out.withColumn("part", F.explode(parts)).withColumn("attribute", F.when(F.col("attribute") == "database", "database").otherwise(F.col("part.attribute")))
     out = out.withColumn("c", F.when(F.col("attribute") == "preference", comparison(F.col("part.value"))).otherwise(F.struct(clean_value(F.col("part.value")).alias("value"), F.lit(None).cast("string").alias("preferred_over"))))
@@ -163,12 +194,13 @@ def validated(rows: DataFrame, source: str = "source") -> DataFrame:
     by = Window.partitionBy(*keep)
     out = out.withColumn("project", F.max(F.when(F.col("attribute") == "project", value)).over(by)).withColumn("names", F.collect_set(F.when(F.col("attribute") == "name", F.lower(value))).over(by))
     owned = F.col("attribute").isin(USER_OWNED)
+    conditional = F.col("attribute").isin("goal", "plan") & F.col("state").isin("possible", "conditional")
     scope = F.when(F.col("attribute") == "experiment", "session").when(F.col("attribute") == "project", "project").when(owned, "user").otherwise(F.coalesce(F.lower("scope"), F.lit("user")))
     whose = F.coalesce(F.col("project"), F.lit("project"))
     entity = F.when(F.col("attribute") == "project", value).when(owned | F.lower("entity").isin("we", "our", "my", "user"), "user").when(F.lower("entity").isin(PROJECT_WORDS), whose).when(person_name(F.col("entity"), F.col("names")), F.when(scope == "project", whose).otherwise("user")).otherwise(F.col("entity"))
     out = out.select(
         *keep, entity.alias("entity"), "attribute", value.alias("value"), type_of(F.col("attribute"), F.col("state")).alias("type"), "state", scope.alias("scope"), "confidence", "clause",
-        F.col("c.preferred_over").alias("preferred_over"), condition(F.col("clause")).alias("condition"), F.when(F.col("state") == "stopped", reason(F.col("clause"))).alias("reason"),
+        F.col("c.preferred_over").alias("preferred_over"), F.when(conditional, condition(F.col("clause"))).alias("condition"), F.when(F.col("state") == "stopped", reason(F.col("clause"))).alias("reason"),
     )
     single = F.col("attribute").isin(SINGLE_VALUED)
     key = F.when(F.col("attribute") == "project", "project.name").when(single, F.concat_ws(".", "scope", "attribute")).otherwise(F.concat_ws(".", "scope", "attribute", slug(F.col("value"))))

@@ -1212,3 +1212,25 @@ def sql_knapsack(spark, d):
     o AS (SELECT user_id, array_sort(collect_list(CASE WHEN NOT mandatory THEN struct(ordinal, item_id, token_cost, value) END)) AS x FROM {m} GROUP BY user_id)
     SELECT user_id, explode(transform(knapsack(x.token_cost, x.value, CAST(room AS INT)), i -> x[i].item_id)) AS item_id FROM o JOIN r USING (user_id)"""
     return spark.sql(text, m=packing.message_items(conversation_messages(spark, d)))
+
+
+_CLASSED = [
+    (0, "user", "uses", "Rust", "usage", "current", "user", 0.9, "I am testing Rust this week"), (1, "user", "uses", "Bun", "usage", "current", "user", 0.9, "I used to use Bun"),
+    (2, "user", "uses", "Neon because it is slow", "usage", "current", "user", 0.9, "I stopped using Neon because it is slow"), (3, "user", "uses", "Helix", "usage", "current", "user", 0.8, "I do not use Helix"),
+    (4, "user", "uses", "Vim anymore", "usage", "current", "user", 0.8, "I don't like Vim anymore"), (5, "user", "goal", "use Hono if it is fast", "goal", "planned", "user", 0.9, "I want to use Hono if it is fast"),
+    (6, "user", "goal", "cost", "goal", "planned", "user", 0.9, "if cost is low"), (7, "user", "plan", "switch to Turso", "plan", "planned", "user", 0.9, "I plan to switch to Turso"),
+    (8, "user", "goal", "learn Rust", "goal", "planned", "user", 0.9, "My goal is to learn Rust"), (9, "user", "uses", "Redis", "usage", "current", "user", 0.9, "Should I use Redis"),
+    (10, "user", "name", "Ada", "identity", "past", "user", 0.9, "My name is Ada"), (11, "user", "plan", "Groq", "possible_plan", "possible", "user", 0.7, "I might use Groq unless it is down"),
+    (12, "user", "uses", "Bun", "usage", "current", "user", 0.9, "I previously used Node but now I use Bun"), (13, "user", "database", "Neon", "usage", "current", "user", 0.9, "I use Neon"),
+]
+_CLASSES = """VALUES (0, 'experiment', 'Rust', 'current', 'temporary_state', 'session', NULL, NULL), (1, 'uses', 'Bun', 'past', 'fact', 'user', NULL, NULL), (2, 'uses', 'Neon', 'stopped', 'fact', 'user', NULL, 'it is slow'),
+(3, 'uses', 'Helix', 'stopped', 'fact', 'user', NULL, NULL), (4, 'dislike', 'Vim', 'current', 'preference', 'user', NULL, NULL), (5, 'plan', 'Hono', 'conditional', 'goal', 'user', 'it is fast', NULL), (7, 'plan', 'Turso', 'planned', 'goal', 'user', NULL, NULL),
+(8, 'goal', 'learn Rust', 'planned', 'goal', 'user', NULL, NULL), (10, 'name', 'Ada', 'current', 'fact', 'user', NULL, NULL), (11, 'plan', 'Groq', 'possible', 'goal', 'user', 'it is down', NULL), (12, 'uses', 'Bun', 'current', 'fact', 'user', NULL, NULL),
+(13, 'database', 'Neon', 'current', 'decision', 'user', NULL, NULL)"""
+
+
+@query(_plays(f"SELECT * FROM ({_CLASSES}) v(i, attribute, value, state, type, scope, condition, reason)", _CLASSED, "attribute value state type scope condition reason", "", "i"))
+def classed_facts(spark, d):
+    """Supplied facts by what their clause says: tried, disliked, aimed at, stopped, past, asked."""
+    rows = _played(spark, d, _CLASSED, "i int, entity string, attribute string, value string, type string, state string, scope string, confidence double, source string")
+    return model.validated(rows).select("user_id", "attribute", "value", "state", "type", "scope", "condition", "reason")
