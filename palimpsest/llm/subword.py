@@ -60,7 +60,7 @@ def _grams(texts: list[str | None], shape: Shape) -> Iterator[tuple[np.ndarray,
     kept = np.cumsum(turn, dtype=np.int8)[:-1].astype(bool)  # letters of a word's first place
     for k in shape.grams:
         # only a window's first or last byte may be a separator
-        ok = (seps[k - 2 : -1] == seps[: 1 - k]) & kept[1 : 2 - k if k > 2 else None] if len(sep) > k else np.zeros(0, bool)
+        ok = (seps[k - 2 : -1] == seps[: 1 - k]) & kept[1 : 2 - k if k > 2 else None] if len(sep) >= k else np.zeros(0, bool)
         at = np.flatnonzero(ok)
         yield (b.windows(at, k) & mask).astype(np.int64), np.searchsorted(at + 1, edges)
 

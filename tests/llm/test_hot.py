@@ -1,5 +1,6 @@
 """Hot keys: rows without ids, rows repeated very often, one segment value for all codes; and models row by row."""
 
+import math
 import random
 from collections import deque
 
@@ -113,3 +114,80 @@ def test_ftrl_weight_by_weight():
     assert np.abs(want).max() > 0.01 and np.allclose(got, want, atol=2e-3)
     odds = ftrl.log_odds(texts, got, bias, shape)
     assert np.allclose(odds, [sum(got[b] * x for b, x in r.items()) + bias for r in rows], atol=1e-3)
+
+
+def test_recurrent_forward_pass_token_by_token():
+    """The published gate equations and the class-factored softmax, one token after another in plain floats."""
+    from palimpsest.llm import gru
+
+    shape = gru.Shape(classes=3, width=4, hidden=5)
+    rng = np.random.default_rng(8)
+    p = gru.initial(rng.integers(0, 50, shape.words), shape)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in p.items()}
+    texts = [rng.integers(0, shape.words, n).tolist() for n in (1, 7, 40, 3, 40)]
+    start = 2
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    want = []
+    for text in texts:
+        h, before, total = [0.0] * 5, start, 0.0
+        for word in text:
+            u = [sum(h[i] * float(p["h"][i, j]) for i in range(5)) for j in range(15)]
+            x = [float(p["x"][before, j]) + float(p["b"][j]) for j in range(15)]
+            z, r = ([sigmoid(x[k * 5 + j] + u[k * 5 + j]) for j in range(5)] for k in (0, 1))
+            n = [math.tanh(x[10 + j] + r[j] * u[10 + j]) for j in range(5)]
+            h = [z[j] * h[j] + (1 - z[j]) * n[j] for j in range(5)]
+            c, w = divmod(word, shape.width)
+            classes = [sum(h[i] * float(p["cw"][i, k]) for i in range(5)) + float(p["cb"][k]) for k in range(3)]
+            words = [sum(h[i] * float(p["ww"][c, i, k]) for i in range(5)) + float(p["wb"][c, k]) for k in range(4)]
+            total += classes[c] - math.log(sum(map(math.exp, classes))) + words[w] - math.log(sum(map(math.exp, words)))
+            before = word
+        want.append(total)
+    first = np.cumsum([0, *map(len, texts)])
+    got = gru.score(p, np.concatenate(texts), first, start, shape)
+    assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_subword_training_step_by_step():
+    """Embeddings and softmax trained jointly, one number after another, and the score as the softmax of the mean bag."""
+    from palimpsest.llm import subword
+
+    shape = subword.Shape(buckets=64, dim=3, steps=40)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["kind", "words", "awful", "trash", "plain"], k=rng.randrange(1, 5))) for _ in range(12)]
+    labels = np.array([int("awful" in t or "trash" in t) for t in texts])
+    weights, bias = subword.train(texts, labels, shape)
+    start = np.random.default_rng(shape.seed)
+    emb = start.uniform(-1 / 3, 1 / 3, (64, 3)).astype(np.float32).astype(float).tolist()
+    out, g_out = [[-0.5] * 3, [0.5] * 3], [[1e-8] * 3 for _ in range(2)]
+    g_emb, base = [1e-8] * 64, [0.0, shape.empty]
+    bags = []
+    for t in texts:
+        f = subword.features([t], shape)[0].tolist()
+        bags.append({b: f.count(b) / (shape.calm + len(f)) for b in sorted(set(f))})
+    share = np.bincount(labels, minlength=2)[labels] / len(labels)
+    for _ in range(-(-shape.steps // len(bags))):
+        for i in start.permutation(len(bags)):
+            v = [sum(k * emb[b][d] for b, k in bags[i].items()) for d in range(3)]
+            z = [sum(out[c][d] * v[d] for d in range(3)) + base[c] for c in (0, 1)]
+            p = [math.exp(x - max(z)) for x in z]
+            delta = [(x / sum(p) - (labels[i] == c)) * (0.5 / share[i]) ** shape.balance for c, x in enumerate(p)]
+            back = [sum(delta[c] * out[c][d] for c in (0, 1)) for d in range(3)]
+            for b, k in bags[i].items():
+                step = [k * x for x in back]
+                g_emb[b] += sum(x * x for x in step) / 3
+                emb[b] = [emb[b][d] - shape.rate * step[d] / math.sqrt(g_emb[b]) for d in range(3)]
+            for c in (0, 1):
+                for d in range(3):
+                    g_out[c][d] += (delta[c] * v[d]) ** 2
+                    out[c][d] -= shape.rate * delta[c] * v[d] / math.sqrt(g_out[c][d])
+    want = [sum(emb[b][d] * (out[1][d] - out[0][d]) for d in range(3)) for b in range(64)]
+    assert np.allclose(weights, want, rtol=0.02, atol=0.02 * max(map(abs, want)))
+    odds = subword.log_odds(texts, weights, bias, shape)
+    assert np.allclose(odds, [sum(k * weights[b] for b, k in bag.items()) + bias for bag in bags], atol=1e-4)
+
+
+def test_the_pipeline_on_empty_tables(spark, tmp_path):
+    kinds = {"documents": DOCS, "labels": "doc_id long, quality int, toxic int"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
