@@ -62,7 +62,7 @@ def rows_of(frame):
     return sorted((tuple(map(str, r)) for r in frame.select(*names(fold.ROW)).collect()), key=str)
 
 
-@pytest.mark.parametrize(("seed", "start"), [(1, False), (2, True), (3, True)])
+@pytest.mark.parametrize(("seed", "start"), [(1, False), (3, True)])
 def test_equals_the_fold_by_users(spark, seed, start):
     rng = random.Random(seed)
     users = ["a", "b", None] if seed == 3 else ["a", "b"]
