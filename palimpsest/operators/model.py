@@ -12,7 +12,7 @@ from palimpsest.functions import lexicons as L
 from palimpsest.functions import rich
 from palimpsest.functions.facts import value_attribute
 from palimpsest.functions.scoring import candidate_scores, clamp01, stability_score
-from palimpsest.functions.text import clauses, clean_value, group, interrogative, json_text, let, matches, slug, smallest_clause, trimmed
+from palimpsest.functions.text import clauses, clean_value, group, interrogative, json_text, let, matches, slug, smallest_clause
 
 #: What a model's answer may say.
 ACTIONS = ["NEW", "REINFORCE", "SUPERSEDES", "CONTRADICTS", "UPDATE", "DISCARD"]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+
 def once(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each message key once within the watermark; `created_at` is the event time."""
     return messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["user_id", "message_key"])
