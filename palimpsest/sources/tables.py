@@ -18,6 +18,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task where each row is much work (extraction takes a millisecond or two a message); a folder's few small files would be few tasks.
+HEAVY_ROWS = 1024
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows dealt to tasks of about HEAVY_ROWS; `rows`: how many there are.
+
+    A given number of tasks is one that Spark doesn't merge for their few bytes; the generator keeps what is computed of
+    the rows, filters too, from moving to the few tasks before.
+    """
+    n = -(-rows // HEAVY_ROWS)
+    return df.repartition(n).select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns])))) if n > 1 else df
+
+
+def spread_by(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by key to all shuffle partitions of the session, for groups that are much work for their bytes: none are merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the conversations, dealt for heavy work."""
+    c = read(spark, sf_dir, "conversations")
+    return spread(c, c.count())  # of the files' footers
+
+
 def write(df: DataFrame, path: str, buckets: int = 64) -> None:
     """Parquet, dealt by the user's hash and sorted by status and topic within files, so that filters prune."""
     cols = [c for c in ("status", "topic_key") if c in df.columns]
@@ -66,7 +91,7 @@ def normalized(messages: DataFrame) -> DataFrame:
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as messages, one request each."""
-    c = read(spark, sf_dir, "conversations")
+    c = conversations(spark, sf_dir)
     return c.select(F.col("conv_id").cast("string").alias("user_id"), F.col("turn").cast("int").alias("ordinal"), "role", F.col("text").alias("content"))
 
 
