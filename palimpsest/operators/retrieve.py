@@ -88,17 +88,19 @@ def links(items: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, items: DataFrame, depth: int = 1, active_only: bool = True, limit: int | None = None) -> DataFrame:
     """Items of the same user that the seeds link to, over `depth` links, without the seeds; revoked ones never.
 
-    A user's rows meet by key at each link; no list of ids is built anywhere.
+    Only ids and links go round, each round stored; the items' other columns are read once, for what was found.
     """
     pool = items.where("status = 'active'" if active_only else "status <> 'revoked'")
-    seen = seeds.select("user_id", "id").distinct()
-    frontier, found = seeds, None
-    for _ in range(depth):
-        ids = links(frontier).select("user_id", F.col("target").alias("id")).distinct().join(seen, ["user_id", "id"], "left_anti")
-        new = pool.join(ids, ["user_id", "id"], "left_semi")
-        found = new if found is None else found.unionByName(new)
-        seen, frontier = seen.unionByName(ids), new
-    found = found if found is not None else pool.limit(0)
+    ids = ["user_id", "id"]
+    seen = stored(seeds.select(*ids).distinct())
+    edges = stored(links(pool)) if depth > 1 else None
+    found, frontier = None, links(seeds)
+    for i in range(depth):
+        new = stored(frontier.select("user_id", F.col("target").alias("id")).distinct().join(seen, ids, "left_anti"))
+        found, seen = (new if found is None else found.unionByName(new)), seen.unionByName(new)
+        if i + 1 < depth:
+            frontier = edges.join(new, ids, "left_semi")
+    found = pool.join(found, ids, "left_semi") if found is not None else pool.limit(0)
     return found if limit is None else found.withColumn("__n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("id").desc()))).where(F.col("__n") <= limit).drop("__n")
 
 
