@@ -378,7 +378,7 @@ def pages(media: DataFrame, key: str, column: str) -> DataFrame:
                     bad = isinstance(p, TiffError)
                     out.append((k, n, *([None] * 8 if bad else [getattr(p, x) for x in names]), str(p) if bad else None))
                     size += 0 if bad else len(p.samples)
-                    if size > 8_000_000 or len(out) >= 10_000:
+                    if size > 2_000_000 or len(out) >= 1024:
                         yield done()
                         out, size = [], 0
         if out:
