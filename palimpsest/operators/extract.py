@@ -9,6 +9,7 @@ from palimpsest.functions import lexicons as L
 from palimpsest.functions import rich
 from palimpsest.functions.facts import FACT, classified, content_of, content_topic, correction, domain, domain_topic, fact, labelled, revocation, single_fact, switch, topic_of, uses_list
 from palimpsest.functions.text import authority, boundary_sentences, correction_like, first_match, group, interrogative, let, low_info, matches, nfkc, noise, preference_noise, sentences, speculative, strip_correction_prefix, trimmed
+from palimpsest.sources.tables import spread_by
 
 _COMPOUND = r"^(.+?)\s+and\s+I\s+prefer\s+(.+)$"
 
@@ -72,7 +73,9 @@ def candidates(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("__update", switch(s)).withColumn("__quiet", s.isNull() | low_info(s, F.col("role")) | interrogative(s))
     found = F.when(F.col("__quiet"), F.array().cast(f"array<{FACT}>")).when(F.col("__update").isNotNull(), F.array("__update")).otherwise(sentence_facts(s))
     rows = rows.withColumn("__found", found).select(*keep, "sentence", F.posexplode_outer("__found").alias("part", "fact"))
-    by_message = Window.partitionBy("user_id", "message_key", "ordinal")
+    # what follows the windows is much work, too
+    by = ["user_id", "message_key", "ordinal"]
+    rows, by_message = spread_by(rows, *by), Window.partitionBy(*by)
     key = F.coalesce(F.col("fact.fact_key"), topic_of(F.col("fact")))
     rows = rows.withColumn("__key", F.when(F.col("fact").isNotNull() & ~F.col("fact.is_update"), key))
     rows = rows.withColumns({

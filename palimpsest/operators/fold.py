@@ -1,7 +1,7 @@
 """The memory's ordered fold: each user's candidates, one after another, against the user's items.
 
 What a candidate does depends on the contents that earlier ones made, so a user's candidates are folded in one
-group (`applyInPandas`, or keyed state in a stream); users spread over tasks. `step` is the pure rule both share.
+group (sorted rows of a task that pass by, or keyed state in a stream); users spread over all tasks. `step` is the pure rule both share.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from palimpsest.functions.facts import content_topic
 from palimpsest.functions.scoring import candidate_scores, gain_of, similarity_of
 from palimpsest.sources.schemas import ITEM, names
+from palimpsest.sources.tables import spread_by
 
 Item = dict[str, Any]
 
@@ -105,7 +109,7 @@ def step(items: list[Item], c: Item, new_id: int) -> tuple[str, str, Item | None
     return "create", "new_topic", written(None), None
 
 
-def run(user: str, rows: Iterator[Item], items: list[Item], following: int | None = None, apart: int | None = None) -> pd.DataFrame:
+def applied(user: str, rows: Iterator[Item], items: list[Item], following: int | None = None, apart: int | None = None) -> list[Item]:
     """Folds a user's candidates, in order, and lists the actions and the final items; new ids go on from the highest.
 
     `apart`: these are a part of the user's candidates; new ids are this and the candidate's place, and an information gain
@@ -121,8 +125,12 @@ def run(user: str, rows: Iterator[Item], items: list[Item], following: int | Non
             item["information_gain"] = None
         known = {k: item[k] for k in ("id", "content", "type", "topic_key")} if item else {}
         out.append({"kind": "action", "seq": c["seq"], "action": action, "reason": reason, "user_id": user, "corrected_from": change and change[0], "corrected_to": change and change[1]} | known)
-    rows = out + [{"kind": "item"} | x for x in items]
-    frame = pd.DataFrame([[r.get(n) for n in _NAMES] for r in rows], columns=_NAMES, dtype=object)
+    return out + [{"kind": "item"} | x for x in items]
+
+
+def run(user: str, rows: Iterator[Item], items: list[Item], following: int | None = None, apart: int | None = None) -> pd.DataFrame:
+    """The rows of `applied` as a frame."""
+    frame = pd.DataFrame([[r.get(n) for n in _NAMES] for r in applied(user, rows, items, following, apart)], columns=_NAMES, dtype=object)
     for t in _TIMES:
         frame[t] = pd.to_datetime(frame[t])
     return frame
@@ -134,6 +142,8 @@ def prepared(candidates: DataFrame, order: list[str], as_of: Column | None = Non
     `as_of`: when they are applied, else their own `as_of`, if they have one; `valid_from` and `valid_until` are theirs.
     Candidates that have a `seq` (from `dependencies.numbered`) keep it.
     """
+    if "seq" not in candidates.columns:
+        candidates = spread_by(candidates, "user_id")
     time = lambda n: (F.col(n) if n in candidates.columns else F.lit(None)).cast("timestamp")
     s = candidate_scores(F.col("content"), F.col("type"), F.col("authority"), F.col("is_correction"))
     rows = candidates.withColumn("s", s).withColumn("topic_key", F.coalesce(F.nullif("topic_key", F.lit("")), content_topic(F.col("content"), F.col("type"))))
@@ -155,15 +165,59 @@ def _plain(frame: pd.DataFrame) -> list[Item]:
     return rows
 
 
+#: Rows that a Python worker turns into candidates at once, and that it returns at once.
+SLICE = 512
+
+
+def grouped(ready: DataFrame, items: DataFrame | None, *by: str, apart: int | None = None) -> DataFrame:
+    """Rows of ROW: `applied` to each group `by` (the user first) of `ready` and of `items`.
+
+    Groups are dealt to all shuffle partitions and pass by in order, so a task holds one group and no frame is made for each.
+    """
+    own = lambda f: F.struct(*[F.col(c) for c in f.columns if c not in by[1:]])
+    rows = ready.select(*by, F.lit(1).alias("side"), F.col("seq").alias("pos"), own(ready).alias("told"))
+    if items is not None:
+        have = items.select(*by, F.lit(0).alias("side"), F.col("id").alias("pos"), own(items).alias("known"))
+        rows = rows.unionByName(have, allowMissingColumns=True)
+    rows = spread_by(rows, *by).sortWithinPartitions(*by, "side", "pos")
+    layout = to_arrow_schema(StructType.fromDDL(ROW))
+    held = rows.columns.index("told")
+
+    def batch(found: list[Item]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(x.name) for r in found], x.type) for x in layout], schema=layout)
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, told, known, found = None, [], [], []
+        for whole in batches:
+            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                keys = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True))
+                sides = b.column(len(by)).to_pylist()
+                both = [b.column(i).to_pylist() for i in range(held, b.num_columns)]
+                for i, key in enumerate(keys):
+                    if key != at:
+                        if at is not None:
+                            found += applied(at[0], iter(told), known, apart=apart)
+                        at, told, known = key, [], []
+                        while len(found) >= SLICE:
+                            yield batch(found[:SLICE])
+                            found = found[SLICE:]
+                    if sides[i]:
+                        told.append(both[0][i])
+                    else:
+                        known.append(both[1][i] | {k: both[1][i][k] or [] for k in _LISTS})
+        if at is not None:
+            found += applied(at[0], iter(told), known, apart=apart)
+        for i in range(0, len(found), SLICE):
+            yield batch(found[i : i + SLICE])
+
+    return rows.mapInArrow(pass_by, ROW)
+
+
 def fold(ready: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Rows of ROW for every user of `ready` (from `prepared`) and of `items` (ITEM), which the fold starts from."""
-    order = lambda f: f.sort_values("seq")
-    if items is None:
-        return ready.groupBy("user_id").applyInPandas(lambda key, f: run(key[0], iter(_plain(order(f))), []), ROW)
-    have = [F.col(n) if n in items.columns else F.lit(None).cast(k).alias(n) for n, k in (x.strip().split(" ", 1) for x in ITEM.split(", "))]
-    items = items.select(*have)
-    both = lambda key, f, g: run(key[0], iter(_plain(order(f))), _plain(g.sort_values("id")))
-    return ready.groupBy("user_id").cogroup(items.groupBy("user_id")).applyInPandas(both, ROW)
+    if items is not None:
+        items = items.select(*[F.col(n) if n in items.columns else F.lit(None).cast(k).alias(n) for n, k in (x.strip().split(" ", 1) for x in ITEM.split(", "))])
+    return grouped(ready, items, "user_id")
 
 
 def state(rows: DataFrame) -> DataFrame:
