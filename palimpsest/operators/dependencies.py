@@ -18,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -240,11 +239,7 @@ def fold_apart(ready: DataFrame, items: DataFrame | None = None) -> DataFrame:
     active = items.where("status = 'active'")
     told, known = (x.toDF(*x.columns) for x in dealt(ready, active))
 
-    def one(key: tuple, f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        rows = fold._plain(f.drop(columns="component").sort_values("seq"))
-        return fold.run(key[0], iter(rows), fold._plain(g.drop(columns="component").sort_values("id")), apart=APART)
-
-    rows = stored(told.groupBy("user_id", "component").cogroup(known.groupBy("user_id", "component")).applyInPandas(one, fold.ROW))
+    rows = stored(fold.grouped(told, known, "user_id", "component", apart=APART))
 
     acts = rows.where("kind = 'action'")
     # a revocation did something if it did so in any component
