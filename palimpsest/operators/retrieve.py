@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.sources.tables import stored
+from palimpsest.sources.tables import spread_by, stored
 
 #: Orders that retrieval knows; ids break ties, newest first.
 ORDERS = {"importance": "importance", "confidence": "confidence", "recent": "updated_at"}
@@ -104,20 +106,75 @@ def expand(seeds: DataFrame, items: DataFrame, depth: int = 1, active_only: bool
     return found if limit is None else found.withColumn("__n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("id").desc()))).where(F.col("__n") <= limit).drop("__n")
 
 
+#: Seeds and links of a user that one task searches; users of more are searched in rounds.
+SEARCHED = 1 << 16
+
+
+def _reached(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, id): what `first` (user_id, id) reaches over `edges` (user_id, id, target), without `first`; a user of more than SEARCHED rows gives one null."""
+    rows = first.select("user_id", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("target")).unionByName(edges.select("user_id", F.lit(1).alias("kind"), "id", "target"))
+    rows = spread_by(rows.where("user_id is not null"), "user_id").sortWithinPartitions("user_id", "kind")
+
+    def search(start: set, to: dict[int, list[int]], n: int) -> Iterable[int | None]:
+        if n > SEARCHED:
+            return [None]
+        seen, todo = set(start), list(start)
+        while todo:
+            new = set(to.get(todo.pop(), ())) - seen
+            seen |= new
+            todo += new
+        return seen - start
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start, to, n, schema = None, set(), {}, 0, None
+        found: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], schema.field(c).type) for i, c in enumerate(("user_id", "id"))], names=["user_id", "id"])
+        for b in batches:
+            schema = b.schema
+            for user, kind, own, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if user != at:
+                    found += [(at, x) for x in search(start, to, n)] if start else []
+                    at, start, to, n = user, set(), {}, 0
+                if kind and not start:
+                    continue  # nothing to begin with
+                n += 1
+                if n > SEARCHED:
+                    to = {}
+                elif kind:
+                    to.setdefault(own, []).append(target)
+                else:
+                    start.add(own)
+            if found:
+                yield batch()
+                found = []
+        if start:
+            found = [(at, x) for x in search(start, to, n)]
+            yield batch()
+
+    return rows.mapInArrow(pass_by, T.StructType([rows.schema["user_id"], rows.schema["id"]]))
+
+
 def expand_all(seeds: DataFrame, items: DataFrame, active_only: bool = True) -> DataFrame:
     """Items of the same user that the seeds link to over any number of links, without the seeds; revoked ones never.
 
-    Each round meets only what the round before found anew, so cycles end it. A recursive query would do the same in one
-    plan, but can only add rows, not leave out what is known: where links meet again, its paths would multiply.
+    A user's links are searched as they pass by. Users of more than SEARCHED links are searched in rounds, each of which meets only
+    what the round before found anew, so cycles end it. A recursive query would do the same in one plan, but can only add
+    rows, not leave out what is known: where links meet again, its paths would multiply.
     """
     pool = items.where("status = 'active'" if active_only else "status <> 'revoked'")
-    edges = stored(links(items).join(pool.select("user_id", F.col("id").alias("target")), ["user_id", "target"]).select("user_id", "id", "target"))
-    first = stored(seeds.select("user_id", "id").distinct())
-    seen = frontier = first
-    while not frontier.isEmpty():
-        frontier = stored(frontier.join(edges, ["user_id", "id"]).select("user_id", F.col("target").alias("id")).distinct().join(seen, ["user_id", "id"], "left_anti"))
-        seen = stored(seen.unionByName(frontier))
-    return pool.join(seen.join(first, ["user_id", "id"], "left_anti"), ["user_id", "id"], "left_semi")
+    edges = links(items).join(pool.select("user_id", F.col("id").alias("target")), ["user_id", "target"]).select("user_id", "id", "target")
+    first = seeds.select("user_id", "id").distinct()
+    found = stored(_reached(first, edges))
+    reached, large = found.where("id is not null"), found.where("id is null").select("user_id")
+    if not large.isEmpty():
+        edges = stored(edges.join(large, "user_id", "left_semi"))
+        first = stored(first.join(large, "user_id", "left_semi"))
+        seen = frontier = first
+        while not frontier.isEmpty():
+            frontier = stored(frontier.join(edges, ["user_id", "id"]).select("user_id", F.col("target").alias("id")).distinct().join(seen, ["user_id", "id"], "left_anti"))
+            seen = stored(seen.unionByName(frontier))
+        reached = reached.unionByName(seen.join(first, ["user_id", "id"], "left_anti"))
+    return pool.join(reached, ["user_id", "id"], "left_semi")
 
 
 def conflict_rank() -> Column:
