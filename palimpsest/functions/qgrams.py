@@ -6,6 +6,9 @@ so the texts share at least ((2q - 1) t / 2 - (q - 1)) (m + n) - (q - 1) of thei
 fixed order of their grams, rare ones first, must therefore share one among their first grams, and only these are indexed.
 Where the bound is not positive (short texts) single characters are indexed in the same way. What the index brings
 together is met once, tested against lengths and the count of common grams, and only then compared.
+
+In a group whose texts have most grams in common the index would bring each pair together many times. Such a group is cut into
+blocks instead, and each pair of blocks is compared at once, by words of 64 bits; all other groups go by the index.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.scoring import lcs_length
-from palimpsest.sources.tables import stored
+from palimpsest.sources.tables import spread_by, stored
 
 #: Buckets of the table of gram frequencies: its size is fixed, and a shared bucket only makes a gram look more frequent.
 BUCKETS = 1 << 16
 _MASK = (1 << 64) - 1
+#: Rows that are broadcast at most; the layout of a pair.
+FEW, PAIR = 1 << 16, "id_a long, id_b long, similarity double"
+#: Texts of a block, and words of 64 bits that marks of their characters take at most.
+BLOCK, MARKS = 1024, 1 << 22
 
 
 def gram_size(least: float) -> int:
@@ -86,6 +93,56 @@ def verified(a: str, b: str, least: float, q: int) -> float | None:
     return s if s >= least else None
 
 
+def block_pairs(left: list[str], right: list[str], least: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(i, j, similarities): the texts i of `left` that are at least `least` like text j of `right`, a row of the table for all of them at once."""
+    order = sorted(range(len(left)), key=lambda i: len(left[i]))
+    signs: dict[str, int] = {}
+    for x in left:
+        for ch in x:
+            signs.setdefault(ch, len(signs))
+    words = (len(left[order[-1]]) + 63) // 64 if order else 1
+    step = max(16, MARKS // max(1, len(signs) * words))
+    for a in range(0, len(order), step):
+        part = order[a : a + step]
+        m = np.array([len(left[i]) for i in part])
+        marks = np.zeros((len(signs), words, len(part)), np.uint64)
+        for k, i in enumerate(part):
+            for at, ch in enumerate(left[i]):
+                marks[signs[ch], at >> 6, k] |= np.uint64(1 << (at & 63))
+        full = np.zeros((words, len(part)), np.uint64)
+        for w in range(words):
+            bits = np.clip(m - 64 * w, 0, 64)
+            full[w] = np.where(bits == 64, np.uint64(_MASK), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+        ids = np.array(part)
+        for j, y in enumerate(right):
+            n = len(y)
+            lo, hi = np.searchsorted(m, [n * least / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6], "left")
+            if lo == hi:
+                continue
+            row = full[:, lo:hi].copy()
+            for ch in y:
+                sign = signs.get(ch)
+                if sign is None:
+                    continue
+                carry = None
+                for w in range(words):
+                    old = row[w]
+                    hit = old & marks[sign, w, lo:hi]
+                    total = old + hit
+                    if words > 1:
+                        over = total < hit
+                        if carry is not None:
+                            total += carry
+                            over |= total < carry
+                        carry = over.astype(np.uint64)
+                    row[w] = total | (old ^ hit)
+            common = m[lo:hi] - np.bitwise_count(row & full[:, lo:hi]).sum(0, dtype=np.int64)
+            alike = 2.0 * common / (m[lo:hi] + n)
+            at = np.flatnonzero(alike >= least)
+            if len(at):
+                yield ids[lo + at], j, alike[at]
+
+
 def normal_texts(rows: DataFrame, text: str, out: str) -> DataFrame:
     """`rows` with `out`: the text as similarities see it, lower-cased and trimmed by Python's rules."""
     at = rows.columns.index(text)
@@ -115,6 +172,71 @@ def _frequencies(texts: DataFrame, q: int) -> np.ndarray:
     return out
 
 
+def _dense(rows: DataFrame, tokens: DataFrame, by: list[str], own: bool) -> DataFrame:
+    """The groups `by` in which tokens bring texts together as often as a quarter of all pairs, with the `blocks` of each side."""
+    n = lambda side: F.count(F.when(F.col("side") == side, 1))
+    pairs = (F.col("a") * (F.col("a") - 1) / 2) if own else F.col("a").cast("double") * F.col("b")
+    meets = tokens.groupBy(*by, "token").agg(n("a").alias("a"), n("b").alias("b")).groupBy(*by).agg(F.sum(pairs).alias("meets"))
+    sizes = rows.groupBy(*by).agg(n("a").alias("a"), n("b").alias("b"))
+    blocks = lambda side: F.greatest(F.ceil(F.col(side) / BLOCK), F.lit(1)).cast("int")
+    return sizes.join(meets, by).where((F.col("meets") > 0) & (4 * F.col("meets") >= pairs)).select(*by, blocks("a").alias("blocks_a"), (blocks("a") if own else blocks("b")).alias("blocks_b"))
+
+
+def _by_blocks(rows: DataFrame, dense: DataFrame, by: list[str], least: float, home: bool, own: bool) -> DataFrame:
+    """The similar pairs of the groups in `dense`, every pair of blocks compared in one task."""
+    met = rows.join(F.broadcast(dense) if dense.count() <= FEW else dense, by)
+    block = F.pmod(F.xxhash64("id", "norm"), F.when(F.col("side") == "a", F.col("blocks_a")).otherwise(F.col("blocks_b"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    pair = lambda lo, hi, left: F.struct(lo.alias("lo"), hi.alias("hi"), left.alias("right"))
+    if own:
+        each = F.transform(upto("blocks_a"), lambda j: pair(F.least(block, j), F.greatest(block, j), block > j))
+    else:
+        each = F.when(F.col("side") == "a", F.transform(upto("blocks_b"), lambda j: pair(block, j, F.lit(False)))).otherwise(F.transform(upto("blocks_a"), lambda i: pair(i, block, F.lit(True))))
+    unit = [*by, "lo", "hi"]
+    met = met.select(*by, "id", "norm", "home", F.explode(each).alias("x")).select(*by, "x.lo", "x.hi", "id", "norm", "home", "x.right")
+    met = spread_by(met, *unit).sortWithinPartitions(*unit)
+    k = len(by)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            same = own and at[k] == at[k + 1]
+            left, right = [r for r in held if not r[3]], held if same else [r for r in held if r[3]]
+            if not left or not right:
+                return
+            ids, homes = np.array([r[0] for r in left], np.int64), [r[2] for r in left]
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, j, s in block_pairs([r[1] for r in left], [r[1] for r in right], least):
+                other = right[j][0]
+                keep = ids[i] < other if same else np.ones(len(i), bool)
+                if home:
+                    keep &= np.array([homes[x] != right[j][2] for x in i.tolist()], bool)
+                a, b = ids[i[keep]], np.full(int(keep.sum()), other, np.int64)
+                out.append((np.minimum(a, b), np.maximum(a, b), s[keep]) if own else (a, b, s[keep]))
+                if len(out) == 64:
+                    yield together(out)
+                    out = []
+            if out:
+                yield together(out)
+
+        for b in batches:
+            keys = zip(*(b.column(i).to_pylist() for i in range(k + 2)), strict=True)
+            for key, row in zip(keys, zip(*(b.column(i).to_pylist() for i in range(k + 2, k + 6)), strict=True), strict=True):
+                if key != at:
+                    if held:
+                        yield from done()
+                    at, held = key, []
+                held.append(row)
+        if held:
+            yield from done()
+
+    def together(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id_a", "id_b", "similarity"])
+
+    return met.mapInArrow(compare, PAIR)
+
+
 def similar_texts(texts: DataFrame, by: list[str], least: float, against: DataFrame | None = None) -> DataFrame:
     """(id_a, id_b, similarity) of all pairs of unequal texts of a group that are at least `least` alike, each once.
 
@@ -151,6 +273,10 @@ def similar_texts(texts: DataFrame, by: list[str], least: float, against: DataFr
         tokens = stored(tokens)
         several = tokens.groupBy(*by, "token").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select(*by, "token")
         tokens = tokens.join(several, [*by, "token"], "left_semi")
+    tokens = stored(tokens)
+    dense = stored(_dense(rows, tokens, by, against is None))
+    every = _by_blocks(rows, dense, by, least, home, against is None)
+    tokens = tokens.join(F.broadcast(dense) if dense.count() <= FEW else dense, by, "left_anti")
     a, b = tokens.where("side = 'a'"), tokens.where("side = 'b'") if against is not None else tokens
     b = b.select(*by, "token", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("home").alias("home_b"))
     near = F.least("size", "size_b") * 2 >= least * (F.col("size") + F.col("size_b")) - 1e-9
@@ -167,4 +293,4 @@ def similar_texts(texts: DataFrame, by: list[str], least: float, against: DataFr
                 at = pa.array([i for i, s in enumerate(found) if s is not None], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([s for s in found if s is not None], pa.float64())], names=["id_a", "id_b", "similarity"])
 
-    return met.select("id_a", "id_b", "norm_a", "norm_b").mapInArrow(verify, "id_a long, id_b long, similarity double")
+    return met.select("id_a", "id_b", "norm_a", "norm_b").mapInArrow(verify, PAIR).unionByName(every)
