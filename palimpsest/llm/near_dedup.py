@@ -14,6 +14,8 @@
    of them have a partner in another home; their whole texts are compared in pairs of blocks, in which
    the members connected with the leader meet only those that are not. So nothing but what no leader explains is
    compared pair by pair; only links that connect something new are returned.
+6. Every member stands for its home, which it is connected with, so components are those of the links between homes,
+   of which a family that few leaders explain has few.
 
 Defined results: a null or wordless text has no set and links with nothing (component: its own id). Rows with
 a null id link with nothing; their component is null. Repeated rows all come back with the same component.
@@ -265,20 +267,20 @@ def connecting(sets: list[np.ndarray], percent: int, homes: list | None = None,
 
 
 def links_of_the_rest(members: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """(a, b): links between homes within the groups of `members` (leader, class, home, main), on full sets."""
+    """(a, b): the homes that links within the groups of `members` (leader, class, home, main) connect, on full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         at, sets, held = None, [], {}
 
         def done() -> dict[str, list]:
             links = connecting(sets, percent, held["home"], [not x for x in held["main"]])
-            return {"a": [held["class"][i] for i, _ in links], "b": [held["class"][j] for _, j in links]}
+            return {"a": [held["home"][i] for i, _ in links], "b": [held["home"][j] for _, j in links]}
 
         for key, part in _by_group(batches):
             if key != at:
                 if len(sets) > 1:
                     yield done()
-                at, sets, held = key, [], {k: [] for k in ("class", "home", "main")}
+                at, sets, held = key, [], {k: [] for k in ("home", "main")}
             for _, _, e, off in _sets(part["text"], ngram):
                 sets += [e[off[i] : off[i + 1]].copy() for i in range(len(off) - 1)]
             for k in held:
@@ -317,13 +319,18 @@ def near_dedup(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     home = cut(first.join(first.select(F.col("class").alias("home"), F.col("home").alias("on")), "home", "left").select("class", F.coalesce("on", "home").alias("home")))
     placed = groups.join(home, "class", "left").withColumn("home", F.coalesce("home", "class"))
     of_leader = home.select(F.col("class").alias("leader"), F.col("home").alias("leader_home"))
-    placed = cut(placed.join(of_leader, "leader", "left").withColumn("main", F.col("home") == F.coalesce("leader_home", "leader")).drop("leader_home"))
+    placed = placed.join(of_leader, "leader", "left").withColumn("leader_home", F.coalesce("leader_home", "leader"))
+    placed = cut(placed.withColumn("main", F.col("home") == F.col("leader_home")))
     # groups in which the leader does not explain everything
-    still = placed.join(placed.where("not main").select("leader").distinct(), "leader", "left_semi")
+    still = placed.drop("leader_home").join(placed.where("not main").select("leader").distinct(), "leader", "left_semi")
     rest = cut(promising(still, classes))
-    found = components(links.unionByName(links_of_the_rest(rest, classes, docs, ngram, percent)))
+    # links within a home connect nothing; those between a member's home and its leader's go on
+    apart = placed.where("not main").join(links.select(F.col("a").alias("leader"), F.col("b").alias("class")), ["leader", "class"], "left_semi")
+    apart = apart.select(F.col("leader_home").alias("a"), F.col("home").alias("b"))
+    found = components(apart.unionByName(links_of_the_rest(rest, classes, docs, ngram, percent)))
 
-    found = classes.join(found, classes["class"] == found["node"], "left").select("set_a", "set_b", "rep", F.coalesce("component", "class").alias("component"))
+    named = classes.select("class", "set_a", "set_b", "rep").join(home, "class", "left").withColumn("home", F.coalesce("home", "class"))
+    found = named.join(found, named["home"] == found["node"], "left").select("set_a", "set_b", "rep", F.coalesce("component", "home").alias("component"))
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
     done = some.join(found.join(least, "component").drop("rep"), ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id", "text_hash", "component")
     none = F.lit(None).cast("long")
