@@ -73,10 +73,10 @@ def test_links_between_homes_only(spark, monkeypatch):
             rows.append((100 * f + i, " ".join(own)))
 
     def watched(links):
-        seen.append(links.where(F.col("a") != F.col("b")).distinct().count())
+        seen.append(links.where(F.col("a") != F.col("b")).count())
         return c.components(links)
 
     monkeypatch.setattr(near_dedup, "components", watched)
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), ngram=2).collect()
     assert all(r.component_id == r.doc_id // 100 * 100 for r in got) and len({r.component for r in got}) == 5
-    assert seen[0] < 100
+    assert seen[0] < 300  # 161 when written; 515 with links between members
