@@ -91,9 +91,14 @@ def candidate_scores(content: Column, kind: Column, authority: Column, is_correc
     return F.struct(F.round(confidence, 3).alias("confidence"), F.round(importance, 3).alias("importance"), F.round(stability, 3).alias("stability"), F.lit(1.0).alias("freshness"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as the SQL of the queries does: the number itself, scaled; `F.round` goes by its shortest decimals (0.72925 is less than that)."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def selection_value(relevance: Column, importance: Column, freshness: Column, confidence: Column, stability: Column, gain: Column) -> Column:
     total = 0.25 * relevance + 0.25 * importance + 0.2 * freshness + 0.1 * confidence + 0.1 * stability + 0.1 * gain
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4)
+    return rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4)
 
 
 def message_scores(role: Column, content: Column, index: Column, total: Column, query: Column) -> Column:

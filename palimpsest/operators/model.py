@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import lexicons as L
 from palimpsest.functions import rich
 from palimpsest.functions.facts import value_attribute
-from palimpsest.functions.scoring import candidate_scores, clamp01, stability_score
+from palimpsest.functions.scoring import candidate_scores, clamp01, rounded, stability_score
 from palimpsest.functions.text import clauses, clean_value, group, interrogative, json_text, let, matches, slug, smallest_clause
 
 #: What a model's answer may say.
@@ -244,6 +244,6 @@ def latency_report(samples: DataFrame) -> DataFrame:
 
 def reduction(compiled: DataFrame) -> DataFrame:
     """(user_id, percent): how many fewer tokens go out than came in."""
-    return compiled.select("user_id", F.round((1 - F.col("tokens_out") / F.col("tokens_in")) * 100, 1).alias("percent"))
+    return compiled.select("user_id", rounded((1 - F.col("tokens_out") / F.col("tokens_in")) * 100, 1).alias("percent"))
 
 
